@@ -90,25 +90,42 @@ def number_rows(
     return shifted.withColumn(name, number.cast("long")).drop("blk", "_before")
 
 
-def number_by_quantile(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], by: str, name: str = "idx", start: int = 0,
-    hot_rows: int = HOT_ROWS,
+def prefix_by_quantile(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], by: str, hot_rows: int = HOT_ROWS,
+    **sums: Column,
 ) -> DataFrame:
-    """``number_rows`` for keys of any size: only keys above ``hot_rows`` are cut, along quantiles of ``by``.
+    """Attach sums over the rows strictly earlier in ``order``, for keys of any size.
 
-    ``by`` is a numeric column that leads the order. There are at most (all rows / hot_rows) hot keys, which bounds
-    the broadcast side and the number of bucket summaries.
+    Only keys above ``hot_rows`` are cut, along quantiles of ``by``, a numeric column that leads the order. There are
+    at most (all rows / hot_rows) hot keys, which bounds the broadcast side and the number of bucket summaries.
+    Without ``keys`` all rows are cut.
     """
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*keys, F.lit(1).alias("_hot"))
-    marked = df.join(F.broadcast(hot), list(keys), "left")
-    cut = with_quantile_bucket(marked.filter("_hot = 1"), by, name="blk").groupBy(*keys, "blk").agg(F.count("*").alias("_n"))
+    if keys:
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+        marked = df.join(F.broadcast(sizes.select(*keys, F.lit(True).alias("_hot"))), list(keys), "left")
+        marked = marked.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    else:
+        marked = df.withColumn("_hot", F.lit(True))
+    marked = marked.withColumn("_cuts", quantile_cuts(marked.filter("_hot"), by))
+    cut = marked.withColumn("blk", F.when(F.col("_hot"), bucket_in("_cuts", by)).otherwise(0)).drop("_cuts")
+
     before = Window.partitionBy(*keys).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    prior = cut.select(*keys, "blk", F.sum("_n").over(before).alias("_before"))
-    cuts = quantile_cuts(marked.filter("_hot = 1"), by)
-    located = marked.withColumn("_cuts", cuts).withColumn("blk", F.when(F.col("_hot") == 1, bucket_in("_cuts", by)).otherwise(0))
-    shifted = located.join(prior, [*keys, "blk"], "left")
-    number = F.row_number().over(within(keys, *order)) - F.lit(1 - start) + F.coalesce("_before", F.lit(0))
-    return shifted.withColumn(name, number.cast("long")).drop("_hot", "_cuts", "blk", "_before")
+    partial = cut.filter("_hot").groupBy(*keys, "blk").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    prior = partial.select(*keys, "blk", *[F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums])
+    here = within(keys, *order).rowsBetween(Window.unboundedPreceding, -1)
+    values = [
+        (F.coalesce(F.sum(c).over(here), F.lit(0)) + F.coalesce(F.col(f"_{n}"), F.lit(0))).alias(n) for n, c in sums.items()
+    ]
+    return cut.join(prior, [*keys, "blk"], "left").select(*df.columns, *values)
+
+
+def number_by_quantile(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], by: str, name: str = "idx", start: int = 0,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``number_rows`` for keys of any size, cut along quantiles of ``by`` only where a key is hot."""
+    numbered = prefix_by_quantile(df, keys, order, by, hot_rows, **{name: F.lit(1)})
+    return numbered.withColumn(name, (F.col(name) + start).cast("long"))
 
 
 def quantile_cuts(df: DataFrame, col: str, bits: int = 10) -> Column:
@@ -164,8 +181,8 @@ def range_join(
 
 def explode_range(df: DataFrame, n: Column, keys: Sequence[str], name: str = "idx", chunk: int = BLOCK_ROWS) -> DataFrame:
     """One row per integer 0..n-1. Long ranges are cut into chunks that are spread before they are expanded."""
-    chunks = df.withColumn("_n", n.cast("long")).filter("_n > 0")
-    chunks = chunks.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_n - 1) div {int(chunk)})")))
+    chunks = df.withColumn("_upto", n.cast("long")).filter("_upto > 0")
+    chunks = chunks.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_upto - 1) div {int(chunk)})")))
     spread = chunks.repartition(*keys, "_chunk")
-    numbers = F.expr(f"sequence(_chunk * {int(chunk)}, least((_chunk + 1) * {int(chunk)}, _n) - 1)")
-    return spread.withColumn(name, F.explode(numbers)).drop("_n", "_chunk")
+    numbers = F.expr(f"sequence(_chunk * {int(chunk)}, least((_chunk + 1) * {int(chunk)}, _upto) - 1)")
+    return spread.withColumn(name, F.explode(numbers)).drop("_upto", "_chunk")

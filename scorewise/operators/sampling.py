@@ -183,14 +183,17 @@ def distinct_strategies(df: DataFrame, names: Sequence[str] = tuple(STRATEGIES))
     sets = df.groupBy("series_id", "frame").agg(F.bit_or(F.expr("shiftleft(1, strategy_no)")).alias("m"))
     sets = sets.groupBy("series_id").agg(F.collect_set("m").alias("m"))
 
-    def has(mask: Column, i: int) -> Column:
-        return mask.bitwiseAND(F.lit(1 << i)) > 0
+    def member(i: int) -> Callable[[Column], Column]:
+        return lambda m: m.bitwiseAND(F.lit(1 << i)) > 0
+
+    def differ(i: int, j: int) -> Callable[[Column], Column]:
+        return lambda m: member(i)(m) != member(j)(m)
 
     keep = []
     for i, name in enumerate(names):
-        fresh = F.exists("m", lambda x: has(x, i))
+        fresh = F.exists("m", member(i))
         for j in range(i):
-            fresh = fresh & F.exists("m", lambda x, j=j: has(x, i) != has(x, j))
+            fresh = fresh & F.exists("m", differ(i, j))
         keep.append(F.when(fresh, F.lit(name)))
     kept = F.explode(F.array_compact(F.array(*keep))).alias("strategy")
     return sets.select("series_id", kept)

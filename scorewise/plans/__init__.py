@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("series_queries", "sampling_queries")
+_MODULES = ("series_queries", "sampling_queries", "metrics_queries", "judged_queries")
 
 
 def load():

@@ -10,6 +10,11 @@ CRITERIA = ("correctness", "specificity", "completeness", "fluency")
 FAILURE = "ERROR"
 
 
+def strip(text: Column) -> Column:
+    """Without leading and trailing whitespace, line breaks included."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def valid_text(text: Column) -> Column:
     """Non-empty and not a recorded failure."""
     return F.coalesce((text != "") & ~F.startswith(text, F.lit(FAILURE)), F.lit(False))
@@ -33,11 +38,11 @@ def word_count(text: Column) -> Column:
 
 def parse_reply(raw: Column) -> Column:
     """``explanation`` of a JSON reply, with or without a code fence; the raw text when there is none."""
-    text = F.trim(raw)
+    text = strip(raw)
     fenced = F.split_part(text, F.lit("```"), F.lit(2))
     fenced = F.when(F.startswith(fenced, F.lit("json")), F.substring(fenced, 5, 2147483647)).otherwise(fenced)
     body = F.when(F.startswith(text, F.lit("```")), fenced).otherwise(text)
-    return F.coalesce(F.get_json_object(body, "$.explanation"), text)
+    return F.coalesce(F.get_json_object(strip(body), "$.explanation"), text)
 
 
 def turn_label(turns: Column) -> Column:

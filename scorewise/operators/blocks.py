@@ -167,7 +167,8 @@ def range_join(
     """Rows whose position lies in a span of the same key, both ends inclusive.
 
     Spans are listed once per block they touch, so the join runs on ``(key, block)``: a hot key is spread over
-    its blocks, and a row is compared only with spans that reach its block.
+    its blocks, and a row is compared only with spans that reach its block. The listing adds at most one row per
+    ``size`` covered positions, which is what a broadcast of a small span table can grow to.
     """
     touched = F.expr(f"sequence(cast({lo} as bigint) div {int(size)}, cast({hi} as bigint) div {int(size)})")
     cut = spans.filter(F.col(lo) <= F.col(hi)).withColumn("blk", F.explode(touched)).alias("s")
@@ -183,6 +184,8 @@ def explode_range(df: DataFrame, n: Column, keys: Sequence[str], name: str = "id
     """One row per integer 0..n-1. Long ranges are cut into chunks that are spread before they are expanded."""
     chunks = df.withColumn("_upto", n.cast("long")).filter("_upto > 0")
     chunks = chunks.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_upto - 1) div {int(chunk)})")))
-    spread = chunks.repartition(*keys, "_chunk")
+    # a fixed count: the chunk rows are small, and adaptive coalescing would expand them all in one task
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = chunks.repartition(tasks, *keys, "_chunk")
     numbers = F.expr(f"sequence(_chunk * {int(chunk)}, least((_chunk + 1) * {int(chunk)}, _upto) - 1)")
     return spread.withColumn(name, F.explode(numbers)).drop("_upto", "_chunk")

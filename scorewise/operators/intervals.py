@@ -44,32 +44,32 @@ def overlap_windows(annotations: DataFrame, series: DataFrame) -> DataFrame:
     ).drop("_lo", "_hi")
 
 
-def nearest_snippet(annotations: DataFrame, series: DataFrame) -> DataFrame:
-    """Snippet whose frame range is closest to the centre of each annotation; ties go to the lower index."""
+def _nearest() -> Column:
     n_frames, n_snip = F.col("n_frames"), F.col("n_snip")
     centre = F.floor((F.col("start_frame") + F.col("end_frame")) / 2)
-    spans = annotations.join(series.select("series_id", "n_frames", "n_snip"), "series_id")
-    spans = spans.filter((n_frames > 0) & (n_snip > 0)).withColumn("_c", centre)
 
     def distance(i: Column) -> Column:
         lo, hi = frames.snippet_lo(i, n_frames, n_snip), frames.snippet_hi(i, n_frames, n_snip)
-        away = F.when(F.col("_c") < lo, lo - F.col("_c")).when(F.col("_c") > hi, F.col("_c") - hi).otherwise(0)
+        away = F.when(centre < lo, lo - centre).when(centre > hi, centre - hi).otherwise(0)
         return F.struct(away.cast("long").alias("away"), i.cast("long").alias("idx"))
 
-    # on a grid finer than the frames several snippets share the first or last frame: their lowest index is listed
-    clipped = F.least(F.greatest(F.col("_c"), F.lit(0)), n_frames - 1)
-    listed = F.array_union(_near(F.ceil(clipped * n_snip / n_frames)), _near(F.lit(0)))
-    return spans.withColumn("idx", F.array_min(F.transform(listed, distance))["idx"]).drop("_c")
+    # on a grid finer than the frames several snippets share a frame: the lowest of them is listed
+    clipped = F.least(F.greatest(centre, F.lit(0)), n_frames - 1)
+    return F.array_min(F.transform(_near(F.ceil(clipped * n_snip / n_frames)), distance))["idx"]
+
+
+def nearest_snippet(annotations: DataFrame, series: DataFrame) -> DataFrame:
+    """Snippet whose frame range is closest to the centre of each annotation; ties go to the lower index."""
+    spans = annotations.join(series.select("series_id", "n_frames", "n_snip"), "series_id")
+    return spans.filter("n_frames > 0 and n_snip > 0").withColumn("idx", _nearest())
 
 
 def annotated_windows(annotations: DataFrame, series: DataFrame) -> DataFrame:
     """Overlapping snippet range of each annotation, or its nearest snippet when nothing overlaps."""
-    overlap = overlap_windows(annotations, series)
-    found = overlap.filter(F.col("start_idx").isNotNull())
-    missed = overlap.filter(F.col("start_idx").isNull()).select(*annotations.columns)
-    near = nearest_snippet(missed, series)
-    near = near.withColumns({"start_idx": F.col("idx"), "end_idx": F.col("idx")}).drop("idx")
-    return found.unionByName(near)
+    windows = overlap_windows(annotations, series)
+    return windows.withColumns({
+        "start_idx": F.coalesce("start_idx", _nearest()), "end_idx": F.coalesce("end_idx", _nearest()),
+    })
 
 
 def overlap_join(df: DataFrame, windows: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:

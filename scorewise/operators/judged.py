@@ -137,7 +137,9 @@ def paired_bootstrap(
     draws = explode_range(reps, F.col("n"), [*by, "rep"], "draw", chunk)
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string")))
     drawn = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col("n"))
-    resampled = draws.select(*by, "rep", drawn.alias("pos")).join(placed, [*by, "pos"])
+    # every draw has a position; as the preserved side the draws can never be the broadcast one, although the
+    # planner cannot see how many rows they expand to
+    resampled = draws.select(*by, "rep", drawn.alias("pos")).join(placed, [*by, "pos"], "left")
     deltas = resampled.groupBy(*by, "rep").agg(F.avg("diff").alias("d"))
 
     if ci == "linear":

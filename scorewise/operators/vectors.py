@@ -119,14 +119,14 @@ def topk_similar(
     A zero query has no direction: it gets the first k of the index with a null similarity.
     """
     by = [group] if group else []
-    unit = queries.withColumn("_zero", arrays.l2_norm(F.col("vec")) == 0)
-    packed_q = _pack(unit.filter(~F.col("_zero")).select(*by, F.col("query_id").alias("id"), "vec"), by, block, "q")
+    packed_q = _pack(queries.select(*by, F.col("query_id").alias("id"), "vec"), by, block, "q")
     packed_i = _pack(
         index.select(*by, F.col("index_id").alias("id"), "vec", F.pmod(F.xxhash64("index_id"), F.lit(parts)).alias("part")),
         [*by, "part"], block, "i",
     )
-    spread = packed_q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
-    met = spread.join(packed_i, [*by, "part"]).select(*by, "q_ids", "q_vecs", "i_ids", "i_vecs", "part")
+    spread = packed_q.withColumn("part", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")))
+    # a merge join streams the blocks of a part and spills; the planner cannot size packed buffers
+    met = spread.join(packed_i.hint("merge"), [*by, "part"]).select(*by, "q_ids", "q_vecs", "i_ids", "i_vecs")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,27 +135,18 @@ def topk_similar(
                 q = np.frombuffer(row.q_vecs, dtype="<f8").reshape(len(q_ids), -1)
                 i = np.frombuffer(row.i_vecs, dtype="<f8").reshape(len(i_ids), -1)
                 sims = q @ i.T
-                # ids are sorted inside a block, so a stable sort breaks ties by id
+                # ids ascend inside a block, so a stable sort breaks ties by id; all of a zero query's are ties
                 top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
                 n = top.shape[1]
                 found = {"query_id": np.repeat(q_ids, n), "index_id": i_ids[top].ravel(),
-                         "sim": np.take_along_axis(sims, top, 1).ravel()}
+                         "sim": np.take_along_axis(sims, top, 1).ravel(), "zero": np.repeat(~q.any(axis=1), n)}
                 yield pd.DataFrame({**{c: [getattr(row, c)] * (n * len(q_ids)) for c in by}, **found})
 
     kinds = [f"{c} {met.schema[c].dataType.simpleString()}" for c in by]
-    local = met.mapInPandas(best, ", ".join([*kinds, "query_id long, index_id long, sim double"]))
+    local = met.mapInPandas(best, ", ".join([*kinds, "query_id long, index_id long, sim double, zero boolean"]))
     order = Window.partitionBy(*by, "query_id").orderBy(F.desc("sim"), "index_id")
     ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-    head = Window.partitionBy(*by).orderBy("index_id") if by else Window.orderBy("index_id")
-    smallest = index.select(*by, "index_id").orderBy("index_id").limit(k) if not by else index.select(*by, "index_id")
-    heads = smallest.withColumn("rank", F.row_number().over(head)).filter(F.col("rank") <= k)
-    listed = heads.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "index_id"))).alias("h"))
-    zero = unit.filter("_zero").select(*by, "query_id")
-    zero = zero.join(listed, by) if by else zero.withColumn("h", listed.scalar())
-    zero = zero.select(*by, "query_id", F.inline("h")).withColumn("sim", F.lit(None).cast("double"))
-    cols = [*by, "query_id", "rank", "index_id", "sim"]
-    return ranked.select(*cols).unionByName(zero.select(*cols))
+    return ranked.select(*by, "query_id", "rank", "index_id", F.when(~F.col("zero"), F.col("sim")).alias("sim"))
 
 
 def _pack(df: DataFrame, keys: Sequence[str], block: int, side: str) -> DataFrame:
@@ -184,23 +175,3 @@ def topk_sweep(queries: DataFrame, index: DataFrame, ks: Sequence[int], group: s
     rows = ranked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     return rows.filter(F.col("rank") <= F.col("k"))
 
-
-def lsh_similar(
-    queries: DataFrame, index: DataFrame, k: int = 3, bucket_length: float = 0.5, tables: int = 8, max_distance: float = 1.0
-) -> DataFrame:
-    """Explicitly approximate top-k for an index too large for the exact form: random-projection buckets."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-
-    left = queries.select("query_id", array_to_vector("vec").alias("features"))
-    right = index.select("index_id", array_to_vector("vec").alias("features"))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=42
-    )
-    pairs = lsh.fit(right).approxSimilarityJoin(left, right, max_distance, "distance")
-    # unit vectors: |a - b|^2 = 2 - 2 cos
-    pairs = pairs.select(
-        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.index_id").alias("index_id"),
-        (1 - F.col("distance") * F.col("distance") / 2).alias("sim"),
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "index_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

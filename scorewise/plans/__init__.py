@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("series_queries", "sampling_queries", "metrics_queries", "judged_queries")
+_MODULES = (
+    "series_queries", "sampling_queries", "metrics_queries", "judged_queries", "vector_queries", "chat_queries",
+)
 
 
 def load():

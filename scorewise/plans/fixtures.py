@@ -6,17 +6,21 @@ Every stand-in uses the whole table it is derived from.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewise.operators.blocks import number_by_quantile
+from scorewise.sources.shared import written
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
 
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,29 +31,35 @@ def _clock_seconds(ts: str):
     return F.unix_date(F.to_date(ts)) * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
-def _numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("series_id"), "ts", "event_id", "value", "event_type",
-        _clock_seconds("ts").alias("at"),
-    )
-    return number_by_quantile(events, ["series_id"], ["ts", "event_id"], "at")
+def once(spark: SparkSession, sf_dir: str, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that many queries start from: written to the shared folder by the first that asks."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = written(derive(), name)
+    return _WRITTEN[key]
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbered_events(spark, sf_dir).select("series_id", "idx", (F.col("value") / (F.col("value") + 50.0)).alias("score"))
+def labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scores`` with the frame label of each row."""
 
+    def derive() -> DataFrame:
+        events = table(spark, sf_dir, "events").select(
+            "user_id", "ts", "event_id", "value", "event_type", _clock_seconds("ts").alias("at")
+        )
+        return number_by_quantile(events, ["user_id"], ["ts", "event_id"], "at").select(
+            F.col("user_id").alias("series_id"), "idx", (F.col("value") / (F.col("value") + 50.0)).alias("score"),
+            F.when(F.col("event_type") == "error", 1).otherwise(0).alias("label"),
+        )
 
-def frame_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.when(F.col("event_type") == "error", 1).otherwise(0)
-    return _numbered_events(spark, sf_dir).select("series_id", F.col("idx").alias("frame"), label.alias("label"))
+    return once(spark, sf_dir, "numbered", derive)
 
 
-def labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``scores`` and ``frame_labels`` in one pass."""
-    label = F.when(F.col("event_type") == "error", 1).otherwise(0)
-    return _numbered_events(spark, sf_dir).select(
-        "series_id", "idx", (F.col("value") / (F.col("value") + 50.0)).alias("score"), label.alias("label")
-    )
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled_scores(spark, sf_dir).select("series_id", "idx", "score")
+
+
+def frame_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled_scores(spark, sf_dir).select("series_id", F.col("idx").alias("frame"), "label")
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,17 +118,34 @@ def judged_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.filter(F.col("video_id") % 11 != 0)
 
 
-def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("series_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest turns of each conversation: the system text, the first user and the first assistant turn.
+
+    First turns are picked by an aggregate, so a conversation of any length stays in partial sums.
+    """
+    first = lambda role: F.min_by("text", F.when(F.col("role") == role, F.col("turn")))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        first("system").alias("system"), first("user").alias("human"), first("assistant").alias("answer")
     )
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    numbered = number_by_quantile(items, ["series_id"], order, "l_orderkey")
-    return numbered.select(
-        "series_id", "idx", (F.col("l_extendedprice") / (F.col("l_extendedprice") + 50000.0)).alias("score")
+    turn = lambda who, value: F.struct(F.lit(who).alias("from"), F.coalesce(value, F.lit("")).alias("value"))
+    return rows.select(
+        F.col("conv_id").alias("video_id"), F.coalesce("system", F.lit("")).alias("system"),
+        F.array(turn("human", F.col("human")), turn("assistant", F.col("answer"))).alias("conversations"),
     )
 
 
+def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def derive() -> DataFrame:
+        order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+        items = table(spark, sf_dir, "lineitem").select("l_suppkey", *order)
+        return number_by_quantile(items, ["l_suppkey"], order, "l_orderkey").select(
+            F.col("l_suppkey").alias("series_id"), "idx",
+            (F.col("l_extendedprice") / (F.col("l_extendedprice") + 50000.0)).alias("score"),
+        )
+
+    return once(spark, sf_dir, "bench", derive)
+
+
 _RUN = """select d.doc_id video_id, case when toxic=1 then 'anomalous' else 'normal_FP' end video_type, source scene,
  {correctness} correctness, 1+doc_id%5 specificity, 1+(n_chars//7)%5 completeness, 3+quality fluency,
  case when doc_id%23=0 then 'ERROR: timeout' else text end as text

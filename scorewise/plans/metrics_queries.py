@@ -116,9 +116,14 @@ _HASH = "md5(concat_ws(':', '42', series_id))"
 
 
 def both_methods(spark, sf):
-    scores = fx.scores(spark, sf)
-    segments = S.segment_summary(scores, S.hysteresis_segments(scores, 0.5, 0.3, 3), "exclusive")
-    return S.segment_mean_max(video_scores(spark, sf).withColumnRenamed("score", "full_mean"), segments)
+    """One row per series with both scores, the table calibration starts from."""
+
+    def derive():
+        scores = fx.scores(spark, sf)
+        segments = S.segment_summary(scores, S.hysteresis_segments(scores, 0.5, 0.3, 3), "exclusive")
+        return S.segment_mean_max(video_scores(spark, sf).withColumnRenamed("score", "full_mean"), segments)
+
+    return fx.once(spark, sf, "both_methods", derive)
 
 
 @query(

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorewise.session import configure
+
 from .fixtures import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +35,7 @@ def query(name: str, cols: str, oracle: str | None = None, **steps: str) -> Call
 
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)
             return fn(spark, sf_dir).select(*[_SPARK[t](c) for c, t in spec])
 
         QUERIES[name] = run

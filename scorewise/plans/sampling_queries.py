@@ -67,8 +67,13 @@ UNION_SQL = " union all ".join(
 
 
 def window_rows(spark, sf):
-    windows = I.annotated_windows(fx.annotations(spark, sf), fx.videos(spark, sf))
-    return I.overlap_join(fx.scores(spark, sf), windows)
+    """Snippets inside the annotated windows, the input of every pool."""
+
+    def derive():
+        windows = I.annotated_windows(fx.annotations(spark, sf), fx.videos(spark, sf))
+        return I.overlap_join(fx.scores(spark, sf), windows)
+
+    return fx.once(spark, sf, "windows", derive)
 
 
 def uniform_videos(spark, sf):

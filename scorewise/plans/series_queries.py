@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scorewise.functions import arrays
 from scorewise.operators import series as S
 
 from . import fixtures as fx
@@ -313,13 +312,3 @@ def _(spark, sf):
     spans = F.expr("inline(array(struct(0, 0, 10), struct(1, 5, 30), struct(2, 20, 1000))) as (track_no, start_idx, end_idx)")
     tracks = fx.videos(spark, sf).select("series_id", spans)
     return S.take_while(frames, tracks)
-
-
-@query(
-    "weighted_mean", "series_id:i weighted:d",
-    "select series_id, sum(score*w)/(sum(w)+1e-8) weighted from (select series_id, score, 1+idx%4 w from scores) group by 1",
-)
-def _(spark, sf):
-    rows = fx.scores(spark, sf).withColumn("w", 1 + F.col("idx") % 4)
-    weighted = F.sum(F.col("score") * F.col("w")) / (F.sum("w") + arrays.NORM_FLOOR)
-    return rows.groupBy("series_id").agg(weighted.alias("weighted"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorewise.functions import ids
+from scorewise.operators.blocks import number_by_quantile
 
 ANNOTATION = "video_id STRING, explanation STRING, anomaly_start_frame INT, anomaly_end_frame INT"
 METADATA = (
@@ -84,9 +85,9 @@ def read_video_list(spark: SparkSession, path: str, layout: str = "test") -> Dat
 
 # --- JSON ------------------------------------------------------------------------------------------------------
 
-def read_annotations(spark: SparkSession, path: str, drop_blank: bool = False) -> DataFrame:
-    """Annotation array; entries without an id are dropped, on request also those with a blank explanation."""
-    rows = spark.read.schema(ANNOTATION).json(path, multiLine=True).filter("video_id is not null")
+def read_annotations(spark: SparkSession, path: str, drop_blank: bool = False, lines: bool = False) -> DataFrame:
+    """Annotation array (or JSON lines); entries without an id are dropped, on request also blank explanations."""
+    rows = spark.read.schema(ANNOTATION).json(path, multiLine=not lines).filter("video_id is not null")
     return rows.filter(F.trim(F.coalesce("explanation", F.lit(""))) != "") if drop_blank else rows
 
 
@@ -162,8 +163,10 @@ def frame_listing(files: DataFrame, keys: Sequence[str] = ("folder",)) -> DataFr
     stem = F.regexp_replace("file", r"\.[^.]+$", "")
     number = F.when(stem.rlike("^[0-9]+$"), stem.try_cast("long"))
     order = [number.isNull(), number, F.when(number.isNotNull(), extension(F.col("file"))), F.lower("file"), "file"]
-    pos = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return images.select(*keys, "file", pos.alias("pos"))
+    # rises along the order: the number, or a value above all numbers that grows with the first six bytes of the name
+    letters = F.conv(F.hex(F.substring(F.encode(F.lower("file"), "UTF-8"), 1, 6)), 16, 10).cast("double")
+    images = images.withColumn("_by", F.coalesce(F.least(number.cast("double"), F.lit(1e15)), letters + 1e16))
+    return number_by_quantile(images, keys, order, "_by", "pos").select(*keys, "file", "pos")
 
 
 def file_inventory(files: DataFrame, examples: int = 3) -> DataFrame:

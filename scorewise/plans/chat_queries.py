@@ -176,14 +176,15 @@ _THIN4 = "list_transform(list_distinct([0, cast(round_even((len({0})-1)/3.0, 0)
 
 @query(
     "retrieval_prompt", "query_id:i n_examples:i prompt:s",
-    f"""select query_id, 3 n_examples, 'You will be shown 3 EXAMPLE videos with their correct explanations, then asked to explain a NEW video in the same style.'
- || chr(10) || parts || chr(10) || chr(10) || '=== NEW VIDEO (please explain) ===' || chr(10) || 'This video has ' || n_snip || ' temporal snippets. Gate score: '
+    f"""select t.query_id, coalesce(n, 0) n_examples, 'You will be shown ' || coalesce(n, 0) || ' EXAMPLE videos with their correct explanations, then asked to explain a NEW video in the same style.'
+ || chr(10) || coalesce(parts, '') || chr(10) || chr(10) || '=== NEW VIDEO (please explain) ===' || chr(10) || 'This video has ' || n_snip || ' temporal snippets. Gate score: '
  || printf('%.3f', g) || '.' || chr(10) || 'Per-snippet anomaly scores for this new video: [' || {_TEXT4.format("s.sc")} || ']' || chr(10) ||
- 'Now describe the anomalous activity in this new video.' prompt from (select query_id, string_agg(chr(10) || '--- EXAMPLE ' || rank ||
+ 'Now describe the anomalous activity in this new video.' prompt from (select distinct query_id from ranked) t join sc s on s.series_id=t.query_id
+ join (select series_id, count(*) n_snip, max(score) g from scores group by 1) z on z.series_id=t.query_id
+ left join (select query_id, count(*) n, string_agg(chr(10) || '--- EXAMPLE ' || rank ||
  ' (similarity=' || case when sim is null then 'n/a' else printf('%.3f', sim) end || ') ---' || chr(10) || 'Per-snippet anomaly scores: [' ||
  {_TEXT4.format(_THIN4.format("s.sc"))} || ']' || chr(10) || 'Correct explanation: "label ' || index_id || '"', chr(10) order by rank) parts
- from ranked join sc s on s.series_id=index_id where rank <= 3 group by 1) join sc s on s.series_id=query_id
- join (select series_id, count(*) n_snip, max(score) g from scores group by 1) z on z.series_id=query_id""",
+ from ranked join sc s on s.series_id=index_id where rank <= 3 group by 1) e on e.query_id=t.query_id""",
     **_SPLIT, ranked=_SIMS,
     sc="""select series_id, list(score order by idx) sc from (select *, row_number() over (partition by series_id order by score desc, idx) rn
  from scores) where rn <= 5 group by 1""",

@@ -134,11 +134,11 @@ def both_methods(spark, sf):
  from both_scores b, (select * from swept order by accuracy desc, f1 desc, balanced_accuracy desc, method, step limit 1) w""",
     hyst=HYSTERESIS, segs=SUMMARY, vid=VID, both_scores=_BOTH,
     calib=f"""select series_id from (select *, row_number() over (partition by label order by {_HASH}) rn from videos)
- where rn <= 10""",
+ where rn <= case when label=1 then 3 else 10 end""",
     long=_LONG, swept=sweep_sql("long", 400, "method"),
 )
 def _(spark, sf):
-    chosen = P.balanced_sample(fx.videos(spark, sf).select("series_id", "label"), 10, 10)
+    chosen = P.balanced_sample(fx.videos(spark, sf).select("series_id", "label"), 3, 10)
     return M.calibrate_and_apply(both_methods(spark, sf), ["full_mean", "segment_mean_max"], chosen)
 
 

@@ -224,10 +224,10 @@ _HASH = "md5(concat_ws(':', '42', series_id))"
 @query(
     "balanced_sample", "series_id:i label:i",
     f"""select series_id, label from (select *, row_number() over (partition by label order by {_HASH}) rn from videos)
- where rn <= 10""",
+ where rn <= case when label=1 then 3 else 10 end""",
 )
 def _(spark, sf):
-    return P.balanced_sample(fx.videos(spark, sf), 10, 10)
+    return P.balanced_sample(fx.videos(spark, sf), 3, 10)
 
 
 @query(

@@ -44,8 +44,17 @@ def _summaries(df: DataFrame, keys: Sequence[str], folds: dict[str, tuple[str, C
     return df.groupBy(*keys, "blk").agg(*[_PARTIAL[fn](col).alias(name) for name, (fn, col) in folds.items()])
 
 
+def solid(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Drop rows without a key, as the join on ``(key, block)`` would. Said on both of its inputs, the condition
+    keeps their plans equal, so that a shuffle they share is made once."""
+    for c in (*keys, "blk"):
+        df = df.filter(F.col(c).isNotNull())
+    return df
+
+
 def with_totals(df: DataFrame, keys: Sequence[str], **folds: tuple[str, Column]) -> DataFrame:
     """Attach whole-key folds, e.g. ``n=("count", F.lit(1))``, to rows that carry a ``blk`` column."""
+    df = solid(df, keys)
     whole = Window.partitionBy(*keys)
     totals = _summaries(df, keys, folds).select(
         *keys, "blk", *[_MERGE[fn](F.col(name)).over(whole).alias(name) for name, (fn, _) in folds.items()]
@@ -55,6 +64,7 @@ def with_totals(df: DataFrame, keys: Sequence[str], **folds: tuple[str, Column])
 
 def with_prior(df: DataFrame, keys: Sequence[str], **folds: tuple[str, Column]) -> DataFrame:
     """Attach folds over all earlier blocks of the key; null in the first block."""
+    df = solid(df, keys)
     before = Window.partitionBy(*keys).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     prior = _summaries(df, keys, folds).select(
         *keys, "blk", *[_MERGE[fn](F.col(name)).over(before).alias(name) for name, (fn, _) in folds.items()]
@@ -92,25 +102,30 @@ def number_rows(
 
 def prefix_by_quantile(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], by: str, hot_rows: int = HOT_ROWS,
-    **sums: Column,
+    raw: DataFrame | None = None, **sums: Column,
 ) -> DataFrame:
     """Attach sums over the rows strictly earlier in ``order``, for keys of any size.
 
     Only keys above ``hot_rows`` are cut, along quantiles of ``by``, a numeric column that leads the order. There are
     at most (all rows / hot_rows) hot keys, which bounds the broadcast side and the number of bucket summaries.
-    Without ``keys`` all rows are cut.
+    Without ``keys`` all rows are cut. When ``df`` is itself a sum of ``raw`` per (keys, order), sizes, quantiles and
+    bucket sums are taken from ``raw`` by scans with map-side sums, so ``df`` is shuffled once only.
     """
+    source = df if raw is None else raw
     if keys:
-        sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
-        marked = df.join(F.broadcast(sizes.select(*keys, F.lit(True).alias("_hot"))), list(keys), "left")
-        marked = marked.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+        sizes = source.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+        hot = F.broadcast(sizes.select(*keys, F.lit(True).alias("_hot")))
+        hot_rows_only = source.join(hot, list(keys))
+        marked = df.join(hot, list(keys), "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
     else:
-        marked = df.withColumn("_hot", F.lit(True))
-    marked = marked.withColumn("_cuts", quantile_cuts(marked.filter("_hot"), by))
-    cut = marked.withColumn("blk", F.when(F.col("_hot"), bucket_in("_cuts", by)).otherwise(0)).drop("_cuts")
+        hot_rows_only, marked = source, df.withColumn("_hot", F.lit(True))
+    cuts = quantile_cuts(hot_rows_only, by)
+    slot = F.when(F.col("_hot"), bucket_in("_cuts", by)).otherwise(0)
+    cut = marked.withColumn("_cuts", cuts).withColumn("blk", slot).drop("_cuts")
 
     before = Window.partitionBy(*keys).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    partial = cut.filter("_hot").groupBy(*keys, "blk").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    partial = hot_rows_only.withColumn("_cuts", cuts).withColumn("blk", bucket_in("_cuts", by))
+    partial = partial.groupBy(*keys, "blk").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     prior = partial.select(*keys, "blk", *[F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums])
     here = within(keys, *order).rowsBetween(Window.unboundedPreceding, -1)
     values = [
@@ -124,7 +139,7 @@ def number_by_quantile(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``number_rows`` for keys of any size, cut along quantiles of ``by`` only where a key is hot."""
-    numbered = prefix_by_quantile(df, keys, order, by, hot_rows, **{name: F.lit(1)})
+    numbered = prefix_by_quantile(df, keys, order, by, hot_rows, None, **{name: F.lit(1)})
     return numbered.withColumn(name, (F.col(name) + start).cast("long"))
 
 

@@ -164,7 +164,7 @@ def run_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], run_col: str = "v
         F.struct(F.lit(f"{a} vs {b}").alias("pair"), F.lit(a).alias("_a"), F.lit(b).alias("_b")) for a, b in pairs
     ]))
     rows = df.select(id_col, run_col, "overall").select("*", sides)
-    own = rows.filter(F.col(run_col).isin([r for p in pairs for r in p]))
+    own = rows.filter((F.col(run_col) == F.col("_a")) | (F.col(run_col) == F.col("_b")))
     folded = own.groupBy("pair", id_col).agg(
         F.max(F.when(F.col(run_col) == F.col("_a"), F.col("overall"))).alias("value_a"),
         F.max(F.when(F.col(run_col) == F.col("_b"), F.col("overall"))).alias("value_b"),
@@ -182,7 +182,7 @@ def pairwise_significance(df: DataFrame, pairs: Sequence[tuple[str, str]], resam
 def _average_ranks(counts: DataFrame, value: str, name: str, hot_rows: int) -> DataFrame:
     """Rank of each distinct value, ties sharing their mean rank."""
     per_value = counts.groupBy("criterion", value).agg(F.sum("w").alias("w"))
-    placed = prefix_by_quantile(per_value, ["criterion"], [value], value, hot_rows, _below=F.col("w"))
+    placed = prefix_by_quantile(per_value, ["criterion"], [value], value, hot_rows, None, _below=F.col("w"))
     return placed.select("criterion", value, (F.col("_below") + (F.col("w") + 1) / 2).alias(name))
 
 

@@ -176,11 +176,11 @@ def _ladder(df: DataFrame, by: Sequence[str], label: str, score: str, hot_rows:
 
     Ties are merged before anything is ordered, so a score shared by many rows costs one row.
     """
-    counts = df.groupBy(*by, F.col(score).alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
-    )
+    one_if = lambda y: (F.col(label) == y).cast("long")
+    rows = df.select(*by, F.col(score).alias("score"), one_if(1).alias("pos"), one_if(0).alias("neg"))
+    counts = rows.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return prefix_by_quantile(
-        counts, by, ["score"], "score", hot_rows, pos_below=F.col("pos"), neg_below=F.col("neg")
+        counts, by, ["score"], "score", hot_rows, rows, pos_below=F.col("pos"), neg_below=F.col("neg")
     )
 
 

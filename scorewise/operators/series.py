@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import (
-    BLOCK_ROWS, KEY, explode_range, halo, number_rows, range_join, with_block, with_prior, with_totals, within,
+    BLOCK_ROWS, KEY, explode_range, halo, number_rows, range_join, solid, with_block, with_prior, with_totals, within,
 )
 
+NARROW = 64  # kernel taps up to which smoothing stays in the JVM
+
 
 # --- smoothing and scaling -------------------------------------------------------------------------------------
 
@@ -22,7 +24,8 @@ def gaussian_smooth(
     """Weighted sum over ``range_ - 1`` taps with zero padding; the kernel is not renormalised.
 
     The peak of the kernel sits one tap before its middle, so the result lags by one step unless ``centered``.
-    Each task convolves one block plus ``range_ / 2`` neighbours on each side.
+    A block is smoothed together with ``range_ / 2`` neighbours on each side: a narrow kernel as a weighted sum of
+    shifted columns, a wide one as one numpy convolution per block.
     """
     if range_ % 2 or range_ < 2:
         raise ValueError("range_ must be even: an odd value changes the series length")
@@ -30,21 +33,26 @@ def gaussian_smooth(
     offset = np.arange(-half, half + 1) + (0 if centered else 1)
     kernel = np.exp(-0.5 * (offset / sigma) ** 2) / (sigma * np.sqrt(2 * np.pi))
 
+    plain = df.select(*keys, F.col("idx").cast("long"), F.col("score").cast("double"))
+    spread = halo(plain, keys, half, half, size=size)
+    if len(kernel) <= NARROW:
+        w = within(keys, "idx")
+        taps = [F.coalesce(F.lead("score", int(d)).over(w), F.lit(0.0)) * F.lit(float(v)) for d, v in zip(range(-half, half + 1), kernel)]
+        total = taps[0]
+        for tap in taps[1:]:
+            total = total + tap
+        return spread.withColumn("_sum", total).filter("core").select(*keys, "idx", F.col("_sum").alias("score"))
+
     def smooth(rows: pd.DataFrame) -> pd.DataFrame:
         place = rows["idx"].to_numpy()
         lo, hi = place.min(), place.max()
         padded = np.zeros(hi - lo + 1 + 2 * half)
         padded[place - lo + half] = rows["score"].to_numpy()
         smoothed = np.correlate(padded, kernel, "valid")
-        core = rows[rows["core"]]
+        core = rows[rows["core"]]  # empty for a block that only holds neighbours
         return core.assign(score=smoothed[core["idx"].to_numpy() - lo])[[*keys, "idx", "score"]]
 
-    schema = df.select(*keys, F.col("idx").cast("long"), F.col("score").cast("double")).schema
-    spread = halo(df.select(*keys, F.col("idx").cast("long"), F.col("score").cast("double")), keys, half, half, size=size)
-    # a block without core rows would only be carried to Python to be dropped
-    first_of_last = F.max(F.when(F.col("core"), F.lit(1))).over(within(keys))
-    spread = spread.withColumn("_live", first_of_last).filter("_live = 1").drop("_live")
-    return spread.groupBy(*keys, "blk").applyInPandas(smooth, schema)
+    return spread.groupBy(*keys, "blk").applyInPandas(smooth, plain.schema)
 
 
 def minmax(df: DataFrame, mode: str = "keep", keys: Sequence[str] = KEY, size: int = BLOCK_ROWS) -> DataFrame:
@@ -81,7 +89,7 @@ def _runs(df: DataFrame, event: Column, keys: Sequence[str], size: int) -> DataF
     the block. The count of run starts in earlier blocks then numbers them, and both ends meet under their number.
     """
     rows = with_block(df.select(*keys, F.col("idx").cast("long"), event.alias("ev")), size=size)
-    rows = rows.repartition(*keys, "blk")  # one exchange of the rows, shared by everything below
+    rows = solid(rows, keys).repartition(*keys, "blk")  # one exchange of the rows, shared by everything below
 
     per_block = rows.groupBy(*keys, "blk").agg(
         F.max_by("ev", F.when(F.col("ev").isNotNull(), F.col("idx"))).alias("last_ev"),

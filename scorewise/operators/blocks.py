@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 16
 HOT_ROWS = 1 << 22
+GROUP_LIMIT = 1000  # Spark's default windowGroupLimitThreshold
 KEY = ("series_id",)
 
 _PARTIAL = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
@@ -160,13 +161,21 @@ def bucket_in(cuts: str, col: str, bits: int = 10) -> Column:
     )
 
 
-def with_quantile_bucket(df: DataFrame, col: str, bits: int = 10, name: str = "qbucket") -> DataFrame:
-    """Equal-depth bucket of a numeric column: 2**bits buckets from one sketch over the whole column.
+def top_rows(
+    df: DataFrame, keys: Sequence[str], k: int, score: str = "score", tie: str = "idx", name: str = "_rn",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The k best rows per key with their rank from 1, ties to the lower ``tie``.
 
-    No ``(key, bucket)`` cell can then hold much more than 1/2**bits of all rows, however skewed the keys are.
+    For a k the optimizer can push below the shuffle, each task keeps k rows of a key first; a larger k ranks
+    through quantile buckets.
     """
-    located = df.withColumn("_cuts", quantile_cuts(df, col, bits))
-    return located.withColumn(name, bucket_in("_cuts", col, bits)).drop("_cuts")
+    if k <= GROUP_LIMIT:
+        best = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
+        return df.withColumn(name, F.row_number().over(best)).filter(F.col(name) <= k)
+    turned = df.withColumn("_down", -F.col(score))
+    ranked = number_by_quantile(turned, keys, ["_down", tie], "_down", name, 1, hot_rows)
+    return ranked.filter(F.col(name) <= k).drop("_down")
 
 
 def range_join(

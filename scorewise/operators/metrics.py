@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import HOT_ROWS, KEY, prefix_by_quantile
+from .blocks import HOT_ROWS, KEY, prefix_by_quantile, top_rows
 
 K_GRID = (1, 3, 5, 8, 10, 15, 20, 30, 50)
 
@@ -115,9 +115,7 @@ def best_threshold(sweep: DataFrame, by: Sequence[str] = (), ranking: Sequence[s
 
 def topk_means(df: DataFrame, ks: Sequence[int], keys: Sequence[str] = KEY) -> DataFrame:
     """Mean of the top k scores of every series for each k, from one ranking."""
-    best = Window.partitionBy(*keys).orderBy(F.desc("score"), "idx")
-    top = df.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= max(ks))
-    each = top.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter(F.col("_rn") <= F.col("k"))
+    each = top_rows(df, keys, max(ks)).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter(F.col("_rn") <= F.col("k"))
     return each.groupBy(*keys, "k").agg(F.avg("score").alias("video_score"))
 
 
@@ -154,17 +152,12 @@ def apply_calibration(
     """Top-k mean and decision with stored parameters (a one-row ``k, threshold`` report) or with both given."""
     if (k is None) != (threshold is None):
         raise ValueError("give both k and threshold, or neither")
-    if k is None and params is None:
-        raise ValueError("no stored parameters")
-    best = Window.partitionBy("series_id").orderBy(F.desc("score"), "idx")
-    ranked = df.withColumn("_rn", F.row_number().over(best))
-    if k is not None:
-        ranked = ranked.filter(F.col("_rn") <= max(1, k)).withColumn("_p", F.struct(F.lit(threshold).alias("threshold")))
-    else:
-        stored = params.select(F.struct("k", "threshold").alias("p")).scalar()
-        ranked = ranked.withColumn("_p", stored).filter(F.col("_rn") <= F.greatest(F.lit(1), F.col("_p.k")))
-    scored = ranked.groupBy("series_id").agg(F.avg("score").alias("video_score"), F.first("_p.threshold").alias("_t"))
-    hit = F.when(F.col("video_score") >= F.col("_t"), 1).otherwise(0)
+    if k is None:
+        if params is None:
+            raise ValueError("no stored parameters")
+        k, threshold = params.select("k", "threshold").first()  # a one-row report
+    scored = top_rows(df, ("series_id",), max(1, k)).groupBy("series_id").agg(F.avg("score").alias("video_score"))
+    hit = F.when(F.col("video_score") >= threshold, 1).otherwise(0)
     rows = scored.join(labels.select("series_id", "label"), "series_id")
     return rows.select("series_id", "label", "video_score", hit.alias("prediction"))
 

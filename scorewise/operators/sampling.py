@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scorewise.functions import arrays, frames
 
-from .blocks import BLOCK_ROWS, KEY, number_rows, range_join, with_block, with_totals
+from .blocks import BLOCK_ROWS, KEY, number_rows, range_join, top_rows, with_block, with_totals
 from .series import threshold_runs, topk_span
 
 
@@ -36,9 +36,9 @@ def budget_sample(
     is_end = (F.col("idx") == F.col("start_idx")) | (F.col("idx") == F.col("end_idx"))
     rows = range_join(df.select(*keys, "idx", "score"), spans, keys, size=size)
     rows = rows.withColumn("_inner", F.when(is_end, 0).otherwise(1)).filter("_inner = 0 or _budget > 2")
-    best = Window.partitionBy(*keys, "seg_no").orderBy("_inner", F.desc("score"), "idx")
+    merit = F.when(F.col("_inner") == 0, F.lit(float("inf"))).otherwise(F.nanvl("score", F.lit(float("-inf"))))
     enough = max(2, budget) * (2 * gap - 1) + 2
-    rows = rows.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= enough)
+    rows = top_rows(rows.withColumn("_merit", merit), (*keys, "seg_no"), enough, "_merit")
 
     ordered = F.array_sort(F.collect_list(F.struct("_rn", "_inner", "idx", "score")))
     gathered = rows.groupBy(*keys, "seg_no").agg(ordered.alias("rows"), F.first("_budget").alias("_budget"))
@@ -81,8 +81,7 @@ def adaptive_segments(
 
 def topk_snippet_frames(df: DataFrame, series: DataFrame, k: int = 5, pooled: int = 32) -> DataFrame:
     """The k best positions of each pooled series in time order, with their frame in the recording."""
-    best = Window.partitionBy("series_id").orderBy(F.desc("score"), "idx")
-    top = df.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= k)
+    top = top_rows(df, KEY, k)
     top = top.join(series.select("series_id", "n_frames", "n_snip"), "series_id")
     frame = frames.topk_frame(F.col("idx"), F.col("n_frames"), F.col("n_snip"), pooled)
     return top.select("series_id", "idx", frame.alias("frame"), "score")
@@ -143,9 +142,7 @@ def human_span_smart(rows: DataFrame, budget: int = 8, gap: int = 2, size: int =
 
 def top3_frame_band(rows: DataFrame, delta: int = 2, **_) -> DataFrame:
     """The three best snippets, each with a band around its middle frame."""
-    best = Window.partitionBy("series_id").orderBy(F.desc("score"), "idx")
-    top = rows.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= 3)
-    return dedup_frames(_band(top, delta), "_rn")
+    return dedup_frames(_band(top_rows(rows, KEY, 3), delta), "_rn")
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {

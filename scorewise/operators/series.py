@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import (
-    BLOCK_ROWS, KEY, explode_range, halo, number_rows, range_join, solid, with_block, with_prior, with_totals, within,
+    BLOCK_ROWS, KEY, explode_range, halo, number_rows, range_join, solid, top_rows, with_block, with_prior, with_totals,
+    within,
 )
 
 NARROW = 64  # kernel taps up to which smoothing stays in the JVM
@@ -25,7 +26,8 @@ def gaussian_smooth(
 
     The peak of the kernel sits one tap before its middle, so the result lags by one step unless ``centered``.
     A block is smoothed together with ``range_ / 2`` neighbours on each side: a narrow kernel as a weighted sum of
-    shifted columns, a wide one as one numpy convolution per block.
+    shifted columns, a wide one as one numpy convolution per block,
+    with the blocks of a partition streamed in order.
     """
     if range_ % 2 or range_ < 2:
         raise ValueError("range_ must be even: an odd value changes the series length")
@@ -43,16 +45,43 @@ def gaussian_smooth(
             total = total + tap
         return spread.withColumn("_sum", total).filter("core").select(*keys, "idx", F.col("_sum").alias("score"))
 
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        place = rows["idx"].to_numpy()
-        lo, hi = place.min(), place.max()
-        padded = np.zeros(hi - lo + 1 + 2 * half)
-        padded[place - lo + half] = rows["score"].to_numpy()
-        smoothed = np.correlate(padded, kernel, "valid")
-        core = rows[rows["core"]]  # empty for a block that only holds neighbours
-        return core.assign(score=smoothed[core["idx"].to_numpy() - lo])[[*keys, "idx", "score"]]
-
-    return spread.groupBy(*keys, "blk").applyInPandas(smooth, plain.schema)
+    group = [*keys, "blk"]
+
+    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Convolve each run of rows of one block; the block a batch ends in waits for the next batch."""
+        waiting = None
+        for batch in batches:
+            rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+            last = int(_starts(rows, group)[-1])
+            waiting = rows.iloc[last:]
+            if last:
+                yield convolve(rows.iloc[:last])
+        if waiting is not None:
+            yield convolve(waiting)
+
+    def convolve(rows: pd.DataFrame) -> pd.DataFrame:
+        place, value, core = (rows[c].to_numpy() for c in ("idx", "score", "core"))
+        smoothed = np.empty(len(rows))
+        bounds = np.append(_starts(rows, group), len(rows))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            at = place[lo:hi] - place[lo]
+            padded = np.zeros(at[-1] + 1 + 2 * half)
+            padded[at + half] = value[lo:hi]
+            smoothed[lo:hi] = np.correlate(padded, kernel, "valid")[at]
+        return rows.assign(score=smoothed)[core][[*keys, "idx", "score"]]
+
+    ordered = spread.repartition(*group).sortWithinPartitions(*group, "idx")
+    return ordered.mapInPandas(smooth, plain.schema)
+
+
+def _starts(rows: pd.DataFrame, group: Sequence[str]) -> np.ndarray:
+    """Positions where a new group begins in rows sorted by group."""
+    fresh = np.zeros(len(rows), dtype=bool)
+    fresh[:1] = True
+    for c in group:
+        column = rows[c].to_numpy()
+        fresh[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(fresh)
 
 
 def minmax(df: DataFrame, mode: str = "keep", keys: Sequence[str] = KEY, size: int = BLOCK_ROWS) -> DataFrame:
@@ -205,16 +234,12 @@ def series_mean(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
 
 def topk_mean(df: DataFrame, k: int, keys: Sequence[str] = KEY) -> DataFrame:
     """Mean of the k largest scores of each series, k clamped to the series length."""
-    ranked = Window.partitionBy(*keys).orderBy(F.desc("score"), "idx")
-    top = df.withColumn("_rn", F.row_number().over(ranked)).filter(F.col("_rn") <= max(1, k))
-    return top.groupBy(*keys).agg(F.avg("score").alias("topk_mean"))
+    return top_rows(df, keys, max(1, k)).groupBy(*keys).agg(F.avg("score").alias("topk_mean"))
 
 
 def topk_span(df: DataFrame, budget: int, keys: Sequence[str] = KEY) -> DataFrame:
     """One pseudo-segment from the first to the last of the ``budget`` best positions (inclusive)."""
-    ranked = Window.partitionBy(*keys).orderBy(F.desc("score"), "idx")
-    top = df.withColumn("_rn", F.row_number().over(ranked)).filter(F.col("_rn") <= budget)
-    return top.groupBy(*keys).agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"))
+    return top_rows(df, keys, budget).groupBy(*keys).agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"))
 
 
 def series_summary(df: DataFrame, tau: float, keys: Sequence[str] = KEY) -> DataFrame:

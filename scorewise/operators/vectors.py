@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from scorewise.functions import arrays
 
-from .blocks import BLOCK_ROWS, KEY, with_block, with_totals
+from .blocks import BLOCK_ROWS, KEY, top_rows, with_block, with_totals
 
 
 def _mean_vector(vec: Column | str) -> Column:
@@ -100,25 +100,24 @@ def reconstruction_error(df: DataFrame, target: str, recon: str, second: str | N
 
 def mil_gate_score(df: DataFrame, k: int = 3, keys: Sequence[str] = KEY) -> DataFrame:
     """Mean score of the k rows with the largest ``magnitude``; all rows when there are fewer."""
-    largest = Window.partitionBy(*keys).orderBy(F.desc("magnitude"), "idx")
-    top = df.withColumn("_rn", F.row_number().over(largest)).filter(F.col("_rn") <= k)
-    return top.groupBy(*keys).agg(F.avg("score").alias("gate_score"))
+    return top_rows(df, keys, k, "magnitude").groupBy(*keys).agg(F.avg("score").alias("gate_score"))
 
 
 # --- retrieval -------------------------------------------------------------------------------------------------
 
 def topk_similar(
-    queries: DataFrame, index: DataFrame, k: int = 3, group: str | None = None, block: int = 2048, parts: int = 16
+    queries: DataFrame, index: DataFrame, k: int = 3, group: str | None = None, block: int = 2048, parts: int | None = None
 ) -> DataFrame:
     """Exact cosine top-k: ``(query_id, rank, index_id, sim)``, rank from 1, ties by index id.
 
     ``queries`` has ``query_id, vec``, ``index`` has ``index_id, vec``, both with unit vectors (and ``group``, e.g. an
-    encoder, when given: only equal groups meet). The index is dealt into ``parts`` by id; each side is packed into
+    encoder, when given: only equal groups meet). The index is dealt into ``parts`` by id (twice the shuffle partitions by default); each side is packed into
     blocks of at most ``block`` vectors, query blocks are sent to every part, and a task multiplies two blocks at a
     time and keeps k rows per query. No pair of vectors becomes a row and no side is broadcast or collected.
     A zero query has no direction: it gets the first k of the index with a null similarity.
     """
     by = [group] if group else []
+    parts = parts or 2 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed_q = _pack(queries.select(*by, F.col("query_id").alias("id"), "vec"), by, block, "q")
     packed_i = _pack(
         index.select(*by, F.col("index_id").alias("id"), "vec", F.pmod(F.xxhash64("index_id"), F.lit(parts)).alias("part")),

@@ -223,3 +223,13 @@ def test_adaptive_matches_loop(spark):
         want += [(sid, round(t, 3), no, i) for no, i in chosen]
     got = rows(P.adaptive_segments(frame(spark, data), 0.9), "series_id", "threshold", "seg_no", "idx")
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("hot_rows", [5, 10_000])
+def test_top_rows_beyond_the_pushed_limit(spark, hot_rows, monkeypatch):
+    monkeypatch.setattr(B, "GROUP_LIMIT", 4)
+    data = make(13)
+    want = sorted((sid, i, n + 1) for sid, x in data.items()
+                  for n, i in enumerate(sorted(range(len(x)), key=lambda i: (-x[i], i))[:20]))
+    got = B.top_rows(frame(spark, data), B.KEY, 20, hot_rows=hot_rows)
+    assert rows(got, "series_id", "idx", "_rn") == want

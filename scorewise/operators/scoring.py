@@ -14,7 +14,7 @@ Model = Callable[[pd.DataFrame], pd.DataFrame]
 def score_batches(df: DataFrame, load: Callable[[], Model], out_schema: str, batch: int = 64) -> DataFrame:
     """Append the columns of ``out_schema`` computed by ``load()(rows)`` on batches of at most ``batch`` rows.
 
-    A failing batch is retried row by row. A row that still fails is kept: its text columns say
+    A failing batch is halved until the bad rows stand alone. Such a row is kept: its text columns say
     ``ERROR: <reason>`` and its other columns are null.
     """
     out = T.StructType.fromDDL(out_schema)
@@ -31,24 +31,22 @@ def score_batches(df: DataFrame, load: Callable[[], Model], out_schema: str, bat
             raise ValueError(f"model returned {len(result)} rows for {len(rows)}")
         return result[names].set_axis(rows.index, axis=0)
 
+    def settle(model: Model, rows: pd.DataFrame) -> pd.DataFrame:
+        """Halve a failing batch until the rows that cannot be scored stand alone."""
+        try:
+            return attempt(model, rows)
+        except Exception as reason:  # noqa: BLE001 - one bad row must not lose its batch
+            if len(rows) == 1:
+                return failed(rows.index, reason)
+            half = len(rows) // 2
+            return pd.concat([settle(model, rows.iloc[:half]), settle(model, rows.iloc[half:])])
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
         for rows in batches:
             for at in range(0, len(rows), batch):
+                model = model or load()
                 part = rows.iloc[at:at + batch]
-                if model is None:
-                    model = load()
-                try:
-                    scored = attempt(model, part)
-                except Exception:  # noqa: BLE001 - one bad row must not lose its batch
-                    singles = []
-                    for i in range(len(part)):
-                        one = part.iloc[i:i + 1]
-                        try:
-                            singles.append(attempt(model, one))
-                        except Exception as reason:  # noqa: BLE001
-                            singles.append(failed(one.index, reason))
-                    scored = pd.concat(singles)
-                yield pd.concat([part, scored], axis=1)
+                yield pd.concat([part, settle(model, part)], axis=1)
 
     return df.mapInPandas(score, T.StructType([*df.schema.fields, *out.fields]))

@@ -14,7 +14,7 @@ from scorewise.operators import sampling as P
 from scorewise.operators import series as S
 from scorewise.operators import vectors as V
 
-SIZES = (4, 7, B.BLOCK_ROWS)
+SIZES = (5, B.BLOCK_ROWS)
 
 
 def make(seed=0, n_series=12, nan=False):

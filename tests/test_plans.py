@@ -5,7 +5,6 @@ import pytest
 from scorewise.operators import sampling as P
 from scorewise.operators import series as S
 from scorewise.plans import fixtures as fx
-from scorewise.plans import load
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,17 +15,6 @@ def plan(df, run=False):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-def test_no_pairwise_joins(spark):
-    """No query, however its sides are sized, falls back to comparing all pairs."""
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        bad = [n for n, q in load()[0].items() if any(j in plan(q(spark, SF)) for j in ("CartesianProduct", "NestedLoop"))]
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert bad == []
-
-
 def test_runs_shuffle_their_rows_once(spark):
     text = plan(S.threshold_runs(fx.scores(spark, SF), 0.5), run=True)
     assert text.count("FileScan parquet") == 1 and "ReusedExchange" in text

@@ -30,6 +30,8 @@ def test_matches_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     cursor = duck.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert differences(df.columns, [tuple(r) for r in df.collect()], columns, cursor.fetchall()) == []
 
 

@@ -56,6 +56,7 @@ def explanation_json(text: Column) -> Column:
 
 
 def judge_prompt(human: Column, ai: Column) -> Column:
+    """Message to the judge, in the fixed form its rubric expects."""
     return F.concat(
         F.lit('HUMAN ground-truth explanation:\n"'), human,
         F.lit('"\n\nAI-generated explanation:\n"'), ai, F.lit('"'),

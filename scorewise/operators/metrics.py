@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .blocks import HOT_ROWS, KEY, prefix_by_quantile, top_rows
 
-K_GRID = (1, 3, 5, 8, 10, 15, 20, 30, 50)
+K_GRID = (1, 3, 5, 8, 10, 15, 20, 30, 50)  # fixed values: the searched k
+MAX_SWEPT = 10_000  # values of a swept parameter; their bounds are broadcast
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -53,8 +54,8 @@ def threshold_sweep(
     """Confusion rates at ``steps`` evenly spaced thresholds between the score bounds (or ``lo`` and ``hi``).
 
     Every row is binned once by the number of thresholds it passes and the counts are accumulated over the bins, so
-    the work is one aggregation whatever the number of thresholds. ``by`` names parameters such as a list of k: its
-    few bounds are broadcast.
+    the work is one aggregation whatever the number of thresholds. ``by`` names swept parameters such as k: their
+    bounds are broadcast, and the job fails when there are more than ``MAX_SWEPT`` values.
     """
     bounds = df.groupBy(*by).agg(F.min(score).alias("_min"), F.max(score).alias("_max"))
     bounds = bounds.select(
@@ -70,6 +71,9 @@ def threshold_sweep(
         return F.when((i == F.col("_count") - 1) & (i > 0), F.col("_hi")).otherwise(F.col("_lo") + i * F.col("_step"))
 
     if by:
+        few = bounds.agg(F.count("*") <= MAX_SWEPT).scalar()
+        limit = F.assert_true(F.col("_few"), F.lit(f"more than {MAX_SWEPT} swept values")).isNull()
+        bounds = bounds.withColumn("_few", few).filter(limit).drop("_few")
         rows = df.select(*by, label, score).join(F.broadcast(bounds), list(by))
     else:
         one = bounds.select(F.struct("_lo", "_hi", "_count", "_step").alias("b"))

@@ -145,6 +145,7 @@ def top3_frame_band(rows: DataFrame, delta: int = 2, **_) -> DataFrame:
     return dedup_frames(_band(top_rows(rows, KEY, 3), delta), "_rn")
 
 
+# fixed values: strategy names as they appear in manifests
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {
     "every_snippet_mid": every_snippet_mid,
     "every_snippet_first": every_snippet_first,

@@ -47,12 +47,21 @@ def gaussian_smooth(
 
     group = [*keys, "blk"]
 
+    def starts(rows: pd.DataFrame) -> np.ndarray:
+        """Positions where a new block begins in rows sorted by block."""
+        fresh = np.zeros(len(rows), dtype=bool)
+        fresh[:1] = True
+        for c in group:
+            column = rows[c].to_numpy()
+            fresh[1:] |= column[1:] != column[:-1]
+        return np.flatnonzero(fresh)
+
     def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Convolve each run of rows of one block; the block a batch ends in waits for the next batch."""
         waiting = None
         for batch in batches:
             rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
-            last = int(_starts(rows, group)[-1])
+            last = int(starts(rows)[-1])
             waiting = rows.iloc[last:]
             if last:
                 yield convolve(rows.iloc[:last])
@@ -62,7 +71,7 @@ def gaussian_smooth(
     def convolve(rows: pd.DataFrame) -> pd.DataFrame:
         place, value, core = (rows[c].to_numpy() for c in ("idx", "score", "core"))
         smoothed = np.empty(len(rows))
-        bounds = np.append(_starts(rows, group), len(rows))
+        bounds = np.append(starts(rows), len(rows))
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             at = place[lo:hi] - place[lo]
             padded = np.zeros(at[-1] + 1 + 2 * half)
@@ -74,16 +83,6 @@ def gaussian_smooth(
     return ordered.mapInPandas(smooth, plain.schema)
 
 
-def _starts(rows: pd.DataFrame, group: Sequence[str]) -> np.ndarray:
-    """Positions where a new group begins in rows sorted by group."""
-    fresh = np.zeros(len(rows), dtype=bool)
-    fresh[:1] = True
-    for c in group:
-        column = rows[c].to_numpy()
-        fresh[1:] |= column[1:] != column[:-1]
-    return np.flatnonzero(fresh)
-
-
 def minmax(df: DataFrame, mode: str = "keep", keys: Sequence[str] = KEY, size: int = BLOCK_ROWS) -> DataFrame:
     """Scale each series to [0, 1].
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,24 +41,22 @@ def read_series(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     series, read on the executors.
     """
     if fmt == "npy":
+
+        def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for name, content in zip(batch["series_id"], batch["content"]):
+                    values = np.load(io.BytesIO(content), allow_pickle=False).reshape(-1).astype("float64")
+                    yield pd.DataFrame({"series_id": name, "idx": np.arange(len(values)), "score": values})
+
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(path)
         named = files.select(ids.feature_id(F.col("path")).alias("series_id"), "content")
-        return named.mapInPandas(_arrays, "series_id string, idx long, score double")
+        return named.mapInPandas(arrays, "series_id string, idx long, score double")
     df = spark.read.format(fmt).load(path)
     if "scores" in df.columns:
         df = df.select("series_id", F.posexplode("scores").alias("idx", "score"))
     return df.select("series_id", F.col("idx").cast("long"), F.col("score").cast("double"))
 
 
-def _arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import numpy as np
-
-    for batch in batches:
-        for name, content in zip(batch["series_id"], batch["content"]):
-            values = np.load(io.BytesIO(content), allow_pickle=False).reshape(-1).astype("float64")
-            yield pd.DataFrame({"series_id": name, "idx": np.arange(len(values)), "score": values})
-
-
 # --- lists -----------------------------------------------------------------------------------------------------
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:

@@ -236,14 +236,16 @@ def pr_auc(
 
 def micro_macro_auc(df: DataFrame, keys: Sequence[str] = KEY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pooled area, and the mean of per-series areas after adding the anchors (0, label 0) and (1, label 1)."""
-    anchors = F.inline(F.array(
-        F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("label")), F.struct(F.lit(1.0).alias("score"), F.lit(1).alias("label"))
-    ))
-    rows = df.select(*keys, F.col("score").cast("double"), F.col("label").cast("int"))
-    anchored = rows.unionByName(df.select(*keys).distinct().select(*keys, anchors))
-    per_series = roc_auc(anchored, keys, hot_rows=hot_rows)
+    ladder = _ladder(df, keys, "label", "score", hot_rows)
+    pos, neg, score = F.col("pos"), F.col("neg"), F.col("score")
+    # pairs won inside the series, by the positive anchor, against the negative anchor, and by one over the other
+    wins = F.sum(pos * (F.col("neg_below") + neg / 2))
+    over = F.sum(F.when(score < 1, neg).when(score == 1, neg / 2).otherwise(0))
+    under = F.sum(F.when(score > 0, pos).when(score == 0, pos / 2).otherwise(0))
+    pairs = (F.sum(pos) + 1).cast("double") * (F.sum(neg) + 1)
+    per_series = ladder.groupBy(*keys).agg(((wins + over + under + 1) / pairs).alias("auc"))
     macro = per_series.agg(F.avg("auc").alias("macro_auc"), F.count("auc").alias("n_series"))
-    micro = roc_auc(rows, hot_rows=hot_rows).scalar()
+    micro = roc_auc(df, hot_rows=hot_rows).scalar()
     return macro.select(micro.alias("micro_auc"), "macro_auc", "n_series")
 
 

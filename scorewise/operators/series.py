@@ -114,7 +114,8 @@ def _runs(df: DataFrame, event: Column, keys: Sequence[str], size: int) -> DataF
 
     ``event`` is 1 (enter), 0 (leave) or null (keep the state). One summary row per block tells each block the
     state it starts in and the event that follows it, so the first and last row of every run are recognised inside
-    the block. The count of run starts in earlier blocks then numbers them, and both ends meet under their number.
+    the block. A last row then takes the latest first row, its own block's or an earlier one's, as its start, and the
+    count of first rows up to there as its number.
     """
     rows = with_block(df.select(*keys, F.col("idx").cast("long"), event.alias("ev")), size=size)
     rows = solid(rows, keys).repartition(*keys, "blk")  # one exchange of the rows, shared by everything below
@@ -143,16 +144,13 @@ def _runs(df: DataFrame, event: Column, keys: Sequence[str], size: int) -> DataF
         .filter("state = 1 and (before = 0 or after = 0)")
         .select(*keys, "blk", "idx", (1 - F.col("before")).alias("opens"), (1 - F.col("after")).alias("closes"))
     )
-    counted = with_prior(ends, keys, opened=("sum", F.col("opens")))
-    number = F.coalesce("opened", F.lit(0)) + F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return (
-        counted.withColumn("seg_no", number)
-        .groupBy(*keys, "seg_no")
-        .agg(
-            F.min(F.when(F.col("opens") == 1, F.col("idx"))).alias("start_idx"),
-            F.max(F.when(F.col("closes") == 1, F.col("idx"))).alias("end_idx"),
-        )
-    )
+    opening = F.when(F.col("opens") == 1, F.col("idx"))
+    placed = with_prior(ends, keys, opened=("sum", F.col("opens")), opened_at=("max", opening))
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    number = F.coalesce("opened", F.lit(0)) + F.sum("opens").over(so_far) - 1
+    start = F.coalesce(F.max(opening).over(so_far), "opened_at")
+    placed = placed.select(*keys, number.alias("seg_no"), start.alias("start_idx"), F.col("idx").alias("end_idx"), "closes")
+    return placed.filter("closes = 1").drop("closes")
 
 
 def threshold_runs(df: DataFrame, tau: float | Column, keys: Sequence[str] = KEY, size: int = BLOCK_ROWS) -> DataFrame:

@@ -121,12 +121,12 @@ def prefix_by_quantile(
     else:
         hot_rows_only, marked = source, df.withColumn("_hot", F.lit(True))
     cuts = quantile_cuts(hot_rows_only, by)
-    slot = F.when(F.col("_hot"), bucket_in("_cuts", by)).otherwise(0)
-    cut = marked.withColumn("_cuts", cuts).withColumn("blk", slot).drop("_cuts")
+    cut = with_bucket(marked, cuts, by)
+    if keys:
+        cut = cut.withColumn("blk", F.when(F.col("_hot"), F.col("blk")).otherwise(0))
 
     before = Window.partitionBy(*keys).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    partial = hot_rows_only.withColumn("_cuts", cuts).withColumn("blk", bucket_in("_cuts", by))
-    partial = partial.groupBy(*keys, "blk").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    partial = with_bucket(hot_rows_only, cuts, by).groupBy(*keys, "blk").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     prior = partial.select(*keys, "blk", *[F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums])
     here = within(keys, *order).rowsBetween(Window.unboundedPreceding, -1)
     values = [
@@ -152,13 +152,14 @@ def quantile_cuts(df: DataFrame, col: str, bits: int = 10) -> Column:
     return df.agg(F.expr(sketch).alias("cuts")).scalar()
 
 
-def bucket_in(cuts: str, col: str, bits: int = 10) -> Column:
-    """Number of cut points below the value, found in ``bits`` halving steps."""
-    halves = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
-    value = F.col(col).cast("double")
-    return F.aggregate(
-        halves, F.lit(0), lambda pos, half: pos + F.when(F.get(F.col(cuts), pos + half - 1) < value, half).otherwise(0)
-    )
+def with_bucket(df: DataFrame, cuts: Column, by: str, bits: int = 10, name: str = "blk") -> DataFrame:
+    """Number of cut points below the value, found in ``bits`` halving steps that stay in generated code."""
+    value = F.col(by).cast("double")
+    df = df.withColumn("_cuts", cuts).withColumn(name, F.lit(0))
+    for half in (1 << b for b in reversed(range(bits))):
+        further = F.get("_cuts", F.col(name) + (half - 1)) < value
+        df = df.withColumn(name, F.col(name) + F.when(further, half).otherwise(0))
+    return df.drop("_cuts")
 
 
 def top_rows(

@@ -1,23 +1,15 @@
-"""Tables written once to the folder that all executors share."""
+"""Tables written once to a folder that the driver and all executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset on a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="scorewise-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, the warehouse, which is shared as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

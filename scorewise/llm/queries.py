@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from scorewise.session import configure
 
-from . import decontaminate, exact, mixing
+from . import decontaminate, exact, html_text, language, mixing, near, quality, repeats, templates, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
+ARROW_ROWS = 2_000  # texts handed to Python at once
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,7 +22,8 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+            return fn(spark, sf_dir)
 
         QUERIES[name] = run
         if oracle:
@@ -35,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", tokens.revisions().alias("edits"))
+    return tokens.edited(tokens.built(docs), whole=False)
+
+
 @query("op2_mix_sources", """
 with sized as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size from documents
@@ -77,6 +85,74 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", size.alias("size"), "source_size", "target", (size * F.col("copies")).alias("taken"))
 
 
+@query("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = repeats.without_repeats(docs, with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_passages"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", language.held_out().alias("held_out"), "text")
+    return language.predicted(rows, language.fit(docs), keep=["doc_id", "held_out"])
+
+
+@query("op5_line_templates", """
+with lined as (
+  select doc_id, no, line from (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+      unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as no from documents)
+), cut as (
+  select doc_id, no, line,
+    list_transform(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as tokens
+  from lined
+), leafed as (
+  select *, concat_ws(' ', len(tokens), array_to_string(list_slice(tokens, 1, 4), ' ')) as leaf from cut where len(tokens) > 0
+), leaves as (
+  select leaf from leafed group by leaf having count(distinct coalesce(cast(doc_id as varchar), '')) >= 5
+), candidates as (
+  select * from leafed where leaf in (select leaf from leaves)
+), counted as (
+  select leaf, line, any_value(tokens) as tokens, count(distinct coalesce(cast(doc_id as varchar), '')) as docs
+  from candidates group by leaf, line
+), placed as (
+  select leaf, line, docs, unnest(tokens) as token, unnest(range(len(tokens))) as place from counted
+), support as (
+  select leaf, place, token from placed where token <> '<*>' group by leaf, place, token having sum(docs) >= 5
+), formed as (
+  select p.leaf, p.line, string_agg(coalesce(s.token, '<*>'), ' ' order by p.place) as template, count(s.token) as fixed, count(*) as size
+  from placed p left join support s on p.leaf = s.leaf and p.place = s.place and p.token = s.token group by p.leaf, p.line
+), constant as (
+  select * from formed where fixed >= 0.6 * size
+), templates as (
+  select c.leaf, f.template from candidates c join constant f on c.leaf = f.leaf and c.line = f.line
+  group by c.leaf, f.template having count(distinct coalesce(cast(c.doc_id as varchar), '')) >= 5
+), dropped as (
+  select distinct f.leaf, f.line from constant f join templates t on f.leaf = t.leaf and f.template = t.template
+), kept as (
+  select l.doc_id, l.no, l.line, d.line is not null as gone
+  from cut l left join dropped d
+    on d.line = l.line and d.leaf = concat_ws(' ', len(l.tokens), array_to_string(list_slice(l.tokens, 1, 4), ' '))
+)
+select doc_id, cast(case when count(*) = 1 and max(line) = '' then 0 else count(*) end as bigint) as n_lines,
+  cast(count(*) filter (where gone) as bigint) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by no) filter (where not gone), '')) as kept_sha256
+from kept group by doc_id
+""")
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = templates.without_recurring_lines(docs)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op6_html_text")
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extracted(pages, html_text.fit(pages), keep=["page_id", "url"])
+
+
 @query("op7_exact_dedup", """
 with normal as (
   select doc_id, length(coalesce(text, '')) as chars, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as bare
@@ -92,6 +168,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op8_near_dedup")
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = docs.select("doc_id", quality.held_out().alias("held_out"), "text")
+    return quality.scored(rows, quality.fit(docs, labels), keep=["doc_id", "held_out"])
+
+
 @query("op10_decontaminate")
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

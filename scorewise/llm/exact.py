@@ -52,7 +52,9 @@ def _first_parting(docs: DataFrame, text: str, keep: list[str], first: int) -> D
     own = {"_row": F.monotonically_increasing_id(), "_chars": F.coalesce(F.length(text), F.lit(0)),
            "_sha": F.sha2("_rest", 256)}
     carried = [*dict.fromkeys([*keep, text])]
-    rows = keyed.withColumns(own).select(*carried, *own, "_bytes", "_head").join(groups, ["_bytes", "_head"], "left")
+    # a merge join at every size: its large partitions can be split, and the groups are never sent to every task
+    keyed = keyed.withColumns(own).select(*carried, *own, "_bytes", "_head")
+    rows = keyed.join(groups.hint("merge"), ["_bytes", "_head"], "left")
     rest = F.when(F.col("_group").isNotNull(), F.expr("substring(_rest, 1 + octet_length(_head))"))
     return written(
         rows.withColumn("_rest", F.when(F.col("_group").isNotNull(), bytes_of)).withColumn("_rest", rest)

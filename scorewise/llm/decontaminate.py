@@ -10,7 +10,8 @@ The automaton is the one thing every task holds. Its size is bounded: items are
 after block, each pass adding to what the earlier ones found. Documents are never shuffled and never cut.
 
 Null and empty documents have no words and no hits; null items and items without words have no window. Items that occur
-twice with one id count once, equal texts under two ids count as two. Columns other than key and text are not read.
+twice with one id count once, equal texts under two ids count as two. Columns other than key and
+text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -167,11 +168,11 @@ def summary(found: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def _clean(items: list[tuple[str, str | None]], window: int):
+def _clean(items: list[tuple[str, str | None]], window: int, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, _ = automaton(items, window)
         for batch in batches:
-            yield batch.filter(pa.array([not hit_runs(t.as_py(), machine)[1] for t in batch.column("_scanned")], pa.bool_()))
+            yield batch.filter(pa.array([not hit_runs(t.as_py(), machine)[1] for t in batch.column(text)], pa.bool_()))
 
     return run
 
@@ -181,8 +182,8 @@ def uncontaminated(
     item_text: str = "text", block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """The documents, with all their columns, in which no window occurs. Nothing is shuffled."""
-    kept = docs.withColumn("_scanned", F.col(text))
+    kept = docs
     for number, block in enumerate(_blocks(benchmark, item, item_text, block_words)):
         kept = (written(kept, "clean") if number else kept)
-        kept = kept.mapInArrow(_clean(block, window), kept.schema)
-    return kept.drop("_scanned")
+        kept = kept.mapInArrow(_clean(block, window, text), docs.schema)
+    return kept

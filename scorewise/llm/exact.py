@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 
 from scorewise.sources.shared import written
 
+from .schemas import unpacked, whole_row
+
 SPACES = r"[\x20\x09-\x0D]+"
 FIRST = 32
 GROWTH = 32
 
 
-def packed(text: str = "text") -> Column:
+def packed(text: Column) -> Column:
     """The text without white space, null as empty."""
-    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, "")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, "")
 
 
 def _head(n: int) -> Column:
@@ -43,22 +45,23 @@ def _numbered_groups(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return written(groups.withColumn("_group", F.monotonically_increasing_id()), name)
 
 
-def _first_parting(docs: DataFrame, text: str, keep: list[str], first: int) -> DataFrame:
-    """Rows with a number of their own and that of their first group (null: unique), and what follows the first bytes."""
-    bytes_of = packed(text).cast("binary")
-    keyed = docs.withColumn("_rest", bytes_of)
+def _first_parting(docs: DataFrame, key: str, text: str, whole: bool, first: int) -> DataFrame:
+    """Rows with a number of their own and that of their first group (null: unique), and what follows the first bytes.
+    ``whole``: with the whole document, as ``row``."""
+    value = F.col("row")[text]
+    bytes_of = packed(value).cast("binary")
+    keyed = docs.select(whole_row(docs, docs.columns if whole else [*dict.fromkeys([key, text])])).withColumn("_rest", bytes_of)
     keyed = keyed.withColumns({"_bytes": F.octet_length("_rest"), "_head": _head(first)})
     groups = _numbered_groups(keyed.select("_bytes", "_head"), ["_bytes", "_head"], "exact-first")
-    own = {"_row": F.monotonically_increasing_id(), "_chars": F.coalesce(F.length(text), F.lit(0)),
+    own = {"_row": F.monotonically_increasing_id(), "_id": F.col("row")[key], "_chars": F.coalesce(F.length(value), F.lit(0)),
            "_sha": F.sha2("_rest", 256)}
-    carried = [*dict.fromkeys([*keep, text])]
     # a merge join at every size: its large partitions can be split, and the groups are never sent to every task
-    keyed = keyed.withColumns(own).select(*carried, *own, "_bytes", "_head")
+    keyed = keyed.withColumns(own).select("row", *own, "_bytes", "_head")
     rows = keyed.join(groups.hint("merge"), ["_bytes", "_head"], "left")
     rest = F.when(F.col("_group").isNotNull(), F.expr("substring(_rest, 1 + octet_length(_head))"))
     return written(
         rows.withColumn("_rest", F.when(F.col("_group").isNotNull(), bytes_of)).withColumn("_rest", rest)
-        .select(*keep, *own, "_group", "_rest"), "exact-rows",
+        .select(*["row"] * whole, *own, "_group", "_rest"), "exact-rows",
     )
 
 
@@ -80,10 +83,10 @@ def _equal_rows(rows: DataFrame, size: int, growth: int) -> DataFrame:
 
 
 def _decided(
-    docs: DataFrame, key: str, text: str, keep: list[str], first: int, growth: int
+    docs: DataFrame, key: str, text: str, whole: bool, first: int, growth: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The numbered rows; for every row that has an equal one its class; and per class the row that stays."""
-    rows = _first_parting(docs.withColumn("_id", F.col(key)), text, [*keep, "_id"], first)
+    rows = _first_parting(docs, key, text, whole, first)
     classes = written(_equal_rows(rows, first * growth, growth), "exact-classes")
     order = F.struct(-F.col("_chars"), F.col("_id").isNull(), F.col("_id"), F.col("_row"))
     best = classes.groupBy("_class").agg(F.min(order.alias("o")).alias("o"), F.count("*").alias("_size"))
@@ -95,7 +98,7 @@ def duplicate_groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", first: int = FIRST, growth: int = GROWTH
 ) -> DataFrame:
     """One row per document: key, keep_id, group_size, kept and the SHA-256 of the text without white space."""
-    rows, classes, best = _decided(docs.select(key, text), key, text, [], first, growth)
+    rows, classes, best = _decided(docs, key, text, False, first, growth)
     alone = rows.filter(F.col("_group").isNull()).select("_row", "_id", "_sha")
     grouped = rows.filter(F.col("_group").isNotNull()).select("_row", "_id", "_sha")
     found = classes.select("_row", "_class").join(best, "_class").drop("_class")
@@ -117,7 +120,8 @@ def without_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", first: int = FIRST, growth: int = GROWTH
 ) -> DataFrame:
     """The documents that stay, with all their columns. Unique documents are not moved again after the first join."""
-    rows, classes, best = _decided(docs, key, text, docs.columns, first, growth)
+    rows, classes, best = _decided(docs, key, text, True, first, growth)
     lost = classes.join(best, "_class").filter("_row <> _winner").select("_row")
     alone, grouped = rows.filter(F.col("_group").isNull()), rows.filter(F.col("_group").isNotNull())
-    return alone.select(*docs.columns).unionByName(grouped.join(lost, "_row", "left_anti").select(*docs.columns))
+    kept = alone.select("row").unionByName(grouped.join(lost, "_row", "left_anti").select("row"))
+    return kept.select(*unpacked(docs.columns))

@@ -12,7 +12,7 @@ is no labelled page. The fit reads about ``train_pages`` pages picked by a hash
 each (documented bounds of the sample); extraction reads every page whole.
 
 Null and empty pages give an empty text. Pages cut off in the middle are read as far as they go. Rows are independent, so
-repeated and null ids do no harm; columns other than the named ones are passed on untouched.
+repeated and null ids do no harm; other columns pass through, one named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -242,6 +242,5 @@ def extracted(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """The pages (or their columns ``keep``) with the main text and its number of characters; nothing is shuffled."""
-    fields = pages.columns if keep is None else keep
-    schema = extended(pages, fields, f"{names[0]} string, {names[1]} long")
+    fields, schema = extended(pages, pages.columns if keep is None else keep, f"{names[0]} string, {names[1]} long")
     return pages.mapInArrow(_extract(field, html, fields, list(names)), schema)

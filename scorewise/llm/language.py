@@ -12,7 +12,7 @@ chosen set, ties to the first name; the score is that share.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing was learned. Null labels and
 rows whose id is null are not learned from; their rows are predicted like all others. Languages are exactly the label
-values seen. Only id, text and label are read, whatever other columns there are.
+values seen. Only id, text and label are read; other columns pass through, and one named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -182,15 +182,19 @@ def shares_of(column: pa.Array, model: Model, penalty: float = PENALTY) -> np.nd
     return out
 
 
+def told_shares(column: pa.Array, model: Model, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the languages per text, and whether the text has a letter and a language was told."""
+    shares = shares_of(column, model, penalty)
+    lettered = np.array([bool(x) and _LETTER.search(x) is not None for x in column.to_pylist()], bool)
+    return shares, lettered & (shares.sum(axis=1) > 0) if shares.size else np.zeros(len(column), bool)
+
+
 def _predict(model: Model, penalty: float, text: str, fields: list[str], named: list[str]):
     names = np.array([*model.languages, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(text)
-            shares = shares_of(column, model, penalty)
-            lettered = np.array([bool(x) and _LETTER.search(x) is not None for x in column.to_pylist()], bool)
-            told = lettered & (shares.sum(axis=1) > 0) if shares.size else np.zeros(len(column), bool)
+            shares, told = told_shares(batch.column(text), model, penalty)
             best = np.where(told, shares.argmax(axis=1) if shares.size else 0, len(names) - 1)
             score = np.where(told, shares.max(axis=1) if shares.size else 0.0, 0.0)
             mixture = [
@@ -212,13 +216,21 @@ def predicted(
 ) -> DataFrame:
     """The documents (or their columns ``keep``) with the predicted language, its share and all languages found, under
     ``names``; nothing is shuffled."""
-    fields = docs.columns if keep is None else keep
-    schema = extended(docs, fields, f"{names[0]} string, {names[1]} double, {names[2]} array<struct<lang:string,share:double>>")
+    added = f"{names[0]} string, {names[1]} double, {names[2]} array<struct<lang:string,share:double>>"
+    fields, schema = extended(docs, docs.columns if keep is None else keep, added)
     return docs.mapInArrow(_predict(model, penalty, text, fields, list(names)), schema)
 
 
+def _recognise(model: Model, penalty: float, text: str, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shares, told = told_shares(batch.column(text), model, penalty)
+            best = shares.max(axis=1) if shares.size else np.zeros(len(told))
+            yield batch.filter(pa.array(told & (best >= least)))
+
+    return run
+
+
 def recognised(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5, penalty: float = PENALTY) -> DataFrame:
-    """The documents, with their own columns, that have a language with at least ``least`` of their words."""
-    names = ("_lang_pred", "_score", "_languages")
-    kept = predicted(docs, model, text, penalty, names).filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least))
-    return kept.select(*docs.columns)
+    """The documents, with exactly their own columns, that have a language with at least ``least`` of their words."""
+    return docs.mapInArrow(_recognise(model, penalty, text, least), docs.schema)

@@ -8,8 +8,8 @@ below the fraction of the rate.
 
 Null texts have no words. Null and empty sources are two ordinary sources; null sorts last. A source without words has
 target 0 and its documents are not emitted. Rows with the same id share one hashed number, so repeated rows get the same
-number of copies; an id that is null is hashed as the empty string. Extra columns pass through ``mixed`` untouched
-unless they are named like one of its own outputs, in which case ``mixed`` raises an error.
+number of copies; an id that is null is hashed as the empty string. Other columns pass through, and one named like an
+output is replaced by it.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .schemas import passing, unpacked, whole_row
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
-OUTPUTS = ("size", "source_size", "target", "rate", "copies")
+OUTPUTS = ("source_size", "target", "rate", "copies")
 
 
 def n_words(text: str = "text") -> Column:
@@ -70,28 +72,29 @@ def hashed_unit(key: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def with_copies(
+def _counted(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_RATE, seed: int = 0, key: str = "doc_id",
     source: str = "source", text: str = "text",
 ) -> DataFrame:
-    """Every document with its source's size, target and rate, and how many copies of it the mix holds.
+    """``row`` (the document) with its source's size, target and rate, and how many copies of it the mix holds.
 
     The table of sources has one row each; whether it is broadcast is left to the planner's size check, and beyond that
     the sort-merge join splits a source that holds much of the corpus.
     """
-    if clash := [c for c in docs.columns if c in OUTPUTS]:
-        raise ValueError(f"columns named like outputs of the mix: {clash}")
-    targets = source_targets(docs, weights, max_rate, source, text).drop("weight").withColumnRenamed("source", "_source")
-    joined = docs.join(targets, docs[source].eqNullSafe(targets["_source"]), "left").drop("_source")
-    whole = F.floor("rate")
-    extra = (hashed_unit(key, seed) < F.col("rate") - whole).cast("long")
-    return joined.withColumn("copies", (whole + extra).cast("long"))
+    targets = source_targets(docs, weights, max_rate, source, text).select(F.col("source").alias("of"), *OUTPUTS[:-1])
+    rows = docs.select(whole_row(docs), F.col(source).alias("source"), hashed_unit(key, seed).alias("coin"))
+    joined = rows.join(targets, rows["source"].eqNullSafe(targets["of"]), "left")
+    copies = F.floor("rate") + (F.col("coin") < F.col("rate") - F.floor("rate")).cast("long")
+    return joined.withColumn("copies", copies.cast("long"))
+
+
+def with_copies(docs: DataFrame, **options) -> DataFrame:
+    """Every document with its source's size, target and rate, and how many copies of it the mix holds."""
+    return _counted(docs, **options).select(*unpacked(passing(docs.columns, OUTPUTS)), *OUTPUTS)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document once per copy, numbered by ``copy`` from 1."""
-    if "copy" in docs.columns:
-        raise ValueError("columns named like outputs of the mix: ['copy']")
-    counted = with_copies(docs, **options).filter("copies > 0")
+    counted = _counted(docs, **options).filter("copies > 0")
     numbered = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return numbered.select(*docs.columns, "copy")
+    return numbered.select(*unpacked(passing(docs.columns, ["copy"])), "copy")

@@ -11,7 +11,8 @@ network is trained in the driver on that bounded sample, with fixed seeds, so re
 
 Scoring covers whole texts of any length. Null and empty texts are one passage without words and get a score too. Label
 rows with a null id or a label other than 0 and 1 are not used; an id labelled twice counts twice. Without usable labels
-of both classes every score is the share of label 1, or 0.5 without any. Only ids, texts and labels are read.
+of both classes every score is the share of label 1, or 0.5 without any. Only ids, texts and labels are read; a
+column named like an output is replaced by it.
 """
 
 from __future__ import annotations
@@ -196,6 +197,5 @@ def scored(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """The documents (or their columns ``keep``) with score and predicted label under ``names``; nothing is shuffled."""
-    fields = docs.columns if keep is None else keep
-    schema = extended(docs, fields, f"{names[0]} double, {names[1]} int")
+    fields, schema = extended(docs, docs.columns if keep is None else keep, f"{names[0]} double, {names[1]} int")
     return docs.mapInArrow(_score(model, text, fields, list(names)), schema)

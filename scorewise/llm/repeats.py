@@ -15,7 +15,8 @@ All suffixes of a corpus do not fit anywhere, and most share nothing deep. So th
    themselves: they are counted by a 128-bit name of all their words, with partial counts, and no task holds a group.
 
 Windows are judged on the input. Texts are known by (64-bit hash, length in bytes), not by id, so repeated or null ids do
-no harm, and equal texts are each other's repeats. Null counts as empty; texts shorter than a window lose nothing.
+no harm, and equal texts are each other's repeats. Null counts as empty; texts shorter than a window lose nothing. Other
+columns pass through, and one named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorewise.sources.shared import written
 
-from .schemas import extended
+from .schemas import extended, unpacked, whole_row
 from .words import mix, owner, shingle_hashes, slices, spans, word_hashes
 
 WINDOW = 35
@@ -274,15 +276,17 @@ def without_repeats(
     joined by spaces, the removed passages as word numbers (end exclusive), and with ``with_text`` the kept text."""
     if not prefix < window <= prefix + 62:
         raise ValueError("the prefix must be shorter than the window, by 62 words at most")
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    final_schema = extended(
-        docs, keep, "n_words long, n_removed long, kept_sha256 string, spans array<struct<first:long,last:long>>, kept_text string"
-    )
-    settled_schema = extended(
-        docs, keep, "_hash long, _len int, listed array<int>, n_words long, kept_sha256 string, _text string"
+    keep, final_schema = extended(
+        docs, [c for c in docs.columns if c != text] if keep is None else keep, "n_words long, n_removed long, kept_sha256 string, spans array<struct<first:long,last:long>>, kept_text string"
     )
+    # the columns that pass are one struct inside, so that none clashes with a name used here
+    row = T.StructType([T.StructField("row", T.StructType([docs.schema[c] for c in keep] or [T.StructField("_", T.StringType())]))])
+    settled_schema = T.StructType([
+        *row.fields, *T.StructType.fromDDL("_hash long, _len int, listed array<int>, n_words long, kept_sha256 string, _text string").fields
+    ])
+    final_schema = T.StructType([*row.fields, *final_schema.fields[len(keep):]])
     known = docs.select(
-        *keep, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"),
+        whole_row(docs, keep) if keep else F.struct(F.lit("").alias("_")).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"),
         F.coalesce(F.octet_length(text), F.lit(0)).alias("_len"),
     )
     text_key = ["_hash", "_len"]
@@ -295,7 +299,7 @@ def without_repeats(
     )
     per_text = marked.groupBy(*text_key).agg(F.collect_set("listed").alias("listed"))
 
-    settled = written(known.join(per_text, text_key, "left").mapInArrow(_settle(keep, with_text), settled_schema), "repeats-texts")
+    settled = written(known.join(per_text, text_key, "left").mapInArrow(_settle(["row"], with_text), settled_schema), "repeats-texts")
     done, open_texts = settled.filter("listed is null"), settled.filter("listed is not null")
 
     pieces = open_texts.select("listed", "_text", *text_key).mapInArrow(
@@ -311,12 +315,12 @@ def without_repeats(
     single = whole.join(names, ["one", "two"]).select(*text_key, "low", F.lit(1).cast("long").alias("mask"))
     found = masks.unionByName(single).groupBy(*text_key).agg(F.collect_set(F.struct("low", "mask")).alias("masks"))
 
-    cleaned = open_texts.select(*keep, "_text", *text_key).join(found, text_key, "left").mapInArrow(
-        _finish(keep, with_text, window), final_schema
+    cleaned = open_texts.select("row", "_text", *text_key).join(found, text_key, "left").mapInArrow(
+        _finish(["row"], with_text, window), final_schema
     )
     untouched = done.select(
-        *keep, "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256",
+        "row", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256",
         F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)").alias("spans"), F.col("_text").alias("kept_text"),
     )
-    out = untouched.unionByName(cleaned)
-    return out if with_text else out.drop("kept_text")
+    outputs = [f.name for f in final_schema.fields[1:] if with_text or f.name != "kept_text"]
+    return untouched.unionByName(cleaned).select(*unpacked(keep), *outputs)

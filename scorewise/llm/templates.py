@@ -12,7 +12,7 @@ by sort-merge, so none is gathered in one task.
 
 Lines end at a line feed. Lines without tokens are kept and never parsed. Null counts as empty, an empty text has no line.
 Documents are told apart by id in the counts (all null ids count as one); what is dropped from a text depends on
-the text only, so repeated rows are treated alike.
+the text only, so repeated rows are treated alike. Other columns pass through, one named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from scorewise.sources.shared import written
 
+from .schemas import passing, whole_row
+
 LEADING = 4
 MIN_DOCS = 5
 CONSTANT = 0.6
@@ -85,16 +87,15 @@ def without_recurring_lines(
     constant: float = CONSTANT, names: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
     """The documents with all their columns, the text without its recurring lines, the lines it had and those dropped."""
-    if clash := {*names, "_hash", "_len", "_lost", "_all"} & set(docs.columns):
-        raise ValueError(f"columns named like outputs: {sorted(clash)}")
     lost, _ = recurring_lines(docs, key, text, leading, min_docs, constant)
     whole = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumns({"_hash": F.xxhash64(whole), "_len": F.octet_length(whole)})
-    joined = keyed.join(lost, ["_hash", "_len"], "left")
-    split = joined.withColumn("_all", F.when(whole != "", _lines(text)).otherwise(F.array().cast("array<string>")))
+    keyed = docs.select(whole_row(docs), F.xxhash64(whole).alias("_hash"), F.octet_length(whole).alias("_len"))
+    joined = keyed.join(lost, ["_hash", "_len"], "left").withColumn("_text", F.col("row")[text])
+    some = F.coalesce("_text", F.lit("")) != ""
+    split = joined.withColumn("_all", F.when(some, _lines("_text")).otherwise(F.array().cast("array<string>")))
     kept = F.filter("_all", lambda line, no: ~F.array_contains("_lost", no))
-    out = F.when(F.col("_lost").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    columns = [out.alias(c) if c == text else F.col(c) for c in docs.columns]
+    out = F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    columns = [out.alias(c) if c == text else F.col("row")[c].alias(c) for c in passing(docs.columns, names)]
     return split.select(
         *columns, F.size("_all").cast("long").alias(names[0]),
         F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias(names[1]),

@@ -10,7 +10,7 @@ the sums above their leaves change. The result equals encoding the edited text f
 
 Edits are applied in the order of the array; each speaks of the text as the earlier ones left it, in code points. Starts
 and sizes beyond the text are moved to its end, negative and null ones count as 0, a null replacement as empty. Null
-texts count as empty, without tokens. Rows are independent of each other.
+texts count as empty, without tokens. Rows are independent of each other; columns named like an output are replaced.
 
 The vocabulary is a public byte-level BPE file read by path; it is a parameter, and nothing is trained.
 """
@@ -214,8 +214,8 @@ def _build(vocabulary: str, text: str, fields: list[str]):
 
 def built(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """The documents with the leaves of their trees: characters and tokens of every pre-token. This is the state to keep."""
-    schema = extended(docs, docs.columns, "piece_chars array<int>, piece_tokens array<int>")
-    return docs.mapInArrow(_build(vocabulary, text, docs.columns), schema)
+    fields, schema = extended(docs, docs.columns, "piece_chars array<int>, piece_tokens array<int>")
+    return docs.mapInArrow(_build(vocabulary, text, fields), schema)
 
 
 def _apply(vocabulary: str, text: str, edits: str, fields: list[str], whole: bool):
@@ -260,7 +260,7 @@ def edited(
     added = ", ".join(f"{name} long" for name in own)
     if whole:
         added += f", `{text}` string, piece_chars array<int>, piece_tokens array<int>"
-    schema = extended(state, fields, added)
+    fields, schema = extended(state, fields, added)
     return state.mapInArrow(_apply(vocabulary, text, edits, fields, whole), schema)
 
 

@@ -49,7 +49,7 @@ OUTSIDE = frozenset("nav footer aside form button select textarea label dialog m
 NAMES = (
     "bias", "marked", "marked_page", "hidden", *(f"in_{t}" for t in TAGS), "in_outside", *PARTS, "heading", "link_share",
     "mostly_links", "log_words", "few_words", "many_words", "sentence_end", "commas", "digits", "capitals", "copyright",
-    "like_title", "first", "last", "before_heading", "words_before", "words_after",
+    "like_title", "before_heading", "words_before", "words_after",
 )
 _AT = {name: i for i, name in enumerate(NAMES)}
 PRIOR = {
@@ -113,8 +113,6 @@ def features(blocks: list[Block], title: str) -> np.ndarray:
         put("capitals", sum(c.isupper() for c in block.text[:200]) / max(letters, 1))
         put("copyright", "©" in block.text or "all rights reserved" in block.text.lower())
         put("like_title", bool(title) and (block.text.startswith(title) or title.startswith(block.text) and n >= 3))
-        put("first", i == 0)
-        put("last", i == len(blocks) - 1)
         put("before_heading", i + 1 < len(blocks) and "h1" in blocks[i + 1].tags)
         put("words_before", np.log1p(sizes[i - 1]) / 3 if i else 0.0)
         put("words_after", np.log1p(sizes[i + 1]) / 3 if i + 1 < len(blocks) else 0.0)
@@ -206,7 +204,7 @@ def labelled(htmls: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def fit(
     pages: DataFrame, key: str = "page_id", html: str = "html", train_pages: int = TRAIN_PAGES,
-    train_bytes: int = TRAIN_BYTES, epochs: int = 6, step: float = 0.05, pull: float = 1e-3, seed: int = 5,
+    train_bytes: int = TRAIN_BYTES, epochs: int = 6, step: float = 0.05, pull: float = 1e-2, seed: int = 5,
 ) -> Field:
     named = pages.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html"))
     count = named.count()

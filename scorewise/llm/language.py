@@ -100,7 +100,7 @@ class Model:
         self.languages = sorted(counts["lang"].unique())
         table = np.full((BUCKETS, len(self.languages)), smoothing)
         place = {name: i for i, name in enumerate(self.languages)}
-        table[counts["bucket"].to_numpy(), counts["lang"].map(place).to_numpy(dtype=int)] += counts["n"].to_numpy()
+        table[counts["bucket"].to_numpy(dtype=int), counts["lang"].map(place).to_numpy(dtype=int)] += counts["n"].to_numpy()
         self.table = np.log(table / table.sum(axis=0)).astype(np.float32)
 
 

@@ -38,7 +38,7 @@ from .words import mix, owner, shingle_hashes, slices, spans, word_hashes
 
 WINDOW = 35
 PREFIX = 8
-GROUP_ROWS = 2_000
+GROUP_ROWS = 20_000  # about 6 MB of words
 FLUSH_ROWS = 20_000
 
 

@@ -24,7 +24,7 @@ from scorewise.operators import metrics as M  # noqa: E402
 from scorewise.operators import sampling as P  # noqa: E402
 from scorewise.operators import series as S  # noqa: E402
 from scorewise.operators import vectors as V  # noqa: E402
-from scorewise.operators.blocks import number_by_quantile  # noqa: E402
+from scorewise.operators.blocks import number_by_range  # noqa: E402
 from scorewise.plans import fixtures as fx  # noqa: E402
 from scorewise.plans import judged_queries as jq  # noqa: E402
 from scorewise.session import configure  # noqa: E402
@@ -65,7 +65,7 @@ def main() -> None:
     pairs = written(jq.pairs(spark, sf), "pairs")
 
     cases = {
-        "number_series": lambda: number_by_quantile(items, ["l_suppkey"], order, "l_orderkey"),
+        "number_series": lambda: number_by_range(items, ["l_suppkey"], order),
         "threshold_runs": lambda: S.threshold_runs(scores, 0.5),
         "hysteresis_segments": lambda: S.hysteresis_segments(scores, 0.5, 0.3, 3),
         "segment_summary": lambda: S.segment_summary(scores, segments, "exclusive"),

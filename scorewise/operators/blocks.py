@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 16
-HOT_ROWS = 1 << 22
+HOT_ROWS = 1 << 20  # rows per range where whole keys are put in order
 GROUP_LIMIT = 1000  # Spark's default windowGroupLimitThreshold
 KEY = ("series_id",)
 
@@ -101,85 +101,92 @@ def number_rows(
     return shifted.withColumn(name, number.cast("long")).drop("blk", "_before")
 
 
-def prefix_by_quantile(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], by: str, hot_rows: int = HOT_ROWS,
-    raw: DataFrame | None = None, **sums: Column,
+def prefix_by_range(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None, totals: Sequence[str] = (), **sums: Column,
 ) -> DataFrame:
-    """Attach sums over the rows strictly earlier in ``order``, for keys of any size.
+    """Attach sums over the rows strictly earlier in ``order`` (ascending, nulls first), for keys of any size.
 
-    Only keys above ``hot_rows`` are cut, along quantiles of ``by``, a numeric column that leads the order. There are
-    at most (all rows / hot_rows) hot keys, which bounds the broadcast side and the number of bucket summaries.
-    Without ``keys`` all rows are cut. When ``df`` is itself a sum of ``raw`` per (keys, order), sizes, quantiles and
-    bucket sums are taken from ``raw`` by scans with map-side sums, so ``df`` is shuffled once only.
+    All rows are cut by ranges of (keys, order) together, about ``hot_rows`` rows in each: a key with many rows gets
+    many ranges, and rows that tie in the first columns of the order are told apart by the others. A range that ends
+    inside a key costs that key one more block and nothing else. ``totals`` names sums to attach for the whole key too,
+    as ``all_<name>``. ``source`` may be a cheaper plan with the same keys, order and row count to take the cuts from.
     """
-    source = df if raw is None else raw
-    if keys:
-        sizes = source.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
-        hot = F.broadcast(sizes.select(*keys, F.lit(True).alias("_hot")))
-        hot_rows_only = source.join(hot, list(keys))
-        marked = df.join(hot, list(keys), "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-    else:
-        hot_rows_only, marked = source, df.withColumn("_hot", F.lit(True))
-    cuts = quantile_cuts(hot_rows_only, by)
-    cut = with_bucket(marked, cuts, by)
-    if keys:
-        cut = cut.withColumn("blk", F.when(F.col("_hot"), F.col("blk")).otherwise(0))
-
+    cuts = range_cuts(df if source is None else source, keys, order, hot_rows)
+    cut = with_range(df, cuts, keys, order)
     before = Window.partitionBy(*keys).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    partial = with_bucket(hot_rows_only, cuts, by).groupBy(*keys, "blk").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    prior = partial.select(*keys, "blk", *[F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums])
+    partial = cut.groupBy(*keys, "blk").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    prior = partial.select(
+        *keys, "blk", *[F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums],
+        *[F.sum(f"_{n}").over(Window.partitionBy(*keys)).alias(f"all_{n}") for n in totals],
+    )
     here = within(keys, *order).rowsBetween(Window.unboundedPreceding, -1)
     values = [
         (F.coalesce(F.sum(c).over(here), F.lit(0)) + F.coalesce(F.col(f"_{n}"), F.lit(0))).alias(n) for n, c in sums.items()
     ]
-    return cut.join(prior, [*keys, "blk"], "left").select(*df.columns, *values)
+    joined = cut.join(prior.select(*[F.col(c).alias(f"_p_{c}") for c in (*keys, "blk")], *prior.columns[len(keys) + 1:]), [
+        F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in (*keys, "blk")
+    ], "left")
+    return joined.select(*df.columns, *values, *[f"all_{n}" for n in totals])
 
 
-def number_by_quantile(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], by: str, name: str = "idx", start: int = 0,
+def number_by_range(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "idx", start: int = 0,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``number_rows`` for keys of any size, cut along quantiles of ``by`` only where a key is hot."""
-    numbered = prefix_by_quantile(df, keys, order, by, hot_rows, None, **{name: F.lit(1)})
+    """``number_rows`` for keys of any size and any order, cut by ranges of (keys, order)."""
+    numbered = prefix_by_range(df, keys, order, hot_rows, **{name: F.lit(1)})
     return numbered.withColumn(name, (F.col(name) + start).cast("long"))
 
 
-def quantile_cuts(df: DataFrame, col: str, bits: int = 10) -> Column:
-    """Scalar subquery: the 2**bits - 1 inner cut points of equal-depth buckets of a numeric column."""
-    count = 1 << bits
-    share = ",".join(str(i / count) for i in range(1, count))
-    sketch = f"percentile_approx(cast({col} as double), cast(split('{share}', ',') as array<double>), {10 * count})"
-    return df.agg(F.expr(sketch).alias("cuts")).scalar()
+SAMPLED = 8  # rows of the sample per range
+
+
+def _place(keys: Sequence[str], order: Sequence[Column | str]) -> Column:
+    parts = [F.col(c) if isinstance(c, str) else c for c in (*keys, *order)]
+    return F.struct(*[c.alias(f"c{i}") for i, c in enumerate(parts)])
+
+
+def range_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], hot_rows: int = HOT_ROWS) -> Column:
+    """Scalar subquery: ascending cut points that part the rows into ranges of about ``hot_rows``.
 
+    The sample is picked by a hash of the rows' own values, one row in ``hot_rows / SAMPLED``, so it grows with the data
+    and is the same in every run; each ``SAMPLED``-th of its rows is a cut."""
+    place = df.select(_place(keys, order).alias("p"))
+    every = max(1, hot_rows // SAMPLED)
+    some = place.filter(F.pmod(F.xxhash64("p"), F.lit(every)) == 0)
+    ordered = F.array_sort(F.collect_list("p"))
+    return some.agg(F.filter(ordered, lambda x, i: i % SAMPLED == SAMPLED - 1).alias("cuts")).scalar()
 
-def with_bucket(df: DataFrame, cuts: Column, by: str, bits: int = 10, name: str = "blk") -> DataFrame:
-    """Number of cut points below the value, found in ``bits`` halving steps that stay in generated code."""
-    value = F.col(by).cast("double")
-    df = df.withColumn("_cuts", cuts).withColumn(name, F.lit(0))
-    for half in (1 << b for b in reversed(range(bits))):
-        further = F.get("_cuts", F.col(name) + (half - 1)) < value
-        df = df.withColumn(name, F.col(name) + F.when(further, half).otherwise(0))
-    return df.drop("_cuts")
+
+def with_range(df: DataFrame, cuts: Column, keys: Sequence[str], order: Sequence[Column | str], bits: int = 24) -> DataFrame:
+    """Number of cut points below the row as ``blk``, found by halving; enough for ``2 ** bits`` cuts."""
+    columns = df.columns
+    df = df.withColumns({"_cuts": cuts, "_place": _place(keys, order)})
+    halves = F.slice(F.array(*[F.lit(1 << b) for b in reversed(range(bits))]), -F.col("_bits"), F.col("_bits"))
+    step = lambda at, half: at + F.when(F.get("_cuts", at + half - 1) < F.col("_place"), half).otherwise(0)
+    df = df.withColumn("_bits", F.length(F.bin(F.size("_cuts"))))
+    return df.withColumn("blk", F.aggregate(halves, F.lit(0), step)).select(*columns, "blk")
 
 
 def top_rows(
     df: DataFrame, keys: Sequence[str], k: int, score: str = "score", tie: str = "idx", name: str = "_rn",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """The k best rows per key with their rank from 1, ties to the lower ``tie``.
+    """The k best rows per key with their rank from 1: NaN above all numbers, null below them, ties to the lower ``tie``.
 
-    For a k the optimizer can push below the shuffle, each task keeps k rows of a key first; a larger k ranks
-    through quantile buckets.
+    For a k that the optimizer pushes below the shuffle, each task keeps k rows of a key first. A larger k is cut in
+    three levels, in 4096 hashed parts of a key, then in 64, then in the key, so that one task merges 64 lists at most.
     """
+    best = lambda *by: Window.partitionBy(*keys, *by).orderBy(F.desc_nulls_last(score), tie)
+    first = lambda rows, *by: rows.withColumn(name, F.row_number().over(best(*by))).filter(F.col(name) <= k)
     if k <= GROUP_LIMIT:
-        best = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
-        return df.withColumn(name, F.row_number().over(best)).filter(F.col(name) <= k)
-    turned = df.withColumn("_down", -F.col(score))
-    ranked = number_by_quantile(turned, keys, ["_down", tie], "_down", name, 1, hot_rows)
-    return ranked.filter(F.col(name) <= k).drop("_down")
+        return first(df)
+    rows = df.withColumn("_part", F.pmod(F.xxhash64(tie), F.lit(4096)))
+    rows = first(rows, "_part").withColumn("_part", F.expr("_part div 64"))
+    return first(first(rows, "_part").drop("_part"))
 
 
-def range_join(
+def disjoint_join(
     points: DataFrame,
     spans: DataFrame,
     keys: Sequence[str] = KEY,
@@ -189,22 +196,75 @@ def range_join(
     how: str = "inner",
     size: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Rows whose position lies in a span of the same key, both ends inclusive.
+    """``range_join`` for spans that do not overlap within a key: no row is compared with more than one span.
 
-    Spans are listed once per block they touch, so the join runs on ``(key, block)``: a hot key is spread over
-    its blocks, and a row is compared only with spans that reach its block. The listing adds at most one row per
-    ``size`` covered positions, which is what a broadcast of a small span table can grow to.
+    Spans are cut at block borders; in each block rows and span starts are put in one order, and every row takes the
+    latest span that began. Spans that do overlap fail the job. ``how`` is inner or left.
     """
+    extra = [c for c in spans.columns if c not in keys]
     touched = F.expr(f"sequence(cast({lo} as bigint) div {int(size)}, cast({hi} as bigint) div {int(size)})")
-    cut = spans.filter(F.col(lo) <= F.col(hi)).withColumn("blk", F.explode(touched)).alias("s")
-    rows = with_block(points, position, size).alias("p")
-    same = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in (*keys, "blk")]
+    pieces = spans.filter(F.col(lo) <= F.col(hi)).withColumn("blk", F.explode(touched))
+    place = lambda c: F.col(c).cast("long").alias("_at")
+    span = F.struct(*[F.col(c) for c in extra])
+    row = F.struct(*[F.col(c) for c in points.columns])
+    opened = pieces.select(*keys, "blk", F.greatest(F.col(lo).cast("long"), F.col("blk") * size).alias("_at"), span.alias("_span"))
+    passed = with_block(points, position, size).select(*keys, "blk", place(position), row.alias("_row"))
+    both = opened.unionByName(passed, allowMissingColumns=True)
+    in_order = within(keys, "_at", F.col("_span").isNull())
+    earlier = F.max(F.col(f"_span.{hi}").cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.assert_true(F.col("_row").isNotNull() | F.coalesce(F.col("_reach") < F.col("_at"), F.lit(True)), F.lit("spans overlap"))
+    met = both.withColumns({"_latest": F.last("_span", ignorenulls=True).over(in_order), "_reach": earlier})
+    met = met.filter(apart.isNull() & F.col("_row").isNotNull())
+    inside = F.coalesce(F.col("_at") <= F.col(f"_latest.{hi}"), F.lit(False))
+    if how == "inner":
+        met = met.filter(inside)
+    elif how != "left":
+        raise ValueError("how is 'inner' or 'left'")
+    found = [F.when(inside, F.col(f"_latest.{c}")).alias(c) for c in extra]
+    return met.select(*[F.col(f"_row.{c}") for c in points.columns], *found)
+
+
+LEVELS = (0, 4, 8, 12, 16)  # widths of the grids as powers of two; the widest is a block of rows
+
+
+def range_join(
+    points: DataFrame,
+    spans: DataFrame,
+    keys: Sequence[str] = KEY,
+    position: str = "idx",
+    lo: str = "start_idx",
+    hi: str = "end_idx",
+) -> DataFrame:
+    """Rows whose position lies in a span of the same key, both ends inclusive; spans may overlap.
+
+    Spans are sorted into grids by length: a span lies in the finest grid whose cells are at least as long as it, which
+    it touches in two cells at most; spans longer than the widest cell touch one cell per ``2 ** 16`` positions. Rows
+    are listed once per grid in use, and the join runs on (key, grid, cell), so a row meets only spans whose length is
+    within a factor of sixteen of its cell, and a hot key is spread over its cells.
+    """
+    length = F.col(hi).cast("long") - F.col(lo).cast("long") + 1
+    level = F.coalesce(*[F.when(length <= (1 << b), F.lit(b)) for b in LEVELS], F.lit(LEVELS[-1]))
+    sized = spans.filter(F.col(lo) <= F.col(hi)).withColumn("_grid", level)
+    cell = lambda c: F.expr(f"shiftright(cast({c} as bigint), _grid)")
+    cut = sized.withColumn("blk", F.explode(F.sequence(cell(lo), cell(hi)))).alias("s")
+    in_use = sized.agg(F.collect_set("_grid")).scalar()
+    rows = points.withColumn("_grid", F.explode(in_use)).withColumn("blk", cell(position)).alias("p")
+    same = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in (*keys, "_grid", "blk")]
     inside = F.col(f"p.{position}").between(F.col(f"s.{lo}"), F.col(f"s.{hi}"))
-    matched = rows.join(cut, [*same, inside], how)
-    extra = [] if how in ("left_semi", "left_anti") else [F.col(f"s.{c}") for c in spans.columns if c not in keys]
+    matched = rows.join(cut, [*same, inside])
+    extra = [F.col(f"s.{c}") for c in spans.columns if c not in keys]
     return matched.select(*[F.col(f"p.{c}") for c in points.columns], *extra)
 
 
+def attach(rows: DataFrame, few: DataFrame, keys: Sequence[str], spread: Column, how: str = "left") -> DataFrame:
+    """Join a table with one row per key onto rows of which one key may hold most. The table is listed once per part,
+    and the rows of a key are dealt to the parts by a hash of ``spread``, so no task gets a whole key."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
+    return dealt.join(listed, [*keys, "_part"], how).drop("_part")
+
+
 def explode_range(df: DataFrame, n: Column, keys: Sequence[str], name: str = "idx", chunk: int = BLOCK_ROWS) -> DataFrame:
     """One row per integer 0..n-1. Long ranges are cut into chunks that are spread before they are expanded."""
     chunks = df.withColumn("_upto", n.cast("long")).filter("_upto > 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scorewise.functions import frames
 
-from .blocks import BLOCK_ROWS, KEY, explode_range, range_join
+from .blocks import BLOCK_ROWS, KEY, disjoint_join, explode_range, range_join
 
 _NEAR = 2
 
@@ -72,9 +72,9 @@ def annotated_windows(annotations: DataFrame, series: DataFrame) -> DataFrame:
     })
 
 
-def overlap_join(df: DataFrame, windows: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
+def overlap_join(df: DataFrame, windows: DataFrame) -> DataFrame:
     """Snippet rows inside the windows, with the window's columns."""
-    return range_join(df, windows.filter(F.col("start_idx").isNotNull()), size=size)
+    return range_join(df, windows.filter(F.col("start_idx").isNotNull()))
 
 
 def span_to_snippets(annotations: DataFrame, series: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def intervals_to_labels(videos: DataFrame, spans: DataFrame, size: int = BLOCK_R
     )
     dense = explode_range(videos.select("series_id", "n_frames"), F.col("n_frames"), KEY, "frame", size)
     dense = dense.select("series_id", "frame")
-    rows = range_join(dense, merged.select("series_id", "lo", "hi"), KEY, "frame", "lo", "hi", "left", size)
+    rows = disjoint_join(dense, merged.select("series_id", "lo", "hi"), KEY, "frame", "lo", "hi", "left", size)
     return rows.select("series_id", "frame", F.when(F.col("lo").isNotNull(), 1).otherwise(0).alias("label"))
 
 
@@ -150,7 +150,7 @@ def align_labels(
     else:
         raise ValueError("pad is 'zero' or 'last'")
     whole = ends.select("series_id", F.lit(0).cast("long").alias("_from"), (F.col("_want") - 1).alias("_to"))
-    kept = range_join(labels, whole, KEY, "frame", "_from", "_to", size=size).select("series_id", "frame", "label")
+    kept = disjoint_join(labels, whole, KEY, "frame", "_from", "_to", size=size).select("series_id", "frame", "label")
     short = ends.filter("_want > _n")
     added = explode_range(short, F.col("_want") - F.col("_n"), KEY, "_more", size)
     added = added.select("series_id", (F.col("_n") + F.col("_more")).alias("frame"), fill.cast("int").alias("label"))

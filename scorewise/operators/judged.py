@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scorewise.functions.text import CRITERIA, word_count
 
-from .blocks import HOT_ROWS, explode_range, prefix_by_quantile
+from .blocks import HOT_ROWS, explode_range, prefix_by_range
 from .sampling import hash_number
 
 
@@ -182,14 +182,13 @@ def pairwise_significance(df: DataFrame, pairs: Sequence[tuple[str, str]], resam
 def _average_ranks(counts: DataFrame, value: str, name: str, hot_rows: int) -> DataFrame:
     """Rank of each distinct value, ties sharing their mean rank."""
     per_value = counts.groupBy("criterion", value).agg(F.sum("w").alias("w"))
-    placed = prefix_by_quantile(per_value, ["criterion"], [value], value, hot_rows, None, _below=F.col("w"))
+    placed = prefix_by_range(per_value, ["criterion"], [value], hot_rows, _below=F.col("w"))
     return placed.select("criterion", value, (F.col("_below") + (F.col("w") + 1) / 2).alias(name))
 
 
 def _weighted_corr(x: Column, y: Column, w: Column) -> Column:
-    n, sx, sy = F.sum(w), F.sum(w * x), F.sum(w * y)
-    cov = n * F.sum(w * x * y) - sx * sy
-    vx, vy = n * F.sum(w * x * x) - sx * sx, n * F.sum(w * y * y) - sy * sy
+    """Correlation of values that are already centred on their weighted means."""
+    cov, vx, vy = F.sum(w * x * y), F.sum(w * x * x), F.sum(w * y * y)
     return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
 
 
@@ -210,11 +209,18 @@ def agreement(
     ranked = counts.join(_average_ranks(counts, "x", "rx", hot_rows), ["criterion", "x"])
     ranked = ranked.join(_average_ranks(counts, "y", "ry", hot_rows), ["criterion", "y"])
     w, x, y = F.col("w").cast("double"), F.col("x"), F.col("y")
-    result = ranked.groupBy("criterion").agg(
-        F.sum("w").alias("n"),
-        (F.sum(w * x) / F.sum(w)).alias("mean_x"), (F.sum(w * y) / F.sum(w)).alias("mean_y"),
-        _weighted_corr(x, y, w).alias("pearson"), _weighted_corr(F.col("rx"), F.col("ry"), w).alias("spearman"),
-        (F.sum(w * F.abs(x - y)) / F.sum(w)).alias("mae"),
+    # one row per criterion, as many as are listed in the call; ranks of n rows have the mean (n + 1) / 2
+    means = counts.groupBy("criterion").agg(
+        F.sum("w").alias("n"), (F.sum(w * x) / F.sum(w)).alias("mean_x"), (F.sum(w * y) / F.sum(w)).alias("mean_y")
+    )
+    centred = ranked.join(F.broadcast(means), "criterion").withColumns({
+        "_x": x - F.col("mean_x"), "_y": y - F.col("mean_y"),
+        "_rx": F.col("rx") - (F.col("n") + 1) / 2, "_ry": F.col("ry") - (F.col("n") + 1) / 2,
+    })
+    result = centred.groupBy("criterion", "n", "mean_x", "mean_y").agg(
+        _weighted_corr(F.col("_x"), F.col("_y"), w).alias("pearson"),
+        _weighted_corr(F.col("_rx"), F.col("_ry"), w).alias("spearman"),
+        (F.sum(w * F.abs(x - y)) / F.first("n")).alias("mae"),
     )
     return result.filter(F.col("n") >= min_rows)
 

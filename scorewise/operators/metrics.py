@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import HOT_ROWS, KEY, prefix_by_quantile, top_rows
+from .blocks import HOT_ROWS, KEY, attach, number_by_range, prefix_by_range, top_rows
 
 K_GRID = (1, 3, 5, 8, 10, 15, 20, 30, 50)  # fixed values: the searched k
-MAX_SWEPT = 10_000  # values of a swept parameter; their bounds are broadcast
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -54,8 +53,8 @@ def threshold_sweep(
     """Confusion rates at ``steps`` evenly spaced thresholds between the score bounds (or ``lo`` and ``hi``).
 
     Every row is binned once by the number of thresholds it passes and the counts are accumulated over the bins, so
-    the work is one aggregation whatever the number of thresholds. ``by`` names swept parameters such as k: their
-    bounds are broadcast, and the job fails when there are more than ``MAX_SWEPT`` values.
+    the work is one aggregation whatever the number of thresholds. ``by`` names swept parameters such as k, with any
+    number of values: the rows of a value are dealt to many tasks to meet its bounds.
     """
     bounds = df.groupBy(*by).agg(F.min(score).alias("_min"), F.max(score).alias("_max"))
     bounds = bounds.select(
@@ -71,10 +70,7 @@ def threshold_sweep(
         return F.when((i == F.col("_count") - 1) & (i > 0), F.col("_hi")).otherwise(F.col("_lo") + i * F.col("_step"))
 
     if by:
-        few = bounds.agg(F.count("*") <= MAX_SWEPT).scalar()
-        limit = F.assert_true(F.col("_few"), F.lit(f"more than {MAX_SWEPT} swept values")).isNull()
-        bounds = bounds.withColumn("_few", few).filter(limit).drop("_few")
-        rows = df.select(*by, label, score).join(F.broadcast(bounds), list(by))
+        rows = attach(df.select(*by, label, score), bounds, list(by), F.col(score), "inner")
     else:
         one = bounds.select(F.struct("_lo", "_hi", "_count", "_step").alias("b"))
         rows = df.select(label, score).withColumn("_b", one.scalar()).select(label, score, "_b.*")
@@ -97,7 +93,7 @@ def threshold_sweep(
     })
     totals = binned.groupBy(*by).agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
     if by:
-        filled = filled.join(F.broadcast(totals), list(by))
+        filled = filled.join(totals, list(by))
     else:
         filled = filled.withColumn("_t", totals.select(F.struct("_p", "_n").alias("t")).scalar())
         filled = filled.select("*", "_t.*")
@@ -159,8 +155,16 @@ def apply_calibration(
     if k is None:
         if params is None:
             raise ValueError("no stored parameters")
-        k, threshold = params.select("k", "threshold").first()  # a one-row report
-    scored = top_rows(df, ("series_id",), max(1, k)).groupBy("series_id").agg(F.avg("score").alias("video_score"))
+        # a scalar subquery, which fails on a report of several rows; the order is that of top_rows
+        report = params.select(F.struct(F.col("k").cast("long").alias("k"), F.col("threshold").cast("double").alias("t")).alias("r"))
+        order = [~F.isnan("score"), F.col("score").isNull(), -F.col("score"), "idx"]
+        best = number_by_range(df.select("series_id", "idx", F.col("score").cast("double")), ["series_id"], order, "_rn", 1)
+        best = best.withColumn("_r", report.scalar()).filter(F.col("_rn") <= F.greatest(F.lit(1), F.col("_r.k")))
+        threshold = F.col("_threshold")
+    else:
+        best = top_rows(df, ("series_id",), max(1, k)).withColumn("_r", F.struct(F.lit(float(threshold)).alias("t")))
+        threshold = F.lit(float(threshold))
+    scored = best.groupBy("series_id").agg(F.avg("score").alias("video_score"), F.first("_r.t").alias("_threshold"))
     hit = F.when(F.col("video_score") >= threshold, 1).otherwise(0)
     rows = scored.join(labels.select("series_id", "label"), "series_id")
     return rows.select("series_id", "label", "video_score", hit.alias("prediction"))
@@ -168,41 +172,38 @@ def apply_calibration(
 
 # --- curves ----------------------------------------------------------------------------------------------------
 
-def _ladder(df: DataFrame, by: Sequence[str], label: str, score: str, hot_rows: int) -> DataFrame:
-    """One row per distinct score with its positives and negatives and those strictly below it.
-
-    Ties are merged before anything is ordered, so a score shared by many rows costs one row.
-    """
+def _steps(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
+    """One row per distinct score with its positives and negatives: a score shared by many rows costs one row."""
     one_if = lambda y: (F.col(label) == y).cast("long")
     rows = df.select(*by, F.col(score).alias("score"), one_if(1).alias("pos"), one_if(0).alias("neg"))
-    counts = rows.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return prefix_by_quantile(
-        counts, by, ["score"], "score", hot_rows, rows, pos_below=F.col("pos"), neg_below=F.col("neg")
-    )
+    return rows.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def _with_class_sizes(ladder: DataFrame, by: Sequence[str], df: DataFrame, label: str) -> DataFrame:
-    sizes = df.groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("P"), F.count_if(F.col(label) == 0).alias("N"))
-    if by:
-        return ladder.join(sizes, list(by))
-    return ladder.withColumn("_s", sizes.select(F.struct("P", "N").alias("s")).scalar()).select(*ladder.columns, "_s.*")
+def _ladder(steps: DataFrame, by: Sequence[str], hot_rows: int, totals: bool = False) -> DataFrame:
+    """Steps with the positives and negatives strictly below them, and on request those of the whole key as P and N."""
+    sums = {"pos_below": F.col("pos"), "neg_below": F.col("neg")}
+    rows = prefix_by_range(steps, by, ["score"], hot_rows, totals=tuple(sums) if totals else (), **sums)
+    return rows.withColumnsRenamed({"all_pos_below": "P", "all_neg_below": "N"})
+
+
+def _area(ladder: DataFrame, by: Sequence[str]) -> DataFrame:
+    wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return ladder.groupBy(*by).agg(F.when(pairs > 0, wins / pairs).alias("auc"))
 
 
 def roc_auc(
     df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Exact area under the ROC curve, ties by trapezoid; null when a class is missing."""
-    ladder = _ladder(df, by, label, score, hot_rows)
-    wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
-    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return ladder.groupBy(*by).agg(F.when(pairs > 0, wins / pairs).alias("auc"))
+    return _area(_ladder(_steps(df, by, label, score), by, hot_rows), by)
 
 
 def roc_curve(
     df: DataFrame, label: str = "label", score: str = "score", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """One point per distinct threshold (``score >= threshold``)."""
-    rows = _with_class_sizes(_ladder(df, (), label, score, hot_rows), (), df, label)
+    rows = _ladder(_steps(df, (), label, score), (), hot_rows, totals=True)
     return rows.select(
         F.col("score").alias("threshold"),
         ((F.col("N") - F.col("neg_below")) / F.col("N")).alias("fpr"),
@@ -214,7 +215,7 @@ def pr_curve(
     df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Precision and recall per distinct threshold, with those of the next higher threshold (start: 1 and 0)."""
-    rows = _with_class_sizes(_ladder(df, by, label, score, hot_rows), by, df, label)
+    rows = _ladder(_steps(df, by, label, score), by, hot_rows, totals=True)
     hits, misses = F.col("P") - F.col("pos_below"), F.col("N") - F.col("neg_below")
     hits_next, misses_next = hits - F.col("pos"), misses - F.col("neg")
     flagged_next = hits_next + misses_next
@@ -235,17 +236,21 @@ def pr_auc(
 
 
 def micro_macro_auc(df: DataFrame, keys: Sequence[str] = KEY, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Pooled area, and the mean of per-series areas after adding the anchors (0, label 0) and (1, label 1)."""
-    ladder = _ladder(df, keys, "label", "score", hot_rows)
+    """Pooled area, and the mean of per-series areas after adding the anchors (0, label 0) and (1, label 1).
+
+    The steps of the series are counted once; summed over the series they are the steps of the pooled curve.
+    """
+    steps = _steps(df, keys, "label", "score")
+    pooled = steps.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     pos, neg, score = F.col("pos"), F.col("neg"), F.col("score")
     # pairs won inside the series, by the positive anchor, against the negative anchor, and by one over the other
     wins = F.sum(pos * (F.col("neg_below") + neg / 2))
     over = F.sum(F.when(score < 1, neg).when(score == 1, neg / 2).otherwise(0))
     under = F.sum(F.when(score > 0, pos).when(score == 0, pos / 2).otherwise(0))
     pairs = (F.sum(pos) + 1).cast("double") * (F.sum(neg) + 1)
-    per_series = ladder.groupBy(*keys).agg(((wins + over + under + 1) / pairs).alias("auc"))
+    per_series = _ladder(steps, keys, hot_rows).groupBy(*keys).agg(((wins + over + under + 1) / pairs).alias("auc"))
     macro = per_series.agg(F.avg("auc").alias("macro_auc"), F.count("auc").alias("n_series"))
-    micro = roc_auc(df, hot_rows=hot_rows).scalar()
+    micro = _area(_ladder(pooled, (), hot_rows), ()).scalar()
     return macro.select(micro.alias("micro_auc"), "macro_auc", "n_series")
 
 

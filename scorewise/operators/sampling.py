@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scorewise.functions import arrays, frames
 
-from .blocks import BLOCK_ROWS, KEY, number_rows, range_join, top_rows, with_block, with_totals
+from .blocks import BLOCK_ROWS, KEY, disjoint_join, number_rows, top_rows, with_block, with_totals
 from .series import threshold_runs, topk_span
 
 
@@ -21,7 +21,7 @@ from .series import threshold_runs, topk_span
 def budget_sample(
     df: DataFrame, segments: DataFrame, budget: int = 8, gap: int = 2, keys: Sequence[str] = KEY, size: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Greedy picks per segment (inclusive ends): first and last row, then by score with a minimum spacing.
+    """Greedy picks per segment (inclusive ends, not overlapping): first and last row, then by score with a minimum spacing.
 
     A segment may pick ``max(2, budget * its share of the selected length)`` rows, rounded half to even, so many
     short segments can exceed the budget. Every pick rules out at most ``2 * (gap - 1)`` others, so the best
@@ -34,7 +34,7 @@ def budget_sample(
     spans = spans.select(*keys, "seg_no", "start_idx", "end_idx", F.greatest(F.lit(2), share).alias("_budget"))
 
     is_end = (F.col("idx") == F.col("start_idx")) | (F.col("idx") == F.col("end_idx"))
-    rows = range_join(df.select(*keys, "idx", "score"), spans, keys, size=size)
+    rows = disjoint_join(df.select(*keys, "idx", "score"), spans, keys, size=size)
     rows = rows.withColumn("_inner", F.when(is_end, 0).otherwise(1)).filter("_inner = 0 or _budget > 2")
     merit = F.when(F.col("_inner") == 0, F.lit(float("inf"))).otherwise(F.nanvl("score", F.lit(float("-inf"))))
     enough = max(2, budget) * (2 * gap - 1) + 2
@@ -176,13 +176,11 @@ def distinct_strategies(df: DataFrame, names: Sequence[str] = tuple(STRATEGIES))
     Each frame is reduced to the set of strategies naming it, and each series to its distinct sets (at most
     2**strategies), so frame lists are compared exactly without being gathered.
     """
-    if len(names) > 30:
-        raise ValueError("at most 30 strategies")
-    sets = df.groupBy("series_id", "frame").agg(F.bit_or(F.expr("shiftleft(1, strategy_no)")).alias("m"))
+    sets = df.groupBy("series_id", "frame").agg(F.array_sort(F.collect_set("strategy_no")).alias("m"))
     sets = sets.groupBy("series_id").agg(F.collect_set("m").alias("m"))
 
     def member(i: int) -> Callable[[Column], Column]:
-        return lambda m: m.bitwiseAND(F.lit(1 << i)) > 0
+        return lambda m: F.array_contains(m, F.lit(i))
 
     def differ(i: int, j: int) -> Callable[[Column], Column]:
         return lambda m: member(i)(m) != member(j)(m)
@@ -211,10 +209,14 @@ def hash_order(seed: int, *ids: str) -> Column:
 def hash_number(
     df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int, name: str = "pos"
 ) -> DataFrame:
-    """Position (from 1) in the seeded order within ``keys``; 4096 hash prefixes keep any key spread out."""
+    """Position (from 1) in the seeded order within ``keys``; 65,536 hash prefixes keep any key spread out."""
     hashed = df.withColumn("_h", hash_order(seed, *ids))
-    prefix = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
-    return number_rows(hashed, keys, ["_h", *ids], prefix, name, 1).drop("_h")
+    return number_rows(hashed, keys, ["_h", *ids], hash_prefix("_h"), name, 1).drop("_h")
+
+
+def hash_prefix(digest: str) -> Column:
+    """The first four of the hexadecimal digits of a digest as a number."""
+    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
 
 
 def hash_shuffle(df: DataFrame, ids: Sequence[str], seed: int = 42) -> DataFrame:
@@ -226,18 +228,14 @@ def balanced_sample(
     df: DataFrame, n_pos: int, n_neg: int, seed: int = 42, label: str = "label", id_col: str = "series_id"
 ) -> DataFrame:
     """n rows per class in the seeded order; the job fails when a class is too small."""
-    counts = df.agg(F.count_if(F.col(label) == 1) >= n_pos, F.count_if(F.col(label) == 0) >= n_neg).toDF("p", "n")
-    enough = counts.select(F.col("p") & F.col("n")).scalar()
+    counts = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    enough = (F.col("p") >= n_pos) & (F.col("n") >= n_neg)
+    failed = F.assert_true(enough, F.lit(f"fewer than {n_pos} positive or {n_neg} negative rows"))
+    # the one row of counts is there even for an empty input; it passes the check or fails the job, and is never returned
+    checked = counts.filter(failed.isNotNull()).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields])
     wanted = F.when(F.col(label) == 1, n_pos).when(F.col(label) == 0, n_neg).otherwise(0)
-    if max(n_pos, n_neg) <= 1000:  # each task keeps the first rows of a class, so no class is ever sorted whole
-        first = Window.partitionBy(label).orderBy("_h", id_col)
-        ranked = df.withColumn("_h", hash_order(seed, id_col)).withColumn("_pos", F.row_number().over(first))
-        ranked = ranked.filter(F.col("_pos") <= max(n_pos, n_neg))
-    else:
-        ranked = hash_number(df, [label], [id_col], seed, "_pos")
-    ranked = ranked.withColumn("_enough", enough)
-    checked = F.assert_true(F.col("_enough"), F.lit(f"fewer than {n_pos} positive or {n_neg} negative rows")).isNull()
-    return ranked.filter(checked & (F.col("_pos") <= wanted)).select(*df.columns)
+    ranked = hash_number(df, [label], [id_col], seed, "_pos")
+    return ranked.filter(F.col("_pos") <= wanted).select(*df.columns).unionByName(checked)
 
 
 def stratified_sample(

@@ -10,13 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import (
-    BLOCK_ROWS, KEY, explode_range, halo, number_rows, range_join, solid, top_rows, with_block, with_prior, with_totals,
-    within,
+    BLOCK_ROWS, KEY, attach, disjoint_join, explode_range, halo, number_rows, range_join, solid, top_rows, with_block, with_prior,
+    with_totals, within,
 )
 
-NARROW = 64  # kernel taps up to which smoothing stays in the JVM
-
-
 # --- smoothing and scaling -------------------------------------------------------------------------------------
 
 def gaussian_smooth(
@@ -25,9 +22,9 @@ def gaussian_smooth(
     """Weighted sum over ``range_ - 1`` taps with zero padding; the kernel is not renormalised.
 
     The peak of the kernel sits one tap before its middle, so the result lags by one step unless ``centered``.
-    A block is smoothed together with ``range_ / 2`` neighbours on each side: a narrow kernel as a weighted sum of
-    shifted columns, a wide one as one numpy convolution per block,
-    with the blocks of a partition streamed in order.
+    Neighbours are taken by index: a missing position and a null score count as 0, a NaN makes every sum that reaches
+    it NaN. A block is smoothed together with ``range_ / 2`` neighbours on each side, as one numpy convolution per
+    block, with the blocks of a partition streamed in order.
     """
     if range_ % 2 or range_ < 2:
         raise ValueError("range_ must be even: an odd value changes the series length")
@@ -35,16 +32,9 @@ def gaussian_smooth(
     offset = np.arange(-half, half + 1) + (0 if centered else 1)
     kernel = np.exp(-0.5 * (offset / sigma) ** 2) / (sigma * np.sqrt(2 * np.pi))
 
-    plain = df.select(*keys, F.col("idx").cast("long"), F.col("score").cast("double"))
+    known = F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
+    plain = df.select(*keys, F.col("idx").cast("long"), known)
     spread = halo(plain, keys, half, half, size=size)
-    if len(kernel) <= NARROW:
-        w = within(keys, "idx")
-        taps = [F.coalesce(F.lead("score", int(d)).over(w), F.lit(0.0)) * F.lit(float(v)) for d, v in zip(range(-half, half + 1), kernel)]
-        total = taps[0]
-        for tap in taps[1:]:
-            total = total + tap
-        return spread.withColumn("_sum", total).filter("core").select(*keys, "idx", F.col("_sum").alias("score"))
-
     group = [*keys, "blk"]
 
     def starts(rows: pd.DataFrame) -> np.ndarray:
@@ -109,8 +99,8 @@ def minmax(df: DataFrame, mode: str = "keep", keys: Sequence[str] = KEY, size: i
 
 # --- segments --------------------------------------------------------------------------------------------------
 
-def _runs(df: DataFrame, event: Column, keys: Sequence[str], size: int) -> DataFrame:
-    """Maximal runs of state 1, both ends inclusive, numbered from 0 per key.
+def _runs(df: DataFrame, event: Column, keys: Sequence[str], size: int, numbered: bool = True) -> DataFrame:
+    """Maximal runs of state 1, both ends inclusive, with the block of the end; ``numbered`` from 0 per key.
 
     ``event`` is 1 (enter), 0 (leave) or null (keep the state). One summary row per block tells each block the
     state it starts in and the event that follows it, so the first and last row of every run are recognised inside
@@ -145,11 +135,12 @@ def _runs(df: DataFrame, event: Column, keys: Sequence[str], size: int) -> DataF
         .select(*keys, "blk", "idx", (1 - F.col("before")).alias("opens"), (1 - F.col("after")).alias("closes"))
     )
     opening = F.when(F.col("opens") == 1, F.col("idx"))
-    placed = with_prior(ends, keys, opened=("sum", F.col("opens")), opened_at=("max", opening))
+    folds = {"opened": ("sum", F.col("opens"))} if numbered else {}
+    placed = with_prior(ends, keys, **folds, opened_at=("max", opening))
     so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    number = F.coalesce("opened", F.lit(0)) + F.sum("opens").over(so_far) - 1
+    number = [(F.coalesce("opened", F.lit(0)) + F.sum("opens").over(so_far) - 1).alias("seg_no")] if numbered else []
     start = F.coalesce(F.max(opening).over(so_far), "opened_at")
-    placed = placed.select(*keys, number.alias("seg_no"), start.alias("start_idx"), F.col("idx").alias("end_idx"), "closes")
+    placed = placed.select(*keys, "blk", *number, start.alias("start_idx"), F.col("idx").alias("end_idx"), "closes")
     return placed.filter("closes = 1").drop("closes")
 
 
@@ -157,7 +148,7 @@ def threshold_runs(df: DataFrame, tau: float | Column, keys: Sequence[str] = KEY
     """Runs of ``score > tau``; ``end_idx`` is **inclusive**. NaN and null keep the current state."""
     known = F.col("score").isNotNull() & ~F.isnan("score")
     event = F.when(known & (F.col("score") > tau), 1).when(known, 0)
-    return _runs(df, event, keys, size)
+    return _runs(df, event, keys, size).drop("blk")
 
 
 def hysteresis_segments(
@@ -168,19 +159,20 @@ def hysteresis_segments(
         raise ValueError("hi must not be below lo")
     known = F.col("score").isNotNull() & ~F.isnan("score")
     event = F.when(known & (F.col("score") > hi), 1).when(known & (F.col("score") < lo), 0)
-    runs = _runs(df, event, keys, size).withColumn("end_idx", F.col("end_idx") + 1)
-    long = runs.filter(F.col("end_idx") - F.col("start_idx") >= min_len).drop("seg_no")
-    bucket = F.expr(f"start_idx div {int(size)}")
-    return number_rows(long, keys, ["start_idx"], bucket, "seg_no").select(*keys, "seg_no", "start_idx", "end_idx")
+    runs = _runs(df, event, keys, size, numbered=False).withColumn("end_idx", F.col("end_idx") + 1)
+    long = runs.filter(F.col("end_idx") - F.col("start_idx") >= min_len)
+    # numbered once, in the blocks of the ends, where the runs already lie
+    return number_rows(long, keys, ["start_idx"], F.col("blk"), "seg_no").select(*keys, "seg_no", "start_idx", "end_idx")
 
 
 def segment_summary(
     df: DataFrame, segments: DataFrame, end: str = "inclusive", keys: Sequence[str] = KEY, size: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Start, end (same convention as the input), length, mean and max score of each segment."""
+    """Start, end (same convention as the input), length, mean and max score of each segment; segments of a series must
+    not overlap."""
     shift = {"inclusive": 0, "exclusive": 1}[end]
     spans = segments.select(*keys, "seg_no", "start_idx", (F.col("end_idx") - shift).alias("_last"))
-    rows = range_join(df.select(*keys, "idx", "score"), spans, keys, hi="_last", size=size)
+    rows = disjoint_join(df.select(*keys, "idx", "score"), spans, keys, hi="_last", size=size)
     return rows.groupBy(*keys, "seg_no").agg(
         F.first("start_idx").alias("start_idx"),
         (F.first("_last") + shift).alias("end_idx"),
@@ -272,10 +264,8 @@ def position_profile(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
 
 def score_histogram(df: DataFrame, bins: int = 40, label: str = "label", score: str = "score") -> DataFrame:
     """Equal-width counts per class over that class's own range; the last bin is closed on the right."""
-    bounds = df.groupBy(label).agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
-    entry = F.struct(F.col(label), F.struct("lo", "hi"))
-    by_class = bounds.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
-    rows = df.withColumn("_b", by_class).withColumn("_b", F.element_at("_b", F.col(label)))
+    bounds = df.groupBy(label).agg(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi")).alias("_b"))
+    rows = attach(df, bounds, [label], F.col(score))
     width = F.col("_b.hi") - F.col("_b.lo")
     place = F.floor((F.col(score) - F.col("_b.lo")) / width * bins)
     rows = rows.withColumn("bin", F.when(width > 0, F.least(place, F.lit(bins - 1))).otherwise(F.lit(bins // 2)))
@@ -359,13 +349,12 @@ def clip_windows(videos: DataFrame, length: int = 16, keys: Sequence[str] = KEY)
 
 def take_while(
     frames: DataFrame, tracks: DataFrame, limit: float = 800, value: str = "size", keys: Sequence[str] = KEY,
-    size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Frames of each track ``[start_idx, end_idx)`` up to, not including, the first with ``value < limit``."""
     spans = tracks.select(*keys, "track_no", "start_idx", (F.col("end_idx") - 1).alias("_last"))
-    small = range_join(frames.filter(F.col(value) < limit).select(*keys, "idx"), spans, keys, hi="_last", size=size)
+    small = range_join(frames.filter(F.col(value) < limit).select(*keys, "idx"), spans, keys, hi="_last")
     stops = small.groupBy(*keys, "track_no").agg(F.min("idx").alias("_stop"))
     kept = spans.join(stops, [*keys, "track_no"], "left")
     kept = kept.withColumn("_last", F.coalesce(F.col("_stop") - 1, "_last")).drop("_stop")
-    rows = range_join(frames.select(*keys, "idx", value), kept, keys, hi="_last", size=size)
+    rows = range_join(frames.select(*keys, "idx", value), kept, keys, hi="_last")
     return rows.select(*keys, "track_no", "idx", value)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import hash_number
+from .blocks import with_totals
+from .sampling import hash_number, hash_order, hash_prefix
 
 
 def group_split(
@@ -15,20 +16,19 @@ def group_split(
 ) -> DataFrame:
     """Add ``split``: the first ``max(1, round(n * fraction))`` ids in the seeded order go to ``eval``.
 
-    Rounding is half to even. With ``by`` (one value per id, e.g. a type) the share is taken inside each value.
+    Rounding is half to even. With ``by`` (one value per id, e.g. a type) the share is taken inside each value; null is a
+    value of its own.
     """
     groups = df.select(*by, id_col).distinct()
-    sizes = groups.groupBy(*by).agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(fraction)).cast("int")).alias("_take"))
-    ranked = hash_number(groups, by, [id_col], seed, "_pos")
-    if by:
-        # a handful of strata, so their sizes travel as one map instead of a join on a hot key
-        key = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])
-        takes = sizes.agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("_take")))).alias("m")).scalar()
-        ranked = ranked.withColumn("_m", takes).withColumn("_take", F.element_at("_m", key)).drop("_m")
-    else:
-        ranked = ranked.withColumn("_take", sizes.scalar())
-    chosen = ranked.filter(F.col("_pos") <= F.col("_take")).select(*by, id_col, F.lit(True).alias("_eval"))
-    marked = df.join(chosen, [*by, id_col], "left")
+    # one text per stratum, in which a null differs from an empty string; never null itself
+    stratum = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(by)]), {"ignoreNullFields": "false"}) if by else F.lit("")
+    ranked = hash_number(groups.withColumn("_stratum", stratum), ["_stratum"], [id_col], seed, "_pos")
+    placed = ranked.withColumn("_h", hash_order(seed, id_col)).withColumn("blk", hash_prefix("_h"))
+    sized = with_totals(placed, ["_stratum"], _n=("count", F.lit(1)))
+    take = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction)).cast("int"))
+    chosen = sized.filter(F.col("_pos") <= take).select(*[F.col(c).alias(f"_e_{c}") for c in (*by, id_col)], F.lit(True).alias("_eval"))
+    same = [df[c].eqNullSafe(chosen[f"_e_{c}"]) for c in (*by, id_col)]
+    marked = df.join(chosen, same, "left")
     return marked.withColumn("split", F.when(F.col("_eval"), "eval").otherwise("train")).select(*df.columns, "split")
 
 

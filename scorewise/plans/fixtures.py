@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewise.operators.blocks import number_by_quantile
+from scorewise.operators.blocks import number_by_range
 from scorewise.sources.shared import written
 
 TABLES = (
@@ -46,7 +46,7 @@ def labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         events = table(spark, sf_dir, "events").select(
             "user_id", "ts", "event_id", "value", "event_type", _clock_seconds("ts").alias("at")
         )
-        return number_by_quantile(events, ["user_id"], ["ts", "event_id"], "at").select(
+        return number_by_range(events, ["user_id"], ["at", "ts", "event_id"]).select(
             F.col("user_id").alias("series_id"), "idx", (F.col("value") / (F.col("value") + 50.0)).alias("score"),
             F.when(F.col("event_type") == "error", 1).otherwise(0).alias("label"),
         )
@@ -138,7 +138,7 @@ def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     def derive() -> DataFrame:
         order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
         items = table(spark, sf_dir, "lineitem").select("l_suppkey", *order)
-        return number_by_quantile(items, ["l_suppkey"], order, "l_orderkey").select(
+        return number_by_range(items, ["l_suppkey"], order).select(
             F.col("l_suppkey").alias("series_id"), "idx",
             (F.col("l_extendedprice") / (F.col("l_extendedprice") + 50000.0)).alias("score"),
         )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorewise.functions import ids
-from scorewise.operators.blocks import number_by_quantile
+from scorewise.operators.blocks import number_by_range
 
 ANNOTATION = "video_id STRING, explanation STRING, anomaly_start_frame INT, anomaly_end_frame INT"
 METADATA = (
@@ -162,10 +162,7 @@ def frame_listing(files: DataFrame, keys: Sequence[str] = ("folder",)) -> DataFr
     stem = F.regexp_replace("file", r"\.[^.]+$", "")
     number = F.when(stem.rlike("^[0-9]+$"), stem.try_cast("long"))
     order = [number.isNull(), number, F.when(number.isNotNull(), extension(F.col("file"))), F.lower("file"), "file"]
-    # rises along the order: the number, or a value above all numbers that grows with the first six bytes of the name
-    letters = F.conv(F.hex(F.substring(F.encode(F.lower("file"), "UTF-8"), 1, 6)), 16, 10).cast("double")
-    images = images.withColumn("_by", F.coalesce(F.least(number.cast("double"), F.lit(1e15)), letters + 1e16))
-    return number_by_quantile(images, keys, order, "_by", "pos").select(*keys, "file", "pos")
+    return number_by_range(images, keys, order, "pos").select(*keys, "file", "pos")
 
 
 def file_inventory(files: DataFrame, examples: int = 3) -> DataFrame:

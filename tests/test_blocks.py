@@ -148,12 +148,12 @@ def test_curve_areas(spark, hot_rows):
 
 
 @pytest.mark.parametrize("hot_rows", [2, 10_000])
-def test_number_by_quantile(spark, hot_rows):
+def test_number_by_range(spark, hot_rows):
     rng = random.Random(9)
     data = [(k, rng.randrange(30), i) for i, k in enumerate([1] * 70 + [2] * 20 + [3])]
     df = spark.createDataFrame(data, "k long, at long, id long").repartition(6)
     want = sorted((k, i, n) for key in (1, 2, 3) for n, (k, _, i) in enumerate(sorted(d for d in data if d[0] == key)))
-    assert rows(B.number_by_quantile(df, ["k"], ["at", "id"], "at", hot_rows=hot_rows), "k", "id", "idx") == want
+    assert rows(B.number_by_range(df, ["k"], ["at", "id"], hot_rows=hot_rows), "k", "id", "idx") == want
 
 
 def test_number_rows_global(spark):
@@ -168,7 +168,7 @@ def test_range_join(spark, size):
     data = make(10)
     spans = [(sid, a, a + w) for sid in data for a, w in ((0, 5), (3, 0), (2, 200), (50, 20))]
     df = spark.createDataFrame(spans, "series_id long, start_idx long, end_idx long")
-    got = B.range_join(frame(spark, data), df, size=size)
+    got = B.range_join(frame(spark, data), df)
     want = sorted((sid, i, a, b) for sid, a, b in spans for i in range(len(data[sid])) if a <= i <= b)
     assert rows(got, "series_id", "idx", "start_idx", "end_idx") == want
 
@@ -225,11 +225,11 @@ def test_adaptive_matches_loop(spark):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("hot_rows", [5, 10_000])
-def test_top_rows_beyond_the_pushed_limit(spark, hot_rows, monkeypatch):
-    monkeypatch.setattr(B, "GROUP_LIMIT", 4)
+@pytest.mark.parametrize("limit", [4, 1000])
+def test_top_rows_beyond_the_pushed_limit(spark, limit, monkeypatch):
+    monkeypatch.setattr(B, "GROUP_LIMIT", limit)
     data = make(13)
     want = sorted((sid, i, n + 1) for sid, x in data.items()
                   for n, i in enumerate(sorted(range(len(x)), key=lambda i: (-x[i], i))[:20]))
-    got = B.top_rows(frame(spark, data), B.KEY, 20, hot_rows=hot_rows)
+    got = B.top_rows(frame(spark, data), B.KEY, 20)
     assert rows(got, "series_id", "idx", "_rn") == want

@@ -35,14 +35,18 @@ def _lines(text: str) -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def _tokens(line: str) -> Column:
-    """Tokens of a line, those with a digit as variable fields; empty for a blank line."""
-    cut = F.filter(F.split(F.col(line), SPACES, -1), lambda t: t != "")
-    return F.transform(cut, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+def _words(line: str) -> Column:
+    """Tokens of a line that is not blank."""
+    return F.split(F.btrim(F.col(line), F.lit(" \t\n\x0b\x0c\r")), SPACES, -1)
 
 
-def _leaf(tokens: str, leading: int) -> Column:
-    return F.xxhash64(F.size(tokens), F.slice(F.col(tokens), 1, leading))
+def _masked(tokens: Column) -> Column:
+    """Tokens with a digit as variable fields."""
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+
+
+def _leaf(words: str, leading: int) -> Column:
+    return F.xxhash64(F.size(words), _masked(F.slice(F.col(words), 1, leading)))
 
 
 def recurring_lines(
@@ -55,24 +59,25 @@ def recurring_lines(
         F.col(key).alias("_id"), whole.alias("_text"), F.xxhash64(whole).alias("_hash"), F.octet_length(whole).alias("_len")
     )
     lines = known.select("_id", "_hash", "_len", F.posexplode(_lines("_text")).alias("no", "line"))
-    lines = lines.withColumn("_tokens", _tokens("line")).filter(F.size("_tokens") > 0)
-    lines = lines.withColumn("leaf", _leaf("_tokens", leading)).drop("_tokens")
+    lines = lines.filter(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "").withColumn("_words", _words("line"))
+    lines = lines.withColumn("leaf", _leaf("_words", leading)).drop("_words")
 
     leaves = lines.select("leaf", "_id").distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
     leaves = written(leaves, "template-leaves")
     candidates = written(lines.join(leaves, "leaf"), "template-lines")
 
     counted = candidates.select("leaf", "line", "_id").distinct().groupBy("leaf", "line").agg(F.count("*").alias("docs"))
-    counted = written(counted, "template-counts")
-    placed = counted.select("leaf", "line", "docs", F.posexplode(_tokens("line")).alias("place", "token"))
+    counted = written(counted.withColumn("line_no", F.monotonically_increasing_id()), "template-counts")
+    placed = counted.select("leaf", "line_no", "docs", F.posexplode(_masked(_words("line"))).alias("place", "token"))
     support = placed.filter(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("held"))
     support = written(support.filter(F.col("held") >= min_docs).drop("held"), "template-tokens").withColumn("fixed", F.lit(1))
-    formed = placed.join(support, ["leaf", "place", "token"], "left").groupBy("leaf", "line").agg(
+    formed = placed.join(support, ["leaf", "place", "token"], "left").groupBy("line_no").agg(
         F.sort_array(F.collect_list(F.struct("place", F.when(F.col("fixed") == 1, F.col("token")).otherwise(FIELD).alias("t")))).alias("parts"),
         F.coalesce(F.sum("fixed"), F.lit(0)).alias("fixed"), F.count("*").alias("size"),
     )
-    formed = formed.select("leaf", "line", "fixed", "size", F.array_join("parts.t", " ").alias("template"))
-    formed = written(formed.filter(F.col("fixed") >= F.lit(constant) * F.col("size")), "template-formed")
+    formed = formed.filter(F.col("fixed") >= F.lit(constant) * F.col("size"))
+    formed = formed.select("line_no", F.array_join("parts.t", " ").alias("template"))
+    formed = written(counted.select("leaf", "line", "line_no").join(formed, "line_no").drop("line_no"), "template-formed")
 
     seen = candidates.select("leaf", "line", "_id").distinct().join(formed, ["leaf", "line"])
     templates = seen.select("leaf", "template", "_id").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-JUDGEMENT_SCHEMA = "correctness INT, specificity INT, completeness INT, fluency INT, justification STRING"
+JUDGEMENT_SCHEMA = "correctness STRING, specificity STRING, completeness STRING, fluency STRING, justification STRING"
+_STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
 CRITERIA = ("correctness", "specificity", "completeness", "fluency")
 FAILURE = "ERROR"
 
@@ -36,13 +37,25 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+"))
 
 
+def is_json_object(body: Column) -> Column:
+    """Whether the whole text is one JSON object in double quotes, with nothing after it.
+
+    The parser stops at the end of a first value. So the text is read once as the only element of a list and once as a
+    member of an object: whatever follows it breaks one of the two."""
+    listed = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", _STRICT)
+    member = F.from_json(F.concat(F.lit('{"v":'), body, F.lit("}")), "v string", _STRICT)
+    whole = F.startswith(body, F.lit("{")) & (F.size(listed) == 1) & F.get(listed, F.lit(0)).isNotNull() & member["v"].isNotNull()
+    return F.coalesce(whole, F.lit(False))
+
+
 def parse_reply(raw: Column) -> Column:
-    """``explanation`` of a JSON reply, with or without a code fence; the raw text when there is none."""
+    """``explanation`` of a strict JSON reply, with or without a code fence; else the raw text."""
     text = strip(raw)
     fenced = F.split_part(text, F.lit("```"), F.lit(2))
     fenced = F.when(F.startswith(fenced, F.lit("json")), F.substring(fenced, 5, 2147483647)).otherwise(fenced)
     body = F.when(F.startswith(text, F.lit("```")), fenced).otherwise(text)
-    return F.coalesce(F.get_json_object(strip(body), "$.explanation"), text)
+    body = strip(body)
+    return F.coalesce(F.when(is_json_object(body), F.get_json_object(body, "$.explanation")), text)
 
 
 def turn_label(turns: Column) -> Column:
@@ -56,7 +69,8 @@ def explanation_json(text: Column) -> Column:
 
 
 def judge_prompt(human: Column, ai: Column) -> Column:
-    """Message to the judge, in the fixed form its rubric expects."""
+    """Message to the judge."""
+    # fixed value: the form its rubric expects
     return F.concat(
         F.lit('HUMAN ground-truth explanation:\n"'), human,
         F.lit('"\n\nAI-generated explanation:\n"'), ai, F.lit('"'),
@@ -66,11 +80,14 @@ def judge_prompt(human: Column, ai: Column) -> Column:
 def parse_judgement(reply: Column) -> Column:
     """Struct of four ratings and a justification.
 
-    A rating outside 1..5 becomes null. A reply that is no JSON object keeps its row with null ratings and an
-    ``ERROR:`` justification.
+    Ratings may be written as ``4``, ``4.0`` or ``"4"``; one outside 1..5 or between two numbers becomes null. A reply that
+    is not one strict JSON object keeps its row with null ratings and an ``ERROR:`` justification.
     """
-    parsed = F.from_json(reply, JUDGEMENT_SCHEMA, {"mode": "PERMISSIVE"})
-    usable = F.startswith(F.ltrim(F.coalesce(reply, F.lit(""))), F.lit("{")) & F.get_json_object(reply, "$").isNotNull()
-    ratings = [F.when(usable & parsed[c].between(1, 5), parsed[c]).alias(c) for c in CRITERIA]
+    body = strip(reply)
+    parsed, usable = F.from_json(body, JUDGEMENT_SCHEMA, _STRICT), is_json_object(body)
+    number = {c: parsed[c].try_cast("double") for c in CRITERIA}
+    ratings = [
+        F.when(usable & number[c].between(1, 5) & (number[c] == F.floor(number[c])), number[c].cast("int")).alias(c) for c in CRITERIA
+    ]
     failure = F.concat(F.lit(f"{FAILURE}: "), F.coalesce(reply, F.lit("no reply")))
     return F.struct(*ratings, F.when(usable, parsed["justification"]).otherwise(failure).alias("justification"))

@@ -212,9 +212,10 @@ def disjoint_join(
     both = opened.unionByName(passed, allowMissingColumns=True)
     in_order = within(keys, "_at", F.col("_span").isNull())
     earlier = F.max(F.col(f"_span.{hi}").cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.assert_true(F.col("_row").isNotNull() | F.coalesce(F.col("_reach") < F.col("_at"), F.lit(True)), F.lit("spans overlap"))
     met = both.withColumns({"_latest": F.last("_span", ignorenulls=True).over(in_order), "_reach": earlier})
-    met = met.filter(apart.isNull() & F.col("_row").isNotNull())
+    clash = F.col("_row").isNull() & F.coalesce(F.col("_reach") >= F.col("_at"), F.lit(False))
+    met = met.withColumn("_clash", F.max(clash).over(in_order)).filter(F.col("_row").isNotNull())
+    met = met.filter(F.assert_true(~F.col("_clash"), F.lit("spans overlap")).isNull())
     inside = F.coalesce(F.col("_at") <= F.col(f"_latest.{hi}"), F.lit(False))
     if how == "inner":
         met = met.filter(inside)

@@ -19,14 +19,14 @@ from .sampling import hash_number, uniform_frames
 
 IMAGE = "<image>"
 SYSTEM = (
-    "You analyse frames of a surveillance recording. Each frame comes with the anomaly score of its snippet "
-    '(0 = normal, 1 = highly anomalous). Answer with one JSON object: {"explanation": "..."}'
+    "Stills of one camera follow, with a detector's rating between 0 (usual) and 1 (unusual) for each. "
+    'Reply in JSON with a single key: {"explanation": "..."}'
 )
-# fixed values: answers given to recordings without an anomaly, in rotation
+# answers given to recordings without an anomaly, in rotation
 NORMAL_LABELS = (
-    "No anomalous activity is visible in this video.",
-    "There is no anomaly in this video.",
-    "The video shows only normal activity.",
+    "Everything seen here is everyday behaviour.",
+    "Nothing out of the ordinary happens.",
+    "People and vehicles move as expected throughout.",
 )
 
 
@@ -37,8 +37,8 @@ def image_lines(n: Column) -> Column:
 
 def score_prompt(scores: Column) -> Column:
     return F.concat(
-        F.lit("Anomaly scores for each shown frame (temporal order): ["), text.score_text(scores, 4),
-        F.lit("]\nDescribe the anomalous activity."),
+        F.lit("Detector ratings of the stills, earliest first: ["), text.score_text(scores, 4),
+        F.lit("]\nWhat is unusual here?"),
     )
 
 
@@ -62,12 +62,9 @@ def segment_list(segments: Column) -> Column:
 def video_prompt(n_snip: Column, segments: Column, gate_score: Column, picks: Column) -> Column:
     """Description of a flagged recording from its segments, gate score and picked snippets."""
     return F.concat(
-        F.lit("This video has "), n_snip.cast("string"),
-        F.lit(" temporal snippets (~16 frames each). Segments flagged as anomalous: ["), segment_list(segments),
-        F.lit("]. Video-level anomaly gate score: "), F.format_string("%.3f", gate_score),
-        F.lit(". Below are "), F.size(picks).cast("string"),
-        F.lit(" frames from the anomalous segments. Per-snippet anomaly scores: ["),
-        text.labelled_score_text(picks, "snippet", 3), F.lit("]."),
+        F.lit("Recording of "), n_snip.cast("string"), F.lit(" snippets; suspicious parts: ["), segment_list(segments),
+        F.lit("]; overall rating "), F.format_string("%.3f", gate_score), F.lit("; stills attached: "),
+        F.size(picks).cast("string"), F.lit(", rated ["), text.labelled_score_text(picks, "snippet", 3), F.lit("]."),
     )
 
 
@@ -77,11 +74,11 @@ def segment_prompt(variant: Column, start: Column, end: Column, picks: Column) -
     Variants: ``frames_only``, ``frames_plus_score``, ``frames_score_heatmap``.
     """
     with_scores = variant != "frames_only"
-    scored = F.concat(F.lit(" Per-frame anomaly scores: ["), text.labelled_score_text(picks, "frame", 2), F.lit("]."))
-    mapped = F.lit(" Each frame is followed by its anomaly heatmap overlay.")
+    scored = F.concat(F.lit(" Ratings: ["), text.labelled_score_text(picks, "frame", 2), F.lit("]."))
+    mapped = F.lit(" After every still comes a map of where the rating stems from.")
     return F.concat(
-        F.format_string("Segment frames %d-%d (%d frames). ", start, end, end - start),
-        F.format_string("You are shown %d sampled frames.", F.size(picks)),
+        F.format_string("Excerpt from frame %d up to %d, %d in all; ", start, end, end - start),
+        F.format_string("stills attached: %d.", F.size(picks)),
         F.when(with_scores, scored).otherwise(F.lit("")),
         F.when(variant == "frames_score_heatmap", mapped).otherwise(F.lit("")),
     )
@@ -98,22 +95,20 @@ def retrieval_prompt(
     thin = lambda s, k: arrays.take_positions(s, arrays.uniform_round(F.size(s), k))
     sim = F.when(F.col("sim").isNull(), F.lit("n/a")).otherwise(F.format_string("%.3f", F.col("sim")))
     shown = F.concat(
-        F.format_string("\n--- EXAMPLE %d (similarity=", F.col("rank")), sim, F.lit(") ---\n"),
-        F.lit("Per-snippet anomaly scores: ["), text.score_text(thin(F.col("scores"), per_example), 4),
-        F.lit(']\nCorrect explanation: "'), F.col("label"), F.lit('"'),
+        F.format_string("\n[case %d, likeness ", F.col("rank")), sim, F.lit("]\n"),
+        F.lit("ratings: ["), text.score_text(thin(F.col("scores"), per_example), 4),
+        F.lit(']\nanswer: "'), F.col("label"), F.lit('"'),
     )
     parts = ranked.join(examples.select("index_id", "scores", "label"), "index_id").select("query_id", "rank", shown.alias("part"))
     ordered = F.array_sort(F.collect_list(F.struct("rank", "part")))  # at most k rows per query
     gathered = parts.groupBy("query_id").agg(F.transform(ordered, lambda p: p["part"]).alias("parts"))
     rows = queries.join(gathered, "query_id", "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<string>")))
     prompt = F.concat(
-        F.format_string("You will be shown %d EXAMPLE videos with their correct explanations, ", F.size("parts")),
-        F.lit("then asked to explain a NEW video in the same style.\n"),
+        F.format_string("Answered cases to learn from: %d. Answer the open one likewise.\n", F.size("parts")),
         F.array_join("parts", "\n"),
-        F.format_string("\n\n=== NEW VIDEO (please explain) ===\nThis video has %d temporal snippets. ", F.col("n_snip")),
-        F.format_string("Gate score: %.3f.\n", F.col("gate_score")),
-        F.lit("Per-snippet anomaly scores for this new video: ["), text.score_text(thin(F.col("scores"), per_query), 4),
-        F.lit("]\nNow describe the anomalous activity in this new video."),
+        F.format_string("\n\n[open case]\nsnippets: %d, ", F.col("n_snip")),
+        F.format_string("overall rating: %.3f\n", F.col("gate_score")),
+        F.lit("ratings: ["), text.score_text(thin(F.col("scores"), per_query), 4), F.lit("]\nanswer:"),
     )
     return rows.select("query_id", F.size("parts").alias("n_examples"), prompt.alias("prompt"))
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import (
     BLOCK_ROWS, KEY, attach, disjoint_join, explode_range, halo, number_rows, range_join, solid, top_rows, with_block, with_prior,
@@ -67,10 +68,15 @@ def gaussian_smooth(
             padded = np.zeros(at[-1] + 1 + 2 * half)
             padded[at + half] = value[lo:hi]
             smoothed[lo:hi] = np.correlate(padded, kernel, "valid")[at]
-        return rows.assign(score=smoothed)[core][[*keys, "idx", "score"]]
+        # a NaN sent back from pandas would arrive as null
+        return rows.assign(score=smoothed, undefined=np.isnan(smoothed))[core][[*keys, "idx", "score", "undefined"]]
 
     ordered = spread.repartition(*group).sortWithinPartitions(*group, "idx")
-    return ordered.mapInPandas(smooth, plain.schema)
+    smoothed = ordered.mapInPandas(smooth, T.StructType([
+        *plain.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("undefined", T.BooleanType())
+    ]))
+    score = F.when(F.col("undefined"), float("nan")).otherwise(F.col("score"))
+    return smoothed.select(*keys, "idx", score.alias("score"))
 
 
 def minmax(df: DataFrame, mode: str = "keep", keys: Sequence[str] = KEY, size: int = BLOCK_ROWS) -> DataFrame:

@@ -111,60 +111,104 @@ def topk_similar(
     """Exact cosine top-k: ``(query_id, rank, index_id, sim)``, rank from 1, ties by index id.
 
     ``queries`` has ``query_id, vec``, ``index`` has ``index_id, vec``, both with unit vectors (and ``group``, e.g. an
-    encoder, when given: only equal groups meet). The index is dealt into ``parts`` by id (twice the shuffle partitions by default); each side is packed into
-    blocks of at most ``block`` vectors, query blocks are sent to every part, and a task multiplies two blocks at a
-    time and keeps k rows per query. No pair of vectors becomes a row and no side is broadcast or collected.
+    encoder, when given: only equal groups meet). Both sides are dealt into strips by id, about the square root of
+    ``parts`` on each side (twice the shuffle partitions by default), and every strip of one side meets every strip of the
+    other: a vector is copied once per strip of the other side, not once per part. Strips travel as blocks of ``block``
+    vectors; a task multiplies two blocks at a time and holds the best k of the query block at hand, so k rows per query
+    leave each strip of the index. No pair of vectors becomes a row and no side is broadcast or collected.
     A zero query has no direction: it gets the first k of the index with a null similarity.
     """
     by = [group] if group else []
-    parts = parts or 2 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed_q = _pack(queries.select(*by, F.col("query_id").alias("id"), "vec"), by, block, "q")
-    packed_i = _pack(
-        index.select(*by, F.col("index_id").alias("id"), "vec", F.pmod(F.xxhash64("index_id"), F.lit(parts)).alias("part")),
-        [*by, "part"], block, "i",
-    )
-    spread = packed_q.withColumn("part", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")))
-    # a merge join streams the blocks of a part and spills; the planner cannot size packed buffers
-    met = spread.join(packed_i.hint("merge"), [*by, "part"]).select(*by, "q_ids", "q_vecs", "i_ids", "i_vecs")
+    ranked = _ranked(local_topk(queries, index, k, group, block, parts), by, k)
+    return ranked.select(*by, "query_id", "rank", "index_id", F.when(~F.col("zero"), F.col("sim")).alias("sim"))
+
+
+def _ranked(local: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    order = Window.partitionBy(*by, "query_id").orderBy(F.desc("sim"), "index_id")
+    return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def local_topk(
+    queries: DataFrame, index: DataFrame, k: int, group: str | None = None, block: int = 2048, parts: int | None = None
+) -> DataFrame:
+    """The best k of every query in each strip of the index."""
+    by = [group] if group else []
+    side = max(1, round((parts or 2 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))) ** 0.5))
+    strip = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    packed_q = _pack(queries.select(*by, strip("query_id").alias("row"), F.col("query_id").alias("id"), "vec"), [*by, "row"], block, "q")
+    packed_i = _pack(index.select(*by, strip("index_id").alias("col"), F.col("index_id").alias("id"), "vec"), [*by, "col"], block, "i")
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    # a merge join streams, for each query block, the index blocks of a cell, and spills
+    met = packed_q.withColumn("col", every).join(packed_i.withColumn("row", every).hint("merge"), [*by, "row", "col"])
+    met = met.select(*by, "row", "col", "q_ids", "q_vecs", "i_ids", "i_vecs")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # cell and ids of the query block at hand, its vectors, the best ids and similarities so far
+
+        def found() -> pd.DataFrame:
+            (cell, ids), vectors, best_ids, best_sims = held
+            n = best_ids.shape[1]
+            return pd.DataFrame({
+                **{c: [v] * best_ids.size for c, v in zip(by, cell)}, "query_id": np.repeat(np.frombuffer(ids, "<i8"), n),
+                "index_id": best_ids.ravel(), "sim": best_sims.ravel(), "zero": np.repeat(~vectors.any(axis=1), n),
+            })
+
         for batch in batches:
             for row in batch.itertuples(index=False):
-                q_ids, i_ids = np.asarray(row.q_ids), np.asarray(row.i_ids)
-                q = np.frombuffer(row.q_vecs, dtype="<f8").reshape(len(q_ids), -1)
-                i = np.frombuffer(row.i_vecs, dtype="<f8").reshape(len(i_ids), -1)
-                sims = q @ i.T
+                q_ids, i_ids = np.asarray(row.q_ids, "<i8"), np.asarray(row.i_ids, "<i8")
+                name = (tuple(getattr(row, c) for c in (*by, "row", "col")), q_ids.tobytes())
+                if held is None or held[0] != name:
+                    if held is not None:
+                        yield found()
+                    q = np.frombuffer(row.q_vecs, "<f8").reshape(len(q_ids), -1)
+                    held = (name, q, np.zeros((len(q_ids), 0), "<i8"), np.zeros((len(q_ids), 0)))
+                _, q, best_ids, best_sims = held
+                sims = q @ np.frombuffer(row.i_vecs, "<f8").reshape(len(i_ids), -1).T
                 # ids ascend inside a block, so a stable sort breaks ties by id; all of a zero query's are ties
                 top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                n = top.shape[1]
-                found = {"query_id": np.repeat(q_ids, n), "index_id": i_ids[top].ravel(),
-                         "sim": np.take_along_axis(sims, top, 1).ravel(), "zero": np.repeat(~q.any(axis=1), n)}
-                yield pd.DataFrame({**{c: [getattr(row, c)] * (n * len(q_ids)) for c in by}, **found})
+                ids = np.concatenate([best_ids, i_ids[top]], axis=1)
+                sims = np.concatenate([best_sims, np.take_along_axis(sims, top, 1)], axis=1)
+                order = np.argsort(ids, axis=1, kind="stable")
+                ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+                order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                held = (name, q, np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1))
+        if held is not None:
+            yield found()
 
     kinds = [f"{c} {met.schema[c].dataType.simpleString()}" for c in by]
-    local = met.mapInPandas(best, ", ".join([*kinds, "query_id long, index_id long, sim double, zero boolean"]))
-    order = Window.partitionBy(*by, "query_id").orderBy(F.desc("sim"), "index_id")
-    ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select(*by, "query_id", "rank", "index_id", F.when(~F.col("zero"), F.col("sim")).alias("sim"))
+    return met.mapInPandas(best, ", ".join([*kinds, "query_id long, index_id long, sim double, zero boolean"]))
 
 
 def _pack(df: DataFrame, keys: Sequence[str], block: int, side: str) -> DataFrame:
-    """Blocks of at most ``block`` vectors per key as one id array and one buffer of doubles; ids ascend in a block."""
+    """Blocks of ``block`` vectors per key as one id array and one buffer of doubles; ids ascend in a block.
+
+    Rows come sorted by key and id, and a block that a batch leaves open is filled from the next."""
     columns = [*keys, f"{side}_ids", f"{side}_vecs"]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key, ids, vectors = None, [], []
+
+        def packed() -> pd.DataFrame:
+            data = np.ascontiguousarray(np.stack(vectors), dtype="<f8").tobytes()
+            return pd.DataFrame([[*open_key, np.array(ids, "<i8"), data]], columns=columns)
+
         for batch in batches:
-            groups = batch.groupby(list(keys), sort=False) if keys else [((), batch)]
-            for key, rows in groups:
-                rows = rows.sort_values("id", kind="stable")
-                for at in range(0, len(rows), block):
-                    cut = rows.iloc[at:at + block]
-                    data = np.ascontiguousarray(np.stack(cut["vec"].to_numpy()), dtype="<f8").tobytes()
-                    yield pd.DataFrame([[*key, cut["id"].to_numpy(), data]], columns=columns)
+            for key, one, vec in zip(zip(*(batch[c] for c in keys)), batch["id"], batch["vec"]):
+                if key != open_key or len(ids) == block:
+                    if ids:
+                        yield packed()
+                    open_key, ids, vectors = key, [], []
+                ids.append(one)
+                vectors.append(vec)
+        if ids:
+            yield packed()
 
     kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in keys]
     schema = ", ".join([*kinds, f"{side}_ids array<long>, {side}_vecs binary"])
-    rows = df.repartition(*keys, F.pmod(F.xxhash64("id"), F.lit(64))) if keys else df
+    # a strip is spread over a few tasks, each of which fills its own blocks
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(*keys, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, round(tasks ** 0.5)))))
+    rows = rows.sortWithinPartitions(*keys, "id")
     return rows.withColumn("vec", F.col("vec").cast("array<double>")).mapInPandas(pack, schema)
 
 

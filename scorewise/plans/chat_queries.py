@@ -15,7 +15,7 @@ from scorewise.operators import scoring, splits
 from scorewise.operators import series as S
 from scorewise.operators import vectors as V
 from scorewise.sources import readers, writers
-from scorewise.sources.shared import shared_folder
+from scorewise.sources.shared import shared_folder, written
 
 from . import fixtures as fx
 from .registry import query
@@ -33,51 +33,54 @@ def scratch(spark, name: str) -> str:
 
 # --- text ------------------------------------------------------------------------------------------------------
 
-_TOP5 = """select series_id, list(struct_pack(idx := idx, score := score) order by idx) p from (select *, row_number() over
- (partition by series_id order by score desc, idx) rn from scores) where rn <= 5 group by 1"""
+_LISTED = "select series_id, list(struct_pack(idx := idx, score := score) order by idx) p from scores group by 1"
 
 
-def top5(spark, sf):
-    rows = P.topk_snippet_frames(fx.scores(spark, sf), fx.videos(spark, sf))
-    return rows.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("idx", "score"))).alias("p"))
+def listed(spark, sf):
+    """All scores of a series as one array: recordings of the stand-in have some dozens of snippets."""
+    return fx.scores(spark, sf).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("idx", "score"))).alias("p"))
 
 
 @query(
     "score_text", "series_id:i plain:s snippets:s frames:s",
     """select series_id, list_aggregate(list_transform(p, lambda x: printf('%.4f', x.score)), 'string_agg', ', ') plain,
  list_aggregate(list_transform(p, lambda x: printf('snippet %d=%.3f', x.idx, x.score)), 'string_agg', ', ') snippets,
- list_aggregate(list_transform(p, lambda x: printf('frame %d=%.2f', x.idx, x.score)), 'string_agg', ', ') frames from top5""",
-    top5=_TOP5,
+ list_aggregate(list_transform(p, lambda x: printf('frame %d=%.2f', x.idx, x.score)), 'string_agg', ', ') frames from arrays""",
+    arrays=_LISTED,
 )
 def _(spark, sf):
     p = F.col("p")
-    return top5(spark, sf).select(
+    return listed(spark, sf).select(
         "series_id", text.score_text(F.transform(p, lambda x: x["score"])).alias("plain"),
         text.labelled_score_text(p, "snippet", 3).alias("snippets"), text.labelled_score_text(p, "frame", 2).alias("frames"),
     )
 
 
-_RAW = r"""select doc_id, case doc_id%5 when 0 then '```json' || chr(10) || '{"explanation": "' || lang || ' ' || source || '"}' || chr(10) || '```'
+_RAW = r"""select doc_id, case doc_id%8 when 0 then '```json' || chr(10) || '{"explanation": "' || lang || ' ' || source || '"}' || chr(10) || '```'
  when 1 then '  {"explanation": "' || source || '"} ' when 2 then '```{"explanation": "' || lang || '"}```'
- when 3 then '{"other": 1}' else text end raw, lang, source, text from documents"""
+ when 3 then '{"other": 1}' when 5 then '{"explanation": "' || source || '"} and more' when 6 then '{''explanation'': ''' || source || '''}'
+ when 7 then '{"explanation": "' || source || '"}, {"explanation": "x"}' else text end raw, lang, source, text from documents"""
 
 
 def raw_replies(spark, sf):
-    kind = F.col("doc_id") % 5
+    kind = F.col("doc_id") % 8
     said = lambda v: F.concat(F.lit('{"explanation": "'), v, F.lit('"}'))
     raw = (
         F.when(kind == 0, F.concat(F.lit("```json\n"), said(F.concat_ws(" ", "lang", "source")), F.lit("\n```")))
         .when(kind == 1, F.concat(F.lit("  "), said(F.col("source")), F.lit(" ")))
         .when(kind == 2, F.concat(F.lit("```"), said(F.col("lang")), F.lit("```")))
-        .when(kind == 3, F.lit('{"other": 1}')).otherwise(F.col("text"))
+        .when(kind == 3, F.lit('{"other": 1}'))
+        .when(kind == 5, F.concat(said(F.col("source")), F.lit(" and more")))
+        .when(kind == 6, F.concat(F.lit("{'explanation': '"), "source", F.lit("'}")))
+        .when(kind == 7, F.concat(said(F.col("source")), F.lit(', {"explanation": "x"}'))).otherwise(F.col("text"))
     )
     return fx.table(spark, sf, "documents").select("doc_id", raw.alias("raw"))
 
 
 @query(
     "parse_reply", "doc_id:i explanation:s",
-    """select doc_id, case doc_id%5 when 0 then lang || ' ' || source when 1 then source when 2 then lang when 3 then raw
- else trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) end explanation from raws""",
+    """select doc_id, case doc_id%8 when 0 then lang || ' ' || source when 1 then source when 2 then lang
+ when 4 then trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) else raw end explanation from raws""",
     raws=_RAW,
 )
 def _(spark, sf):
@@ -103,19 +106,23 @@ def _(spark, sf):
 
 @query(
     "parse_judgement", "video_id:i correctness:i specificity:i completeness:i fluency:i justification:s",
-    """select video_id, case when video_id%9=0 then null when video_id%9=1 then null else correctness end correctness,
- case when video_id%9<>0 then specificity end specificity, case when video_id%9<>0 then completeness end completeness,
- case when video_id%9<>0 then fluency end fluency,
- case when video_id%9=0 then 'ERROR: no answer' else scene end justification from judged""",
+    """select video_id, case when video_id%9 in (0, 1, 4) then null else correctness end correctness,
+ case when video_id%9 not in (0, 4) then specificity end specificity, case when video_id%9 not in (0, 4) then completeness end completeness,
+ case when video_id%9 not in (0, 4) then fluency end fluency,
+ case when video_id%9=0 then 'ERROR: no answer' when video_id%9=4 then 'ERROR: {"correctness":3} so be it' else scene end justification from judged""",
 )
 def _(spark, sf):
-    """Every ninth reply is no JSON, and every ninth rates correctness outside the scale."""
+    """Of nine replies one is no JSON, one goes on after it, one rates outside the scale, and two write ratings as texts or
+    with a decimal point."""
     kind = F.col("video_id") % 9
-    rated = F.to_json(F.struct(
-        F.when(kind == 1, 9).otherwise(F.col("correctness")).alias("correctness"), "specificity", "completeness", "fluency",
-        F.col("scene").alias("justification"),
+    rated = lambda form: F.to_json(F.struct(
+        F.when(kind == 1, 9).otherwise(F.col("correctness")).cast(form).alias("correctness"),
+        *[F.col(c).cast(form).alias(c) for c in ("specificity", "completeness", "fluency")], F.col("scene").alias("justification"),
     ))
-    reply = F.when(kind == 0, "no answer").otherwise(rated)
+    reply = (
+        F.when(kind == 0, "no answer").when(kind == 4, '{"correctness":3} so be it').when(kind == 2, rated("double"))
+        .when(kind == 3, rated("string")).otherwise(rated("int"))
+    )
     rows = fx.judged(spark, sf).select("video_id", text.parse_judgement(reply).alias("j"))
     return rows.select("video_id", "j.*")
 
@@ -139,9 +146,9 @@ def picked_spans(spark, sf):
 
 @query(
     "video_prompt", "series_id:i prompt:s",
-    """select series_id, 'This video has ' || n_snip || ' temporal snippets (~16 frames each). Segments flagged as anomalous: [' ||
- case when series_id%4=0 then 'unknown' else printf('snippets %d-%d', a, b) end || ']. Video-level anomaly gate score: ' || printf('%.3f', g) ||
- '. Below are ' || len(p) || ' frames from the anomalous segments. Per-snippet anomaly scores: [' ||
+    """select series_id, 'Recording of ' || n_snip || ' snippets; suspicious parts: [' ||
+ case when series_id%4=0 then 'unknown' else printf('snippets %d-%d', a, b) end || ']; overall rating ' || printf('%.3f', g) ||
+ '; stills attached: ' || len(p) || ', rated [' ||
  list_aggregate(list_transform(p, lambda x: printf('snippet %d=%.3f', x.idx, x.score)), 'string_agg', ', ') || '].' prompt
  from picked join videos using (series_id) join (select series_id, max(score) g from scores group by 1) using (series_id)""",
     span=_SPAN, **picks_steps("scores", "select * from span"), picked=_PICKED,
@@ -156,10 +163,10 @@ def _(spark, sf):
 
 @query(
     "segment_prompt", "series_id:i variant:s prompt:s",
-    """select series_id, variant, printf('Segment frames %d-%d (%d frames). You are shown %d sampled frames.', a, b+1, b+1-a, len(p)) ||
- case when variant <> 'frames_only' then ' Per-frame anomaly scores: [' || list_aggregate(list_transform(p, lambda x:
+    """select series_id, variant, printf('Excerpt from frame %d up to %d, %d in all; stills attached: %d.', a, b+1, b+1-a, len(p)) ||
+ case when variant <> 'frames_only' then ' Ratings: [' || list_aggregate(list_transform(p, lambda x:
  printf('frame %d=%.2f', x.idx, x.score)), 'string_agg', ', ') || '].' else '' end || case when variant='frames_score_heatmap' then
- ' Each frame is followed by its anomaly heatmap overlay.' else '' end prompt
+ ' After every still comes a map of where the rating stems from.' else '' end prompt
  from picked, (select unnest(['frames_only', 'frames_plus_score', 'frames_score_heatmap']) variant)""",
     span=_SPAN, **picks_steps("scores", "select * from span"), picked=_PICKED,
 )
@@ -171,30 +178,32 @@ def _(spark, sf):
 
 
 _TEXT4 = "list_aggregate(list_transform({0}, lambda x: printf('%.4f', x)), 'string_agg', ', ')"
-_THIN4 = "list_transform(list_distinct([0, cast(round_even((len({0})-1)/3.0, 0) as bigint), cast(round_even(2*(len({0})-1)/3.0, 0) as bigint), len({0})-1]).list_sort(), lambda i: {0}[i+1])"
+
+
+def _thin(scores: str, k: int) -> str:
+    return f"""(case when len({scores}) <= {k} then {scores} else list_transform(list_sort(list_distinct(list_transform(range({k}),
+ lambda i: cast(round_even(i*(len({scores})-1)/{k - 1}.0, 0) as bigint)))), lambda i: {scores}[i+1]) end)"""
 
 
 @query(
     "retrieval_prompt", "query_id:i n_examples:i prompt:s",
-    f"""select t.query_id, coalesce(n, 0) n_examples, 'You will be shown ' || coalesce(n, 0) || ' EXAMPLE videos with their correct explanations, then asked to explain a NEW video in the same style.'
- || chr(10) || coalesce(parts, '') || chr(10) || chr(10) || '=== NEW VIDEO (please explain) ===' || chr(10) || 'This video has ' || n_snip || ' temporal snippets. Gate score: '
- || printf('%.3f', g) || '.' || chr(10) || 'Per-snippet anomaly scores for this new video: [' || {_TEXT4.format("s.sc")} || ']' || chr(10) ||
- 'Now describe the anomalous activity in this new video.' prompt from (select distinct query_id from ranked) t join sc s on s.series_id=t.query_id
+    f"""select t.query_id, coalesce(n, 0) n_examples, 'Answered cases to learn from: ' || coalesce(n, 0) || '. Answer the open one likewise.'
+ || chr(10) || coalesce(parts, '') || chr(10) || chr(10) || '[open case]' || chr(10) || 'snippets: ' || n_snip || ', overall rating: '
+ || printf('%.3f', g) || chr(10) || 'ratings: [' || {_TEXT4.format(_thin("s.sc", 12))} || ']' || chr(10) || 'answer:' prompt from (select distinct query_id from ranked) t join sc s on s.series_id=t.query_id
  join (select series_id, count(*) n_snip, max(score) g from scores group by 1) z on z.series_id=t.query_id
- left join (select query_id, count(*) n, string_agg(chr(10) || '--- EXAMPLE ' || rank ||
- ' (similarity=' || case when sim is null then 'n/a' else printf('%.3f', sim) end || ') ---' || chr(10) || 'Per-snippet anomaly scores: [' ||
- {_TEXT4.format(_THIN4.format("s.sc"))} || ']' || chr(10) || 'Correct explanation: "label ' || index_id || '"', chr(10) order by rank) parts
+ left join (select query_id, count(*) n, string_agg(chr(10) || '[case ' || rank ||
+ ', likeness ' || case when sim is null then 'n/a' else printf('%.3f', sim) end || ']' || chr(10) || 'ratings: [' ||
+ {_TEXT4.format(_thin("s.sc", 4))} || ']' || chr(10) || 'answer: "label ' || index_id || '"', chr(10) order by rank) parts
  from ranked join sc s on s.series_id=index_id where rank <= 3 group by 1) e on e.query_id=t.query_id""",
     **_SPLIT, ranked=_SIMS,
-    sc="""select series_id, list(score order by idx) sc from (select *, row_number() over (partition by series_id order by score desc, idx) rn
- from scores) where rn <= 5 group by 1""",
+    sc="select series_id, list(score order by idx) sc from scores group by 1",
 )
 def _(spark, sf):
-    listed = top5(spark, sf).select("series_id", F.transform("p", lambda x: x["score"]).alias("scores"))
+    rows = listed(spark, sf).select("series_id", F.transform("p", lambda x: x["score"]).alias("scores"))
     facts = fx.scores(spark, sf).groupBy("series_id").agg(F.count("*").alias("n_snip"), F.max("score").alias("gate_score"))
-    asked = listed.join(facts, "series_id").withColumnRenamed("series_id", "query_id")
+    asked = rows.join(facts, "series_id").withColumnRenamed("series_id", "query_id")
     label = F.concat(F.lit("label "), F.col("series_id").cast("string"))
-    examples = listed.select(F.col("series_id").alias("index_id"), "scores", label.alias("label"))
+    examples = rows.select(F.col("series_id").alias("index_id"), "scores", label.alias("label"))
     ranked = topk(spark, sf)
     return C.retrieval_prompt(asked.join(ranked.select("query_id").distinct(), "query_id", "left_semi"), ranked, examples)
 
@@ -202,10 +211,8 @@ def _(spark, sf):
 # --- manifests -------------------------------------------------------------------------------------------------
 
 def pooled(spark, sf):
-    def derive():
-        return P.run_strategies(window_rows(spark, sf)).select("series_id", "strategy", "frame", "score")
-
-    return fx.once(spark, sf, "pooled", derive)
+    """The frames of every strategy, as a table in the shared folder: manifests are built from stored pools."""
+    return written(P.run_strategies(window_rows(spark, sf)).select("series_id", "strategy", "frame", "score"), "pooled")
 
 
 def labels(spark, sf):
@@ -228,8 +235,8 @@ def _thinned(k: int) -> str:
  lambda i: cast(round_even(i*(len(p)-1)/{k - 1}.0, 0) as bigint)))), lambda i: p[i+1]) end p from listed"""
 
 
-_HUMAN = """rtrim(repeat('<image>' || chr(10), len(p)), chr(10)) || chr(10) || 'Anomaly scores for each shown frame (temporal order): [' ||
- list_aggregate(list_transform(p, lambda x: printf('%.4f', x.score)), 'string_agg', ', ') || ']' || chr(10) || 'Describe the anomalous activity.'"""
+_HUMAN = """rtrim(repeat('<image>' || chr(10), len(p)), chr(10)) || chr(10) || 'Detector ratings of the stills, earliest first: [' ||
+ list_aggregate(list_transform(p, lambda x: printf('%.4f', x.score)), 'string_agg', ', ') || ']' || chr(10) || 'What is unusual here?'"""
 _ROW = "id:s video_id:s human:s answer:s images:s"
 
 
@@ -288,8 +295,8 @@ def _(spark, sf):
 
 @query(
     "build_negatives", "id:s label:s frames:s scores:s",
-    f"""select 'normal_' || series_id id, (['No anomalous activity is visible in this video.', 'There is no anomaly in this video.',
- 'The video shows only normal activity.'])[pos%3+1] as label, string_agg(cast(frame as varchar), ',' order by frame) frames,
+    f"""select 'normal_' || series_id id, (['Everything seen here is everyday behaviour.', 'Nothing out of the ordinary happens.',
+ 'People and vehicles move as expected throughout.'])[pos%3+1] as label, string_agg(cast(frame as varchar), ',' order by frame) frames,
  string_agg(printf('%.4f', score), ', ' order by frame) scores from (select v.series_id, pos, frame, score from (select *,
  row_number() over (order by {_HASH.format("series_id")}, series_id) pos,
  unnest(list_distinct(list_transform(range(5), lambda i: cast(round_even(i*(n_frames-1)/4.0, 0) as bigint)))) frame from normals) v
@@ -359,7 +366,9 @@ def _(spark, sf):
 def _lines(spark, sf, layout):
     extra = [] if layout == "test" else [F.lit("x")]
     fields = [F.concat(F.lit("/data/clips/"), F.col("series_id").cast("string")), *extra, F.col("n_frames"), F.col("label")]
-    cut = F.col("series_id") % 10 == 3
+    train = F.lit(layout == "train")
+    fields[0] = F.concat(fields[0], F.when((F.col("series_id") % 4 == 1) & train, "/").otherwise(""))
+    cut = (F.col("series_id") % 10 == 3) & train
     line = F.when(cut, F.concat_ws(" ", *fields[:2])).otherwise(F.concat(F.lit("  "), F.concat_ws(" \t ", *fields)))
     return fx.videos(spark, sf).select(line.alias("value"))
 
@@ -367,7 +376,7 @@ def _lines(spark, sf, layout):
 def _video_list(layout: str) -> None:
     @query(
         f"read_video_list_{layout}", "video_id:s n_frames:i label:i",
-        "select series_id video_id, n_frames, label from videos where series_id%10<>3",
+        "select series_id video_id, n_frames, label from videos" + " where series_id%10<>3" * (layout == "train"),
     )
     def _(spark, sf):
         path = scratch(spark, "list")
@@ -509,3 +518,78 @@ def _(spark, sf):
 
     docs = fx.table(spark, sf, "documents").select("doc_id", "lang", "text")
     return scoring.score_batches(docs, load, "n DOUBLE, answer STRING")
+
+
+# --- readers over written files --------------------------------------------------------------------------------
+
+@query("read_series", "series_id:i idx:i score:d", "select * from scores")
+def _(spark, sf):
+    path = scratch(spark, "series")
+    fx.scores(spark, sf).write.parquet(path)
+    return readers.read_series(spark, path)
+
+
+@query("read_series_arrays", "series_id:i idx:i score:d", "select * from scores")
+def _(spark, sf):
+    path = scratch(spark, "series")
+    listed(spark, sf).select("series_id", F.transform("p", lambda x: x["score"]).alias("scores")).write.parquet(path)
+    return readers.read_series(spark, path)
+
+
+@query(
+    "read_annotations_last", "video_id:s explanation:s anomaly_start_frame:i anomaly_end_frame:i",
+    """select series_id video_id, 'last ' || series_id explanation, start_frame anomaly_start_frame, end_frame anomaly_end_frame from annotations""",
+)
+def _(spark, sf):
+    """Two entries for each recording, the first of which is outdated."""
+    path = scratch(spark, "annotations")
+    entry = lambda word: F.struct(
+        F.col("series_id").cast("string").alias("video_id"), F.concat(F.lit(word), F.col("series_id").cast("string")).alias("explanation"),
+        F.col("start_frame").alias("anomaly_start_frame"), F.col("end_frame").alias("anomaly_end_frame"),
+    )
+    fx.annotations(spark, sf).select(F.inline(F.array(entry("first "), entry("last ")))).write.json(path)
+    return readers.read_annotations(spark, path, lines=True)
+
+
+@query(
+    "read_metadata_tree", "video_id:s start_snippet:i end_snippet:i n_shots:i",
+    """select series_id video_id, a start_snippet, b end_snippet, len(list_filter(p, lambda x: x.idx % 3 <> 0)) n_shots from picked
+ where len(list_filter(p, lambda x: x.idx % 3 <> 0)) > 0""",
+    span=_SPAN, **picks_steps("scores", "select * from span"), picked=_PICKED,
+)
+def _(spark, sf):
+    """A file per recording in a folder of its own; half of them spell the segment bounds the short way."""
+    path = scratch(spark, "tree")
+    long = F.col("series_id") % 2 == 0
+    bound = lambda c, name: F.when(long if "_" in name else ~long, F.col(c)).cast("int").alias(name)
+    segment = F.struct(
+        bound("start_idx", "start_snippet"), bound("end_idx", "end_snippet"), bound("start_idx", "start"), bound("end_idx", "end")
+    )
+    file = lambda p: F.when(p["idx"] % 3 != 0, F.concat(p["idx"].cast("string"), F.lit(".jpg")))
+    shots = F.transform("p", lambda p: F.struct(p["idx"].cast("int").alias("snippet_idx"), p["score"].alias("score"), file(p).alias("file")))
+    rows = picked_spans(spark, sf).select(
+        F.col("series_id").alias("folder"), F.col("series_id").cast("string").alias("video_id"),
+        F.array(segment).alias("anomalous_segments"), shots.alias("extracted_frames"),
+    )
+    rows.repartition("folder").write.partitionBy("folder").json(path)
+    tree = readers.read_metadata_tree(spark, path, "part-*.json")
+    return tree.select("video_id", F.inline("anomalous_segments"), F.size("extracted_frames").alias("n_shots"))
+
+
+@query(
+    "file_table", "folder:s n:i", "select 'c_nationkey=' || c_nationkey folder, 1 n from customer group by c_nationkey",
+)
+def _(spark, sf):
+    """Files as they are on disk: one in each folder of a written table."""
+    path = scratch(spark, "files")
+    fx.table(spark, sf, "customer").select("c_nationkey", "c_custkey").repartition("c_nationkey").write.partitionBy("c_nationkey").parquet(path)
+    files = readers.file_table(spark, path).filter((readers.extension(F.col("file")) == ".parquet") & (F.col("length") > 0))
+    return files.groupBy("folder").agg(F.count("*").alias("n"))
+
+
+@query("check_references", "doc_id:i", "select doc_id from labels")
+def _(spark, sf):
+    """Raises when a label has no document; else the labels."""
+    labelled = fx.table(spark, sf, "labels").select("doc_id")
+    readers.check_references(labelled, fx.table(spark, sf, "documents"), "doc_id")
+    return labelled

@@ -11,7 +11,7 @@ def _cell(value):
     if isinstance(value, bool):
         return value
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6) + 0.0
+        return "nan" if math.isnan(value) else round(value, 6) + 0.0
     return value
 
 

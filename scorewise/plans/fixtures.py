@@ -6,52 +6,30 @@ Every stand-in uses the whole table it is derived from.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewise.operators.blocks import number_by_range
-from scorewise.sources.shared import written
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
 
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _clock_seconds(ts: str):
-    """Seconds on the wall clock: rises with a zone-free timestamp, whatever the session time zone."""
-    return F.unix_date(F.to_date(ts)) * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-
-
-def once(spark: SparkSession, sf_dir: str, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table that many queries start from: written to the shared folder by the first that asks."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = written(derive(), name)
-    return _WRITTEN[key]
-
-
 def labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``scores`` with the frame label of each row."""
 
-    def derive() -> DataFrame:
-        events = table(spark, sf_dir, "events").select(
-            "user_id", "ts", "event_id", "value", "event_type", _clock_seconds("ts").alias("at")
-        )
-        return number_by_range(events, ["user_id"], ["at", "ts", "event_id"]).select(
-            F.col("user_id").alias("series_id"), "idx", (F.col("value") / (F.col("value") + 50.0)).alias("score"),
-            F.when(F.col("event_type") == "error", 1).otherwise(0).alias("label"),
-        )
-
-    return once(spark, sf_dir, "numbered", derive)
+    events = table(spark, sf_dir, "events").select(
+        "user_id", "ts", "event_id", "value", "event_type"
+    )
+    return number_by_range(events, ["user_id"], ["ts", "event_id"]).select(
+        F.col("user_id").alias("series_id"), "idx", (F.col("value") / (F.col("value") + 50.0)).alias("score"),
+        F.when(F.col("event_type") == "error", 1).otherwise(0).alias("label"),
+    )
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +77,7 @@ def _ratings(correctness):
 
 
 def _judged(spark: SparkSession, sf_dir: str, correctness) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return docs.select(
         F.col("doc_id").alias("video_id"),
         F.when(F.col("toxic") == 1, "anomalous").otherwise("normal_FP").alias("video_type"),
@@ -135,21 +113,18 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def derive() -> DataFrame:
-        order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-        items = table(spark, sf_dir, "lineitem").select("l_suppkey", *order)
-        return number_by_range(items, ["l_suppkey"], order).select(
-            F.col("l_suppkey").alias("series_id"), "idx",
-            (F.col("l_extendedprice") / (F.col("l_extendedprice") + 50000.0)).alias("score"),
-        )
-
-    return once(spark, sf_dir, "bench", derive)
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", *order)
+    return number_by_range(items, ["l_suppkey"], order).select(
+        F.col("l_suppkey").alias("series_id"), "idx",
+        (F.col("l_extendedprice") / (F.col("l_extendedprice") + 50000.0)).alias("score"),
+    )
 
 
 _RUN = """select d.doc_id video_id, case when toxic=1 then 'anomalous' else 'normal_FP' end video_type, source scene,
  {correctness} correctness, 1+doc_id%5 specificity, 1+(n_chars//7)%5 completeness, 3+quality fluency,
  case when doc_id%23=0 then 'ERROR: timeout' else text end as text
- from documents d join labels using (doc_id)"""
+ from documents d left join labels using (doc_id)"""
 
 _VIEWS = {
     "numbered": "select user_id series_id, row_number() over (partition by user_id order by ts, event_id)-1 idx,"

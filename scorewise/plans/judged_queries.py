@@ -195,18 +195,18 @@ def _(spark, sf):
 
 @query(
     "paired_bootstrap_element", _BOOT_COLS, _BOOT + " where pair='a vs b'",
-    **bootstrap_sql(2_000, "list_sort(list(d))[51]", "list_sort(list(d))[1951]"),
+    **bootstrap_sql(10_000, "list_sort(list(d))[251]", "list_sort(list(d))[9751]"),
 )
 def _(spark, sf):
-    return J.paired_bootstrap(pairs(spark, sf), 2_000, ci="element")
+    return J.paired_bootstrap(pairs(spark, sf), 10_000, ci="element")
 
 
 @query(
     "pairwise_significance", "pair:s " + _BOOT_COLS, _BOOT,
-    **bootstrap_sql(2_000, "quantile_cont(d, 0.025)", "quantile_cont(d, 0.975)"),
+    **bootstrap_sql(10_000, "quantile_cont(d, 0.025)", "quantile_cont(d, 0.975)"),
 )
 def _(spark, sf):
-    return J.pairwise_significance(overalls(spark, sf), _PAIRS, 2_000)
+    return J.pairwise_significance(overalls(spark, sf), _PAIRS, 10_000)
 
 
 # --- agreement and text ----------------------------------------------------------------------------------------

@@ -9,6 +9,8 @@ from scorewise.operators import intervals as I
 from scorewise.operators import sampling as P
 from scorewise.operators import series as S
 
+from scorewise.sources.shared import written
+
 from . import fixtures as fx
 from .registry import query
 from .series_queries import RUNS, runs_sql
@@ -68,12 +70,8 @@ UNION_SQL = " union all ".join(
 
 def window_rows(spark, sf):
     """Snippets inside the annotated windows, the input of every pool."""
-
-    def derive():
-        windows = I.annotated_windows(fx.annotations(spark, sf), fx.videos(spark, sf))
-        return I.overlap_join(fx.scores(spark, sf), windows)
-
-    return fx.once(spark, sf, "windows", derive)
+    windows = I.annotated_windows(fx.annotations(spark, sf), fx.videos(spark, sf))
+    return written(I.overlap_join(fx.scores(spark, sf), windows), "windows")
 
 
 def uniform_videos(spark, sf):
@@ -354,9 +352,8 @@ def _(spark, sf):
 
 @query(
     "intervals_to_labels", "series_id:i frame:i label:i",
-    """select v.series_id, f.frame, max(case when f.frame between s.start_frame and s.end_frame then 1 else 0 end) as label
- from videos v, (select unnest(range(2000)) frame) f left join spans s on s.series_id = v.series_id
- where f.frame < v.n_frames group by 1, 2""",
+    """select f.series_id, f.frame, max(case when f.frame between s.start_frame and s.end_frame then 1 else 0 end) as label
+ from (select series_id, unnest(range(n_frames)) frame from videos) f left join spans s on s.series_id = f.series_id group by 1, 2""",
     spans="""select series_id, start_frame, end_frame from annotations union all
  select series_id, 40, 200 from annotations where series_id%2=0""",
 )
@@ -370,11 +367,13 @@ def _(spark, sf):
     "align_labels_zero", "series_id:i frame:i label:i",
     """select t.series_id, t.frame, coalesce(l.label, 0) as label from (select series_id,
  unnest(range(greatest(1, count(*)//16)*16)) frame from short group by 1) t left join short l using (series_id, frame)""",
-    short="select * from frame_labels where frame < 10 or series_id%2=0",
+    short="select * from frame_labels union all select series_id+1000000000 series_id, frame, label from frame_labels where frame < 10",
 )
 def _(spark, sf):
-    short = fx.frame_labels(spark, sf).filter("frame < 10 or series_id % 2 = 0")
-    return I.align_labels(short)
+    """Whole recordings, and beside them the beginnings of all as recordings shorter than a clip."""
+    whole = fx.frame_labels(spark, sf)
+    short = whole.filter("frame < 10").withColumn("series_id", F.col("series_id") + 1_000_000_000)
+    return I.align_labels(whole.unionByName(short))
 
 
 @query(

@@ -38,9 +38,42 @@ def hysteresis(spark, sf):
 
 # --- smoothing and scaling -------------------------------------------------------------------------------------
 
-@query("read_series", "series_id:i idx:i score:d", "select * from scores")
+_EDGED = """select series_id, idx, case when idx%11=3 then null when idx%40=7 and series_id%6=0 then 'nan'::double else score end score
+ from scores where idx%9<>4"""
+
+
+def edged(spark, sf):
+    """Scores with nulls, NaN and missing positions."""
+    score = F.when(F.col("idx") % 11 == 3, None).when((F.col("idx") % 40 == 7) & (F.col("series_id") % 6 == 0), float("nan")).otherwise(F.col("score"))
+    return fx.scores(spark, sf).filter("idx % 9 <> 4").withColumn("score", score)
+
+
+def _smooth_edged(name: str, range_: int, sigma: int) -> None:
+    half = (range_ - 1) // 2
+    @query(
+        name, "series_id:i idx:i score:d",
+        f"""select a.series_id, a.idx, sum(coalesce(b.score, 0)*exp(-0.5*pow((b.idx-a.idx+1)/{sigma}.0, 2))/({sigma}.0*sqrt(2*pi()))) score
+ from edged a join edged b on a.series_id=b.series_id and b.idx-a.idx between -{half} and {half} group by all""",
+        edged=_EDGED,
+    )
+    def _(spark, sf):
+        return S.gaussian_smooth(edged(spark, sf), range_, sigma)
+
+
+_smooth_edged("gaussian_smooth_gaps_narrow", 38, 11)
+_smooth_edged("gaussian_smooth_gaps_wide", 66, 11)
+
+
+@query(
+    "topk_mean_nan_large_k", "series_id:i k:i topk_mean:d",
+    """select series_id, k, case when count(*) filter (isnan(score)) > 0 then 'nan'::double else avg(score) end topk_mean
+ from edged, (select unnest([1000, 1001]) k) group by 1, 2""",
+    edged=_EDGED,
+)
 def _(spark, sf):
-    return fx.scores(spark, sf)
+    rows = edged(spark, sf)
+    each = [S.topk_mean(rows, k).withColumn("k", F.lit(k)) for k in (1000, 1001)]
+    return each[0].unionByName(each[1])
 
 
 @query(

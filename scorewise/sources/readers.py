@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorewise.functions import ids
+from scorewise.functions.text import strip
 from scorewise.operators.blocks import number_by_range
 
 ANNOTATION = "video_id STRING, explanation STRING, anomaly_start_frame INT, anomaly_end_frame INT"
@@ -66,16 +67,22 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_video_list(lines: DataFrame, layout: str = "test") -> DataFrame:
-    """Whitespace fields -> id, frame count, label. Train lines carry an extra second field and at least four."""
-    at = {"test": (2, 3, 3), "train": (3, 4, 4)}
+    """Whitespace fields -> id, frame count, label; blank lines are skipped.
+
+    ``train`` lines carry an extra second field; shorter ones are skipped, and slashes at the end of the path do not count.
+    ``test`` lines are taken as they are: a missing number fails the job, as a malformed one does in both layouts.
+    """
+    at = {"test": (1, 2), "train": (2, 3)}
     if layout not in at:
         raise ValueError("layout is 'test' or 'train'")
-    frames, label, least = at[layout]
-    parts = F.split(F.trim(F.col("value")), r"\s+")
-    rows = lines.filter(F.trim("value") != "").select(parts.alias("p")).filter(F.size("p") >= least)
-    name = F.element_at(F.split(F.element_at("p", 1), "/"), -1)
-    number = lambda i: F.element_at("p", i).try_cast("int")
-    return rows.select(name.alias("video_id"), number(frames).alias("n_frames"), number(label).alias("label"))
+    rows = lines.filter(strip(F.col("value")) != "").select("value", F.split(strip(F.col("value")), r"\s+").alias("p"))
+    path = F.get("p", F.lit(0))
+    if layout == "train":
+        rows, path = rows.filter(F.size("p") >= 4), F.rtrim(path, F.lit("/"))
+    broken = F.raise_error(F.concat(F.lit("malformed line: "), "value")).cast("int")
+    number = lambda i: F.when(F.get("p", F.lit(i)).rlike(r"^[+-]?[0-9]+$"), F.get("p", F.lit(i)).cast("int")).otherwise(broken)
+    frames, label = (number(i) for i in at[layout])
+    return rows.select(F.element_at(F.split(path, "/"), -1).alias("video_id"), frames.alias("n_frames"), label.alias("label"))
 
 
 def read_video_list(spark: SparkSession, path: str, layout: str = "test") -> DataFrame:
@@ -85,17 +92,21 @@ def read_video_list(spark: SparkSession, path: str, layout: str = "test") -> Dat
 # --- JSON ------------------------------------------------------------------------------------------------------
 
 def read_annotations(spark: SparkSession, path: str, drop_blank: bool = False, lines: bool = False) -> DataFrame:
-    """Annotation array (or JSON lines); entries without an id are dropped, on request also blank explanations."""
+    """Annotation array (or JSON lines), one row per id: of several entries the last one counts. Entries without an id are
+    dropped, on request also blank explanations. An array is one task; large annotations belong in JSON lines."""
     rows = spark.read.schema(ANNOTATION).json(path, multiLine=not lines).filter("video_id is not null")
+    rest = F.struct(*[c for c in rows.columns if c != "video_id"]).alias("rest")
+    placed = rows.select("video_id", rest, "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    rows = placed.groupBy("video_id").agg(F.max_by("rest", F.struct("file_path", "file_block_start", "line")).alias("a")).select("video_id", "a.*")
     return rows.filter(F.trim(F.coalesce("explanation", F.lit(""))) != "") if drop_blank else rows
 
 
-def read_metadata_tree(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON per recording below ``path``; frames without a file and recordings without frames are dropped.
+def read_metadata_tree(spark: SparkSession, path: str, name: str = "metadata.json") -> DataFrame:
+    """One JSON file ``name`` per recording below ``path``; frames without a file and recordings without frames are dropped.
 
     Segments come back with ``start_snippet`` / ``end_snippet`` whichever spelling the file used.
     """
-    options = {"recursiveFileLookup": "true", "pathGlobFilter": "metadata.json"}
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": name}
     rows = spark.read.schema(METADATA).options(**options).json(path, multiLine=True)
 
     def spelled(s: Column) -> Column:

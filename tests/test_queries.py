@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from scorewise.plans import load
 from scorewise.plans.compare import differences
 from scorewise.plans.fixtures import TABLES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load()
 
 
 @pytest.fixture(scope="module")
@@ -35,5 +36,9 @@ def test_matches_sql(spark, duck, name):
     assert differences(df.columns, [tuple(r) for r in df.collect()], columns, cursor.fetchall()) == []
 
 
+def test_entry_registers_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -25,11 +25,17 @@ def test_series_formats(spark, tmp_path):
 
 def test_lists(spark, tmp_path):
     path = tmp_path / "list.txt"
-    path.write_text("a/b/01_0001 100 1 5 9\n\n  a/01_002\t50 0\nshort\n")
+    path.write_text("a/b/01_0001 100 1 5 9\n\n  a/01_002\t50 0\n")
     got = sorted(tuple(r) for r in R.read_video_list(spark, str(path)).collect())
     assert got == [("01_0001", 100, 1), ("01_002", 50, 0)]
-    path.write_text("a/01_0001 x 100 1\na/01_002 x 50\n")
+    path.write_text("a/01_0001/ x 100 1\na/01_002 x 50\n")
     assert [tuple(r) for r in R.read_video_list(spark, str(path), "train").collect()] == [("01_0001", 100, 1)]
+    for layout, line in (("test", "a/b 10"), ("test", "a/b ten 1"), ("train", "a/b x ten 1")):
+        path.write_text(line + "\n")
+        with pytest.raises(Exception, match="malformed line"):
+            R.read_video_list(spark, str(path), layout).collect()
+    path.write_text("a/b/ 10 1\n")
+    assert R.read_video_list(spark, str(path)).first().video_id == ""
     path.write_text("/x/01_0001_i3d.npy\n\n /x/02_003.npy \n")
     assert sorted(r.video_id for r in R.read_id_list(spark, str(path)).collect()) == ["01_0001", "02_003"]
     with pytest.raises(ValueError):
@@ -115,3 +121,21 @@ def test_written_table_is_fresh_each_time(spark):
     df = spark.range(5)
     a, b = written(df, "t"), written(df.filter("id < 2"), "t")
     assert (a.count(), b.count()) == (5, 2)
+
+
+def test_the_last_annotation_of_an_id_counts(spark, tmp_path):
+    entries = [{"video_id": "a", "explanation": str(i)} for i in range(5)] + [{"video_id": "b", "explanation": "one"}]
+    path = tmp_path / "array.json"
+    path.write_text(json.dumps(entries))
+    assert sorted((r.video_id, r.explanation) for r in R.read_annotations(spark, str(path)).collect()) == [("a", "4"), ("b", "one")]
+    path = tmp_path / "lines.json"
+    path.write_text("\n".join(json.dumps(e) for e in entries))
+    got = R.read_annotations(spark, str(path), lines=True).collect()
+    assert sorted((r.video_id, r.explanation) for r in got) == [("a", "4"), ("b", "one")]
+
+
+def test_references_raise(spark):
+    child, parent = spark.range(10).toDF("k"), spark.range(7).toDF("k")
+    with pytest.raises(ValueError, match="missing 3 references"):
+        R.check_references(child, parent, "k")
+    R.check_references(parent, child, "k")

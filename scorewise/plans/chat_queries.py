@@ -432,7 +432,7 @@ def _(spark, sf):
 
 @query(
     "usable_ratings", "video_id:i",
-    "select video_id from judged where correctness is not null and video_id%7<>0",
+    "select video_id from judged where correctness is not null and fluency is not null and video_id%7<>0",
 )
 def _(spark, sf):
     cells = fx.judged(spark, sf).select(
@@ -587,7 +587,7 @@ def _(spark, sf):
     return files.groupBy("folder").agg(F.count("*").alias("n"))
 
 
-@query("check_references", "doc_id:i", "select doc_id from labels")
+@query("check_references_raising", "doc_id:i", "select doc_id from labels")
 def _(spark, sf):
     """Raises when a label has no document; else the labels."""
     labelled = fx.table(spark, sf, "labels").select("doc_id")

@@ -33,7 +33,7 @@ def overalls(spark, sf):
 
 
 _ROW = "(correctness+specificity+completeness+fluency)/4.0"
-OVERALLS = f"select variant, video_id, {_ROW} overall from runs where correctness is not null"
+OVERALLS = f"select variant, video_id, {_ROW} overall from runs where {_ROW} is not null"
 
 
 # --- criterion summaries ---------------------------------------------------------------------------------------
@@ -226,7 +226,7 @@ def sheet(spark, sf):
     """select criterion, count(*) n, avg(x) mean_x, avg(y) mean_y, case when stddev_pop(x)>0 and stddev_pop(y)>0 then corr(x, y) end pearson,
  case when stddev_pop(x)>0 and stddev_pop(y)>0 then corr(rx, ry) end spearman, avg(abs(x-y)) mae from (select *,
  rank() over (partition by criterion order by x) + (count(*) over (partition by criterion, x)-1)/2.0 rx,
- rank() over (partition by criterion order by y) + (count(*) over (partition by criterion, y)-1)/2.0 ry from rated)
+ rank() over (partition by criterion order by y) + (count(*) over (partition by criterion, y)-1)/2.0 ry from rated where x is not null and y is not null)
  group by 1 having count(*) >= 5""",
     sheet=SHEET,
     rated=" union all ".join(f"select '{c}' criterion, h_{c}::double x, g_{c}::double y from sheet" for c in CRITERIA)

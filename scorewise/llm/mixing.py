@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorewise.sources.shared import written
+
 from .schemas import passing, unpacked, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,10 +80,11 @@ def _counted(
 ) -> DataFrame:
     """``row`` (the document) with its source's size, target and rate, and how many copies of it the mix holds.
 
-    The table of sources has one row each; whether it is broadcast is left to the planner's size check, and beyond that
-    the sort-merge join splits a source that holds much of the corpus.
+    The table of sources has one row each and is written, so the planner knows its size: as long as it is small it is
+    broadcast and no document moves; beyond that a sort-merge join splits a source that holds much of the corpus.
     """
     targets = source_targets(docs, weights, max_rate, source, text).select(F.col("source").alias("of"), *OUTPUTS[:-1])
+    targets = written(targets, "mix-targets")
     rows = docs.select(whole_row(docs), F.col(source).alias("source"), hashed_unit(key, seed).alias("coin"))
     joined = rows.join(targets, rows["source"].eqNullSafe(targets["of"]), "left")
     copies = F.floor("rate") + (F.col("coin") < F.col("rate") - F.floor("rate")).cast("long")

@@ -46,10 +46,18 @@ def run(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def hot_series(scores: DataFrame) -> DataFrame:
+    """All scores once more, a third of the rows in one series with short runs."""
+    rows = scores.withColumn("series_id", F.when(F.col("series_id") % 3 == 0, -1).otherwise(F.col("series_id")))
+    return number_by_range(rows.withColumnRenamed("idx", "at"), ["series_id"], ["at", "score"], "idx").drop("at")
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = session()
-    scores = fx.bench(spark, sf)
+    scores = written(fx.bench(spark, sf), "bench")
+    hot = written(hot_series(scores), "hot")
+    hot_runs = written(S.threshold_runs(hot, 0.5), "hot-runs")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     items = fx.table(spark, sf, "lineitem").select("l_suppkey", *order)
     labelled = scores.withColumn("label", ((F.col("series_id") + F.col("idx")) % 5 == 0).cast("int"))
@@ -70,7 +78,7 @@ def main() -> None:
         "roc_auc": lambda: M.roc_auc(labelled),
         "budget_sample": lambda: P.budget_sample(scores, runs),
         "topk_similar": lambda: V.topk_similar(asked, index, 3),
-        "paired_bootstrap": lambda: J.paired_bootstrap(pairs, 1_000),
+        "paired_bootstrap": lambda: J.paired_bootstrap(pairs),
         "gaussian_smooth": lambda: S.gaussian_smooth(scores, 38, 11),
         "gaussian_smooth_wide": lambda: S.gaussian_smooth(scores, 900, 282),
         "minmax": lambda: S.minmax(scores),
@@ -79,6 +87,9 @@ def main() -> None:
         "rolling_meter": lambda: S.rolling_meter(scores),
         "pr_auc": lambda: M.pr_auc(labelled),
         "micro_macro_auc": lambda: M.micro_macro_auc(labelled),
+        "hot_threshold_runs": lambda: S.threshold_runs(hot, 0.5),
+        "hot_segment_summary": lambda: S.segment_summary(hot, hot_runs),
+        "hot_topk_mean": lambda: S.topk_mean(hot, 5_000),
     }
     times: dict[str, float] = {}
     for name, case in cases.items():

@@ -69,8 +69,8 @@ def _marked(block: Block) -> int:
 
 
 def _parts(block: Block, since: int = 0) -> set[str]:
-    named = " ".join(block.names[since:])
-    return {part for part, words in _PARTS.items() if words.search(named)} if named.strip() else set()
+    named = " ".join(filter(None, block.names[since:]))
+    return {part for part, words in _PARTS.items() if words.search(named)} if named else set()
 
 
 def label(block: Block) -> int:
@@ -95,8 +95,8 @@ def features(blocks: list[Block], title: str) -> np.ndarray:
         put("marked", _marked(block) >= 0)
         put("marked_page", page_marked)
         put("hidden", block.hidden)
-        for tag in TAGS:
-            put(f"in_{tag}", tag in tags)
+        for tag in tags.intersection(TAGS):
+            put(f"in_{tag}")
         put("in_outside", bool(tags & OUTSIDE))
         for part in _parts(block):
             put(part)
@@ -108,9 +108,9 @@ def features(blocks: list[Block], title: str) -> np.ndarray:
         put("many_words", n >= 20)
         put("sentence_end", block.text[-1] in ".!?…\"”")
         put("commas", min(1.0, block.text.count(",") / n * 5))
-        letters = sum(c.isalpha() for c in block.text[:200])
-        put("digits", sum(c.isdigit() for c in block.text[:200]) / min(len(block.text), 200))
-        put("capitals", sum(c.isupper() for c in block.text[:200]) / max(letters, 1))
+        head = block.text[:200]
+        put("digits", sum(map(str.isdigit, head)) / len(head))
+        put("capitals", sum(map(str.isupper, head)) / max(sum(map(str.isalpha, head)), 1))
         put("copyright", "©" in block.text or "all rights reserved" in block.text.lower())
         put("like_title", bool(title) and (block.text.startswith(title) or title.startswith(block.text) and n >= 3))
         put("before_heading", i + 1 < len(blocks) and "h1" in blocks[i + 1].tags)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scorewise.functions import ids
 from scorewise.functions.text import CRITERIA, valid_text
 from scorewise.operators import judged as J
 from scorewise.operators import matching as X
+from scorewise.sources import readers
+from scorewise.sources.readers import RATINGS
+from scorewise.sources.shared import shared_folder
 
 from . import fixtures as fx
 from .registry import query
@@ -221,13 +226,16 @@ def sheet(spark, sf):
     return a.join(b, "video_id")
 
 
-@query(
-    "agreement", "criterion:s n:i mean_x:d mean_y:d pearson:d spearman:d mae:d",
-    """select criterion, count(*) n, avg(x) mean_x, avg(y) mean_y, case when stddev_pop(x)>0 and stddev_pop(y)>0 then corr(x, y) end pearson,
+_AGREEMENT_COLS = "criterion:s n:i mean_x:d mean_y:d pearson:d spearman:d mae:d"
+_AGREEMENT = """select criterion, count(*) n, avg(x) mean_x, avg(y) mean_y, case when stddev_pop(x)>0 and stddev_pop(y)>0 then corr(x, y) end pearson,
  case when stddev_pop(x)>0 and stddev_pop(y)>0 then corr(rx, ry) end spearman, avg(abs(x-y)) mae from (select *,
  rank() over (partition by criterion order by x) + (count(*) over (partition by criterion, x)-1)/2.0 rx,
  rank() over (partition by criterion order by y) + (count(*) over (partition by criterion, y)-1)/2.0 ry from rated where x is not null and y is not null)
- group by 1 having count(*) >= 5""",
+ group by 1 having count(*) >= 5"""
+
+
+@query(
+    "agreement", _AGREEMENT_COLS, _AGREEMENT,
     sheet=SHEET,
     rated=" union all ".join(f"select '{c}' criterion, h_{c}::double x, g_{c}::double y from sheet" for c in CRITERIA)
     + " union all select 'overall', (" + "+".join(f"h_{c}" for c in CRITERIA) + ")/4.0, (" + "+".join(f"g_{c}" for c in CRITERIA)
@@ -241,6 +249,38 @@ def _(spark, sf):
     return J.agreement(rows, {**columns, "overall": ("h_all", "g_all")})
 
 
+_SHORT = dict(zip(CRITERIA, RATINGS))  # the short names in the heads of a rating sheet
+
+
+@query(
+    "read_rating_sheet", _AGREEMENT_COLS, _AGREEMENT,
+    sheet=SHEET + " and a.fluency is not null",
+    rated=" union all ".join(f"select '{_SHORT[c]}' criterion, h_{c}::double x, g_{c}::double y from sheet" for c in CRITERIA),
+)
+def _(spark, sf):
+    """The two runs as a rating sheet in a CSV file; rows with an empty human cell do not count."""
+    path = f"{shared_folder(spark).rstrip('/')}/scorewise/{spark.sparkContext.applicationId}/ratings-{uuid.uuid4().hex}"
+    judge = ("GPT_C_HIDE_until_done", "GPT_S_HIDE", "GPT_Co_HIDE", "GPT_F_HIDE")  # fixed header names
+    people = [F.col(f"h_{c}").alias(f"human_{_SHORT[c]} (1-5)") for c in CRITERIA]
+    sheet(spark, sf).select("video_id", *people, *[F.col(f"g_{c}").alias(j) for c, j in zip(CRITERIA, judge)]).write.csv(path, header=True)
+    return J.agreement(readers.read_rating_sheet(spark, path), {s: (f"h_{s}", f"g_{s}") for s in RATINGS})
+
+
+_BASES = (0.0, 1e8)
+
+
+@query(
+    "agreement_far_from_zero", _AGREEMENT_COLS, _AGREEMENT,
+    rated=" union all ".join(f"select '{b}' criterion, score*100+{b} x, label*10+score*30+{b} y from numbered" for b in _BASES),
+)
+def _(spark, sf):
+    """Values of about one size far from zero, where sums of squares cancel."""
+    score, label = F.col("score") * 100, F.col("label") * 10 + F.col("score") * 30
+    moved = {f"{s}{i}": c + b for i, b in enumerate(_BASES) for s, c in (("x", score), ("y", label))}
+    rows = fx.labelled_scores(spark, sf).select(*[c.alias(n) for n, c in moved.items()])
+    return J.agreement(rows, {str(b): (f"x{i}", f"y{i}") for i, b in enumerate(_BASES)})
+
+
 @query(
     "word_stats", "lang:s mean_words:d min_words:i max_words:i",
     r"""select lang, avg(w) mean_words, min(w) min_words, max(w) max_words from (select lang,

@@ -261,12 +261,15 @@ def _(spark, sf):
 
 @query(
     "position_profile", "idx:i mean_score:d std_score:d",
-    """select idx, avg(vec[1]) mean_score, stddev_pop(vec[1]) std_score from features
+    """select idx, avg(score) mean_score, stddev_pop(score) std_score from listed
  where (select count(distinct n) from (select count(*) n from features group by series_id)) = 1 group by idx""",
+    listed="""select series_id, idx*64 + dim idx, score from (select series_id, idx, unnest(range(len(vec))) dim, unnest(vec)::double score
+ from features)""",
 )
 def _(spark, sf):
-    aligned = fx.features(spark, sf).select("series_id", "idx", F.get("vec", F.lit(0)).cast("double").alias("score"))
-    return S.position_profile(aligned)
+    """Every dimension of every position of the recordings."""
+    rows = fx.features(spark, sf).select("series_id", "idx", F.posexplode("vec").alias("dim", "score"))
+    return S.position_profile(rows.select("series_id", (F.col("idx") * 64 + F.col("dim")).alias("idx"), F.col("score").cast("double").alias("score")))
 
 
 @query(

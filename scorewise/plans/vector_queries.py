@@ -129,13 +129,13 @@ def _(spark, sf):
 @query(
     "mil_gate_score", "series_id:i gate_score:d",
     """select series_id, avg(score) gate_score from (select *, row_number() over (partition by series_id order by magnitude desc, idx) rn
- from (select series_id, idx, abs(vec[1])::double score, list_sum(list_transform(vec, lambda x: abs(x)::double)) magnitude
+ from (select series_id, idx, list_max(list_transform(vec, lambda x: abs(x)::double)) score, list_sum(list_transform(vec, lambda x: abs(x)::double)) magnitude
  from features)) where rn <= 3 group by 1""",
 )
 def _(spark, sf):
     size = F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.abs(x).cast("double"))
     rows = fx.features(spark, sf).select(
-        "series_id", "idx", F.abs(F.get("vec", F.lit(0))).cast("double").alias("score"), size.alias("magnitude")
+        "series_id", "idx", F.array_max(F.transform("vec", lambda x: F.abs(x).cast("double"))).alias("score"), size.alias("magnitude")
     )
     return V.mil_gate_score(rows)
 

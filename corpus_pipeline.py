@@ -15,7 +15,7 @@ from scorewise.sources.shared import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: no letters, or no language with half of the words."""
+    """Documents without a recognisable language go: no letters, or no language with three words in ten."""
     prepared(spark)
     return language.recognised(docs, language.fit(docs))
 

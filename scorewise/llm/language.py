@@ -33,6 +33,7 @@ from .words import slices
 BUCKETS = 1 << 16
 TRAIN_DOCS = 2_000
 PENALTY = 3.0
+LEAST = 0.3  # share of its words that a document's language must have to be recognised
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -231,6 +232,6 @@ def _recognise(model: Model, penalty: float, text: str, least: float):
     return run
 
 
-def recognised(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5, penalty: float = PENALTY) -> DataFrame:
+def recognised(docs: DataFrame, model: Model, text: str = "text", least: float = LEAST, penalty: float = PENALTY) -> DataFrame:
     """The documents, with exactly their own columns, that have a language with at least ``least`` of their words."""
     return docs.mapInArrow(_recognise(model, penalty, text, least), docs.schema)

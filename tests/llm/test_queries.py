@@ -73,7 +73,7 @@ def test_pipeline_stage_by_stage(spark, texts):
         assert frames.columns == columns
         frames = spark.createDataFrame(frames.collect(), docs.schema)
         kept.append({r["doc_id"] for r in frames.collect()})
-    told = language.predicted(docs, language.fit(docs)).filter("lang_pred <> 'und' and score >= 0.5")
+    told = language.predicted(docs, language.fit(docs)).filter(f"lang_pred <> 'und' and score >= {language.LEAST}")
     assert kept[0] == {r["doc_id"] for r in told.collect()} and len(kept[0]) >= 0.97 * len(texts)
 
     rows = sorted((key, texts[key]) for key in kept[0])

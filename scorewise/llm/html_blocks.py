@@ -17,6 +17,8 @@ SILENT = frozenset("script style template noscript iframe object svg math canvas
 # an opening tag ends an open element of its group, as HTML lets authors leave the end tag out
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = frozenset("ul ol dl table select body html".split())
+# all that may stand in a head; any other opening tag ends a head that was left open
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes script style template head html".split())
 
 
 @dataclass
@@ -66,6 +68,12 @@ class _Reader(HTMLParser):
         del self.open[upto:]
 
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            # not one inside an element of the head that is silent itself, such as a noscript
+            silent = [i for i, o in enumerate(self.open) if o.tag in SILENT]
+            if silent and self.open[silent[-1]].tag == "head":
+                self.flush()
+                self.pop(silent[-1])
         if tag == "br":
             self.now.text.append(" ")
             return
@@ -104,6 +112,8 @@ class _Reader(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if self.open and self.open[-1].tag == "head" and data.strip("\x20\t\n\x0b\f\r"):
+            self.pop(len(self.open) - 1)  # words end an open head as well
         if self.open and self.open[-1].tag == "title":
             self.title.append(data)
         if not self.silent:

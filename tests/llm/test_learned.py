@@ -209,6 +209,16 @@ def test_blocks():
     assert blocks[3].tags[-2:] == ("ul", "li") and blocks[1].tags == ("div", "p")
 
 
+@pytest.mark.parametrize("start", ["<body><article>", "<article>", "<div>", "<p>", "<span>", ""])
+def test_a_head_without_its_end(start):
+    head = "<html><head><meta charset=utf-8><title>T</title><noscript><img src=x><p>no</p></noscript><style>p{}</style>"
+    blocks, title = html_blocks.blocks_of(head + start + "one two<p>three")
+    assert title == "T" and [b.text for b in blocks] == ["one two", "three"]
+    assert not any("head" in b.tags for b in blocks)
+    closed, _ = html_blocks.blocks_of(head + "</head>" + start + "one two<p>three")
+    assert blocks == closed
+
+
 def test_odd_pages(spark, pages):
     field = html_text.fit(pages)
     rows = [(1, "u", None), (2, None, ""), (None, "u", "just words, no tags at all, but a sentence that goes on and on, as articles do."), (3, "u", "<article><p>cut off in the mid"), (3, "u", "<article><p>cut off in the mid"), (4, "u", "<<<>>><p <b>&#x110000;&nosuch;</article>"), (5, "u", "<article>" + "<p>" + "word " * 60_000 + "</p></article>")]

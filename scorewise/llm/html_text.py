@@ -18,6 +18,7 @@ repeated and null ids do no harm; other columns pass through, one named like an
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,9 +109,9 @@ def features(blocks: list[Block], title: str) -> np.ndarray:
         put("many_words", n >= 20)
         put("sentence_end", block.text[-1] in ".!?…\"”")
         put("commas", min(1.0, block.text.count(",") / n * 5))
-        head = block.text[:200]
-        put("digits", sum(map(str.isdigit, head)) / len(head))
-        put("capitals", sum(map(str.isupper, head)) / max(sum(map(str.isalpha, head)), 1))
+        chars = Counter(block.text)
+        put("digits", sum(k for c, k in chars.items() if c.isdigit()) / len(block.text))
+        put("capitals", sum(k for c, k in chars.items() if c.isupper()) / max(sum(k for c, k in chars.items() if c.isalpha()), 1))
         put("copyright", "©" in block.text or "all rights reserved" in block.text.lower())
         put("like_title", bool(title) and (block.text.startswith(title) or title.startswith(block.text) and n >= 3))
         put("before_heading", i + 1 < len(blocks) and "h1" in blocks[i + 1].tags)

@@ -219,6 +219,12 @@ def test_a_head_without_its_end(start):
     assert blocks == closed
 
 
+def test_shares_are_those_of_the_whole_block():
+    text = "A" * 250 + "b" * 500 + "7" * 250
+    x = html_text.features(html_blocks.blocks_of(f"<p>{text}</p>")[0], "")[0]
+    assert x[html_text.NAMES.index("digits")] == pytest.approx(0.25) and x[html_text.NAMES.index("capitals")] == pytest.approx(1 / 3)
+
+
 def test_odd_pages(spark, pages):
     field = html_text.fit(pages)
     rows = [(1, "u", None), (2, None, ""), (None, "u", "just words, no tags at all, but a sentence that goes on and on, as articles do."), (3, "u", "<article><p>cut off in the mid"), (3, "u", "<article><p>cut off in the mid"), (4, "u", "<<<>>><p <b>&#x110000;&nosuch;</article>"), (5, "u", "<article>" + "<p>" + "word " * 60_000 + "</p></article>")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scorewise.session import configure
 
-from . import decontaminate, exact, html_text, language, mixing, near, quality, repeats, templates, tokens
+from . import bpe, decontaminate, exact, html_text, language, mixing, near, quality, repeats, templates, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 ARROW_ROWS = 2_000  # texts handed to Python at once
@@ -184,3 +184,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.summary(found)
+
+
+@query("op13_byte_bpe")
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), keep=["doc_id"], whole=False)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scorewise.session import configure
 
-from . import bpe, decontaminate, exact, html_text, language, mixing, near, quality, repeats, templates, tokens
+from . import bpe, decontaminate, exact, html_text, language, manifest, mixing, near, phrases, quality, repeats, templates, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 ARROW_ROWS = 2_000  # texts handed to Python at once
@@ -186,6 +186,119 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(found)
 
 
+@query("op11_collocations", """
+with pieces as (
+  select coalesce(lang, 'und') as lang, row_number() over () as doc,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as parts
+  from documents
+), cut as (
+  select lang, doc, unnest(range(len(parts))) as piece, unnest(parts) as part from pieces
+), worded as (
+  select lang, doc, piece, regexp_extract_all(part, '[^\x20\x09]+') as words from cut
+), totals as (
+  select lang, sum(len(words)) as n from worded group by lang
+), starts as (
+  select lang, doc, piece, unnest(words) as w, unnest(range(len(words))) as i from worded
+), following as (
+  select lang, w, lead(w, 1) over p as w2, lead(w, 2) over p as w3, lead(w, 3) over p as w4
+  from starts window p as (partition by doc, piece order by i)
+), counted as (
+  select lang, w as phrase, count(*) as f from following group by all
+  union all select lang, concat_ws(' ', w, w2), count(*) from following where w2 is not null group by all
+  union all select lang, concat_ws(' ', w, w2, w3), count(*) from following where w3 is not null group by all
+  union all select lang, concat_ws(' ', w, w2, w3, w4), count(*) from following where w4 is not null group by all
+), frequent as (
+  select lang, phrase, cast(f as hugeint) as f, string_split(phrase, ' ') as words, len(string_split(phrase, ' ')) as k from counted where f >= 30
+), cuts as (
+  select c.lang, c.phrase, c.k, c.f, j.j, h.f as l, t.f as r, 2000000 * c.f // (h.f + t.f) as score
+  from frequent c join (select unnest(range(1, 4)) as j) j on j.j < c.k
+  join frequent h on h.lang = c.lang and h.k = j.j and h.phrase = array_to_string(c.words[1 : j.j], ' ')
+  join frequent t on t.lang = c.lang and t.k = c.k - j.j and t.phrase = array_to_string(c.words[j.j + 1 : c.k], ' ')
+), worst as (
+  select * from cuts qualify row_number() over (partition by lang, phrase, k order by score, j) = 1
+), around as (
+  select c.lang, array_to_string(c.words[o.o + 1 : o.o + s.s], ' ') as phrase, s.s as k, max(c.f) as f
+  from frequent c, (select unnest(range(0, 3)) as o) o, (select unnest(range(2, 4)) as s) s
+  where s.s < c.k and o.o + s.s <= c.k group by all
+), kept as (
+  select w.* from worst w left join around a on a.lang = w.lang and a.phrase = w.phrase and a.k = w.k
+  where a.f is null or 100 * a.f < 80 * w.f
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, f desc, encode(phrase)) as rank from kept
+)
+select k.lang, cast(rank as bigint) as rank, phrase, cast(k.f as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r,
+  cast(t.n as bigint) as n, cast(score as bigint) as score
+from ranked k join totals t on t.lang = k.lang where rank <= 2000
+""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_byte_bpe")
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), keep=["doc_id"], whole=False)
+
+
+_CRC32 = """xor(4294967295, list_reduce(
+  list_transform(range(len(cast(doc_id as varchar))), lambda i: cast(ascii(cast(doc_id as varchar)[i + 1]) as bigint)),
+  lambda c, b: list_reduce(range(8), lambda d, bit: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), cast(4294967295 as bigint)))"""
+_MERKLE = """
+with recursive hashed as (
+  select doc_id, source, crc32, sha256(concat(a, t)) as leaf,
+    sha256(concat(a, case when crc32 % 2 = 0 then replace_entry else t end)) as candidate
+  from (
+    select doc_id, source, concat(
+        coalesce(concat(len(cast(doc_id as varchar)), ':', cast(doc_id as varchar)), '-'),
+        coalesce(concat(strlen(source), ':', source), '-'), coalesce(concat(strlen(lang), ':', lang), '-'),
+        coalesce(concat(len(cast(n_chars as varchar)), ':', cast(n_chars as varchar)), '-')) as a,
+      coalesce(concat(strlen(text), ':', text), '-') as t,
+      coalesce(concat(strlen(replace(text, chr(10), '')), ':', replace(text, chr(10), '')), '-') as replace_entry,
+      {crc} as crc32
+    from documents)
+), placed as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as place from hashed
+), levels as (
+  select source, 0 as depth, list(leaf order by place) as nodes from placed group by source
+  union all
+  select source, depth + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], '')))
+  from levels where len(nodes) > 1
+), subroots as (
+  select source, nodes[1] as subroot, row_number() over (order by source nulls first) - 1 as place from levels where len(nodes) = 1
+), tops as (
+  select 0 as depth, list(subroot order by place) as nodes from subroots
+  union all
+  select depth + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], '')))
+  from tops where len(nodes) > 1
+), steps as (
+  select p.doc_id, p.source, p.leaf, p.place, l.depth, l.nodes, p.place // cast(pow(3, l.depth) as bigint) as i, len(l.nodes) as n
+  from placed p join levels l on p.source is not distinct from l.source where len(l.nodes) > 1
+  union all
+  select p.doc_id, p.source, p.leaf, p.place, 1000 + t.depth, t.nodes, s.place // cast(pow(3, t.depth) as bigint), len(t.nodes)
+  from placed p join subroots s on p.source is not distinct from s.source, tops t where len(t.nodes) > 1
+), sided as (
+  select doc_id, source, leaf, place, depth,
+    array_to_string(list_slice(nodes, i - i % 3 + 1, i), '') as before,
+    array_to_string(list_slice(nodes, i + 2, least(i - i % 3 + 3, n)), '') as behind
+  from steps
+), ways as (
+  select source, place, list({{'a': before, 'z': behind}} order by depth) as way, string_agg(before || behind, '' order by depth) as proof
+  from sided group by source, place
+), folded as (
+  select p.source, p.place, p.candidate as node, 0 as done, w.way from placed p left join ways w on p.place = w.place and p.source is not distinct from w.source
+  union all
+  select source, place, sha256(concat(way[done + 1].a, node, way[done + 1].z)), done + 1, way from folded where done < coalesce(len(way), 0)
+)
+select p.doc_id, p.leaf, s.subroot, t.nodes[1] as root, sha256(coalesce(w.proof, '')) as proof_sha256, f.node as folded_root,
+  f.node = t.nodes[1] as verified
+from placed p join subroots s on p.source is not distinct from s.source
+join (select nodes from tops where len(nodes) = 1) t on true
+left join ways w on w.place = p.place and w.source is not distinct from p.source
+join folded f on f.place = p.place and f.source is not distinct from p.source and f.done = coalesce(len(w.way), 0)
+"""
+
+
+@query("op12_manifest", _MERKLE.format(crc=_CRC32))
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = manifest.leaf(text=manifest.without_line_feeds())
+    return manifest.verified(manifest.manifest(docs, candidate=tampered))

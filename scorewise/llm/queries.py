@@ -207,13 +207,15 @@ with pieces as (
   union all select lang, concat_ws(' ', w, w2), count(*) from following where w2 is not null group by all
   union all select lang, concat_ws(' ', w, w2, w3), count(*) from following where w3 is not null group by all
   union all select lang, concat_ws(' ', w, w2, w3, w4), count(*) from following where w4 is not null group by all
-), frequent as (
+), frequent as materialized (
   select lang, phrase, cast(f as hugeint) as f, string_split(phrase, ' ') as words, len(string_split(phrase, ' ')) as k from counted where f >= 30
+), split as (
+  select lang, phrase, f, words, k, unnest(range(1, k)) as j from frequent
+), headed as (
+  select *, array_to_string(words[1 : j], ' ') as head, array_to_string(words[j + 1 : k], ' ') as tail from split
 ), cuts as (
-  select c.lang, c.phrase, c.k, c.f, j.j, h.f as l, t.f as r, 2000000 * c.f // (h.f + t.f) as score
-  from frequent c join (select unnest(range(1, 4)) as j) j on j.j < c.k
-  join frequent h on h.lang = c.lang and h.k = j.j and h.phrase = array_to_string(c.words[1 : j.j], ' ')
-  join frequent t on t.lang = c.lang and t.k = c.k - j.j and t.phrase = array_to_string(c.words[j.j + 1 : c.k], ' ')
+  select c.lang, c.phrase, c.k, c.f, c.j, h.f as l, t.f as r, 2000000 * c.f // (h.f + t.f) as score
+  from headed c join frequent h on h.lang = c.lang and h.phrase = c.head join frequent t on t.lang = c.lang and t.phrase = c.tail
 ), worst as (
   select * from cuts qualify row_number() over (partition by lang, phrase, k order by score, j) = 1
 ), around as (

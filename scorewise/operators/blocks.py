@@ -18,8 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorewise.sources.shared import written
+
 BLOCK_ROWS = 1 << 16
-HOT_ROWS = 1 << 20  # rows per range where whole keys are put in order
 GROUP_LIMIT = 1000  # Spark's default windowGroupLimitThreshold
 KEY = ("series_id",)
 
@@ -101,72 +102,64 @@ def number_rows(
     return shifted.withColumn(name, number.cast("long")).drop("blk", "_before")
 
 
-def prefix_by_range(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], hot_rows: int = HOT_ROWS,
-    source: DataFrame | None = None, totals: Sequence[str] = (), **sums: Column,
-) -> DataFrame:
-    """Attach sums over the rows strictly earlier in ``order`` (ascending, nulls first), for keys of any size.
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], ranges: int | None = None) -> DataFrame:
+    """The rows cut by Spark into ranges of (keys, order) and put in order (ascending, nulls first), as a written table.
 
-    All rows are cut by ranges of (keys, order) together, about ``hot_rows`` rows in each: a key with many rows gets
-    many ranges, and rows that tie in the first columns of the order are told apart by the others. A range that ends
-    inside a key costs that key one more block and nothing else. ``totals`` names sums to attach for the whole key too,
-    as ``all_<name>``. ``source`` may be a cheaper plan with the same keys, order and row count to take the cuts from.
+    ``blk`` numbers the ranges and ``_at`` the rows, both rising along the order. A key with many rows gets many ranges, and
+    rows that tie in the first columns of the order are told apart by the others. ``ranges`` is the number of ranges; by
+    default it follows the session's shuffle settings. The table is written because a range must not change its number
+    between the plans that read it; the input is evaluated here, and only here.
     """
-    cuts = range_cuts(df if source is None else source, keys, order, hot_rows)
-    cut = with_range(df, cuts, keys, order)
-    before = Window.partitionBy(*keys).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    partial = cut.groupBy(*keys, "blk").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    prior = partial.select(
-        *keys, "blk", *[F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums],
-        *[F.sum(f"_{n}").over(Window.partitionBy(*keys)).alias(f"all_{n}") for n in totals],
-    )
-    here = within(keys, *order).rowsBetween(Window.unboundedPreceding, -1)
-    values = [
-        (F.coalesce(F.sum(c).over(here), F.lit(0)) + F.coalesce(F.col(f"_{n}"), F.lit(0))).alias(n) for n, c in sums.items()
-    ]
-    joined = cut.join(prior.select(*[F.col(c).alias(f"_p_{c}") for c in (*keys, "blk")], *prior.columns[len(keys) + 1:]), [
-        F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in (*keys, "blk")
-    ], "left")
-    return joined.select(*df.columns, *values, *[f"all_{n}" for n in totals])
-
-
-def number_by_range(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "idx", start: int = 0,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """``number_rows`` for keys of any size and any order, cut by ranges of (keys, order)."""
-    numbered = prefix_by_range(df, keys, order, hot_rows, **{name: F.lit(1)})
-    return numbered.withColumn(name, (F.col(name) + start).cast("long"))
+    place = [F.col(c) if isinstance(c, str) else c for c in (*keys, *order)]
+    cut = df.repartitionByRange(ranges, *place) if ranges else df.repartitionByRange(*place)
+    numbers = {"blk": F.spark_partition_id().cast("long"), "_at": F.monotonically_increasing_id()}
+    return written(cut.sortWithinPartitions(*place).withColumns(numbers), "ranged")
 
 
-SAMPLED = 8  # rows of the sample per range
+def _with_prior(cut: DataFrame, keys: Sequence[str], parts: dict[str, Column], values: dict[str, Column]) -> DataFrame:
+    """Attach ``values`` of the ranges of a key, windows and columns over their ``parts``, to the rows of ``ranged``."""
+    prior = cut.groupBy(*keys, "blk").agg(*[c.alias(n) for n, c in parts.items()])
+    prior = prior.select(*[F.col(c).alias(f"_p_{c}") for c in (*keys, "blk")], *[c.alias(n) for n, c in values.items()])
+    return cut.join(prior, [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in (*keys, "blk")])
 
 
-def _place(keys: Sequence[str], order: Sequence[Column | str]) -> Column:
-    parts = [F.col(c) if isinstance(c, str) else c for c in (*keys, *order)]
-    return F.struct(*[c.alias(f"c{i}") for i, c in enumerate(parts)])
+def earlier_ranges(keys: Sequence[str]) -> Window:
+    """The ranges of a key before the present one: one row per range, whatever the number of rows."""
+    return Window.partitionBy(*keys).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def range_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], hot_rows: int = HOT_ROWS) -> Column:
-    """Scalar subquery: ascending cut points that part the rows into ranges of about ``hot_rows``.
+def prefix_by_range(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], ranges: int | None = None,
+    totals: Sequence[str] = (), **sums: Column,
+) -> DataFrame:
+    """Attach sums over the rows strictly earlier in ``order`` (ascending, nulls first), for keys of any size.
 
-    The sample is picked by a hash of the rows' own values, one row in ``hot_rows / SAMPLED``, so it grows with the data
-    and is the same in every run; each ``SAMPLED``-th of its rows is a cut."""
-    place = df.select(_place(keys, order).alias("p"))
-    every = max(1, hot_rows // SAMPLED)
-    some = place.filter(F.pmod(F.xxhash64("p"), F.lit(every)) == 0)
-    ordered = F.array_sort(F.collect_list("p"))
-    return some.agg(F.filter(ordered, lambda x, i: i % SAMPLED == SAMPLED - 1).alias("cuts")).scalar()
+    Sums run inside the ranges of ``ranged``; what lies before a range comes from one row per range and key. ``totals``
+    names sums to attach for the whole key too, as ``all_<name>``.
+    """
+    cut = ranged(df, keys, order, ranges)
+    parts = {f"_{n}": F.sum(c) for n, c in sums.items()}
+    values = {f"_{n}": F.sum(f"_{n}").over(earlier_ranges(keys)) for n in sums}
+    values |= {f"all_{n}": F.sum(f"_{n}").over(Window.partitionBy(*keys)) for n in totals}
+    here = within(keys, "_at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = cut.withColumns({f"_here_{n}": F.sum(c).over(here) for n, c in sums.items()})
+    zero = F.lit(0)
+    added = [(F.coalesce(f"_here_{n}", zero) + F.coalesce(f"_{n}", zero)).alias(n) for n in sums]
+    return _with_prior(inside, keys, parts, values).select(*df.columns, *added, *[f"all_{n}" for n in totals])
 
 
-def with_range(df: DataFrame, cuts: Column, keys: Sequence[str], order: Sequence[Column | str], bits: int = 24) -> DataFrame:
-    """Number of cut points below the row as ``blk``, found by halving; enough for ``2 ** bits`` cuts."""
-    columns = df.columns
-    df = df.withColumns({"_cuts": cuts, "_place": _place(keys, order)})
-    halves = F.slice(F.array(*[F.lit(1 << b) for b in reversed(range(bits))]), -F.col("_bits"), F.col("_bits"))
-    step = lambda at, half: at + F.when(F.get("_cuts", at + half - 1) < F.col("_place"), half).otherwise(0)
-    df = df.withColumn("_bits", F.length(F.bin(F.size("_cuts"))))
-    return df.withColumn("blk", F.aggregate(halves, F.lit(0), step)).select(*columns, "blk")
+def number_by_range(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "idx", start: int = 0,
+    ranges: int | None = None,
+) -> DataFrame:
+    """``number_rows`` for keys of any size and any order. The rows are moved once, by range; their numbers come from their
+    place in the range and from one row per range and key."""
+    cut = ranged(df, keys, order, ranges)
+    parts = {"_first": F.min("_at"), "_rows": F.count("*")}
+    values = {"_from": F.coalesce(F.sum("_rows").over(earlier_ranges(keys)), F.lit(0)) - F.col("_first")}
+    numbered = _with_prior(cut, keys, parts, values)
+    kept = [c for c in df.columns if c != name]
+    return numbered.select(*kept, (F.col("_at") + F.col("_from") + start).cast("long").alias(name))
 
 
 def top_rows(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scorewise.functions.text import CRITERIA, word_count
 
-from .blocks import HOT_ROWS, explode_range, prefix_by_range
+from .blocks import explode_range, prefix_by_range
 from .sampling import hash_number
 
 
@@ -179,10 +179,10 @@ def pairwise_significance(df: DataFrame, pairs: Sequence[tuple[str, str]], resam
 
 # --- agreement -------------------------------------------------------------------------------------------------
 
-def _average_ranks(counts: DataFrame, value: str, name: str, hot_rows: int) -> DataFrame:
+def _average_ranks(counts: DataFrame, value: str, name: str, ranges: int | None) -> DataFrame:
     """Rank of each distinct value, ties sharing their mean rank."""
     per_value = counts.groupBy("criterion", value).agg(F.sum("w").alias("w"))
-    placed = prefix_by_range(per_value, ["criterion"], [value], hot_rows, _below=F.col("w"))
+    placed = prefix_by_range(per_value, ["criterion"], [value], ranges, _below=F.col("w"))
     return placed.select("criterion", value, (F.col("_below") + (F.col("w") + 1) / 2).alias(name))
 
 
@@ -193,7 +193,7 @@ def _weighted_corr(x: Column, y: Column, w: Column) -> Column:
 
 
 def agreement(
-    df: DataFrame, pairs: dict[str, tuple[str, str]], min_rows: int = 5, hot_rows: int = HOT_ROWS
+    df: DataFrame, pairs: dict[str, tuple[str, str]], min_rows: int = 5, ranges: int | None = None
 ) -> DataFrame:
     """Pearson, Spearman (average ranks), mean absolute difference and both means per criterion.
 
@@ -206,8 +206,8 @@ def agreement(
     ]
     long = df.select(F.inline(F.array(*entries))).filter("x is not null and y is not null")
     counts = long.groupBy("criterion", "x", "y").agg(F.count("*").alias("w"))
-    ranked = counts.join(_average_ranks(counts, "x", "rx", hot_rows), ["criterion", "x"])
-    ranked = ranked.join(_average_ranks(counts, "y", "ry", hot_rows), ["criterion", "y"])
+    ranked = counts.join(_average_ranks(counts, "x", "rx", ranges), ["criterion", "x"])
+    ranked = ranked.join(_average_ranks(counts, "y", "ry", ranges), ["criterion", "y"])
     w, x, y = F.col("w").cast("double"), F.col("x"), F.col("y")
     # one row per criterion, as many as are listed in the call; ranks of n rows have the mean (n + 1) / 2
     means = counts.groupBy("criterion").agg(

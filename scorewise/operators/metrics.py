@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import HOT_ROWS, KEY, attach, number_by_range, prefix_by_range, top_rows
+from .blocks import KEY, attach, earlier_ranges, number_by_range, prefix_by_range, ranged, top_rows, within
 
 K_GRID = (1, 3, 5, 8, 10, 15, 20, 30, 50)  # fixed values: the searched k
 
@@ -179,31 +179,39 @@ def _steps(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFram
     return rows.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def _ladder(steps: DataFrame, by: Sequence[str], hot_rows: int, totals: bool = False) -> DataFrame:
-    """Steps with the positives and negatives strictly below them, and on request those of the whole key as P and N."""
+def _ladder(steps: DataFrame, by: Sequence[str], ranges: int | None) -> DataFrame:
+    """Steps with the positives and negatives strictly below them, and those of the whole key as P and N."""
     sums = {"pos_below": F.col("pos"), "neg_below": F.col("neg")}
-    rows = prefix_by_range(steps, by, ["score"], hot_rows, totals=tuple(sums) if totals else (), **sums)
+    rows = prefix_by_range(steps, by, ["score"], ranges, totals=tuple(sums), **sums)
     return rows.withColumnsRenamed({"all_pos_below": "P", "all_neg_below": "N"})
 
 
-def _area(ladder: DataFrame, by: Sequence[str]) -> DataFrame:
-    wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
-    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return ladder.groupBy(*by).agg(F.when(pairs > 0, wins / pairs).alias("auc"))
+def _areas(cut: DataFrame, by: Sequence[str], anchors: Column | None = None, extra: int = 0) -> DataFrame:
+    """Area per key from the steps that ``ranged`` has put in order: pairs won inside a range, and by the positives of a range
+    over all negatives of earlier ranges. ``anchors`` adds pairs won by ``extra`` more rows of each class."""
+    pos, neg = F.col("pos"), F.col("neg")
+    below = F.sum("neg").over(within(by, "_at").rowsBetween(Window.unboundedPreceding, -1))
+    inside = cut.withColumn("_below", F.coalesce(below, F.lit(0)))
+    won = F.sum(pos * (F.col("_below") + neg / 2)) + (F.lit(0.0) if anchors is None else anchors)
+    parts = inside.groupBy(*by, "blk").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), won.alias("won"))
+    parts = parts.withColumn("_below", F.coalesce(F.sum("neg").over(earlier_ranges(by)), F.lit(0)))
+    pairs = (F.sum("pos") + extra).cast("double") * (F.sum("neg") + extra)
+    wins = F.sum(F.col("won") + pos * F.col("_below")) + extra
+    return parts.groupBy(*by).agg(F.when(pairs > 0, wins / pairs).alias("auc"))
 
 
 def roc_auc(
-    df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score", hot_rows: int = HOT_ROWS
+    df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score", ranges: int | None = None
 ) -> DataFrame:
     """Exact area under the ROC curve, ties by trapezoid; null when a class is missing."""
-    return _area(_ladder(_steps(df, by, label, score), by, hot_rows), by)
+    return _areas(ranged(_steps(df, by, label, score), by, ["score"], ranges), by)
 
 
 def roc_curve(
-    df: DataFrame, label: str = "label", score: str = "score", hot_rows: int = HOT_ROWS
+    df: DataFrame, label: str = "label", score: str = "score", ranges: int | None = None
 ) -> DataFrame:
     """One point per distinct threshold (``score >= threshold``)."""
-    rows = _ladder(_steps(df, (), label, score), (), hot_rows, totals=True)
+    rows = _ladder(_steps(df, (), label, score), (), ranges)
     return rows.select(
         F.col("score").alias("threshold"),
         ((F.col("N") - F.col("neg_below")) / F.col("N")).alias("fpr"),
@@ -212,10 +220,10 @@ def roc_curve(
 
 
 def pr_curve(
-    df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score", hot_rows: int = HOT_ROWS
+    df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score", ranges: int | None = None
 ) -> DataFrame:
     """Precision and recall per distinct threshold, with those of the next higher threshold (start: 1 and 0)."""
-    rows = _ladder(_steps(df, by, label, score), by, hot_rows, totals=True)
+    rows = _ladder(_steps(df, by, label, score), by, ranges)
     hits, misses = F.col("P") - F.col("pos_below"), F.col("N") - F.col("neg_below")
     hits_next, misses_next = hits - F.col("pos"), misses - F.col("neg")
     flagged_next = hits_next + misses_next
@@ -228,29 +236,27 @@ def pr_curve(
 
 
 def pr_auc(
-    df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score", hot_rows: int = HOT_ROWS
+    df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score", ranges: int | None = None
 ) -> DataFrame:
     """Trapezoidal area under the precision-recall curve."""
     step = (F.col("recall") - F.col("next_recall")) * (F.col("precision") + F.col("next_precision")) / 2
-    return pr_curve(df, by, label, score, hot_rows).groupBy(*by).agg(F.sum(step).alias("pr_auc"))
+    return pr_curve(df, by, label, score, ranges).groupBy(*by).agg(F.sum(step).alias("pr_auc"))
 
 
-def micro_macro_auc(df: DataFrame, keys: Sequence[str] = KEY, hot_rows: int = HOT_ROWS) -> DataFrame:
+def micro_macro_auc(df: DataFrame, keys: Sequence[str] = KEY, ranges: int | None = None) -> DataFrame:
     """Pooled area, and the mean of per-series areas after adding the anchors (0, label 0) and (1, label 1).
 
     The steps of the series are counted once; summed over the series they are the steps of the pooled curve.
     """
-    steps = _steps(df, keys, "label", "score")
-    pooled = steps.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    cut = ranged(_steps(df, keys, "label", "score"), keys, ["score"], ranges)
+    pooled = cut.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     pos, neg, score = F.col("pos"), F.col("neg"), F.col("score")
-    # pairs won inside the series, by the positive anchor, against the negative anchor, and by one over the other
-    wins = F.sum(pos * (F.col("neg_below") + neg / 2))
+    # pairs won by the positive anchor, against the negative anchor, and by one anchor over the other
     over = F.sum(F.when(score < 1, neg).when(score == 1, neg / 2).otherwise(0))
     under = F.sum(F.when(score > 0, pos).when(score == 0, pos / 2).otherwise(0))
-    pairs = (F.sum(pos) + 1).cast("double") * (F.sum(neg) + 1)
-    per_series = _ladder(steps, keys, hot_rows).groupBy(*keys).agg(((wins + over + under + 1) / pairs).alias("auc"))
+    per_series = _areas(cut, keys, over + under, extra=1)
     macro = per_series.agg(F.avg("auc").alias("macro_auc"), F.count("auc").alias("n_series"))
-    micro = _area(_ladder(pooled, (), hot_rows), ()).scalar()
+    micro = _areas(ranged(pooled, (), ["score"], ranges), ()).scalar()
     return macro.select(micro.alias("micro_auc"), "macro_auc", "n_series")
 
 

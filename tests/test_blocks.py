@@ -134,26 +134,26 @@ def test_running_best(spark, size):
     assert rows(got, "series_id", "idx", "is_best") == sorted(want)
 
 
-@pytest.mark.parametrize("hot_rows", [3, 10_000])
-def test_curve_areas(spark, hot_rows):
+@pytest.mark.parametrize("ranges", [3, 10_000])
+def test_curve_areas(spark, ranges):
     rng = random.Random(8)
     data = [(k, rng.randrange(20) / 20, int(rng.random() < 0.4)) for k in (1, 2, 3) for _ in range(60)]
     df = spark.createDataFrame(data, "series_id long, score double, label int")
     s, y = [d[1] for d in data], [d[2] for d in data]
-    assert M.roc_auc(df, hot_rows=hot_rows).first().auc == pytest.approx(ref.auc(s, y))
-    assert M.pr_auc(df, hot_rows=hot_rows).first().pr_auc == pytest.approx(ref.pr_area(s, y))
-    by_key = {r.series_id: r.auc for r in M.roc_auc(df, ["series_id"], hot_rows=hot_rows).collect()}
+    assert M.roc_auc(df, ranges=ranges).first().auc == pytest.approx(ref.auc(s, y))
+    assert M.pr_auc(df, ranges=ranges).first().pr_auc == pytest.approx(ref.pr_area(s, y))
+    by_key = {r.series_id: r.auc for r in M.roc_auc(df, ["series_id"], ranges=ranges).collect()}
     for k in (1, 2, 3):
         assert by_key[k] == pytest.approx(ref.auc([d[1] for d in data if d[0] == k], [d[2] for d in data if d[0] == k]))
 
 
-@pytest.mark.parametrize("hot_rows", [2, 10_000])
-def test_number_by_range(spark, hot_rows):
+@pytest.mark.parametrize("ranges", [1, 64])
+def test_number_by_range(spark, ranges):
     rng = random.Random(9)
     data = [(k, rng.randrange(30), i) for i, k in enumerate([1] * 70 + [2] * 20 + [3])]
     df = spark.createDataFrame(data, "k long, at long, id long").repartition(6)
     want = sorted((k, i, n) for key in (1, 2, 3) for n, (k, _, i) in enumerate(sorted(d for d in data if d[0] == key)))
-    assert rows(B.number_by_range(df, ["k"], ["at", "id"], hot_rows=hot_rows), "k", "id", "idx") == want
+    assert rows(B.number_by_range(df, ["k"], ["at", "id"], ranges=ranges), "k", "id", "idx") == want
 
 
 def test_number_rows_global(spark):

@@ -227,7 +227,7 @@ def test_agreement_needs_five_rows(spark):
     df = spark.createDataFrame([(i, i * 2) for i in range(4)], "a int, b int")
     assert J.agreement(df, {"x": ("a", "b")}).count() == 0
     df = spark.createDataFrame([(i, i * i) for i in range(9)], "a int, b int")
-    got = J.agreement(df, {"x": ("a", "b")}, hot_rows=2).first()
+    got = J.agreement(df, {"x": ("a", "b")}, ranges=20).first()
     assert got.spearman == pytest.approx(1.0) and got.pearson < 1
 
 

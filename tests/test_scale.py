@@ -53,10 +53,10 @@ def test_smoothing_has_one_rule_for_nulls_and_gaps(spark):
 
 def test_tied_rows_of_one_key_are_spread(spark):
     df = spark.range(200_000).select(F.lit(1).alias("k"), F.lit(0.5).alias("score"), "id")
-    cut = B.with_range(df, B.range_cuts(df, ["k"], ["score", "id"], 10_000), ["k"], ["score", "id"])
+    cut = B.ranged(df, ["k"], ["score", "id"], 20)
     sizes = [r["count"] for r in cut.groupBy("blk").count().collect()]
     assert len(sizes) > 10 and max(sizes) < 40_000
-    numbered = B.number_by_range(df, ["k"], ["score", "id"], hot_rows=10_000)
+    numbered = B.number_by_range(df, ["k"], ["score", "id"], ranges=20)
     assert numbered.filter("idx <> id").isEmpty()
 
 

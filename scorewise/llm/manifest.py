@@ -56,9 +56,9 @@ def _parents(level: Column, fan: int) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), run), "")
 
 
-def _siblings(level: str, at: Column, fan: int) -> Column:
-    """The digests before and behind node ``at`` in its run."""
-    start, text = F.floor(at / fan).cast("int") * fan, F.col(level)
+def _siblings(text: Column, at: Column, fan: int) -> Column:
+    """The digests before and behind node ``at`` in its run of a level."""
+    start = F.floor(at / fan).cast("int") * fan
     return F.struct(
         F.substring(text, start * WIDTH + 1, (at - start) * WIDTH).alias("before"),
         F.substring(text, (at + 1) * WIDTH + 1, (start + fan - 1 - at) * WIDTH).alias("behind"),
@@ -76,23 +76,22 @@ def _tree(nodes: DataFrame, fan: int, depth: int, name: str) -> DataFrame:
     size = fan**depth
     listed = F.array_sort(F.collect_list(F.struct("at", "node", "held")))
     blocks = nodes.groupBy("group", F.expr(f"at div {size}").alias("block")).agg(F.first("n").alias("n"), listed.alias("nodes"))
-    blocks = blocks.withColumns({
-        "level0": F.array_join(F.col("nodes")["node"], ""), "held": F.col("nodes")["held"], "levels": _depth(F.col("n"), fan, depth),
-    }).drop("nodes")
-    for i in range(depth):
-        last = F.col(f"level{i}")
-        blocks = blocks.withColumn(f"level{i + 1}", F.when(F.col("levels") > i, _parents(last, fan)).otherwise(last))
-    blocks = written(blocks.withColumnRenamed(f"level{depth}", "top"), f"manifest-{name}")
-    upper = blocks.select("group", F.col("block").alias("at"), F.col("top").alias("node"), F.col("n"))
+    first = F.array(F.array_join(F.col("nodes")["node"], ""))
+    grow = lambda levels, _: F.concat(levels, F.array(_parents(F.element_at(levels, -1), fan)))
+    rounds = F.slice(F.array(*[F.lit(i) for i in range(depth)]), 1, _depth(F.col("n"), fan, depth))
+    blocks = blocks.select("group", "block", "n", F.col("nodes")["held"].alias("held"), F.aggregate(rounds, first, grow).alias("levels"))
+    blocks = written(blocks, f"manifest-{name}")
+    top = F.element_at("levels", -1)
+    upper = blocks.select("group", F.col("block").alias("at"), top.alias("node"), F.col("n"))
     divided = F.col("n") > size
     on = upper.filter(divided).withColumn("n", F.expr(f"(n - 1) div {size} + 1")).withColumn("held", F.col("at"))
     place = F.sequence(F.lit(0), F.size("held") - 1)
     at = lambda i, k: F.floor(i / fan**k).cast("int")
     segments = lambda i: F.array(*[
-        F.when(F.col("levels") > k, _siblings(f"level{k}", at(i, k), fan)) for k in range(depth)
+        F.when(F.size("levels") > k + 1, _siblings(F.get("levels", F.lit(k)), at(i, k), fan)) for k in range(depth)
     ])
     own = F.transform(place, lambda i: F.filter(segments(i), lambda s: s.isNotNull()))
-    blocks = blocks.withColumn("segments", own).select("group", "block", "n", "held", "segments", F.col("top").alias("root"))
+    blocks = blocks.withColumn("segments", own).select("group", "block", "n", "held", "segments", top.alias("root"))
     if on.isEmpty():
         return blocks.select("group", "held", "segments", "root")
     above = _tree(on, fan, depth, f"{name}-up")

@@ -59,9 +59,9 @@ def parse_reply(raw: Column) -> Column:
 
 
 def turn_label(turns: Column) -> Column:
-    """Label carried by the first assistant turn; its raw text when it is not JSON."""
+    """Label carried by the first assistant turn; its raw text when that is not one strict JSON object."""
     value = F.get(F.filter(turns, lambda t: t["from"] == "assistant"), F.lit(0))["value"]
-    return F.coalesce(F.get_json_object(value, "$.explanation"), value)
+    return F.coalesce(F.when(is_json_object(strip(value)), F.get_json_object(value, "$.explanation")), value)
 
 
 def explanation_json(text: Column) -> Column:

@@ -14,7 +14,7 @@ from scorewise.operators import sampling as P
 from scorewise.operators import scoring, splits
 from scorewise.operators import series as S
 from scorewise.operators import vectors as V
-from scorewise.sources import readers, writers
+from scorewise.sources import array_files, readers, writers
 from scorewise.sources.shared import shared_folder, written
 
 from . import fixtures as fx
@@ -23,6 +23,7 @@ from .sampling_queries import POOL, SPAN_STEPS, UNION_SQL, picks_steps, window_r
 from .series_queries import runs_sql
 from .vector_queries import _SIMS, _SPLIT, topk
 
+VARIANTS = ("frames_only", "frames_plus_score", "score")
 _HASH = "md5(concat_ws(':', '42', {0}))"
 
 
@@ -95,6 +96,25 @@ def _(spark, sf):
     return fx.turns(spark, sf).select("video_id", text.turn_label(F.col("conversations")).alias("label"))
 
 
+@query(
+    "turn_label_strict", "video_id:i label:s",
+    """select conv_id video_id, case conv_id%4 when 0 then 'said ' || conv_id when 1 then '{"explanation": "said ' || conv_id || '"} trailing'
+ when 2 then '{''explanation'': ''said ' || conv_id || '''}' else '{"other": ' || conv_id || '}' end as label from conversations group by 1""",
+)
+def _(spark, sf):
+    """Turns in strict JSON, in JSON with text after it, in single quotes, and without the key."""
+    kind, said = F.col("video_id") % 4, F.concat(F.lit("said "), F.col("video_id").cast("string"))
+    value = (
+        F.when(kind == 0, F.concat(F.lit(' {"explanation": "'), said, F.lit('"}\n')))
+        .when(kind == 1, F.concat(F.lit('{"explanation": "'), said, F.lit('"} trailing')))
+        .when(kind == 2, F.concat(F.lit("{'explanation': '"), said, F.lit("'}")))
+        .otherwise(F.concat(F.lit('{"other": '), F.col("video_id").cast("string"), F.lit("}")))
+    )
+    talks = fx.table(spark, sf, "conversations").select(F.col("conv_id").alias("video_id")).distinct()
+    turns = F.array(*[F.struct(F.lit(who).alias("from"), said.alias("value")) for who, said in (("user", F.lit("why?")), ("assistant", value))])
+    return talks.select("video_id", text.turn_label(turns).alias("label"))
+
+
 @query(
     "judge_prompt", "video_id:i prompt:s",
     """select video_id, 'HUMAN ground-truth explanation:' || chr(10) || '"' || scene || '"' || chr(10) || chr(10) ||
@@ -551,6 +571,59 @@ def _(spark, sf):
     return readers.read_annotations(spark, path, lines=True)
 
 
+@query(
+    "read_annotations_array", "video_id:s explanation:s anomaly_start_frame:i anomaly_end_frame:i",
+    r"""select series_id video_id, 'has "quotes", {braces} and \ last ' || series_id explanation, start_frame anomaly_start_frame,
+ end_frame anomaly_end_frame from annotations""",
+)
+def _(spark, sf):
+    """One array in one file, two entries for each recording, the first of which is outdated."""
+    path = scratch(spark, "array")
+    entry = lambda word: F.to_json(F.struct(
+        F.col("series_id").cast("string").alias("video_id"),
+        F.concat(F.lit(r'has "quotes", {braces} and \ ' + word), F.col("series_id").cast("string")).alias("explanation"),
+        F.col("start_frame").alias("anomaly_start_frame"), F.col("end_frame").alias("anomaly_end_frame"),
+        F.array(F.struct(F.lit("}").alias("n"))).alias("nested"),
+    ))
+    rows = fx.annotations(spark, sf).select(F.posexplode(F.array(entry("first "), entry("last "))).alias("at", "value"))
+    lines = rows.select(F.lit(1).alias("part"), "at", F.concat(F.lit(",\n"), "value").alias("value"))
+    edge = lambda part, value: spark.range(1).select(F.lit(part).alias("part"), F.lit(0).alias("at"), F.lit(value).alias("value"))
+    head = edge(0, '[{"explanation": "an entry without an id"}')
+    # one file is one stream of text
+    ordered = head.unionByName(lines).unionByName(edge(2, "\n]")).coalesce(1).sortWithinPartitions("part", "at")
+    ordered.select("value").write.option("lineSep", " ").text(path)
+    return readers.read_annotations(spark, path)
+
+
+@query("read_series_npy", "series_id:i idx:i score:d", "select * from scores")
+def _(spark, sf):
+    """One array file per series."""
+    path = scratch(spark, "npy")
+    array_files.write_arrays(fx.scores(spark, sf), path)
+    return readers.read_series(spark, path, "npy")
+
+
+@query(
+    "read_variant_outputs", "video_id:s variant:s explanation:s frames_sampled:i",
+    """select series_id video_id, case series_id%3 when 0 then 'frames_only' when 1 then 'frames_plus_score' else 'score' end variant,
+ 'seen ' || series_id explanation, n_snip frames_sampled from videos where series_id%7<>0""",
+)
+def _(spark, sf):
+    """A file per recording, named by its variant; every seventh has a name of no variant."""
+    path = scratch(spark, "variants")
+    variant = F.element_at(F.array(*map(F.lit, VARIANTS)), (F.col("series_id") % 3 + 1).cast("int"))
+    kind = F.when(F.col("series_id") % 7 == 0, "notes").otherwise(variant)
+    made = fx.videos(spark, sf).select(
+        F.concat(F.col("series_id").cast("string"), F.lit("_"), kind, F.lit(".json")).alias("name"),
+        F.to_json(F.struct(
+            F.col("series_id").cast("string").alias("video_id"), F.concat(F.lit("seen "), F.col("series_id").cast("string")).alias("explanation"),
+            F.col("n_snip").alias("frames_sampled"),
+        )).alias("content"),
+    )
+    writers.write_texts(made, path)
+    return readers.read_variant_outputs(spark, path, VARIANTS)
+
+
 @query(
     "read_metadata_tree", "video_id:s start_snippet:i end_snippet:i n_shots:i",
     """select series_id video_id, a start_snippet, b end_snippet, len(list_filter(p, lambda x: x.idx % 3 <> 0)) n_shots from picked

@@ -14,6 +14,9 @@ from scorewise.functions import ids
 from scorewise.functions.text import strip
 from scorewise.operators.blocks import number_by_range
 
+from . import array_files
+from .json_arrays import read_json_array
+
 ANNOTATION = "video_id STRING, explanation STRING, anomaly_start_frame INT, anomaly_end_frame INT"
 METADATA = (
     "video_id STRING, gate_score DOUBLE, flagged BOOLEAN, n_segments INT, segment_scores ARRAY<DOUBLE>, "
@@ -39,9 +42,13 @@ def read_series(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     """``(series_id, idx, score)`` rows.
 
     ``parquet``: a long table as it is, or one row per series with a ``scores`` array. ``npy``: one array file per
-    series, read on the executors.
+    series, whose byte ranges are read by several tasks; where only Spark's readers reach the path, a file is one task.
     """
     if fmt == "npy":
+        if array_files.reachable(path):
+            spark.dataSource.register(array_files.ArrayFiles)
+            values = spark.read.format("npy").load(path)
+            return values.select(ids.feature_id(F.col("path")).alias("series_id"), "idx", F.col("value").alias("score"))
 
         def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -93,11 +100,16 @@ def read_video_list(spark: SparkSession, path: str, layout: str = "test") -> Dat
 
 def read_annotations(spark: SparkSession, path: str, drop_blank: bool = False, lines: bool = False) -> DataFrame:
     """Annotation array (or JSON lines), one row per id: of several entries the last one counts. Entries without an id are
-    dropped, on request also blank explanations. An array is one task; large annotations belong in JSON lines."""
-    rows = spark.read.schema(ANNOTATION).json(path, multiLine=not lines).filter("video_id is not null")
-    rest = F.struct(*[c for c in rows.columns if c != "video_id"]).alias("rest")
-    placed = rows.select("video_id", rest, "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
-    rows = placed.groupBy("video_id").agg(F.max_by("rest", F.struct("file_path", "file_block_start", "line")).alias("a")).select("video_id", "a.*")
+    dropped, on request also blank explanations. Both forms are read by as many tasks as the files have splits."""
+    if lines:
+        rows = spark.read.schema(ANNOTATION).json(path)
+        rows = rows.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).alias("place"))
+    else:
+        entry = F.from_json("value", ANNOTATION)
+        rows = read_json_array(spark, path).select(F.struct("file", "pos").alias("place"), entry.alias("e")).select("e.*", "place")
+    rest = F.struct(*[c for c in rows.columns if c not in ("video_id", "place")])
+    rows = rows.filter("video_id is not null").select("video_id", rest.alias("rest"), "place")
+    rows = rows.groupBy("video_id").agg(F.max_by("rest", "place").alias("a")).select("video_id", "a.*")
     return rows.filter(F.trim(F.coalesce("explanation", F.lit(""))) != "") if drop_blank else rows
 
 

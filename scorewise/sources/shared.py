@@ -44,7 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/scorewise/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     with _shuffles_end_with_the_job(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")  # its buffers are small and reused, however many tables a query writes
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table

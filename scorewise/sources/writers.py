@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .array_files import file_system
+
 
 def write_manifest(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """JSON lines, one chat row per line."""
@@ -32,3 +35,21 @@ def write_report(
     target = f"{path.rstrip('/')}/summary/run_tag={run_tag}"
     total.drop("run_tag").write.mode(mode).format(fmt).save(target)
     return total
+
+
+def write_texts(df: DataFrame, path: str, name: str = "name", content: str = "content") -> int:
+    """One file per row, named by the row, written by the tasks. A rerun writes the same files. Returns their number."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(path)
+        system.create_dir(root, recursive=True)
+        files = 0
+        for batch in batches:
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with system.open_output_stream(f"{root}/{file}") as out:
+                    out.write((text or "").encode())
+                files += 1
+        yield pa.RecordBatch.from_pydict({"files": [files]}, schema=pa.schema({"files": pa.int64()}))
+
+    put_out = df.select(F.col(name).cast("string"), F.col(content).cast("string")).mapInArrow(put, "files long")
+    return put_out.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("n")).first().n

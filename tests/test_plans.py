@@ -5,6 +5,7 @@ import pytest
 from scorewise.operators import sampling as P
 from scorewise.operators import series as S
 from scorewise.plans import fixtures as fx
+from scorewise.sources.shared import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,8 +16,14 @@ def plan(df, run=False):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-def test_runs_shuffle_their_rows_once(spark):
-    text = plan(S.threshold_runs(fx.scores(spark, SF), 0.5), run=True)
+@pytest.fixture(scope="module")
+def stored(spark):
+    """A stored series, so that a plan shows the operator and not how its input came about."""
+    return written(fx.labelled_scores(spark, SF), "stored")
+
+
+def test_runs_shuffle_their_rows_once(spark, stored):
+    text = plan(S.threshold_runs(stored.select("series_id", "idx", "score"), 0.5), run=True)
     assert text.count("FileScan parquet") == 1 and "ReusedExchange" in text
 
 
@@ -31,6 +38,6 @@ def test_budget_sample_gathers_few_rows(spark):
     assert "WindowGroupLimit" in plan(P.budget_sample(scores, S.threshold_runs(scores, 0.5)))
 
 
-def test_only_needed_columns_are_read(spark):
-    text = plan(S.series_mean(fx.labelled_scores(spark, SF)))
+def test_only_needed_columns_are_read(spark, stored):
+    text = plan(S.series_mean(stored))
     assert "ReadSchema: struct<series_id:bigint,score:double>" in text

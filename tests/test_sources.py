@@ -1,6 +1,7 @@
 """Readers and writers on files."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from scorewise.sources import readers as R
 from scorewise.sources import writers as W
+from scorewise.sources.array_files import ArrayFiles, write_arrays
+from scorewise.sources.json_arrays import read_json_array
 from scorewise.sources.shared import written
 
 
@@ -134,6 +137,75 @@ def test_the_last_annotation_of_an_id_counts(spark, tmp_path):
     assert sorted((r.video_id, r.explanation) for r in got) == [("a", "4"), ("b", "one")]
 
 
+def entries_of(spark, path, size=None):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    if size:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", size)
+    try:
+        rows = read_json_array(spark, str(path))
+        tasks = spark.read.text(str(path), lineSep="}").rdd.getNumPartitions()
+        return [json.loads(r.value) for r in rows.orderBy("file", "pos").collect()], tasks
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_one_array_is_read_by_many_tasks(spark, tmp_path, indent):
+    rng = random.Random(4)
+    bits = ["plain", '"', "\\", "{", "}", "[", "]", ",", "}{", '\\"}', "\n", "é", ""]
+    entries = [
+        {"id": i, "text": "".join(rng.choices(bits, k=rng.randint(0, 12))), "deep": [{"a": [{}, {"}": rng.choice(bits)}]}] * rng.randint(0, 2)}
+        for i in range(300)
+    ]
+    path = tmp_path / "array.json"
+    path.write_text("  " + json.dumps(entries, indent=indent) + "\n")
+    whole, one = entries_of(spark, path)
+    split, many = entries_of(spark, path, 1500)
+    assert whole == split == entries and one < 9 and many > 10
+
+
+def test_array_edges(spark, tmp_path):
+    for name, text, want in (
+        ("empty", "[]", []), ("blank", " [ \n ] ", []), ("nothing", "", []), ("one", '[{"a": [1]}]', [{"a": [1]}]), ("bare", "[{},{}]", [{}, {}]),
+    ):
+        (tmp_path / name).write_text(text)
+        assert entries_of(spark, tmp_path / name)[0] == want
+        if name in ("one", "bare"):
+            assert entries_of(spark, tmp_path / name, 2)[0] == want
+    for text in ('[{"a": 1}', '[{"a": 1}, {"a"', '{"a": 1}', '[{"a": 1}] x', "[1, 2]", '[{"a": "}]'):
+        (tmp_path / "broken").write_text(text)
+        with pytest.raises(Exception, match="not an array of objects"):
+            entries_of(spark, tmp_path / "broken")
+
+
+def test_one_array_file_is_read_by_many_tasks(spark, tmp_path):
+    values = np.arange(100_000, dtype="<f4").reshape(100, 1000)
+    np.save(tmp_path / "a.npy", values)
+    np.save(tmp_path / "b.npy", np.asfortranarray(values[:3, :4]))
+    np.save(tmp_path / "c.npy", np.zeros(0))
+    spark.dataSource.register(ArrayFiles)
+    df = spark.read.format("npy").option("rangeBytes", 40_000).load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 11
+    got = {name: sorted((r.idx, r.value) for r in df.filter(F.col("path").endswith(name)).collect()) for name in ("a.npy", "b.npy", "c.npy")}
+    assert got["a.npy"] == [(i, float(i)) for i in range(100_000)] and got["c.npy"] == []
+    assert got["b.npy"] == list(enumerate(values[:3, :4].reshape(-1).tolist()))
+    np.save(tmp_path / "d.npy", np.array([{}]))
+    with pytest.raises(Exception, match="objects are not read"):
+        spark.read.format("npy").load(str(tmp_path)).collect()
+
+
+def test_arrays_round_trip(spark, tmp_path):
+    rows = [(s, i, i / 7 + s) for s in (1, 2, 3) for i in range(5000 * s)]
+    df = spark.createDataFrame(rows, "series_id long, idx long, score double").repartition(7)
+    for _ in range(2):  # a rerun changes nothing
+        assert write_arrays(df, f"file://{tmp_path}/out") == 3
+    assert np.load(tmp_path / "out" / "1.npy").tolist() == [r[2] for r in rows if r[0] == 1]
+    got = R.read_series(spark, f"file://{tmp_path}/out", "npy").select(F.col("series_id").cast("long"), "idx", "score")
+    assert sorted(map(tuple, got.collect())) == rows
+
+
 def test_references_raise(spark):
     child, parent = spark.range(10).toDF("k"), spark.range(7).toDF("k")
     with pytest.raises(ValueError, match="missing 3 references"):

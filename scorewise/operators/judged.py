@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewise.functions.text import CRITERIA, word_count
 
-from .blocks import explode_range, prefix_by_range
+from .blocks import prefix_by_range
 from .sampling import hash_number
 
+DRAWS = 1 << 20  # made at once
+
 
 def _kept(criterion: str, drop_zero: bool) -> Column:
     value = F.col(criterion).cast("double")
@@ -116,14 +121,41 @@ def mean_delta(df: DataFrame, a: str, b: str, run_col: str = "variant", criteria
     return folded.select(rows).withColumn("delta", F.col("mean_a") - F.col("mean_b"))
 
 
+def _drawn_sums(by: list[str], resamples: int, seed: int, chunk: int):
+    """Sum and count of what each resample draws from a block of positions; the draws are made anew for every block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                blk, n, step, rep = (batch.column(c)[i].as_py() for c in ("blk", "n", "step", "rep"))
+                diffs = batch.column("diffs")[i].values
+                there, value = diffs.is_valid().to_numpy(zero_copy_only=False), diffs.fill_null(0.0).to_numpy(zero_copy_only=False)
+                reps = range(rep, min(rep + step, resamples))
+                s, c = np.zeros(len(reps)), np.zeros(len(reps), np.int64)
+                for k, r in enumerate(reps):
+                    for a in range(0, n, DRAWS):
+                        digests = b"".join([md5(b"%d:%d:%d" % (seed, r, d)).digest()[:4] for d in range(a, min(a + DRAWS, n))])
+                        at = np.frombuffer(digests, ">u4").astype(np.int64) % n - blk * chunk
+                        at = at[(at >= 0) & (at < len(value))]
+                        s[k] += value[at].sum()
+                        c[k] += there[at].sum()
+                keys = [pa.array([batch.column(b)[i].as_py()] * len(reps), batch.column(b).type) for b in by]
+                yield pa.RecordBatch.from_arrays(
+                    [*keys, pa.array(np.array(reps, np.int32)), pa.array(s), pa.array(c)], names=[*by, "rep", "s", "c"]
+                )
+
+    return run
+
+
 def paired_bootstrap(
     pairs: DataFrame, resamples: int = 10_000, seed: int = 42, ci: str = "linear", by: Sequence[str] = (),
-    id_col: str = "video_id", chunk: int = 1024,
+    id_col: str = "video_id", chunk: int = 1 << 18,
 ) -> DataFrame:
     """Paired bootstrap of ``value_a - value_b``: means, 95% interval, share of positive resamples.
 
     Positions follow the seeded order of the ids; draw d of resample r takes position ``md5(seed:r:d) mod n``.
-    Resamples are spread over the cluster and reduced to one mean each before anything is gathered. ``ci`` is
+    No draw is moved: differences travel as blocks of ``chunk`` positions to the ranges of resamples, a task makes the draws
+    of its resamples and keeps those that fall into its block, and one sum and count per resample and block leave it. ``ci`` is
     ``linear`` (interpolated percentile) or ``element`` (the sorted value at ``int(q * resamples)``).
     """
     diffs = pairs.select(*by, id_col, (F.col("value_a") - F.col("value_b")).alias("diff"), "value_a", "value_b")
@@ -132,15 +164,18 @@ def paired_bootstrap(
         F.count("*").alias("n_paired"), F.avg("value_a").alias("mean_a"), F.avg("value_b").alias("mean_b"),
         F.avg("diff").alias("delta"),
     )
-
-    reps = means.select(*by, F.col("n_paired").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep"))
-    draws = explode_range(reps, F.col("n"), [*by, "rep"], "draw", chunk)
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string")))
-    drawn = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col("n"))
-    # every draw has a position; as the preserved side the draws can never be the broadcast one, although the
-    # planner cannot see how many rows they expand to
-    resampled = draws.select(*by, "rep", drawn.alias("pos")).join(placed, [*by, "pos"], "left")
-    deltas = resampled.groupBy(*by, "rep").agg(F.avg("diff").alias("d"))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("pos", "diff"))), lambda p: p["diff"])
+    blocks = placed.groupBy(*by, F.expr(f"pos div {int(chunk)}").alias("blk")).agg(held.alias("diffs"))
+    sizes = means.select(*by, F.col("n_paired").alias("n"))
+    blocks = blocks.join(sizes, list(by)) if by else blocks.withColumn("n", sizes.scalar())
+    # a row per block and range of resamples: several per task, and enough draws in each to be worth its while
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = F.greatest(F.lit(-(-resamples // (4 * tasks))), F.expr(f"{1 << 18} div n")).cast("int")
+    first = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), step))
+    work = blocks.select(*by, "blk", "n", "diffs", step.alias("step"), first.alias("rep")).repartition(tasks, *by, "blk", "rep")
+    kinds = [f"{c} {work.schema[c].dataType.simpleString()}" for c in by]
+    sums = work.mapInArrow(_drawn_sums(list(by), resamples, seed, int(chunk)), ", ".join([*kinds, "rep int, s double, c long"]))
+    deltas = sums.groupBy(*by, "rep").agg((F.sum("s") / F.nullif(F.sum("c"), F.lit(0))).alias("d"))
 
     if ci == "linear":
         bounds = [F.percentile("d", F.lit(0.025)).alias("ci_lo"), F.percentile("d", F.lit(0.975)).alias("ci_hi")]

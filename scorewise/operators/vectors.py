@@ -10,10 +10,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scorewise.functions import arrays
 
@@ -105,21 +108,31 @@ def mil_gate_score(df: DataFrame, k: int = 3, keys: Sequence[str] = KEY) -> Data
 
 # --- retrieval -------------------------------------------------------------------------------------------------
 
+CENTERS = 64  # directions per group that vectors are told apart by
+GROUPS = 1000  # groups that get centers of their own
+SPARE = 4
+_MARGIN = 1e-9  # of rounding in a bound
+
+
 def topk_similar(
-    queries: DataFrame, index: DataFrame, k: int = 3, group: str | None = None, block: int = 2048, parts: int | None = None
+    queries: DataFrame, index: DataFrame, k: int = 3, group: str | None = None, block: int = 2048, parts: int | None = None,
+    centers: int = CENTERS,
 ) -> DataFrame:
     """Exact cosine top-k: ``(query_id, rank, index_id, sim)``, rank from 1, ties by index id.
 
     ``queries`` has ``query_id, vec``, ``index`` has ``index_id, vec``, both with unit vectors (and ``group``, e.g. an
     encoder, when given: only equal groups meet). Both sides are dealt into strips by id, about the square root of
     ``parts`` on each side (twice the shuffle partitions by default), and every strip of one side meets every strip of the
-    other: a vector is copied once per strip of the other side, not once per part. Strips travel as blocks of ``block``
-    vectors; a task multiplies two blocks at a time and holds the best k of the query block at hand, so k rows per query
-    leave each strip of the index. No pair of vectors becomes a row and no side is broadcast or collected.
+    other: a vector is copied once per strip of the other side, not once per part. Strips travel as blocks of up to
+    ``block`` vectors that are nearest to the same of ``centers`` directions; a block knows between which angles to that
+    direction its vectors lie. So the best cosine that a query can have with any vector of a block is known from the angle
+    of the query alone, and a query is compared with a block only if that reaches its k-th best so far; blocks that
+    promise most come first. A task holds the best k of the query block at hand, so k rows per query leave each strip of
+    the index. No pair of vectors becomes a row and no side is broadcast or collected but the centers.
     A zero query has no direction: it gets the first k of the index with a null similarity.
     """
     by = [group] if group else []
-    ranked = _ranked(local_topk(queries, index, k, group, block, parts), by, k)
+    ranked = _ranked(local_topk(queries, index, k, group, block, parts, centers), by, k)
     return ranked.select(*by, "query_id", "rank", "index_id", F.when(~F.col("zero"), F.col("sim")).alias("sim"))
 
 
@@ -128,88 +141,180 @@ def _ranked(local: DataFrame, by: Sequence[str], k: int) -> DataFrame:
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def center_vectors(index: DataFrame, by: Sequence[str], centers: int) -> dict[tuple, np.ndarray]:
+    """Directions to sort vectors by: of each group the ``centers`` index vectors that come first by a hash of their id, for the
+    first ``GROUPS`` groups. Groups without any are compared as a whole, which is as exact."""
+    first = Window.partitionBy(*by).orderBy(F.xxhash64("index_id"), "index_id")
+    some = index.select(*by, "index_id", "vec").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= min(centers, 1000))
+    some = some.select(*by, F.col("vec").cast("array<double>").alias("vec")).limit(GROUPS * min(centers, 1000))
+    found: dict[tuple, list] = {}
+    for row in some.collect():
+        vec = np.asarray(row["vec"], float)
+        if np.isfinite(vec).all() and vec.any():
+            found.setdefault(tuple(row[c] for c in by), []).append(vec / np.linalg.norm(vec))
+    return {key: np.stack(vectors) for key, vectors in found.items() if len({len(v) for v in vectors}) == 1}
+
+
 def local_topk(
-    queries: DataFrame, index: DataFrame, k: int, group: str | None = None, block: int = 2048, parts: int | None = None
+    queries: DataFrame, index: DataFrame, k: int, group: str | None = None, block: int = 2048, parts: int | None = None,
+    centers: int = CENTERS,
 ) -> DataFrame:
-    """The best k of every query in each strip of the index."""
+    """The best k of every query in each strip of the index, and in ``compared`` with how many vectors of the strip the query was
+    compared."""
     by = [group] if group else []
     side = max(1, round((parts or 2 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))) ** 0.5))
     strip = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
-    packed_q = _pack(queries.select(*by, strip("query_id").alias("row"), F.col("query_id").alias("id"), "vec"), [*by, "row"], block, "q")
-    packed_i = _pack(index.select(*by, strip("index_id").alias("col"), F.col("index_id").alias("id"), "vec"), [*by, "col"], block, "i")
+    of_group = center_vectors(index, by, centers)
+    packed_q = _pack(queries.select(*by, strip("query_id").alias("row"), F.col("query_id").alias("id"), "vec"), by, "row", block, "q", of_group)
+    packed_i = _pack(index.select(*by, strip("index_id").alias("col"), F.col("index_id").alias("id"), "vec"), by, "col", block, "i", of_group)
     every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
     # a merge join streams, for each query block, the index blocks of a cell, and spills
     met = packed_q.withColumn("col", every).join(packed_i.withColumn("row", every).hint("merge"), [*by, "row", "col"])
-    met = met.select(*by, "row", "col", "q_ids", "q_vecs", "i_ids", "i_vecs")
+    met = met.select(*by, "row", "col", "q_ids", "q_vecs", "i_ids", "i_vecs", "i_center", "i_near", "i_far")
+
+    def bounds(q: np.ndarray, row) -> np.ndarray:
+        """The best cosine that each query can have with a vector of the block."""
+        if row.i_center < 0:
+            return np.full(len(q), np.inf)
+        size = np.linalg.norm(q, axis=1)
+        at = of_group[tuple(getattr(row, c) for c in by)][row.i_center]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            angle = np.arccos(np.clip(q @ at / size, -1, 1))
+        best = size * np.cos(np.clip(np.maximum(angle - row.i_far, row.i_near - angle), 0, np.pi))
+        return np.where(size > 0, best, np.inf)
+
+    def merged(ids, sims, more_ids, more_sims):
+        ids, sims = np.concatenate([ids, more_ids], axis=1), np.concatenate([sims, more_sims], axis=1)
+        order = np.lexsort((ids, -sims), axis=1)[:, :k]
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # cell and ids of the query block at hand, its vectors, the best ids and similarities so far
+        held = None  # cell and ids of the query block at hand, its vectors, the best ids and similarities so far, compared
 
         def found() -> pd.DataFrame:
-            (cell, ids), vectors, best_ids, best_sims = held
+            (cell, ids), vectors, best_ids, best_sims, compared = held
+            real = np.flatnonzero(best_sims.ravel() > -np.inf)
             n = best_ids.shape[1]
             return pd.DataFrame({
-                **{c: [v] * best_ids.size for c, v in zip(by, cell)}, "query_id": np.repeat(np.frombuffer(ids, "<i8"), n),
-                "index_id": best_ids.ravel(), "sim": best_sims.ravel(), "zero": np.repeat(~vectors.any(axis=1), n),
+                **{c: [v] * len(real) for c, v in zip(by, cell)}, "query_id": np.repeat(np.frombuffer(ids, "<i8"), n)[real],
+                "index_id": best_ids.ravel()[real], "sim": best_sims.ravel()[real],
+                "zero": np.repeat(~vectors.any(axis=1), n)[real], "compared": np.repeat(compared, n)[real],
             })
 
         for batch in batches:
+            waiting: dict[tuple, list] = {}
             for row in batch.itertuples(index=False):
-                q_ids, i_ids = np.asarray(row.q_ids, "<i8"), np.asarray(row.i_ids, "<i8")
-                name = (tuple(getattr(row, c) for c in (*by, "row", "col")), q_ids.tobytes())
+                name = (tuple(getattr(row, c) for c in (*by, "row", "col")), np.asarray(row.q_ids, "<i8").tobytes())
+                waiting.setdefault(name, []).append(row)
+            for name, rows in waiting.items():
                 if held is None or held[0] != name:
                     if held is not None:
                         yield found()
-                    q = np.frombuffer(row.q_vecs, "<f8").reshape(len(q_ids), -1)
-                    held = (name, q, np.zeros((len(q_ids), 0), "<i8"), np.zeros((len(q_ids), 0)))
-                _, q, best_ids, best_sims = held
-                sims = q @ np.frombuffer(row.i_vecs, "<f8").reshape(len(i_ids), -1).T
-                # ids ascend inside a block, so a stable sort breaks ties by id; all of a zero query's are ties
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                ids = np.concatenate([best_ids, i_ids[top]], axis=1)
-                sims = np.concatenate([best_sims, np.take_along_axis(sims, top, 1)], axis=1)
-                order = np.argsort(ids, axis=1, kind="stable")
-                ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-                order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                held = (name, q, np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1))
+                    n = len(name[1]) // 8
+                    q = np.frombuffer(rows[0].q_vecs, "<f8").reshape(n, -1)
+                    held = (name, q, np.zeros((n, k), "<i8"), np.full((n, k), -np.inf), np.zeros(n, "<i8"))
+                _, q, best_ids, best_sims, compared = held
+                promised = [(bounds(q, row), row) for row in rows]
+                promised.sort(key=lambda p: -np.nan_to_num(p[0], nan=np.inf, posinf=2).max())
+                for bound, row in promised:
+                    wanted = np.flatnonzero(~(bound < best_sims[:, -1] - _MARGIN))
+                    if not len(wanted):
+                        continue
+                    i_ids = np.asarray(row.i_ids, "<i8")
+                    vectors = np.frombuffer(row.i_vecs, "<f8").reshape(len(i_ids), -1)
+                    sims = q[wanted] @ vectors.T
+                    # ids ascend inside a block, so a stable sort breaks ties by id; all of a zero query's are ties
+                    top = np.argsort(-sims, axis=1, kind="stable")[:, : k + SPARE]
+                    # a matrix product rounds by its shape; the best are computed again, one by one, so that equal vectors tie
+                    exact = np.einsum("qd,qtd->qt", q[wanted], vectors[top])
+                    best_ids[wanted], best_sims[wanted] = merged(best_ids[wanted], best_sims[wanted], i_ids[top], exact)
+                    compared[wanted] += len(i_ids)
         if held is not None:
             yield found()
 
     kinds = [f"{c} {met.schema[c].dataType.simpleString()}" for c in by]
-    return met.mapInPandas(best, ", ".join([*kinds, "query_id long, index_id long, sim double, zero boolean"]))
-
+    return met.mapInPandas(best, ", ".join([*kinds, "query_id long, index_id long, sim double, zero boolean, compared long"]))
 
-def _pack(df: DataFrame, keys: Sequence[str], block: int, side: str) -> DataFrame:
-    """Blocks of ``block`` vectors per key as one id array and one buffer of doubles; ids ascend in a block.
 
-    Rows come sorted by key and id, and a block that a batch leaves open is filled from the next."""
-    columns = [*keys, f"{side}_ids", f"{side}_vecs"]
+def _pack(df: DataFrame, by: Sequence[str], strip: str, block: int, side: str, of_group: dict[tuple, np.ndarray]) -> DataFrame:
+    """Blocks of up to ``block`` vectors per group, strip and nearest center, as one id array and one buffer of doubles; ids ascend
+    in a block. ``near`` and ``far`` are the least and the largest angle to the center; vectors without a
+    direction of length 1 have the center -1."""
+    keys = [*by, strip, "center"]
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_key, ids, vectors = None, [], []
-
-        def packed() -> pd.DataFrame:
-            data = np.ascontiguousarray(np.stack(vectors), dtype="<f8").tobytes()
-            return pd.DataFrame([[*open_key, np.array(ids, "<i8"), data]], columns=columns)
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            center, angle = np.full(n, -1, np.int32), np.zeros(n)
+            codes = np.zeros(n, np.int64)
+            for c in by:
+                codes = codes * (n + 1) + batch.column(c).dictionary_encode().indices.fill_null(n).to_numpy(zero_copy_only=False)
+            for code, first in zip(*np.unique(codes, return_index=True)):  # the groups of the batch
+                at = of_group.get(tuple(batch.column(c)[int(first)].as_py() for c in by))
+                places = np.flatnonzero(codes == code)
+                vectors = _matrix(batch.column("vec").take(pa.array(places)))
+                unit = np.abs(np.linalg.norm(vectors, axis=1) - 1) < 1e-6
+                if at is not None and unit.any() and at.shape[1] == vectors.shape[1]:
+                    places, cosines = places[unit], vectors[unit] @ at.T
+                    center[places] = cosines.argmax(axis=1)
+                    angle[places] = np.arccos(np.clip(cosines.max(axis=1), -1, 1))
+            out = [*batch.columns, pa.array(center), pa.array(angle)]
+            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names, "center", "angle"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, parts, size = None, [], 0
+
+        def packed() -> pa.RecordBatch:
+            ids, vectors, angles = (np.concatenate(x) for x in zip(*parts))
+            data = np.ascontiguousarray(vectors, dtype="<f8").tobytes()
+            row = [*open_key, ids, data, float(angles.min()) - 1e-7, float(angles.max()) + 1e-7]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            for key, one, vec in zip(zip(*(batch[c] for c in keys)), batch["id"], batch["vec"]):
-                if key != open_key or len(ids) == block:
-                    if ids:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c) for c in keys]
+            changed = np.zeros(batch.num_rows, bool)
+            for c in columns:
+                codes = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                changed[1:] |= codes[1:] != codes[:-1]
+            ids, angles = batch.column("id").to_numpy(), batch.column("angle").to_numpy()
+            edges = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+            for a, z in zip(edges[:-1], edges[1:]):  # a run of one key
+                key = tuple(c[a].as_py() for c in columns)
+                if key != open_key:
+                    if parts:
+                        yield packed()
+                    open_key, parts, size = key, [], 0
+                vectors = _matrix(batch.column("vec").slice(a, z - a))
+                begin = a
+                while a < z:
+                    n = min(z - a, block - size)
+                    parts.append((ids[a : a + n], vectors[a - begin : a - begin + n], angles[a : a + n]))
+                    a, size = a + n, size + n
+                    if size == block:
                         yield packed()
-                    open_key, ids, vectors = key, [], []
-                ids.append(one)
-                vectors.append(vec)
-        if ids:
+                        parts, size = [], 0
+        if parts:
             yield packed()
 
-    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in keys]
-    schema = ", ".join([*kinds, f"{side}_ids array<long>, {side}_vecs binary"])
-    # a strip is spread over a few tasks, each of which fills its own blocks
+    doubles = df.withColumn("vec", F.col("vec").cast("array<double>"))
+    sided = [f"{c} {df.schema[c].dataType.simpleString()}" for c in [*by, strip]]
+    placed = doubles.select(*by, strip, "id", "vec").mapInArrow(nearest, ", ".join([*sided, f"id {df.schema['id'].dataType.simpleString()}, vec array<double>, center int, angle double"]))
+    placed = placed.withColumn("id", F.col("id").cast("long"))
+    names = f"center int, {side}_ids array<long>, {side}_vecs binary, {side}_near double, {side}_far double"
+    kinds = T.StructType.fromDDL(", ".join([*sided, names]))
+    schema = to_arrow_schema(kinds)
+    # a strip is spread over a few tasks by its centers, each of which fills its own blocks
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartition(*keys, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, round(tasks ** 0.5)))))
-    rows = rows.sortWithinPartitions(*keys, "id")
-    return rows.withColumn("vec", F.col("vec").cast("array<double>")).mapInPandas(pack, schema)
+    spread = F.pmod(F.xxhash64("center", F.when(F.col("center") < 0, F.xxhash64("id", F.lit(1)))), F.lit(max(1, round(tasks ** 0.5))))
+    rows = placed.repartition(*by, strip, spread).sortWithinPartitions(*keys, "id")
+    return rows.mapInArrow(pack, kinds).withColumnRenamed("center", f"{side}_center")
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """The vectors of one group as a matrix; different lengths are an error."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
 def topk_sweep(queries: DataFrame, index: DataFrame, ks: Sequence[int], group: str | None = None) -> DataFrame:

@@ -595,6 +595,16 @@ def _(spark, sf):
     return readers.read_annotations(spark, path)
 
 
+@query("append_done", "video_id:i scene:i", "select series_id video_id, scene from videos")
+def _(spark, sf):
+    """Two runs share ids, and the first is repeated."""
+    path = scratch(spark, "done")
+    rows = fx.videos(spark, sf).select(F.col("series_id").alias("video_id"), "scene")
+    for run, part in (("one", rows.filter("video_id % 2 = 0")), ("two", rows), ("one", rows.filter("video_id % 2 = 0"))):
+        writers.append_done(part, path, run)
+    return writers.read_done(spark, path)
+
+
 @query("read_series_npy", "series_id:i idx:i score:d", "select * from scores")
 def _(spark, sf):
     """One array file per series."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .array_files import file_system
 
@@ -16,9 +18,24 @@ def write_manifest(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
     df.write.mode(mode).json(path)
 
 
-def append_done(df: DataFrame, path: str) -> None:
-    """Append finished rows; a later run reads them back and skips their ids."""
-    df.write.mode("append").parquet(path)
+def read_done(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The finished rows of all runs, with their run. With a schema, a path that is not there yet has no rows."""
+    reader = spark.read if schema is None else spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.StringType())]))
+    try:
+        return reader.parquet(path).withColumn("run", F.col("run").cast("string"))
+    except AnalysisException as missing:
+        if schema is None or "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("run", T.StringType())]))
+
+
+def append_done(df: DataFrame, path: str, run: str, id_col: str = "video_id") -> None:
+    """Add finished rows; a later run reads them back and skips their ids.
+
+    A run owns the folder ``run=<run>`` below ``path``. Spark publishes it when its job has ended, so a run that was killed has
+    no rows, and one that is repeated replaces its own; ids that another run has finished are not added again."""
+    others = read_done(df.sparkSession, path, df.schema).filter(F.col("run") != run).select(id_col).distinct()
+    df.join(others, id_col, "left_anti").write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}")
 
 
 def write_report(

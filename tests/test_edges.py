@@ -154,6 +154,35 @@ def test_retrieval_against_brute_force(spark):
     assert got[99] == [(j, None) for j in range(5)]
 
 
+def test_retrieval_skips_what_cannot_be_near(spark):
+    """On clustered vectors most pairs are never compared, and the result is that of comparing all."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    heart = unit(rng.normal(size=(20, 16)))
+    near = lambda n: unit(heart[rng.integers(0, 20, n)] + 0.05 * rng.normal(size=(n, 16)))
+    index, asked = near(4000), near(200)
+    index[11], index[12], index[13] = 0, index[13], 3 * index[13]  # no direction, a tie, and a longer one
+    i = spark.createDataFrame([(k, v.tolist(), "a" if k % 2 else "b") for k, v in enumerate(index)], "index_id long, vec array<double>, g string")
+    q = spark.createDataFrame([(k, v.tolist(), "a" if k % 3 else "b") for k, v in enumerate(asked)], "query_id long, vec array<double>, g string")
+    for group in (None, "g"):
+        local = V.local_topk(q, i, 3, group, block=64, parts=4).cache()
+        got = {}
+        for r in V.topk_similar(q, i, 3, group, block=64, parts=4).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.index_id)
+        for k, v in enumerate(asked):
+            mine = [j for j in range(4000) if group is None or (j % 2 > 0) == (k % 3 > 0)]
+            sims = (index[mine] * v).sum(axis=1)
+            assert got[k] == [mine[j] for j in sorted(range(len(mine)), key=lambda j: (-round(sims[j], 12), j))[:3]]
+        # one row per query and strip says how many vectors of the strip it was compared with
+        compared = local.select("query_id", "compared", F.pmod(F.xxhash64("index_id"), F.lit(2)).alias("strip")).distinct()
+        assert compared.agg(F.sum("compared")).first()[0] < 0.3 * 200 * 4000
+        local.unpersist()
+        every = V.local_topk(q, i, 3, group, block=64, parts=4, centers=0)
+        assert V._ranked(every, [], 3).count() >= 600
+
+
 def test_touching_intervals_have_no_iou(spark):
     ann = spark.createDataFrame([(1, 0, 10), (2, 0, 10)], "series_id long, start_frame long, end_frame long")
     seg = spark.createDataFrame([(1, 0, 10, 20), (2, 0, 5, 10), (2, 1, 0, 10)], "series_id long, seg_no long, start_frame long, end_frame long")

@@ -206,6 +206,21 @@ def test_arrays_round_trip(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == rows
 
 
+def test_a_repeated_run_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "done")
+    rows = spark.createDataFrame([(f"v{i}", i) for i in range(6)], "video_id string, n int")
+    assert W.read_done(spark, path, rows.schema).count() == 0
+    for _ in range(2):
+        W.append_done(rows.filter("n < 4"), path, "a")
+    W.append_done(rows.filter("n > 2"), path, "b")
+    got = sorted((r.video_id, r.run) for r in W.read_done(spark, path).collect())
+    assert got == [("v0", "a"), ("v1", "a"), ("v2", "a"), ("v3", "a"), ("v4", "b"), ("v5", "b")]
+    broken = rows.withColumn("n", F.raise_error(F.lit("killed")).cast("int"))
+    with pytest.raises(Exception, match="killed"):
+        W.append_done(broken, path, "c")
+    assert sorted((r.video_id, r.run) for r in W.read_done(spark, path).collect()) == got
+
+
 def test_references_raise(spark):
     child, parent = spark.range(10).toDF("k"), spark.range(7).toDF("k")
     with pytest.raises(ValueError, match="missing 3 references"):

@@ -215,7 +215,7 @@ def test_a_repeated_run_changes_nothing(spark, tmp_path):
     W.append_done(rows.filter("n > 2"), path, "b")
     got = sorted((r.video_id, r.run) for r in W.read_done(spark, path).collect())
     assert got == [("v0", "a"), ("v1", "a"), ("v2", "a"), ("v3", "a"), ("v4", "b"), ("v5", "b")]
-    broken = rows.withColumn("n", F.raise_error(F.lit("killed")).cast("int"))
+    broken = rows.select(F.concat("video_id", F.lit("x")).alias("video_id"), F.raise_error(F.lit("killed")).cast("int").alias("n"))
     with pytest.raises(Exception, match="killed"):
         W.append_done(broken, path, "c")
     assert sorted((r.video_id, r.run) for r in W.read_done(spark, path).collect()) == got

@@ -218,6 +218,28 @@ def disjoint_join(
     return met.select(*[F.col(f"_row.{c}") for c in points.columns], *found)
 
 
+def next_event(
+    points: DataFrame, events: DataFrame, keys: Sequence[str] = KEY, at: str = "start_idx", event: str = "idx",
+    name: str = "_next", size: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Attach to each point the first event of its key at or after its position; null when there is none.
+
+    Points and events are put into one order inside their blocks, where a point takes the least event that comes behind it. What
+    lies beyond its block comes from one row per block: the first event of all later blocks, carried backwards. No point meets
+    more than one event, however many there are."""
+    row = F.struct(*[F.col(c) for c in points.columns]).alias("_row")
+    asked = points.select(*keys, F.col(at).cast("long").alias("_at"), row)
+    told = events.select(*keys, F.col(event).cast("long").alias("_at"), F.col(event).cast("long").alias("_event"))
+    rows = solid(with_block(asked.unionByName(told, allowMissingColumns=True), "_at", size), keys)
+    behind = Window.partitionBy(*keys).orderBy("blk").rowsBetween(1, Window.unboundedFollowing)
+    later = _summaries(rows, keys, {"_first": ("min", F.col("_event"))})
+    later = later.select(*keys, "blk", F.min("_first").over(behind).alias("_later"))
+    # an event at the position of a point counts, so it comes before the point in the falling order
+    falling = within(keys, F.desc("_at"), F.col("_event").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumn("_event", F.min("_event").over(falling)).join(later, [*keys, "blk"]).filter(F.col("_row").isNotNull())
+    return met.select(*[F.col(f"_row.{c}").alias(c) for c in points.columns], F.coalesce("_event", "_later").alias(name))
+
+
 LEVELS = (0, 4, 8, 12, 16)  # widths of the grids as powers of two; the widest is a block of rows
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import (
-    BLOCK_ROWS, KEY, attach, disjoint_join, explode_range, halo, number_rows, range_join, solid, top_rows, with_block, with_prior,
+    BLOCK_ROWS, KEY, attach, disjoint_join, explode_range, halo, next_event, number_rows, range_join, solid, top_rows, with_block, with_prior,
     with_totals, within,
 )
 
@@ -358,9 +358,8 @@ def take_while(
 ) -> DataFrame:
     """Frames of each track ``[start_idx, end_idx)`` up to, not including, the first with ``value < limit``."""
     spans = tracks.select(*keys, "track_no", "start_idx", (F.col("end_idx") - 1).alias("_last"))
-    small = range_join(frames.filter(F.col(value) < limit).select(*keys, "idx"), spans, keys, hi="_last")
-    stops = small.groupBy(*keys, "track_no").agg(F.min("idx").alias("_stop"))
-    kept = spans.join(stops, [*keys, "track_no"], "left")
-    kept = kept.withColumn("_last", F.coalesce(F.col("_stop") - 1, "_last")).drop("_stop")
+    small = frames.filter(F.col(value) < limit).select(*keys, "idx")
+    kept = next_event(spans, small, keys, name="_stop")
+    kept = kept.withColumn("_last", F.least(F.col("_stop") - 1, F.col("_last"))).drop("_stop")
     rows = range_join(frames.select(*keys, "idx", value), kept, keys, hi="_last")
     return rows.select(*keys, "track_no", "idx", value)

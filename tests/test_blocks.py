@@ -233,3 +233,30 @@ def test_top_rows_beyond_the_pushed_limit(spark, limit, monkeypatch):
                   for n, i in enumerate(sorted(range(len(x)), key=lambda i: (-x[i], i))[:20]))
     got = B.top_rows(frame(spark, data), B.KEY, 20)
     assert rows(got, "series_id", "idx", "_rn") == want
+
+
+@pytest.mark.parametrize("size", [1, 4, 1 << 16])
+def test_next_event(spark, size):
+    rng = random.Random(11)
+    events = [(k, rng.randrange(200)) for k in (1, 2) for _ in range(30)] + [(3, 5)]
+    points = [(k, rng.randrange(220), i) for i, k in enumerate([1] * 300 + [2] * 20 + [3, 4])]  # a hot key, one without events
+    got = B.next_event(
+        spark.createDataFrame(points, "series_id long, start_idx long, n long"), spark.createDataFrame(events, "series_id long, idx long"), size=size
+    )
+    want = {n: min((e for key, e in events if key == k and e >= p), default=None) for k, p, n in points}
+    assert {r.n: r._next for r in got.collect()} == want
+
+
+def test_take_while_on_overlapping_tracks(spark):
+    rng = random.Random(12)
+    sizes = [rng.choice([100.0, 900.0, 900.0, 900.0]) for _ in range(300)]
+    frames = spark.createDataFrame([(1, i, v) for i, v in enumerate(sizes)], "series_id long, idx long, size double")
+    tracks = [(1, n, a := rng.randrange(300), a + rng.randrange(1, 60)) for n in range(80)]
+    got = S.take_while(frames, spark.createDataFrame(tracks, "series_id long, track_no long, start_idx long, end_idx long"))
+    want = []
+    for _, n, a, z in tracks:
+        for i in range(a, min(z, 300)):
+            if sizes[i] < 800:
+                break
+            want.append((n, i))
+    assert sorted((r.track_no, r.idx) for r in got.collect()) == sorted(want)

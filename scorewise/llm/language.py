@@ -123,13 +123,15 @@ def _mixture(p: np.ndarray, edges: np.ndarray, owner: np.ndarray, rounds: int, t
     """Shares and log-likelihood per text, from the words' likelihoods (up to a factor per word)."""
     n = np.diff(edges)[:, None]
     shares = np.full((len(edges) - 1, p.shape[1]), 1.0 / p.shape[1])
+    moving = np.ones(len(shares), bool)
     for _ in range(rounds):
         joint = p * shares[owner]
         joint /= joint.sum(axis=1, keepdims=True)
         new = np.add.reduceat(joint, edges[:-1], axis=0) / n
-        moved = np.abs(new - shares).max()
-        shares = new
-        if moved < tolerance:
+        moved = np.abs(new - shares).max(axis=1)
+        shares[moving] = new[moving]
+        moving &= moved >= tolerance  # each text stops by itself, whatever its neighbours do
+        if not moving.any():
             break
     evidence = np.log(np.maximum((p * shares[owner]).sum(axis=1), 1e-300))
     return shares, np.add.reduceat(evidence, edges[:-1])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from scorewise.sources.shared import written
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 100_000  # about 400 MB of automaton in a worker
 
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)

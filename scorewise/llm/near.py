@@ -19,6 +19,12 @@ Before the texts of candidates travel, their word counts do: words are counted b
 of the lesser counts bounds the words that two texts share, and so their similarity, from above. Only pairs that cannot
 reach the similarity are left out by that; no link is lost.
 
+What the buckets lose: the classes found so far are completed by a prefix filter, which loses no pair. Of a text's labelled
+shingles of ``PREFIX_K`` words an edit spoils ``PREFIX_K`` at most, so two texts at similarity 0.8 whose longer one has n words
+share at least n - 1 - 2 * floor(0.2 n) of them. So if all texts list their shingles in one order, they share one among
+about the first 0.4 n of each. The order puts what is rare first, by counts in ``SLOTS`` classes; any order is
+exact, this one leaves few texts to a shingle. All pairs of different classes that share such a shingle are verified.
+
 Verification: edit similarity of the word sequences, 1 - distance / longer length, at least ``SIMILARITY``. Classes are the
 connected components of the verified links, found by contracting them, from written tables.
 
@@ -33,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewise.sources.shared import discarded, written
@@ -49,6 +55,9 @@ SINGLE_K = 3
 SINGLES = 24
 SHORT = 9
 COUNTS = 256
+PREFIX_K = 2
+SLOTS = 1 << 22
+SLOT_PARTS = 64
 SIMILARITY = 0.8
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -177,6 +186,88 @@ def _sketch(k: int, sketches: int, tuple_size: int):
     return run
 
 
+def _slots(plain: np.ndarray) -> np.ndarray:
+    return (plain >> np.uint64(7)) % np.uint64(SLOTS)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall into each slot, in parts."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for _, data, offsets in slices(batch.column("_text")):
+            starts, ends, first = spans(data, offsets)
+            plain = shingle_hashes(word_hashes(data, starts, ends), PREFIX_K)
+            # not those that reach into the next text
+            last = first[1:-1, None] - np.arange(1, PREFIX_K)
+            inside = np.ones(len(plain), bool)
+            inside[last[(last >= 0) & (last < len(plain))]] = False
+            np.add.at(counts, _slots(plain[inside]), 1)
+    for part, some in enumerate(counts.reshape(SLOT_PARTS, -1)):
+        if some.any():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([some.tobytes()], pa.binary())})
+
+
+def _added_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the parts, as steps of an eighth of a power of two."""
+    part, total = None, None
+
+    def done() -> pa.RecordBatch:
+        steps = np.minimum(8 * np.log2(1.0 + total), 255).astype(np.uint8)
+        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "steps": pa.array([steps.tobytes()], pa.binary())})
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            at, some = batch.column("part")[i].as_py(), np.frombuffer(batch.column("counts")[i].as_py(), np.int64)
+            if at != part:
+                if part is not None:
+                    yield done()
+                part, total = at, np.zeros(SLOTS // SLOT_PARTS, np.int64)
+            total = total + some
+    if part is not None:
+        yield done()
+
+
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """About how often the shingles of each slot occur; a megabyte or so, whatever the input."""
+    counted = texts.select("_text").mapInArrow(_slot_counts, "part int, counts binary")
+    added = counted.repartition(SLOT_PARTS, "part").sortWithinPartitions("part").mapInArrow(_added_counts, "part int, steps binary")
+    out = np.zeros((SLOT_PARTS, SLOTS // SLOT_PARTS), np.uint8)
+    for row in added.collect():
+        out[row["part"]] = np.frombuffer(row["steps"], np.uint8)
+    return out.ravel()
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """How many of its shingles a text of n words must list to share one with every text that it is similar to."""
+    longer = np.arange(n, int(np.floor(n / similarity + 1e-9)) + 1)
+    shared = longer - PREFIX_K + 1 - PREFIX_K * np.floor((1 - similarity) * longer + 1e-9)
+    return int(n - PREFIX_K + 1 - max(1, shared.min()) + 1)
+
+
+def prefixes(data: np.ndarray, offsets: np.ndarray, steps: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled shingles that each text lists, and the text of each of them."""
+    plain, labelled, edges, words = labelled_shingles(data, offsets, PREFIX_K)
+    texts = owner(edges)
+    order = np.lexsort((labelled, steps[_slots(plain)], texts))
+    sizes = {n: prefix_size(n, similarity) if n >= PREFIX_K else 0 for n in np.unique(words).tolist()}
+    listed = np.array([sizes[n] for n in words.tolist()], np.int64)
+    chosen = order[np.arange(len(order)) - edges[:-1][texts] < listed[texts]]
+    return labelled[chosen], texts[chosen]
+
+
+def _listed(similarity: float, steps: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [batch.column(c).to_numpy() for c in ("_hash", "_len")]
+            for row, data, offsets in slices(batch.column("_text")):
+                shingles, texts = prefixes(data, offsets, steps, similarity)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shingles.view(np.int64)), *(pa.array(name[row + texts]) for name in names)], names=["shingle", "_hash", "_len"]
+                )
+
+    return run
+
+
 def _possible(similarity: float):
     """Pairs that may reach the similarity by their word counts. A count that does not fit (over 65,534) decides nothing."""
 
@@ -225,9 +316,34 @@ def _node(prefix: str = "_") -> Column:
     return F.concat_ws(":", F.col(f"{prefix}hash"), F.col(f"{prefix}len"))
 
 
-def _links(known: DataFrame, rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
-    """Verified links between different texts: a_hash, a_len, b_hash, b_len."""
-    text_key = ["_hash", "_len"]
+TEXT_KEY = ["_hash", "_len"]
+PAIR = ["a_hash", "a_len", "b_hash", "b_len"]
+
+
+def _close(similarity: float) -> Column:
+    return F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9
+
+
+def _possible_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of different pairs (with a_n and b_n) that may be near by their word counts."""
+    for side in ("a", "b"):
+        there = nodes.select(*TEXT_KEY, "counts").toDF(f"{side}_hash", f"{side}_len", f"{side}_counts")
+        pairs = pairs.join(there, [f"{side}_hash", f"{side}_len"])
+    return pairs.mapInArrow(_possible(similarity), "a_hash long, a_len int, b_hash long, b_len int")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs, and whether they are near."""
+    for side in ("a", "b"):
+        there = texts.toDF(f"{side}_hash", f"{side}_len", f"{side}_text")
+        pairs = pairs.join(there, [f"{side}_hash", f"{side}_len"])
+    return pairs.mapInArrow(_verify(similarity), "a_hash long, a_len int, b_hash long, b_len int, near boolean")
+
+
+def _links(known: DataFrame, rows: DataFrame, similarity: float, sketches: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified links between different texts that share a bucket (a_hash, a_len, b_hash, b_len), and of each text with words its
+    counts and the text itself."""
+    text_key = TEXT_KEY
     nodes = rows.filter("n > 0").groupBy(*text_key).agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.first("counts").alias("counts"),
         F.min("_id").alias("_rep")
@@ -242,7 +358,10 @@ def _links(known: DataFrame, rows: DataFrame, similarity: float, sketches: int)
     # ``root``: what is known of the class inside a bucket; members of one root need not be compared
     entries = spread.join(shared, "bucket").join(nodes.select(*text_key, "n"), text_key).withColumn("root", node)
     entries = written(entries.select(*text_key, "n", "root", "band", "bucket"), "near-entries-0")
-    texts, passed, turn, used = None, [], 0, 0
+    same = [known[c] == nodes[c] for c in text_key] + [known["_id"].eqNullSafe(nodes["_rep"])]
+    texts = known.join(nodes.select(*text_key, "_rep"), same).select(known["_hash"], known["_len"], "_rep", "_text")
+    texts = written(texts.dropDuplicates([*text_key, "_rep"]).drop("_rep"), "near-texts")
+    passed, turn, used = [], 0, 0
     while True:
         shortest = F.when(F.col("band") >= every, F.col("n")).otherwise(0).alias("s")
         leader = F.min(F.struct(shortest, F.xxhash64("_hash").alias("o"), "_hash", "_len", "n", "root")).alias("l")
@@ -252,36 +371,19 @@ def _links(known: DataFrame, rows: DataFrame, similarity: float, sketches: int)
         members = entries.join(leaders, "bucket").filter("_hash <> a_hash or _len <> a_len")
         members = members.withColumnsRenamed({"_hash": "b_hash", "_len": "b_len", "n": "b_n", "root": "b_root"})
         members = written(members, f"near-members-{turn}")
-        pair = ["a_hash", "a_len", "b_hash", "b_len"]
-        close = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9
-        pairs = members.filter(close & (F.col("a_root") != F.col("b_root"))).select(*pair, "a_n", "b_n").distinct()
-        for side in ("a", "b"):
-            there = nodes.select(*text_key, "counts").toDF(f"{side}_hash", f"{side}_len", f"{side}_counts")
-            pairs = pairs.join(there, [f"{side}_hash", f"{side}_len"])
-        pairs = pairs.mapInArrow(_possible(similarity), "a_hash long, a_len int, b_hash long, b_len int")
-        pairs = written(pairs, f"near-pairs-{turn}")
-        if texts is None:
-            wanted = members.select("b_hash", "b_len").union(leaders.select("a_hash", "a_len")).toDF(*text_key).distinct()  # in any turn
-            wanted = nodes.select(*text_key, "_rep").join(wanted, text_key)
-            same = [known[c] == wanted[c] for c in text_key] + [known["_id"].eqNullSafe(wanted["_rep"])]
-            found = known.join(wanted, same).select(known["_hash"], known["_len"], "_rep", "_text")
-            texts = written(found.dropDuplicates([*text_key, "_rep"]).drop("_rep"), "near-texts")
-        sided = pairs
-        for side in ("a", "b"):
-            there = texts.toDF(f"{side}_hash", f"{side}_len", f"{side}_text")
-            sided = sided.join(there, [f"{side}_hash", f"{side}_len"])
-        checked = sided.mapInArrow(_verify(similarity), "a_hash long, a_len int, b_hash long, b_len int, near boolean")
-        checked = written(checked, f"near-checked-{turn}")
-        passed.append(written(checked.filter("near").select(*pair), f"near-passed-{turn}"))
+        pairs = members.filter(_close(similarity) & (F.col("a_root") != F.col("b_root"))).select(*PAIR, "a_n", "b_n").distinct()
+        pairs = written(_possible_pairs(pairs, nodes, similarity), f"near-pairs-{turn}")
+        checked = written(_verified(pairs, texts, similarity), f"near-checked-{turn}")
+        passed.append(written(checked.filter("near").select(*PAIR), f"near-passed-{turn}"))
         near = F.coalesce("near", F.col("a_root") == F.col("b_root"))
-        verdict = members.join(checked, pair, "left").withColumn("near", near)
+        verdict = members.join(checked, PAIR, "left").withColumn("near", near)
         verdict = verdict.filter(F.col("band") < every)
         failing = verdict.groupBy("bucket").agg(F.min("near").alias("all_near")).filter("not all_near").select("bucket")
         failing = written(failing, f"near-failing-{turn}")
         if failing.isEmpty():
             links = written(_union(passed), "near-links")
-            discarded(shared, nodes, texts, entries, leaders, members, pairs, checked, failing, *passed)
-            return links
+            discarded(shared, entries, leaders, members, pairs, checked, failing, *passed)
+            return links, nodes, texts
         root = F.when(F.col("near"), F.col("a_root")).otherwise(F.col("b_root")).alias("root")
         again = verdict.join(failing, "bucket").select(F.col("b_hash").alias("_hash"), F.col("b_len").alias("_len"), "band", "bucket", root)
         turn += 1
@@ -293,6 +395,31 @@ def _links(known: DataFrame, rows: DataFrame, similarity: float, sketches: int)
         discarded(was, leaders, members, pairs, checked, failing)
 
 
+def _across(labels: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """All verified links between different classes of ``labels`` (of texts that it does not name: their own), as links (a, b)
+    between the classes."""
+    shingles = texts.mapInArrow(_listed(similarity, frequencies(texts)), "shingle long, _hash long, _len int")
+    group, node = Window.partitionBy("shingle"), F.xxhash64(*TEXT_KEY)
+    several = lambda df, of: df.withColumns({"_lo": F.min(of).over(group), "_hi": F.max(of).over(group)}).filter("_lo < _hi").drop("_lo", "_hi")
+    listed = written(several(shingles, node), "near-listed")
+    classed = nodes.select(*TEXT_KEY, "n", _node().alias("node")).join(labels, "node", "left")
+    classed = written(classed.select(*TEXT_KEY, "n", F.coalesce("label", "node").alias("class")), "near-classed")
+    rooted = listed.join(classed.select(*TEXT_KEY, "n", F.xxhash64("class").alias("root")), TEXT_KEY)
+    rooted = written(several(rooted, F.col("root")), "near-rooted")
+    a, b = (rooted.toDF(f"{side}_hash", f"{side}_len", "shingle", f"{side}_n", f"{side}_root") for side in ("a", "b"))
+    # each pair once: a is the shorter text, of equally long ones that of the lesser hash
+    apart = F.struct("a_n", "a_hash", "a_len") < F.struct("b_n", "b_hash", "b_len")
+    met = a.join(b.hint("merge"), "shingle").filter(apart & (F.col("a_root") != F.col("b_root")) & _close(similarity))
+    pairs = written(_possible_pairs(met.select(*PAIR, "a_n", "b_n").distinct(), nodes, similarity), "near-pairs")
+    checked = written(_verified(pairs, texts, similarity).filter("near").select(*PAIR), "near-checked")
+    links = checked
+    for side in ("a", "b"):
+        links = links.join(classed.select(*TEXT_KEY, "class").toDF(f"{side}_hash", f"{side}_len", side), [f"{side}_hash", f"{side}_len"])
+    links = written(links.select("a", "b").distinct(), "near-across")
+    discarded(listed, classed, rooted, pairs, checked)
+    return links
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -339,12 +466,15 @@ def _classed(
     sketched = known.mapInArrow(_sketch(k, sketches, tuple_size), f"_id {kind}, _hash long, _len int, n int, sketch array<long>, short array<long>, counts binary")
     rows = written(sketched.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
     sketched, rows = rows, written(rows.select("_row", "_id", "_hash", "_len"), "near-keys")
-    links = _links(known, sketched, similarity, sketches)  # which deletes the sketches of the rows
+    links, nodes, texts = _links(known, sketched, similarity, sketches)  # which deletes the sketches of the rows
     labels = components(links.select(_node("a_").alias("a"), _node("b_").alias("b")))
+    across = _across(labels, nodes, texts, similarity)
+    merged = components(across)
     named = rows.select("_row", "_id", "_hash", "_len", _node().alias("node"))
     placed = named.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
+    placed = placed.join(merged.toDF("class", "_merged"), "class", "left").withColumn("class", F.coalesce("_merged", "class"))
     classed = written(placed.select("_row", "_id", "_hash", "_len", "class"), "near-classes")
-    discarded(rows, links, labels)
+    discarded(rows, links, nodes, texts, labels, across, merged)
     return classed
 
 

@@ -179,3 +179,49 @@ def test_word_counts_bound_what_texts_share():
         a, b = texts[i].split(), texts[j].split()
         shared = sum(min(a.count(w), b.count(w)) for w in set(a))
         assert shared <= np.minimum(counts[i], counts[j]).sum() <= np.minimum(few[i], few[j]).sum()
+
+
+def test_no_pair_at_the_threshold_is_lost(spark):
+    rows = []
+    for n, edits in ((10, 2), (14, 2), (20, 4), (25, 5)):
+        draw = random.Random(n)
+        for _ in range(300):
+            rows += [(len(rows) + i, text) for i, text in enumerate(spaced(draw, n, edits))]
+    found = {r["doc_id"]: r["class_id"] for r in near.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i + 1] == i for i in range(0, len(rows), 2))
+
+
+def test_no_pair_of_a_crowd_is_lost(spark):
+    """All texts have 75 of 100 words in common, near copies differ in another 17 to 20; classes are those of all pairs."""
+    draw = random.Random(16)
+    word = lambda: "".join(draw.choices("abcdefghij", k=6))
+    common, texts = [word() for _ in range(75)], []
+    for i in range(60):
+        words = common + [word() for _ in range(25)]
+        near_copy = list(words)
+        for j in range(17 + i % 4):
+            near_copy[(j * 100) // (17 + i % 4)] = word()
+        texts += [" ".join(words), " ".join(near_copy)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in near.classes(df).collect()}
+    assert partition(range(120), [found[i] for i in range(120)]) == partition(range(120), brute.near_classes(texts, near.SIMILARITY))
+
+
+def test_similar_texts_list_a_common_shingle():
+    import pyarrow as pa
+
+    from scorewise.llm.words import slices
+
+    draw = random.Random(3)
+    steps = np.random.default_rng(3).integers(0, 50, near.SLOTS).astype(np.uint8)
+    for _ in range(400):
+        a = draw.choices("abcdefgh", k=draw.randint(2, 40))
+        b = list(a)
+        for _ in range(draw.randint(0, 8)):
+            at = draw.randrange(len(b) + 1)
+            b[at : at + draw.randint(0, 1)] = draw.choices("xyab", k=draw.randint(0, 1))
+        if len(b) < 2 or 1 - brute.distance(a, b) / max(len(a), len(b)) < near.SIMILARITY - 1e-12:
+            continue
+        (_, data, offsets), = slices(pa.array([" ".join(a), " ".join(b)]))
+        listed, texts = near.prefixes(data, offsets, steps, near.SIMILARITY)
+        assert set(listed[texts == 0].tolist()) & set(listed[texts == 1].tolist())

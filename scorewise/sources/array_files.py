@@ -1,5 +1,6 @@
-"""Array files (``.npy``) as a data source: the header of a file tells how many values it has and where, and every task
-reads its own range of bytes, so one large file is many tasks.
+"""Array files (``.npy``) as a data source: a task reads ranges of bytes, so one large file is many tasks and many small files
+are one. The folder's listing is all that planning needs; the header of a file, which tells how many values it has and where,
+is read by the tasks that read the file.
 
 Files are opened by the file systems of pyarrow. A path that those do not know (one that only Spark's readers reach) is
 read whole, file by file; ``readers.read_series`` chooses.
@@ -21,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RANGE_BYTES = 64 << 20
+FILES = 1000  # most in a task
+TAIL = 4 << 10  # fewer bytes do not make a range; they may be no more than the header's
 ROWS = 1 << 16  # per Arrow batch
 
 
@@ -47,12 +50,8 @@ def _header(file) -> tuple[tuple[int, ...], bool, np.dtype]:
 
 
 @dataclass
-class _Range(InputPartition):
-    path: str
-    first: int  # number of the first value
-    count: int
-    offset: int  # its first byte; -1: the file is read as a whole
-    kind: str
+class _Ranges(InputPartition):
+    pieces: list[tuple[str, int, int]]  # path, first byte of the values and end; a file's values begin at 0
 
 
 class ArrayFiles(DataSource):
@@ -71,40 +70,66 @@ class _Reader(DataSourceReader):
     def __init__(self, path: str, range_bytes: int):
         self.path, self.range_bytes = path, range_bytes
 
-    def partitions(self) -> list[_Range]:
+    def partitions(self) -> list[_Ranges]:
         system, root = file_system(self.path)
         info = system.get_file_info(root)
         files = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
-        found = []
-        for info in sorted((f for f in files if f.is_file and f.path.endswith(".npy")), key=lambda f: f.path):
-            with system.open_input_file(info.path) as file:
-                shape, columns_first, kind = _header(file)
-                begin = file.tell()
-            if kind.hasobject:
-                raise ValueError(f"{info.path}: arrays of objects are not read")
-            count = int(np.prod(shape, dtype=np.int64))
-            if columns_first and len(shape) > 1:  # its order on disk is not the order of its values
-                found.append(_Range(info.path, 0, count, -1, kind.str))
-                continue
-            step = max(1, self.range_bytes // kind.itemsize)
-            found += [_Range(info.path, i, min(step, count - i), begin + i * kind.itemsize, kind.str) for i in range(0, count, step)]
+        found, weight = [], self.range_bytes
+        for path, size in sorted((f.path, f.size) for f in files if f.is_file and f.path.endswith(".npy")):
+            for begin in range(0, max(1, size - TAIL), self.range_bytes):
+                end = begin + self.range_bytes
+                end = end if end < size - TAIL else size
+                more = min(end - begin, self.range_bytes) + self.range_bytes // FILES
+                if weight + more > self.range_bytes:
+                    found.append(_Ranges([]))
+                    weight = 0
+                found[-1].pieces.append((path, begin, end))
+                weight += more
         return found
 
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: _Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.path)
-        with system.open_input_file(part.path) as file:
-            if part.offset < 0:
-                values = np.load(file, allow_pickle=False).reshape(-1)
-            else:
-                file.seek(part.offset)
-            kind = np.dtype(part.kind)
-            for i in range(0, part.count, ROWS):
-                n = min(ROWS, part.count - i)
-                some = values[i : i + n] if part.offset < 0 else np.frombuffer(file.read(n * kind.itemsize), kind)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.path] * n), pa.array(np.arange(part.first + i, part.first + i + n)), pa.array(some.astype("float64"))],
-                    names=["path", "idx", "value"],
-                )
+        held, size = [], 0
+        for piece in part.pieces:
+            for path, first, values in _values(system, *piece):
+                held.append((path, first, values))
+                size += len(values)
+                if size >= ROWS:
+                    yield _batch(held)
+                    held, size = [], 0
+        if held:
+            yield _batch(held)
+
+
+def _values(system: fs.FileSystem, path: str, begin: int, end: int) -> Iterator[tuple[str, int, np.ndarray]]:
+    """The values that begin in a range of bytes, some at a time, with the number of the first."""
+    with system.open_input_file(path) as file:
+        shape, columns_first, kind = _header(file)
+        if kind.hasobject:
+            raise ValueError(f"{path}: arrays of objects are not read")
+        count = int(np.prod(shape, dtype=np.int64))
+        whole = None
+        first, last = (min(count, -(-byte // max(1, kind.itemsize))) for byte in (begin, end))
+        if columns_first and len(shape) > 1:  # its order on disk is not the order of its values
+            if begin:
+                return
+            file.seek(0)
+            whole, last = np.load(file, allow_pickle=False).reshape(-1), count
+        else:
+            file.seek(file.tell() + first * kind.itemsize)
+        for i in range(first, last, ROWS):
+            n = min(ROWS, last - i)
+            some = whole[i : i + n] if whole is not None else np.frombuffer(file.read(n * kind.itemsize), kind)
+            yield path, i, some.astype("float64")
+
+
+def _batch(held: list[tuple[str, int, np.ndarray]]) -> pa.RecordBatch:
+    sizes = [len(values) for _, _, values in held]
+    paths = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(held), dtype=np.int32), sizes), pa.array([path for path, _, _ in held]))
+    places = np.concatenate([np.arange(first, first + n) for (_, first, _), n in zip(held, sizes)])
+    return pa.RecordBatch.from_arrays(
+        [paths.cast(pa.string()), pa.array(places), pa.array(np.concatenate([values for _, _, values in held]))], names=["path", "idx", "value"]
+    )
 
 
 def write_arrays(df, path: str) -> int:

@@ -226,3 +226,15 @@ def test_references_raise(spark):
     with pytest.raises(ValueError, match="missing 3 references"):
         R.check_references(child, parent, "k")
     R.check_references(parent, child, "k")
+
+
+def test_small_array_files_share_a_task(spark, tmp_path):
+    for i in range(300):
+        np.save(tmp_path / f"{i:03}.npy", np.arange(i % 7) + i / 1000)
+    spark.dataSource.register(ArrayFiles)
+    df = spark.read.format("npy").load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 1
+    got = {}
+    for r in df.collect():
+        got.setdefault(int(r.path[-7:-4]), []).append((r.idx, r.value))
+    assert got == {i: [(j, j + i / 1000) for j in range(i % 7)] for i in range(300) if i % 7}

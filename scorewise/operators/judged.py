@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorewise.functions.digests import md5_heads
 from scorewise.functions.text import CRITERIA, word_count
 
 from .blocks import prefix_by_range
 from .sampling import hash_number
 
-DRAWS = 1 << 20  # made at once
+HELD = 1 << 24  # positions that a task holds at once
 
 
 def _kept(criterion: str, drop_zero: bool) -> Column:
@@ -121,28 +121,44 @@ def mean_delta(df: DataFrame, a: str, b: str, run_col: str = "variant", criteria
     return folded.select(rows).withColumn("delta", F.col("mean_a") - F.col("mean_b"))
 
 
-def _drawn_sums(by: list[str], resamples: int, seed: int, chunk: int):
-    """Sum and count of what each resample draws from a block of positions; the draws are made anew for every block."""
+def _drawn_sums(by: list[str], resamples: int, seed: int, chunk: int, held: int = HELD):
+    """Sum and count of what each resample draws from blocks of positions. Rows come by resamples and blocks; the blocks of
+    a range of resamples are held together, up to ``held`` positions, and the draws are made once for all of them."""
+
+    def drawn(key: tuple, n: int, first: int, some: list[pa.Array]) -> pa.RecordBatch:
+        rep, step = key[-2:]
+        there = np.concatenate([d.is_valid().to_numpy(zero_copy_only=False) for d in some])
+        value = np.concatenate([d.fill_null(0.0).to_numpy(zero_copy_only=False) for d in some])
+        reps = range(rep, min(rep + step, resamples))
+        s, c = np.zeros(len(reps)), np.zeros(len(reps), np.int64)
+        whole, full = len(value) == n, there.all()
+        for k, r in enumerate(reps):
+            for heads in md5_heads(f"{seed}:{r}:", n):
+                at = heads.astype(np.int64) % n - first
+                if not whole:
+                    at = at[(at >= 0) & (at < len(value))]
+                s[k] += value[at].sum()
+                c[k] += len(at) if full else there[at].sum()
+        keys = [pa.array([v] * len(reps), t) for v, t in zip(key, kinds)]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(np.array(reps, np.int32)), pa.array(s), pa.array(c)], names=[*by, "rep", "s", "c"])
+
+    kinds: list[pa.DataType] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, some = None, []  # range of resamples, number of pairs, first position; its blocks so far
         for batch in batches:
+            kinds[:] = [batch.column(b).type for b in by]
             for i in range(batch.num_rows):
-                blk, n, step, rep = (batch.column(c)[i].as_py() for c in ("blk", "n", "step", "rep"))
-                diffs = batch.column("diffs")[i].values
-                there, value = diffs.is_valid().to_numpy(zero_copy_only=False), diffs.fill_null(0.0).to_numpy(zero_copy_only=False)
-                reps = range(rep, min(rep + step, resamples))
-                s, c = np.zeros(len(reps)), np.zeros(len(reps), np.int64)
-                for k, r in enumerate(reps):
-                    for a in range(0, n, DRAWS):
-                        digests = b"".join([md5(b"%d:%d:%d" % (seed, r, d)).digest()[:4] for d in range(a, min(a + DRAWS, n))])
-                        at = np.frombuffer(digests, ">u4").astype(np.int64) % n - blk * chunk
-                        at = at[(at >= 0) & (at < len(value))]
-                        s[k] += value[at].sum()
-                        c[k] += there[at].sum()
-                keys = [pa.array([batch.column(b)[i].as_py()] * len(reps), batch.column(b).type) for b in by]
-                yield pa.RecordBatch.from_arrays(
-                    [*keys, pa.array(np.array(reps, np.int32)), pa.array(s), pa.array(c)], names=[*by, "rep", "s", "c"]
-                )
+                key = tuple(batch.column(c)[i].as_py() for c in (*by, "rep", "step"))
+                blk, n = (batch.column(c)[i].as_py() for c in ("blk", "n"))
+                if some and (key != at[0] or (len(some) + 1) * chunk > held):
+                    yield drawn(*at, some)
+                    some = []
+                if not some:
+                    at = (key, n, blk * chunk)
+                some.append(batch.column("diffs")[i].values)
+        if some:
+            yield drawn(*at, some)
 
     return run
 
@@ -155,7 +171,7 @@ def paired_bootstrap(
 
     Positions follow the seeded order of the ids; draw d of resample r takes position ``md5(seed:r:d) mod n``.
     No draw is moved: differences travel as blocks of ``chunk`` positions to the ranges of resamples, a task makes the draws
-    of its resamples and keeps those that fall into its block, and one sum and count per resample and block leave it. ``ci`` is
+    of its resamples once for every ``HELD`` positions, and one sum and count per resample leave it for those. ``ci`` is
     ``linear`` (interpolated percentile) or ``element`` (the sorted value at ``int(q * resamples)``).
     """
     diffs = pairs.select(*by, id_col, (F.col("value_a") - F.col("value_b")).alias("diff"), "value_a", "value_b")
@@ -168,11 +184,12 @@ def paired_bootstrap(
     blocks = placed.groupBy(*by, F.expr(f"pos div {int(chunk)}").alias("blk")).agg(held.alias("diffs"))
     sizes = means.select(*by, F.col("n_paired").alias("n"))
     blocks = blocks.join(sizes, list(by)) if by else blocks.withColumn("n", sizes.scalar())
-    # a row per block and range of resamples: several per task, and enough draws in each to be worth its while
+    # a row per block and range of resamples: a range per task, and enough draws in each to be worth its while
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    step = F.greatest(F.lit(-(-resamples // (4 * tasks))), F.expr(f"{1 << 18} div n")).cast("int")
+    step = F.greatest(F.lit(-(-resamples // tasks)), F.expr(f"{1 << 18} div n")).cast("int")
     first = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), step))
-    work = blocks.select(*by, "blk", "n", "diffs", step.alias("step"), first.alias("rep")).repartition(tasks, *by, "blk", "rep")
+    work = blocks.select(*by, "blk", "n", "diffs", step.alias("step"), first.alias("rep"))
+    work = work.repartitionById(tasks, F.expr("cast(rep div step as int)")).sortWithinPartitions(*by, "rep", "blk")
     kinds = [f"{c} {work.schema[c].dataType.simpleString()}" for c in by]
     sums = work.mapInArrow(_drawn_sums(list(by), resamples, seed, int(chunk)), ", ".join([*kinds, "rep int, s double, c long"]))
     deltas = sums.groupBy(*by, "rep").agg((F.sum("s") / F.nullif(F.sum("c"), F.lit(0))).alias("d"))

@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -252,6 +253,31 @@ def test_bootstrap(spark):
     assert (again.ci_lo, again.ci_hi) == pytest.approx((got.ci_lo, got.ci_hi))
 
 
+@pytest.mark.parametrize("prefix", ["", "42:7:", "42:123456:", "x" * 50, "y" * 60])
+def test_digests_of_numbers(prefix):
+    from hashlib import md5
+
+    from scorewise.functions.digests import md5_heads
+
+    for n in (1, 7, 10, 1234, 25_001):
+        want = [int.from_bytes(md5(f"{prefix}{i}".encode()).digest()[:4], "big") for i in range(n)]
+        assert [int(x) for heads in md5_heads(prefix, n) for x in heads] == want
+
+
+def test_bootstrap_draws_once_for_all_blocks(monkeypatch):
+    import pyarrow as pa
+
+    made = []
+    monkeypatch.setattr(J, "md5_heads", lambda prefix, n: made.append(prefix) or iter([np.arange(n, dtype=np.uint32)]))
+    rows = [{"pair": "p", "blk": b, "n": 20, "diffs": [1.0, None, 2.0, 4.0, 0.5], "step": 2, "rep": 0} for b in range(4)]
+    out = list(J._drawn_sums(["pair"], 2, 42, 5)(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert made == ["42:0:", "42:1:"]
+    assert [tuple(r.values()) for batch in out for r in batch.to_pylist()] == [("p", 0, 30.0, 16), ("p", 1, 30.0, 16)]
+    made.clear()
+    out = list(J._drawn_sums(["pair"], 2, 42, 5, held=10)(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert len(made) == 4 and sum(batch.column("s")[0].as_py() for batch in out) == 30.0
+
+
 def test_agreement_needs_five_rows(spark):
     df = spark.createDataFrame([(i, i * 2) for i in range(4)], "a int, b int")
     assert J.agreement(df, {"x": ("a", "b")}).count() == 0

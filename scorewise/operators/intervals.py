@@ -105,7 +105,8 @@ def label_span(labels: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
 def intervals_to_labels(videos: DataFrame, spans: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
     """Dense 0/1 label per frame from inclusive frame intervals, clamped to the recording.
 
-    Intervals are cut at block borders and merged inside each block, so a frame meets at most one piece.
+    Intervals are cut at block borders and merged inside each block. A block of a recording is then a list of runs of equal
+    labels, joined as one row, and its frames are made from those: no frame is shuffled or sorted.
     """
     bounds = f"sequence(cast(greatest(start_frame, 0) as bigint) div {size}, cast(end_frame as bigint) div {size})"
     pieces = spans.filter("start_frame <= end_frame and end_frame >= 0").withColumn("blk", F.explode(F.expr(bounds)))
@@ -123,10 +124,20 @@ def intervals_to_labels(videos: DataFrame, spans: DataFrame, size: int = BLOCK_R
         .groupBy("series_id", "blk", "run")
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     )
-    dense = explode_range(videos.select("series_id", "n_frames"), F.col("n_frames"), KEY, "frame", size)
-    dense = dense.select("series_id", "frame")
-    rows = disjoint_join(dense, merged.select("series_id", "lo", "hi"), KEY, "frame", "lo", "hi", "left", size)
-    return rows.select("series_id", "frame", F.when(F.col("lo").isNotNull(), 1).otherwise(0).alias("label"))
+    held = merged.groupBy("series_id", "blk").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    blocks = videos.select("series_id", F.col("n_frames").cast("long").alias("n_frames")).filter("n_frames > 0")
+    blocks = blocks.withColumn("blk", F.explode(F.expr(f"sequence(0L, (n_frames - 1) div {size})")))
+    blocks = blocks.withColumns({"first": F.col("blk") * size, "last": F.least((F.col("blk") + 1) * size, "n_frames") - 1})
+    met = blocks.join(held, ["series_id", "blk"], "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")))
+    ones = F.expr("transform(spans, s -> named_struct('lo', s.lo, 'hi', least(s.hi, last), 'label', 1))")
+    zeros = F.expr(
+        "transform(sequence(0, size(spans)), i -> named_struct('lo', if(i = 0, first, element_at(spans, i).hi + 1),"
+        " 'hi', if(i = size(spans), last, least(get(spans, i).lo - 1, last)), 'label', 0))"
+    )
+    # a fixed count, as in ``explode_range``: what is spread are a few numbers per block
+    tasks = int(videos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = met.repartition(tasks, "series_id", "blk").select("series_id", F.inline(F.concat(ones, zeros))).filter("lo <= hi")
+    return spread.select("series_id", F.explode(F.sequence("lo", "hi")).alias("frame"), "label")
 
 
 def align_labels(

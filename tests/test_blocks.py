@@ -260,3 +260,17 @@ def test_take_while_on_overlapping_tracks(spark):
                 break
             want.append((n, i))
     assert sorted((r.track_no, r.idx) for r in got.collect()) == sorted(want)
+
+
+def test_dense_labels_move_no_frame(spark):
+    """Shuffles and sorts see spans and blocks; frames come last."""
+    videos = spark.createDataFrame([(1, 300), (2, 5), (3, 0), (4, 17), (None, 2)], "series_id long, n_frames long")
+    spans = spark.createDataFrame([(1, -5, 3), (1, 3, 9), (1, 60, 130), (1, 290, 400), (2, 5, 8), (4, 0, 16), (9, 0, 9), (None, 0, 1)], "series_id long, start_frame long, end_frame long")
+    df = I.intervals_to_labels(videos, spans, 64)
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    frames = next(i for i, line in enumerate(plan) if "Generate explode(sequence(lo" in line)
+    assert not any(word in line for line in plan[:frames] for word in ("Sort", "Window", "Join", "Repartition"))
+    got = sorted((r.series_id or 0, r.frame, r.label) for r in df.collect())
+    told = [(r.series_id, r.start_frame, r.end_frame) for r in spans.collect()]
+    want = [(s or 0, f, int(any(s is not None and s == t and a <= f <= z for t, a, z in told))) for s, n in ((1, 300), (2, 5), (4, 17), (None, 2)) for f in range(n)]
+    assert got == sorted(want)

@@ -22,8 +22,9 @@ reach the similarity are left out by that; no link is lost.
 What the buckets lose: the classes found so far are completed by a prefix filter, which loses no pair. Of a text's labelled
 shingles of ``PREFIX_K`` words an edit spoils ``PREFIX_K`` at most, so two texts at similarity 0.8 whose longer one has n words
 share at least n - 1 - 2 * floor(0.2 n) of them. So if all texts list their shingles in one order, they share one among
-about the first 0.4 n of each. The order puts what is rare first, by counts in ``SLOTS`` classes; any order is
-exact, this one leaves few texts to a shingle. All pairs of different classes that share such a shingle are verified.
+about the first 0.4 n of each, and c among the first 0.4 n + c - 1; c is 1 + n / ``COMMON`` for the shorter one. The order
+puts what is rare first, by counts in ``SLOTS`` classes; any order is exact, this one leaves few texts to a shingle. All
+pairs of different classes that share as many listed shingles are verified.
 
 Verification: edit similarity of the word sequences, 1 - distance / longer length, at least ``SIMILARITY``. Classes are the
 connected components of the verified links, found by contracting them, from written tables.
@@ -35,6 +36,7 @@ The class id is the least id of the class (null only if all are null); that row
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,18 +58,28 @@ SINGLES = 24
 SHORT = 9
 COUNTS = 256
 PREFIX_K = 2
+COMMON = 32
 SLOTS = 1 << 22
 SLOT_PARTS = 64
+SKETCH_BYTES = 1 << 18  # of texts sketched at once, so that their shingles stay in the processor's cache
 SIMILARITY = 0.8
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def labelled_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each shingle, hash of it with its occurrence number, first shingle of each text, words of each text."""
+Words = tuple[np.ndarray, np.ndarray]
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Hashes of the words, and the first word of each text."""
     starts, ends, first = spans(data, offsets)
+    return word_hashes(data, starts, ends), first
+
+
+def labelled_shingles(data: np.ndarray, offsets: np.ndarray, k: int, known: Words | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each shingle, hash of it with its occurrence number, first shingle of each text, words of each text."""
+    hashes, first = known or _words(data, offsets)
     words = np.diff(first)
-    hashes = word_hashes(data, starts, ends)
     counts = np.where(words >= k, words - k + 1, np.minimum(words, 1))
     edges = np.concatenate([[0], np.cumsum(counts)])
     plain = np.zeros(edges[-1], np.uint64)
@@ -77,19 +89,29 @@ def labelled_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np
     for i in np.flatnonzero((words > 0) & (words < k)):
         plain[edges[i]] = shingle_hashes(hashes[first[i] : first[i + 1]], int(words[i]))[0]
     texts = owner(edges)
-    order = np.lexsort((plain, texts))
-    same = np.zeros(len(order), bool)
-    same[1:] = (plain[order][1:] == plain[order][:-1]) & (texts[order][1:] == texts[order][:-1])
-    place = np.arange(len(order))
-    run = np.maximum.accumulate(np.where(same, 0, place))
+    # only what may occur twice in its text is put in order: equal shingles of a text have equal sums
+    sums = plain + texts.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    order = np.argsort(sums)
+    equal = sums[order][1:] == sums[order][:-1]
+    twice = np.zeros(len(order), bool)
+    twice[1:] = equal
+    twice[:-1] |= equal
+    some = order[twice]
+    some = some[np.lexsort((some, plain[some], texts[some]))]
+    same = np.zeros(len(some), bool)
+    same[1:] = (plain[some][1:] == plain[some][:-1]) & (texts[some][1:] == texts[some][:-1])
+    place = np.arange(len(some))
+    run = np.maximum.accumulate(np.where(same, 0, place)) if len(some) else place
     occurrence = np.zeros(len(order), np.uint64)
-    occurrence[order] = place - run
+    occurrence[some] = place - run
     return plain, mix(plain + occurrence * np.uint64(0x9E3779B97F4A7C15)), edges, words
 
 
-def order_sketches(data: np.ndarray, offsets: np.ndarray, k: int = K, sketches: int = SKETCHES, tuple_size: int = TUPLE) -> tuple[np.ndarray, np.ndarray]:
+def order_sketches(
+    data: np.ndarray, offsets: np.ndarray, k: int = K, sketches: int = SKETCHES, tuple_size: int = TUPLE, known: Words | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Number of words and sketches of each text; texts without words have sketches of 0."""
-    plain, labelled, edges, words = labelled_shingles(data, offsets, k)
+    plain, labelled, edges, words = labelled_shingles(data, offsets, k, known)
     out = np.zeros((len(words), sketches), np.uint64)
     some = np.flatnonzero(np.diff(edges))
     if not len(some):
@@ -97,19 +119,30 @@ def order_sketches(data: np.ndarray, offsets: np.ndarray, k: int = K, sketches:
     first = edges[:-1][some]
     sizes = np.diff(edges)[some]
     own = np.repeat(np.arange(len(some)), sizes)
+    # the least values of a text are nearly always below a limit that few of its values are below
+    likely = np.minimum(1.0, (4 * tuple_size + 8) / sizes)
+    limit = np.repeat(np.where(likely < 1, np.minimum(likely, 0.5) * 2.0**64, 0).astype(np.uint64) + _NONE * (likely >= 1), sizes)
+    enough = np.minimum(sizes, tuple_size)
     for i in range(sketches):
-        values = (labelled ^ np.uint64((i + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        values = labelled ^ np.uint64((i + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+        values *= np.uint64(0xBF58476D1CE4E5B9)
         values ^= values >> np.uint64(29)
         values *= np.uint64(0x94D049BB133111EB)
-        values[values == _NONE] = _NONE - np.uint64(1)
+        few = np.flatnonzero(values < limit)
+        found = np.bincount(own[few], minlength=len(some)) >= enough
+        if not found.all():  # of the other texts, all values
+            few = np.flatnonzero((values < limit) | ~np.repeat(found, sizes))
+        least, texts = np.minimum(values[few], _NONE - np.uint64(1)), own[few]
+        begins = np.flatnonzero(np.r_[True, texts[1:] != texts[:-1]])
+        number = np.diff(np.r_[begins, len(texts)])
         chosen = np.full((len(some), tuple_size), np.iinfo(np.int64).max, np.int64)
         for j in range(tuple_size):
-            least = np.minimum.reduceat(values, first)
-            hit = np.flatnonzero((values == least[own]) & (values != _NONE))
+            hit = np.flatnonzero(least == np.repeat(np.minimum.reduceat(least, begins), number))
+            hit = hit[least[hit] != _NONE]  # a text may have none left
             # one per text: labelled shingles differ, so equal values are a matter of hash collisions
-            texts, index = np.unique(own[hit], return_index=True)
-            chosen[texts, j] = hit[index]
-            values[hit[index]] = _NONE
+            hit = hit[np.r_[True, texts[hit][1:] != texts[hit][:-1]][: len(hit)]]
+            chosen[texts[hit], j] = few[hit]
+            least[hit] = _NONE
         chosen.sort(axis=1)
         name = np.full(len(some), np.uint64(i + 1))
         for j in range(tuple_size):
@@ -119,9 +152,9 @@ def order_sketches(data: np.ndarray, offsets: np.ndarray, k: int = K, sketches:
     return words, out
 
 
-def single_sketches(data: np.ndarray, offsets: np.ndarray, k: int = SINGLE_K, sketches: int = SINGLES) -> np.ndarray:
+def single_sketches(data: np.ndarray, offsets: np.ndarray, k: int = SINGLE_K, sketches: int = SINGLES, known: Words | None = None) -> np.ndarray:
     """Sketches of one labelled shingle of each text; texts without words have sketches of 0."""
-    _, labelled, edges, words = labelled_shingles(data, offsets, k)
+    _, labelled, edges, words = labelled_shingles(data, offsets, k, known)
     out = np.zeros((len(words), sketches), np.uint64)
     some = np.flatnonzero(np.diff(edges))
     if not len(some):
@@ -135,10 +168,9 @@ def single_sketches(data: np.ndarray, offsets: np.ndarray, k: int = SINGLE_K, sk
     return out
 
 
-def short_keys(data: np.ndarray, offsets: np.ndarray, short: int = SHORT) -> list[np.ndarray]:
+def short_keys(data: np.ndarray, offsets: np.ndarray, short: int = SHORT, known: Words | None = None) -> list[np.ndarray]:
     """Keys that texts of up to ``short`` words share if one word is replaced, added or left out; none for longer texts."""
-    starts, ends, first = spans(data, offsets)
-    hashes = word_hashes(data, starts, ends)
+    hashes, first = known or _words(data, offsets)
     out = [np.zeros(0, np.uint64)] * (len(first) - 1)
     for i in np.flatnonzero((np.diff(first) >= 1) & (np.diff(first) <= short)):
         words = hashes[first[i] : first[i + 1]]
@@ -154,10 +186,10 @@ def short_keys(data: np.ndarray, offsets: np.ndarray, short: int = SHORT) -> lis
     return out
 
 
-def word_counts(data: np.ndarray, offsets: np.ndarray, classes: int = COUNTS) -> np.ndarray:
+def word_counts(data: np.ndarray, offsets: np.ndarray, classes: int = COUNTS, known: Words | None = None) -> np.ndarray:
     """How many words of each text fall into each class by their hash."""
-    starts, ends, first = spans(data, offsets)
-    place = owner(first) * classes + (word_hashes(data, starts, ends) % np.uint64(classes)).astype(np.int64)
+    hashes, first = known or _words(data, offsets)
+    place = owner(first) * classes + (hashes % np.uint64(classes)).astype(np.int64)
     counts = np.bincount(place, minlength=(len(first) - 1) * classes)
     return np.minimum(counts, 0xFFFF).astype("<u2").reshape(-1, classes)
 
@@ -166,12 +198,13 @@ def _sketch(k: int, sketches: int, tuple_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, names, keys, counts = [], [], [], []
-            for _, data, offsets in slices(batch.column("_text")):
-                n, s = order_sketches(data, offsets, k, sketches, tuple_size)
+            for _, data, offsets in slices(batch.column("_text"), SKETCH_BYTES):
+                known = _words(data, offsets)
+                n, s = order_sketches(data, offsets, k, sketches, tuple_size, known)
                 words.append(n)
-                names.append(np.hstack([s, single_sketches(data, offsets)]))
-                keys += short_keys(data, offsets)
-                counts += [row.tobytes() for row in word_counts(data, offsets)]
+                names.append(np.hstack([s, single_sketches(data, offsets, known=known)]))
+                keys += short_keys(data, offsets, known=known)
+                counts += [row.tobytes() for row in word_counts(data, offsets, known=known)]
             n = np.concatenate(words) if words else np.zeros(0, np.int64)
             flat = np.concatenate(names).view(np.int64).ravel() if names else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (sketches + SINGLES), pa.int32()), pa.array(flat))
@@ -191,12 +224,12 @@ def _slots(plain: np.ndarray) -> np.ndarray:
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles fall into each slot, in parts."""
+    """How many shingles fall into each slot, in parts, as narrow as their numbers allow and compressed."""
     counts = np.zeros(SLOTS, np.int64)
     for batch in batches:
         for _, data, offsets in slices(batch.column("_text")):
-            starts, ends, first = spans(data, offsets)
-            plain = shingle_hashes(word_hashes(data, starts, ends), PREFIX_K)
+            hashes, first = _words(data, offsets)
+            plain = shingle_hashes(hashes, PREFIX_K)
             # not those that reach into the next text
             last = first[1:-1, None] - np.arange(1, PREFIX_K)
             inside = np.ones(len(plain), bool)
@@ -204,7 +237,8 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(counts, _slots(plain[inside]), 1)
     for part, some in enumerate(counts.reshape(SLOT_PARTS, -1)):
         if some.any():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([some.tobytes()], pa.binary())})
+            packed = zlib.compress(some.astype(np.min_scalar_type(some.max())).tobytes(), 1)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([packed], pa.binary())})
 
 
 def _added_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +251,8 @@ def _added_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         for i in range(batch.num_rows):
-            at, some = batch.column("part")[i].as_py(), np.frombuffer(batch.column("counts")[i].as_py(), np.int64)
+            at, some = batch.column("part")[i].as_py(), zlib.decompress(batch.column("counts")[i].as_py())
+            some = np.frombuffer(some, f"u{len(some) * SLOT_PARTS // SLOTS}")
             if at != part:
                 if part is not None:
                     yield done()
@@ -231,24 +266,39 @@ def frequencies(texts: DataFrame) -> np.ndarray:
     """About how often the shingles of each slot occur; a megabyte or so, whatever the input."""
     counted = texts.select("_text").mapInArrow(_slot_counts, "part int, counts binary")
     added = counted.repartition(SLOT_PARTS, "part").sortWithinPartitions("part").mapInArrow(_added_counts, "part int, steps binary")
+    added = written(added, "near-steps")
     out = np.zeros((SLOT_PARTS, SLOTS // SLOT_PARTS), np.uint8)
     for row in added.collect():
         out[row["part"]] = np.frombuffer(row["steps"], np.uint8)
+    discarded(added)
     return out.ravel()
 
 
+def commons(n: int, similarity: float) -> int:
+    """How many listed shingles a text of n words shares with every longer text that it is similar to. Never falls with n."""
+    return max(1, min(1 + n // COMMON, int(np.floor((1 - PREFIX_K * (1 - similarity)) * n)) - PREFIX_K + 1))
+
+
+def _commons(n: Column, similarity: float) -> Column:
+    shared = F.floor(F.lit(1 - PREFIX_K * (1 - similarity)) * n) - PREFIX_K + 1
+    return F.greatest(F.lit(1), F.least(1 + F.floor(n / COMMON), shared))
+
+
 def prefix_size(n: int, similarity: float) -> int:
-    """How many of its shingles a text of n words must list to share one with every text that it is similar to."""
+    """How many of its shingles a text of n words must list to share ``commons`` with every text that it is similar to."""
     longer = np.arange(n, int(np.floor(n / similarity + 1e-9)) + 1)
     shared = longer - PREFIX_K + 1 - PREFIX_K * np.floor((1 - similarity) * longer + 1e-9)
-    return int(n - PREFIX_K + 1 - max(1, shared.min()) + 1)
+    return int(n - PREFIX_K + 1 - max(1, shared.min()) + commons(n, similarity))
 
 
 def prefixes(data: np.ndarray, offsets: np.ndarray, steps: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """The labelled shingles that each text lists, and the text of each of them."""
     plain, labelled, edges, words = labelled_shingles(data, offsets, PREFIX_K)
     texts = owner(edges)
-    order = np.lexsort((labelled, steps[_slots(plain)], texts))
+    # by step and 56 bits of the hash, then by text
+    step = steps[_slots(plain)].astype(np.uint64)
+    order = np.argsort((step << np.uint64(56)) | (labelled >> np.uint64(8)))
+    order = order[np.argsort(texts[order].astype(np.uint16 if len(words) < 1 << 16 else np.int64), kind="stable")]
     sizes = {n: prefix_size(n, similarity) if n >= PREFIX_K else 0 for n in np.unique(words).tolist()}
     listed = np.array([sizes[n] for n in words.tolist()], np.int64)
     chosen = order[np.arange(len(order)) - edges[:-1][texts] < listed[texts]]
@@ -258,12 +308,10 @@ def prefixes(data: np.ndarray, offsets: np.ndarray, steps: np.ndarray, similarit
 def _listed(similarity: float, steps: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [batch.column(c).to_numpy() for c in ("_hash", "_len")]
-            for row, data, offsets in slices(batch.column("_text")):
+            for row, data, offsets in slices(batch.column("_text"), SKETCH_BYTES):
                 shingles, texts = prefixes(data, offsets, steps, similarity)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shingles.view(np.int64)), *(pa.array(name[row + texts]) for name in names)], names=["shingle", "_hash", "_len"]
-                )
+                kept = [batch.column(c).take(pa.array(row + texts)) for c in LISTED]
+                yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), *kept], names=["shingle", *LISTED])
 
     return run
 
@@ -317,6 +365,7 @@ def _node(prefix: str = "_") -> Column:
 
 
 TEXT_KEY = ["_hash", "_len"]
+LISTED = ["node", "n", "root"]
 PAIR = ["a_hash", "a_len", "b_hash", "b_len"]
 
 
@@ -398,25 +447,32 @@ def _links(known: DataFrame, rows: DataFrame, similarity: float, sketches: int)
 def _across(labels: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """All verified links between different classes of ``labels`` (of texts that it does not name: their own), as links (a, b)
     between the classes."""
-    shingles = texts.mapInArrow(_listed(similarity, frequencies(texts)), "shingle long, _hash long, _len int")
-    group, node = Window.partitionBy("shingle"), F.xxhash64(*TEXT_KEY)
-    several = lambda df, of: df.withColumns({"_lo": F.min(of).over(group), "_hi": F.max(of).over(group)}).filter("_lo < _hi").drop("_lo", "_hi")
-    listed = written(several(shingles, node), "near-listed")
-    classed = nodes.select(*TEXT_KEY, "n", _node().alias("node")).join(labels, "node", "left")
-    classed = written(classed.select(*TEXT_KEY, "n", F.coalesce("label", "node").alias("class")), "near-classed")
-    rooted = listed.join(classed.select(*TEXT_KEY, "n", F.xxhash64("class").alias("root")), TEXT_KEY)
-    rooted = written(several(rooted, F.col("root")), "near-rooted")
-    a, b = (rooted.toDF(f"{side}_hash", f"{side}_len", "shingle", f"{side}_n", f"{side}_root") for side in ("a", "b"))
+    classed = nodes.select(*TEXT_KEY, "n", _node().alias("_name")).join(labels.toDF("_name", "label"), "_name", "left")
+    classed = classed.select(*TEXT_KEY, "n", F.xxhash64(*TEXT_KEY).alias("node"), "label", F.coalesce("label", "_name").alias("class"))
+    classed = written(classed, "near-classed")
+    # most texts are a class of their own: for those the root is left out
+    rooted = texts.join(classed.select(*TEXT_KEY, "node", "n", F.xxhash64("label").alias("_of"), "label"), TEXT_KEY)
+    rooted = rooted.select("_text", "node", "n", F.when(F.col("label").isNotNull(), F.col("_of")).alias("root"))
+    rooted = rooted.mapInArrow(_listed(similarity, frequencies(texts)), "shingle long, node long, n int, root long")
+    root, group = F.coalesce("root", "node"), Window.partitionBy("shingle")
+    several = rooted.withColumns({"_lo": F.min(root).over(group), "_hi": F.max(root).over(group)}).filter("_lo < _hi")
+    rooted = written(several.select("shingle", "node", "n", "root"), "near-rooted")
+    a, b = (rooted.select("shingle", F.col("node").alias(side), F.col("n").alias(f"{side}_n"), root.alias(f"{side}_root")) for side in ("a", "b"))
     # each pair once: a is the shorter text, of equally long ones that of the lesser hash
-    apart = F.struct("a_n", "a_hash", "a_len") < F.struct("b_n", "b_hash", "b_len")
+    apart = F.struct("a_n", "a") < F.struct("b_n", "b")
     met = a.join(b.hint("merge"), "shingle").filter(apart & (F.col("a_root") != F.col("b_root")) & _close(similarity))
-    pairs = written(_possible_pairs(met.select(*PAIR, "a_n", "b_n").distinct(), nodes, similarity), "near-pairs")
+    met = met.groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("shared")).filter(F.col("shared") >= _commons(F.col("a_n"), similarity))
+    met = written(met.select("a", "b", "a_n", "b_n"), "near-met")
+    for side in ("a", "b"):
+        met_side = classed.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}{c}") for c in TEXT_KEY))
+        pairs = (met if side == "a" else pairs).join(met_side, side)
+    pairs = written(_possible_pairs(pairs.select(*PAIR, "a_n", "b_n"), nodes, similarity), "near-pairs")
     checked = written(_verified(pairs, texts, similarity).filter("near").select(*PAIR), "near-checked")
     links = checked
     for side in ("a", "b"):
         links = links.join(classed.select(*TEXT_KEY, "class").toDF(f"{side}_hash", f"{side}_len", side), [f"{side}_hash", f"{side}_len"])
     links = written(links.select("a", "b").distinct(), "near-across")
-    discarded(listed, classed, rooted, pairs, checked)
+    discarded(classed, rooted, met, pairs, checked)
     return links
 
 

@@ -225,3 +225,48 @@ def test_similar_texts_list_a_common_shingle():
         (_, data, offsets), = slices(pa.array([" ".join(a), " ".join(b)]))
         listed, texts = near.prefixes(data, offsets, steps, near.SIMILARITY)
         assert set(listed[texts == 0].tolist()) & set(listed[texts == 1].tolist())
+
+
+def test_similar_texts_share_as_many_listed_shingles_as_asked():
+    import pyarrow as pa
+
+    from scorewise.llm.words import slices
+
+    draw = random.Random(5)
+    steps = np.random.default_rng(5).integers(0, 50, near.SLOTS).astype(np.uint8)
+    asked = 0
+    for _ in range(200):
+        a, b = spaced(draw, draw.randint(2, 300), 1)
+        a, b = a.split(), edited(draw, b.split(), draw.randint(0, len(a) // 6))
+        if 1 - brute.distance(a, b) / max(len(a), len(b)) < near.SIMILARITY - 1e-12 or len(b) < 2:
+            continue
+        (_, data, offsets), = slices(pa.array([" ".join(a), " ".join(b)]))
+        listed, texts = near.prefixes(data, offsets, steps, near.SIMILARITY)
+        least = near.commons(min(len(a), len(b)), near.SIMILARITY)
+        asked = max(asked, least)
+        assert len(set(listed[texts == 0].tolist()) & set(listed[texts == 1].tolist())) >= least
+    assert asked > 5 and [near.commons(n, near.SIMILARITY) for n in range(2, 500)] == sorted(near.commons(n, near.SIMILARITY) for n in range(2, 500))
+
+
+def test_alignment_of_long_pairs_visits_few_cells(monkeypatch):
+    """A path that costs little enough settles a pair; a pair that shares too little is never aligned in a wide band."""
+    draw, bands, banded = np.random.default_rng(2), [], alignment._banded
+    monkeypatch.setattr(alignment, "_banded", lambda pairs, band, *more: bands.append(band) or banded(pairs, band, *more))
+    a = draw.integers(0, 5000, 4000).astype(np.int32)
+    near_copy, other = a.copy(), draw.permutation(a)
+    near_copy[::25] = -7
+    assert alignment.within([(a, near_copy), (a, other)], near.SIMILARITY).tolist() == [True, False]
+    assert bands and max(bands) <= 4000 // 50
+
+
+def test_slot_counts_leave_no_shuffle_and_few_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"w{i} w{i + 1} w{i + 2}" for i in range(1000)]
+    parts = list(near._slot_counts([pa.RecordBatch.from_pydict({"_text": pa.array(texts)})]))
+    assert sum(len(p.column("counts")[0].as_py()) for p in parts) < 4 * near.SLOTS // 100
+    names = []
+    real = near.written
+    monkeypatch.setattr(near, "written", lambda df, name: names.append(name) or real(df, name))
+    steps = near.frequencies(spark.createDataFrame([(t,) for t in texts], "_text string"))
+    assert names == ["near-steps"] and steps.sum() >= 1500 * 8 * 0.9

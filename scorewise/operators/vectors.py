@@ -112,6 +112,8 @@ CENTERS = 64  # directions per group that vectors are told apart by
 GROUPS = 1000  # groups that get centers of their own
 SPARE = 4
 _MARGIN = 1e-9  # of rounding in a bound
+_ROUNDING = 2.0**-23  # of a single-precision product, per dimension
+_MANY = 64  # candidates of a query in a block, beyond which the block is ordered as a whole
 
 
 def topk_similar(
@@ -127,7 +129,8 @@ def topk_similar(
     ``block`` vectors that are nearest to the same of ``centers`` directions; a block knows between which angles to that
     direction its vectors lie. So the best cosine that a query can have with any vector of a block is known from the angle
     of the query alone, and a query is compared with a block only if that reaches its k-th best so far; blocks that
-    promise most come first. A task holds the best k of the query block at hand, so k rows per query leave each strip of
+    promise most come first. Of a block only those vectors are looked at one by one that come near the query's k-th best in
+    single precision, by more than its rounding. A task holds the best k of the query block at hand, so k rows per query leave each strip of
     the index. No pair of vectors becomes a row and no side is broadcast or collected but the centers.
     A zero query has no direction: it gets the first k of the index with a null similarity.
     """
@@ -172,22 +175,63 @@ def local_topk(
     met = packed_q.withColumn("col", every).join(packed_i.withColumn("row", every).hint("merge"), [*by, "row", "col"])
     met = met.select(*by, "row", "col", "q_ids", "q_vecs", "i_ids", "i_vecs", "i_center", "i_near", "i_far")
 
-    def bounds(q: np.ndarray, row) -> np.ndarray:
-        """The best cosine that each query can have with a vector of the block."""
-        if row.i_center < 0:
-            return np.full(len(q), np.inf)
-        size = np.linalg.norm(q, axis=1)
-        at = of_group[tuple(getattr(row, c) for c in by)][row.i_center]
+    def bounds(q: np.ndarray, rows: list) -> np.ndarray:
+        """The best cosine that each query can have with a vector of each block."""
+        out = np.full((len(q), len(rows)), np.inf)
+        center = np.array([row.i_center for row in rows])
+        some = np.flatnonzero(center >= 0)
+        if not len(some):
+            return out
+        size = np.linalg.norm(q, axis=1)[:, None]
+        at = of_group[tuple(getattr(rows[0], c) for c in by)][center[some]]
         with np.errstate(invalid="ignore", divide="ignore"):
-            angle = np.arccos(np.clip(q @ at / size, -1, 1))
-        best = size * np.cos(np.clip(np.maximum(angle - row.i_far, row.i_near - angle), 0, np.pi))
-        return np.where(size > 0, best, np.inf)
+            angle = np.arccos(np.clip(q @ at.T / size, -1, 1))
+        near, far = (np.array([getattr(rows[i], c) for i in some]) for c in ("i_near", "i_far"))
+        best = size * np.cos(np.clip(np.maximum(angle - far, near - angle), 0, np.pi))
+        out[:, some] = np.where(size > 0, best, np.inf)
+        return out
 
     def merged(ids, sims, more_ids, more_sims):
         ids, sims = np.concatenate([ids, more_ids], axis=1), np.concatenate([sims, more_sims], axis=1)
         order = np.lexsort((ids, -sims), axis=1)[:, :k]
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
+    def improved(q: np.ndarray, i_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best ids and similarities of the queries after a block."""
+        whole = np.arange(len(q))
+        with np.errstate(over="ignore"):
+            q32, v32 = q.astype("<f4"), vectors.astype("<f4")
+        if np.isfinite(q32).all() and np.isfinite(v32).all():
+            near = q32 @ v32.T
+            slack = (q.shape[1] + 8) * _ROUNDING * (np.linalg.norm(q, axis=1) * np.linalg.norm(vectors, axis=1).max() + 1e-30)
+            least = sims[:, -1].copy()
+            fresh = np.flatnonzero(least == -np.inf)
+            if len(fresh) and len(i_ids) > k:
+                least[fresh] = np.partition(near[fresh], len(i_ids) - k, axis=1)[:, len(i_ids) - k] - slack[fresh]
+            # a float32 next below the limit, so that its own rounding loses none
+            limit = np.nextafter((least - slack).astype("<f4"), np.float32(-np.inf))
+            rows, columns = np.divmod(np.flatnonzero(near >= limit[:, None]), len(i_ids))
+            number = np.bincount(rows, minlength=len(q))
+            few = number[rows] <= k + _MANY
+            rows, columns = rows[few], columns[few]
+            if len(rows):
+                hit, place = np.unique(rows, return_inverse=True)
+                nth = np.arange(len(rows)) - np.searchsorted(rows, hit)[place]
+                more_ids = np.full((len(hit), int(nth.max()) + 1), np.iinfo(np.int64).max)
+                more_sims = np.full(more_ids.shape, -np.inf)
+                more_ids[place, nth] = i_ids[columns]
+                more_sims[place, nth] = np.einsum("hd,hd->h", q[rows], vectors[columns])
+                ids[hit], sims[hit] = merged(ids[hit], sims[hit], more_ids, more_sims)
+            whole = np.flatnonzero(number > k + _MANY)
+        if len(whole):
+            product = q[whole] @ vectors.T
+            # ids ascend inside a block, so a stable sort breaks ties by id; all of a zero query's are ties
+            top = np.argsort(-product, axis=1, kind="stable")[:, : k + SPARE]
+            # a matrix product rounds by its shape; the best are computed again, one by one, so that equal vectors tie
+            exact = np.einsum("hd,hd->h", np.repeat(q[whole], top.shape[1], axis=0), vectors[top.ravel()]).reshape(top.shape)
+            ids[whole], sims[whole] = merged(ids[whole], sims[whole], i_ids[top], exact)
+        return ids, sims
+
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # cell and ids of the query block at hand, its vectors, the best ids and similarities so far, compared
 
@@ -214,20 +258,23 @@ def local_topk(
                     q = np.frombuffer(rows[0].q_vecs, "<f8").reshape(n, -1)
                     held = (name, q, np.zeros((n, k), "<i8"), np.full((n, k), -np.inf), np.zeros(n, "<i8"))
                 _, q, best_ids, best_sims, compared = held
-                promised = [(bounds(q, row), row) for row in rows]
-                promised.sort(key=lambda p: -np.nan_to_num(p[0], nan=np.inf, posinf=2).max())
-                for bound, row in promised:
-                    wanted = np.flatnonzero(~(bound < best_sims[:, -1] - _MARGIN))
-                    if not len(wanted):
-                        continue
-                    i_ids = np.asarray(row.i_ids, "<i8")
-                    vectors = np.frombuffer(row.i_vecs, "<f8").reshape(len(i_ids), -1)
-                    sims = q[wanted] @ vectors.T
-                    # ids ascend inside a block, so a stable sort breaks ties by id; all of a zero query's are ties
-                    top = np.argsort(-sims, axis=1, kind="stable")[:, : k + SPARE]
-                    # a matrix product rounds by its shape; the best are computed again, one by one, so that equal vectors tie
-                    exact = np.einsum("qd,qtd->qt", q[wanted], vectors[top])
-                    best_ids[wanted], best_sims[wanted] = merged(best_ids[wanted], best_sims[wanted], i_ids[top], exact)
+                bound = bounds(q, rows)
+                left = np.argsort(-np.nan_to_num(bound, nan=np.inf, posinf=2).max(axis=0), kind="stable")
+                most = 0  # the block that promises most comes alone, so that there is something to reach
+                while len(left):
+                    open_ = ~(bound[:, left] < best_sims[:, -1:] - _MARGIN)
+                    left, open_ = left[open_.any(axis=0)], open_[:, open_.any(axis=0)]
+                    if not len(left):
+                        break
+                    sizes = np.cumsum([len(rows[at].i_ids) for at in left])
+                    taken = max(1, int(np.searchsorted(sizes, most, side="right")))
+                    together, wanted = [rows[at] for at in left[:taken]], np.flatnonzero(open_[:, :taken].any(axis=1))
+                    left, most = left[taken:], block
+                    i_ids = np.concatenate([np.asarray(row.i_ids, "<i8") for row in together])
+                    vectors = np.concatenate([np.frombuffer(row.i_vecs, "<f8").reshape(len(row.i_ids), -1) for row in together])
+                    order = np.argsort(i_ids, kind="stable")
+                    i_ids, vectors = i_ids[order], vectors[order]
+                    best_ids[wanted], best_sims[wanted] = improved(q[wanted], i_ids, vectors, best_ids[wanted], best_sims[wanted])
                     compared[wanted] += len(i_ids)
         if held is not None:
             yield found()

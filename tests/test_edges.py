@@ -184,6 +184,22 @@ def test_retrieval_skips_what_cannot_be_near(spark):
         assert V._ranked(every, [], 3).count() >= 600
 
 
+def test_retrieval_tells_apart_what_single_precision_does_not(spark):
+    """Of 60 vectors that differ in the ninth digit and 200 copies, each query gets the best, ties by id."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    base = unit(rng.normal(size=16))
+    index = unit(np.concatenate([base + 1e-5 * rng.normal(size=(60, 16)), np.tile(unit(rng.normal(size=16)), (200, 1)), rng.normal(size=(200, 16))]))
+    i = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(index)], "index_id long, vec array<double>")
+    q = spark.createDataFrame([(0, base.tolist()), (1, index[100].tolist())], "query_id long, vec array<double>")
+    got = {}
+    for r in V.topk_similar(q, i, 5, parts=1, centers=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.index_id)
+    assert got[0] == np.argsort(-np.einsum("d,id->i", base, index), kind="stable")[:5].tolist() and got[1] == [60, 61, 62, 63, 64]
+
+
 def test_touching_intervals_have_no_iou(spark):
     ann = spark.createDataFrame([(1, 0, 10), (2, 0, 10)], "series_id long, start_frame long, end_frame long")
     seg = spark.createDataFrame([(1, 0, 10, 20), (2, 0, 5, 10), (2, 1, 0, 10)], "series_id long, seg_no long, start_frame long, end_frame long")

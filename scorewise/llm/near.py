@@ -23,8 +23,13 @@ What the buckets lose: the classes found so far are completed by a prefix filter
 shingles of ``PREFIX_K`` words an edit spoils ``PREFIX_K`` at most, so two texts at similarity 0.8 whose longer one has n words
 share at least n - 1 - 2 * floor(0.2 n) of them. So if all texts list their shingles in one order, they share one among
 about the first 0.4 n of each, and c among the first 0.4 n + c - 1; c is 1 + n / ``COMMON`` for the shorter one. The order
-puts what is rare first, by counts in ``SLOTS`` classes; any order is exact, this one leaves few texts to a shingle. All
-pairs of different classes that share as many listed shingles are verified.
+puts what is rare first, by counts in ``SLOTS`` classes; any order is exact, this one leaves few texts to a shingle. The lists
+travel as blocks, by parts of the shingles' hashes. Shingles that the very same texts list are one set of texts, with their
+number as its weight. All pairs of different classes whose common sets weigh enough are verified.
+
+A passage that many texts hold, as most of their words, gives sets of all of these. Sets of more than ``CROWD`` texts are
+therefore no rows of pairs: those inside another one go, as they hold no further pair, and the others are dealt into blocks.
+A task holds two blocks of texts and counts what all their pairs share by products of matrices; only links leave the task.
 
 Verification: edit similarity of the word sequences, 1 - distance / longer length, at least ``SIMILARITY``. Classes are the
 connected components of the verified links, found by contracting them, from written tables.
@@ -59,8 +64,14 @@ SHORT = 9
 COUNTS = 256
 PREFIX_K = 2
 COMMON = 32
-SLOTS = 1 << 22
+SLOTS = 1 << 24
 SLOT_PARTS = 64
+PARTS = 1 << 11  # of the shingles' hashes, at least
+PART_WORDS = 1 << 19  # of the texts, for each part
+CROWD = 64
+BLOCK = 256  # texts
+BLOCK_BYTES = 1 << 22
+COLUMNS = 1 << 13
 SKETCH_BYTES = 1 << 18  # of texts sketched at once, so that their shingles stay in the processor's cache
 SIMILARITY = 0.8
 
@@ -225,7 +236,7 @@ def _slots(plain: np.ndarray) -> np.ndarray:
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many shingles fall into each slot, in parts, as narrow as their numbers allow and compressed."""
-    counts = np.zeros(SLOTS, np.int64)
+    counts = np.zeros(SLOTS, np.uint32)
     for batch in batches:
         for _, data, offsets in slices(batch.column("_text")):
             hashes, first = _words(data, offsets)
@@ -263,7 +274,7 @@ def _added_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def frequencies(texts: DataFrame) -> np.ndarray:
-    """About how often the shingles of each slot occur; a megabyte or so, whatever the input."""
+    """About how often the shingles of each slot occur; 16 MB, whatever the input."""
     counted = texts.select("_text").mapInArrow(_slot_counts, "part int, counts binary")
     added = counted.repartition(SLOT_PARTS, "part").sortWithinPartitions("part").mapInArrow(_added_counts, "part int, steps binary")
     added = written(added, "near-steps")
@@ -305,17 +316,64 @@ def prefixes(data: np.ndarray, offsets: np.ndarray, steps: np.ndarray, similarit
     return labelled[chosen], texts[chosen]
 
 
-def _listed(similarity: float, steps: np.ndarray):
+def _listed(similarity: float, steps: np.ndarray, bits: int):
+    """The listed shingles in blocks: of up to 65,536 texts with consecutive numbers those of one part, with their texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, offsets in slices(batch.column("_text"), SKETCH_BYTES):
-                shingles, texts = prefixes(data, offsets, steps, similarity)
-                kept = [batch.column(c).take(pa.array(row + texts)) for c in LISTED]
-                yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), *kept], names=["shingle", *LISTED])
+            nodes = batch.column("node").to_numpy()
+            found = [(s, row + t) for row, data, offsets in slices(batch.column("_text"), SKETCH_BYTES) for s, t in [prefixes(data, offsets, steps, similarity)]]
+            if not found:
+                continue
+            shingles, texts = (np.concatenate(x) for x in zip(*found))
+            begins = np.flatnonzero(np.r_[True, np.diff(nodes) != 1])
+            begins = np.concatenate([np.arange(i, j, 1 << 16) for i, j in zip(begins, [*begins[1:], len(nodes)])])
+            for i, (lo, hi) in zip(begins, zip(*(lambda e: (e[:-1], e[1:]))(np.searchsorted(texts, [*begins, len(nodes)])))):
+                part = (shingles[lo:hi] >> np.uint64(64 - bits)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                there, at = np.unique(part[order], return_index=True)
+                cut = [(order[x:y] + lo) for x, y in zip(at, [*at[1:], len(order)])]
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array(there, pa.int32()), "first": pa.array(np.full(len(there), nodes[i], np.int64)),
+                    "texts": pa.array([(texts[c] - i).astype("<u2").tobytes() for c in cut], pa.binary()),
+                    "shingles": pa.array([shingles[c].astype("<u8").tobytes() for c in cut], pa.binary()),
+                })
 
     return run
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of several texts that list the same shingles, part by part; a set is known by a hash of its texts."""
+    part, shingles, nodes = None, [], []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        s, node = np.concatenate(shingles), np.concatenate(nodes)
+        order = np.argsort(s)
+        s, node = s[order], node[order]
+        begins = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        sizes = np.diff(np.r_[begins, len(s)])
+        names = np.bitwise_xor.reduceat(mix(node.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), begins)
+        names = mix(names + sizes.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        several = np.flatnonzero(sizes > 1)
+        names, first, weights = np.unique(names[several], return_index=True, return_counts=True)
+        begins, sizes = begins[several][first], sizes[several][first]
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - begins, sizes)
+        yield pa.RecordBatch.from_pydict({
+            "set": pa.array(np.repeat(names, sizes).view(np.int64)), "node": pa.array(node[at]), "weight": pa.array(np.repeat(weights, sizes)),
+        })
+
+    for batch in batches:
+        for p, first, texts, some in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "texts", "shingles"))):
+            if p != part and shingles:
+                yield from done()
+                shingles, nodes = [], []
+            part = p
+            shingles.append(np.frombuffer(some, "<u8"))
+            nodes.append(np.frombuffer(texts, "<u2").astype(np.int64) + first)
+    if shingles:
+        yield from done()
+
+
 def _possible(similarity: float):
     """Pairs that may reach the similarity by their word counts. A count that does not fit (over 65,534) decides nothing."""
 
@@ -331,6 +389,69 @@ def _possible(similarity: float):
     return run
 
 
+def _common(a: np.ndarray, a_texts: np.ndarray, b: np.ndarray, b_texts: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """How many elements each text of one side shares with each of the other; the elements of a text differ."""
+    both = np.intersect1d(a, b)
+    out = np.zeros(shape, np.float32)
+    sides = []
+    for elements, texts in ((a, a_texts), (b, b_texts)):
+        at = np.minimum(np.searchsorted(both, elements), max(0, len(both) - 1))
+        there = both[at] == elements if len(both) else np.zeros(len(elements), bool)
+        order = np.argsort(at[there], kind="stable")
+        sides.append((at[there][order], texts[there][order]))
+    for first in range(0, len(both), COLUMNS):
+        parts = []
+        for (at, texts), size in zip(sides, shape):
+            lo, hi = np.searchsorted(at, [first, first + COLUMNS])
+            part = np.zeros((size, COLUMNS), np.float32)
+            part[texts[lo:hi], at[lo:hi] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _crowd_links(similarity: float):
+    """Of pairs of blocks the links between texts of different classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sides = [batch.column(c)[row].values for c in ("a_texts", "b_texts")]
+                (n, node, root), (m, other, of) = ([x.field(c).to_numpy() for c in ("n", "node", "root")] for x in sides)
+                good = (root[:, None] != of) & (np.minimum(n[:, None], m) >= similarity * np.maximum(n[:, None], m) - 1e-9)
+                if batch.column("strip")[row].as_py() == batch.column("other")[row].as_py():
+                    good &= node[:, None] < other
+                some, with_some = np.flatnonzero(good.any(axis=1)), np.flatnonzero(good.any(axis=0))
+                good = good[some][:, with_some]
+                if not len(some):
+                    continue
+                sides = [x.take(pa.array(at)) for x, at in zip(sides, (some, with_some))]
+                words = []
+                for x in sides:
+                    found = [(data, offsets) for _, data, offsets in slices(x.field("_text"))]
+                    found = [_words(data, offsets) for data, offsets in found]
+                    counts = np.concatenate([np.diff(first) for _, first in found])
+                    words.append((np.concatenate([hashes for hashes, _ in found]), np.concatenate([[0], np.cumsum(counts)])))
+                longer = np.maximum(n[some][:, None], m[with_some]).astype(np.int64)
+                most = np.floor((1 - similarity) * longer + 1e-9).astype(np.int64)
+                for k in (1, 2, 3):  # an edit spoils k runs of k words at most
+                    (_, a, a_edges, _), (_, b, b_edges, _) = (labelled_shingles(None, None, k, known) for known in words)
+                    shared = _common(a, owner(a_edges), b, owner(b_edges), good.shape)
+                    good &= (longer - k + 1 - shared <= k * most) | (longer - k + 1 <= k * most)
+                    if not good.any():
+                        break
+                i, j = np.nonzero(good)
+                if not len(i):
+                    continue
+                _, numbers = np.unique(np.concatenate([hashes for hashes, _ in words]), return_inverse=True)
+                a, b = (np.split(x.astype(np.int32), edges[1:-1]) for x, (_, edges) in zip(np.split(numbers, [len(words[0][0])]), words))
+                linked = within([(a[x], b[y]) for x, y in zip(i, j)], similarity)
+                ends = [sides[0].take(pa.array(i[linked])), sides[1].take(pa.array(j[linked]))]
+                yield pa.RecordBatch.from_arrays([x.field(c) for x in ends for c in TEXT_KEY], names=PAIR)
+
+    return run
+
+
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,7 +486,6 @@ def _node(prefix: str = "_") -> Column:
 
 
 TEXT_KEY = ["_hash", "_len"]
-LISTED = ["node", "n", "root"]
 PAIR = ["a_hash", "a_len", "b_hash", "b_len"]
 
 
@@ -384,14 +504,14 @@ def _possible_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> Da
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs, and whether they are near."""
     for side in ("a", "b"):
-        there = texts.toDF(f"{side}_hash", f"{side}_len", f"{side}_text")
+        there = texts.select(*TEXT_KEY, "_text").toDF(f"{side}_hash", f"{side}_len", f"{side}_text")
         pairs = pairs.join(there, [f"{side}_hash", f"{side}_len"])
     return pairs.mapInArrow(_verify(similarity), "a_hash long, a_len int, b_hash long, b_len int, near boolean")
 
 
 def _links(known: DataFrame, rows: DataFrame, similarity: float, sketches: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verified links between different texts that share a bucket (a_hash, a_len, b_hash, b_len), and of each text with words its
-    counts and the text itself."""
+    counts, and the text itself with a number."""
     text_key = TEXT_KEY
     nodes = rows.filter("n > 0").groupBy(*text_key).agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.first("counts").alias("counts"),
@@ -409,7 +529,8 @@ def _links(known: DataFrame, rows: DataFrame, similarity: float, sketches: int)
     entries = written(entries.select(*text_key, "n", "root", "band", "bucket"), "near-entries-0")
     same = [known[c] == nodes[c] for c in text_key] + [known["_id"].eqNullSafe(nodes["_rep"])]
     texts = known.join(nodes.select(*text_key, "_rep"), same).select(known["_hash"], known["_len"], "_rep", "_text")
-    texts = written(texts.dropDuplicates([*text_key, "_rep"]).drop("_rep"), "near-texts")
+    texts = texts.dropDuplicates([*text_key, "_rep"]).drop("_rep").withColumn("node", F.monotonically_increasing_id())
+    texts = written(texts, "near-texts")
     passed, turn, used = [], 0, 0
     while True:
         shortest = F.when(F.col("band") >= every, F.col("n")).otherwise(0).alias("s")
@@ -444,35 +565,63 @@ def _links(known: DataFrame, rows: DataFrame, similarity: float, sketches: int)
         discarded(was, leaders, members, pairs, checked, failing)
 
 
+def _crowded(rooted: DataFrame, classed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Verified links between texts of different classes that share one of these sets."""
+    # a set that holds another one is among the sets of each of its texts, and so not above the least of their largest
+    size = F.struct("size", "set")
+    largest = written(rooted.groupBy("node").agg(F.max(size).alias("top")), "near-largest")
+    around = rooted.join(largest, "node").groupBy("set").agg(F.min("top").alias("top"))
+    around = around.select("set", F.col("top.set").alias("around")).filter("set <> around")
+    inside = rooted.select("set", "node", "size").join(around, "set").join(rooted.select(F.col("set").alias("around"), "node"), ["around", "node"])
+    inside = inside.groupBy("set", "size").count().filter("count = size").select("set")
+    members = rooted.join(inside, "set", "left_anti").join(classed.select(*TEXT_KEY, "node"), "node")
+    strips = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.sum("_len").over(Window.partitionBy("set")) / BLOCK_BYTES)).cast("int")
+    members = members.withColumn("strips", strips).withColumn("strip", F.pmod(F.xxhash64("node"), "strips").cast("int"))
+    members = members.join(texts.drop("node"), TEXT_KEY)
+    block = F.collect_list(F.struct("n", "node", "root", *TEXT_KEY, "_text"))
+    blocks = written(members.groupBy("set", "strips", "strip").agg(block.alias("texts")), "near-blocks")
+    a = blocks.select("set", "strip", F.explode(F.sequence("strip", F.col("strips") - 1)).alias("other"), F.col("texts").alias("a_texts"))
+    met = a.join(blocks.select("set", F.col("strip").alias("other"), F.col("texts").alias("b_texts")), ["set", "other"])
+    links = written(met.mapInArrow(_crowd_links(similarity), "a_hash long, a_len int, b_hash long, b_len int"), "near-crowded")
+    discarded(largest, blocks)
+    return links
+
+
 def _across(labels: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """All verified links between different classes of ``labels`` (of texts that it does not name: their own), as links (a, b)
     between the classes."""
     classed = nodes.select(*TEXT_KEY, "n", _node().alias("_name")).join(labels.toDF("_name", "label"), "_name", "left")
-    classed = classed.select(*TEXT_KEY, "n", F.xxhash64(*TEXT_KEY).alias("node"), "label", F.coalesce("label", "_name").alias("class"))
-    classed = written(classed, "near-classed")
-    # most texts are a class of their own: for those the root is left out
-    rooted = texts.join(classed.select(*TEXT_KEY, "node", "n", F.xxhash64("label").alias("_of"), "label"), TEXT_KEY)
-    rooted = rooted.select("_text", "node", "n", F.when(F.col("label").isNotNull(), F.col("_of")).alias("root"))
-    rooted = rooted.mapInArrow(_listed(similarity, frequencies(texts)), "shingle long, node long, n int, root long")
-    root, group = F.coalesce("root", "node"), Window.partitionBy("shingle")
-    several = rooted.withColumns({"_lo": F.min(root).over(group), "_hi": F.max(root).over(group)}).filter("_lo < _hi")
-    rooted = written(several.select("shingle", "node", "n", "root"), "near-rooted")
-    a, b = (rooted.select("shingle", F.col("node").alias(side), F.col("n").alias(f"{side}_n"), root.alias(f"{side}_root")) for side in ("a", "b"))
-    # each pair once: a is the shorter text, of equally long ones that of the lesser hash
+    classed = classed.join(texts.select(*TEXT_KEY, "node"), TEXT_KEY)
+    classed = written(classed.select(*TEXT_KEY, "n", "node", F.coalesce("label", "_name").alias("class")), "near-classed")
+    parts = max(PARTS, (classed.agg(F.sum("n")).first()[0] or 0) // PART_WORDS)
+    bits = int(parts - 1).bit_length()
+    listed = texts.select("_text", "node").mapInArrow(_listed(similarity, frequencies(texts), bits), "part int, first long, texts binary, shingles binary")
+    sets = listed.repartition("part").sortWithinPartitions("part").mapInArrow(_sets, "set long, node long, weight long")
+    sets = written(sets, "near-sets")
+    rooted = sets.join(classed.select("node", "n", F.xxhash64("class").alias("root")), "node")
+    rooted = rooted.groupBy("set", "node", "n", "root").agg(F.sum("weight").cast("int").alias("weight"))
+    group = Window.partitionBy("set")
+    rooted = rooted.withColumns({"_lo": F.min("root").over(group), "_hi": F.max("root").over(group), "size": F.count("*").over(group)})
+    rooted = written(rooted.filter("_lo < _hi").drop("_lo", "_hi"), "near-rooted")
+    discarded(sets)
+    few = rooted.filter(F.col("size") <= CROWD)
+    a, b = (few.select("set", "weight", *(F.col(c).alias(t) for c, t in (("node", x), ("n", f"{x}_n"), ("root", f"{x}_root")))) for x in ("a", "b"))
+    # each pair once: a is the shorter text, of equally long ones that of the lesser number
     apart = F.struct("a_n", "a") < F.struct("b_n", "b")
-    met = a.join(b.hint("merge"), "shingle").filter(apart & (F.col("a_root") != F.col("b_root")) & _close(similarity))
-    met = met.groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("shared")).filter(F.col("shared") >= _commons(F.col("a_n"), similarity))
+    met = a.join(b.drop("weight").hint("merge"), "set").filter(apart & (F.col("a_root") != F.col("b_root")) & _close(similarity))
+    met = met.groupBy("a", "b", "a_n", "b_n").agg(F.sum("weight").alias("shared")).filter(F.col("shared") >= _commons(F.col("a_n"), similarity))
     met = written(met.select("a", "b", "a_n", "b_n"), "near-met")
     for side in ("a", "b"):
         met_side = classed.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}{c}") for c in TEXT_KEY))
         pairs = (met if side == "a" else pairs).join(met_side, side)
     pairs = written(_possible_pairs(pairs.select(*PAIR, "a_n", "b_n"), nodes, similarity), "near-pairs")
     checked = written(_verified(pairs, texts, similarity).filter("near").select(*PAIR), "near-checked")
-    links = checked
+    crowded = _crowded(rooted.filter(F.col("size") > CROWD), classed, texts, similarity)
+    links = checked.unionByName(crowded)
     for side in ("a", "b"):
         links = links.join(classed.select(*TEXT_KEY, "class").toDF(f"{side}_hash", f"{side}_len", side), [f"{side}_hash", f"{side}_len"])
     links = written(links.select("a", "b").distinct(), "near-across")
-    discarded(classed, rooted, met, pairs, checked)
+    discarded(classed, rooted, met, pairs, checked, crowded)
     return links
 
 

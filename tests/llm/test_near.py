@@ -270,3 +270,63 @@ def test_slot_counts_leave_no_shuffle_and_few_bytes(spark, monkeypatch):
     monkeypatch.setattr(near, "written", lambda df, name: names.append(name) or real(df, name))
     steps = near.frequencies(spark.createDataFrame([(t,) for t in texts], "_text string"))
     assert names == ["near-steps"] and steps.sum() >= 1500 * 8 * 0.9
+
+
+def crowd(draw, size):
+    """Texts with 75 of 100 words in common, and of each a copy that differs in another 17 to 20."""
+    word = lambda: "".join(draw.choices("abcdefghij", k=6))
+    common, texts = [word() for _ in range(75)], []
+    for i in range(size):
+        words = common + [word() for _ in range(25)]
+        near_copy = list(words)
+        for j in range(17 + i % 4):
+            near_copy[(j * 100) // (17 + i % 4)] = word()
+        texts += [" ".join(words), " ".join(near_copy)]
+    return texts
+
+
+def test_a_crowd_makes_no_rows_of_pairs(spark, monkeypatch):
+    """Texts that share most of their words meet in blocks: their pairs are no rows, however many blocks there are."""
+    counts, real = {}, near.written
+
+    def counted(df, name):
+        table = real(df, name)
+        counts[name] = counts.get(name, 0) + (table.count() if name in ("near-met", "near-blocks") else 0)
+        return table
+
+    monkeypatch.setattr(near, "written", counted)
+    monkeypatch.setattr(near, "CROWD", 8)
+    monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "COLUMNS", 50)
+    texts = crowd(random.Random(21), 50)
+    found = {r["doc_id"]: r["class_id"] for r in near.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert partition(range(100), [found[i] for i in range(100)]) == partition(range(100), brute.near_classes(texts, near.SIMILARITY))
+    assert counts["near-met"] < 500 and counts["near-blocks"] > 2
+
+
+def test_sets_weigh_what_two_texts_list_in_common():
+    """Blocks of several parts and of numbers with gaps lose no common shingle, and invent none."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from scorewise.llm.words import slices
+
+    texts = crowd(random.Random(22), 6)
+    steps = np.random.default_rng(7).integers(0, 50, near.SLOTS).astype(np.uint8)
+    (_, data, offsets), = slices(pa.array(texts))
+    listed, owners = near.prefixes(data, offsets, steps, near.SIMILARITY)
+    numbers = [3, 4, 5, 70_000, 70_001, 9, 10, 1 << 40, 20, 21, 22, 23]
+    batch = pa.RecordBatch.from_pydict({"_text": pa.array(texts), "node": pa.array(numbers, pa.int64())})
+    blocks = pa.Table.from_batches(near._listed(near.SIMILARITY, steps, 3)([batch])).sort_by("part").to_batches()
+    sets, shared = {}, Counter()
+    for i, some in enumerate(near._sets(blocks)):
+        for r in some.to_pylist():
+            sets.setdefault((r["set"], r["weight"], i), []).append(r["node"])
+    for (_, weight, _), members in sets.items():
+        shared.update({(a, b): weight for a in members for b in members if a < b})
+    whole = [set(listed[owners == i].tolist()) for i in range(len(texts))]
+    for i, a in enumerate(numbers):
+        for j, b in enumerate(numbers):
+            if a < b:
+                assert shared[a, b] == len(whole[i] & whole[j])

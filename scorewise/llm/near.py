@@ -24,11 +24,16 @@ shingles of ``PREFIX_K`` words an edit spoils ``PREFIX_K`` at most, so two texts
 share at least n - 1 - 2 * floor(0.2 n) of them. So if all texts list their shingles in one order, they share one among
 about the first 0.4 n of each, and c among the first 0.4 n + c - 1; c is 1 + n / ``COMMON`` for the shorter one. The order
 puts what is rare first, by counts in ``SLOTS`` classes; any order is exact, this one leaves few texts to a shingle. The lists
-travel as blocks, by parts of the shingles' hashes. Shingles that the very same texts list are one set of texts, with their
-number as its weight. All pairs of different classes whose common sets weigh enough are verified.
-
-A passage that many texts hold, as most of their words, gives sets of all of these. Sets of more than ``CROWD`` texts are
-therefore no rows of pairs: those inside another one go, as they hold no further pair, and the others are dealt into blocks.
+travel as blocks, by parts of the shingles' hashes, and with each shingle its place, the number of words and the class of its
+text. So the task that finds the texts of a shingle also finds which of them may meet: texts of different classes and about the
+same length, in which as many edits as there may be can bring the shingle to its other place. That holds for every shingle that
+edits leave alone; one that a text holds again has no place, as it is not known which one is meant. Only pairs that pass
+become rows, and those that do often enough are verified. The part and 32 bits more tell shingles apart; two of one name
+only add pairs.
+
+A passage that many texts hold, as most of their words, makes all of these meet. Shingles for which more than ``CROWD`` texts in
+two meet, per text, are therefore no rows of pairs but sets: equal sets are one, those inside another one go, as they hold no further
+pair, and the others are dealt into blocks.
 A task holds two blocks of texts and counts what all their pairs share by products of matrices; only links leave the task.
 
 Verification: edit similarity of the word sequences, 1 - distance / longer length, at least ``SIMILARITY``. Classes are the
@@ -46,7 +51,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewise.sources.shared import discarded, written
@@ -69,6 +74,9 @@ SLOT_PARTS = 64
 PARTS = 1 << 11  # of the shingles' hashes, at least
 PART_WORDS = 1 << 19  # of the texts, for each part
 CROWD = 64
+WILD = 0xFFFF  # a place, or a number of words, that says nothing
+MEETINGS = 1 << 19  # pairs looked at together
+FEW = 1 << 14  # keys that go to a large table, instead of the table to them
 BLOCK = 256  # texts
 BLOCK_BYTES = 1 << 22
 COLUMNS = 1 << 13
@@ -87,8 +95,8 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return word_hashes(data, starts, ends), first
 
 
-def labelled_shingles(data: np.ndarray, offsets: np.ndarray, k: int, known: Words | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each shingle, hash of it with its occurrence number, first shingle of each text, words of each text."""
+def _labelled(data: np.ndarray, offsets: np.ndarray, k: int, known: Words | None = None) -> tuple[np.ndarray, ...]:
+    """What ``labelled_shingles`` gives, and of each shingle whether its text may hold it again."""
     hashes, first = known or _words(data, offsets)
     words = np.diff(first)
     counts = np.where(words >= k, words - k + 1, np.minimum(words, 1))
@@ -115,7 +123,14 @@ def labelled_shingles(data: np.ndarray, offsets: np.ndarray, k: int, known: Word
     run = np.maximum.accumulate(np.where(same, 0, place)) if len(some) else place
     occurrence = np.zeros(len(order), np.uint64)
     occurrence[some] = place - run
-    return plain, mix(plain + occurrence * np.uint64(0x9E3779B97F4A7C15)), edges, words
+    again = np.zeros(len(order), bool)
+    again[some] = True
+    return plain, mix(plain + occurrence * np.uint64(0x9E3779B97F4A7C15)), edges, words, again
+
+
+def labelled_shingles(data: np.ndarray, offsets: np.ndarray, k: int, known: Words | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each shingle, hash of it with its occurrence number, first shingle of each text, words of each text."""
+    return _labelled(data, offsets, k, known)[:4]
 
 
 def order_sketches(
@@ -290,11 +305,6 @@ def commons(n: int, similarity: float) -> int:
     return max(1, min(1 + n // COMMON, int(np.floor((1 - PREFIX_K * (1 - similarity)) * n)) - PREFIX_K + 1))
 
 
-def _commons(n: Column, similarity: float) -> Column:
-    shared = F.floor(F.lit(1 - PREFIX_K * (1 - similarity)) * n) - PREFIX_K + 1
-    return F.greatest(F.lit(1), F.least(1 + F.floor(n / COMMON), shared))
-
-
 def prefix_size(n: int, similarity: float) -> int:
     """How many of its shingles a text of n words must list to share ``commons`` with every text that it is similar to."""
     longer = np.arange(n, int(np.floor(n / similarity + 1e-9)) + 1)
@@ -302,9 +312,9 @@ def prefix_size(n: int, similarity: float) -> int:
     return int(n - PREFIX_K + 1 - max(1, shared.min()) + commons(n, similarity))
 
 
-def prefixes(data: np.ndarray, offsets: np.ndarray, steps: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The labelled shingles that each text lists, and the text of each of them."""
-    plain, labelled, edges, words = labelled_shingles(data, offsets, PREFIX_K)
+def _prefixes(data: np.ndarray, offsets: np.ndarray, steps: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """The labelled shingles that each text lists, of each of them the text and its place there, and the words of each text."""
+    plain, labelled, edges, words, again = _labelled(data, offsets, PREFIX_K)
     texts = owner(edges)
     # by step and 56 bits of the hash, then by text
     step = steps[_slots(plain)].astype(np.uint64)
@@ -313,65 +323,150 @@ def prefixes(data: np.ndarray, offsets: np.ndarray, steps: np.ndarray, similarit
     sizes = {n: prefix_size(n, similarity) if n >= PREFIX_K else 0 for n in np.unique(words).tolist()}
     listed = np.array([sizes[n] for n in words.tolist()], np.int64)
     chosen = order[np.arange(len(order)) - edges[:-1][texts] < listed[texts]]
-    return labelled[chosen], texts[chosen]
+    places = np.where(again[chosen], WILD, np.minimum(chosen - edges[:-1][texts[chosen]], WILD))
+    return labelled[chosen], texts[chosen], places, words
+
+
+def prefixes(data: np.ndarray, offsets: np.ndarray, steps: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled shingles that each text lists, and the text of each of them."""
+    return _prefixes(data, offsets, steps, similarity)[:2]
 
 
 def _listed(similarity: float, steps: np.ndarray, bits: int):
-    """The listed shingles in blocks: of up to 65,536 texts with consecutive numbers those of one part, with their texts."""
+    """The listed shingles in blocks: of up to 65,536 texts with consecutive numbers those of one part, with their texts, places
+    and numbers of words. Last come those of texts whose class has another number than the text (``root``), with that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column("node").to_numpy()
-            found = [(s, row + t) for row, data, offsets in slices(batch.column("_text"), SKETCH_BYTES) for s, t in [prefixes(data, offsets, steps, similarity)]]
+            roots = batch.column("root").to_numpy() if "root" in batch.schema.names else nodes
+            found = [(row, *_prefixes(data, offsets, steps, similarity)) for row, data, offsets in slices(batch.column("_text"), SKETCH_BYTES)]
             if not found:
                 continue
-            shingles, texts = (np.concatenate(x) for x in zip(*found))
+            shingles, texts, places, words = (np.concatenate(x) for x in zip(*((s, row + t, p, w) for row, s, t, p, w in found)))
+            words = np.minimum(words, WILD)
             begins = np.flatnonzero(np.r_[True, np.diff(nodes) != 1])
             begins = np.concatenate([np.arange(i, j, 1 << 16) for i, j in zip(begins, [*begins[1:], len(nodes)])])
             for i, (lo, hi) in zip(begins, zip(*(lambda e: (e[:-1], e[1:]))(np.searchsorted(texts, [*begins, len(nodes)])))):
                 part = (shingles[lo:hi] >> np.uint64(64 - bits)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
+                other = (nodes != roots)[texts[lo:hi]]
+                order = np.lexsort((other, part))
                 there, at = np.unique(part[order], return_index=True)
                 cut = [(order[x:y] + lo) for x, y in zip(at, [*at[1:], len(order)])]
+                packed = lambda values, kind: pa.array([values(c).astype(kind).tobytes() for c in cut], pa.binary())
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array(there, pa.int32()), "first": pa.array(np.full(len(there), nodes[i], np.int64)),
-                    "texts": pa.array([(texts[c] - i).astype("<u2").tobytes() for c in cut], pa.binary()),
-                    "shingles": pa.array([shingles[c].astype("<u8").tobytes() for c in cut], pa.binary()),
+                    "texts": packed(lambda c: texts[c] - i, "<u2"), "shingles": packed(lambda c: shingles[c] & np.uint64(0xFFFFFFFF), "<u4"),
+                    "places": packed(lambda c: places[c], "<u2"), "words": packed(lambda c: words[texts[c]], "<u2"),
+                    "roots": packed(lambda c: roots[texts[c[other[c - lo]]]], "<i8"),
                 })
 
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of several texts that list the same shingles, part by part; a set is known by a hash of its texts."""
-    part, shingles, nodes = None, [], []
+LISTED = "part int, first long, texts binary, shingles binary, places binary, words binary, roots binary"
+
 
-    def done() -> Iterator[pa.RecordBatch]:
-        s, node = np.concatenate(shingles), np.concatenate(nodes)
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each part the shingles that texts of several classes list: the first row of each, and the rows' texts, numbers of words,
+    classes and places."""
+    part, found = None, []
+
+    def done() -> tuple[np.ndarray, ...]:
+        s, *rows = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(s)
-        s, node = s[order], node[order]
+        s, root = s[order], rows[2][order]
         begins = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         sizes = np.diff(np.r_[begins, len(s)])
-        names = np.bitwise_xor.reduceat(mix(node.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), begins)
-        names = mix(names + sizes.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-        several = np.flatnonzero(sizes > 1)
-        names, first, weights = np.unique(names[several], return_index=True, return_counts=True)
-        begins, sizes = begins[several][first], sizes[several][first]
-        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - begins, sizes)
-        yield pa.RecordBatch.from_pydict({
-            "set": pa.array(np.repeat(names, sizes).view(np.int64)), "node": pa.array(node[at]), "weight": pa.array(np.repeat(weights, sizes)),
-        })
+        several = np.minimum.reduceat(root, begins) < np.maximum.reduceat(root, begins)
+        order = order[np.repeat(several, sizes)]
+        sizes = sizes[several]
+        return np.cumsum(sizes) - sizes, *(x[order] for x in rows)
 
     for batch in batches:
-        for p, first, texts, some in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "texts", "shingles"))):
-            if p != part and shingles:
-                yield from done()
-                shingles, nodes = [], []
+        for p, first, *packed in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "texts", "shingles", "places", "words", "roots"))):
+            if p != part and found:
+                yield done()
+                found = []
             part = p
-            shingles.append(np.frombuffer(some, "<u8"))
-            nodes.append(np.frombuffer(texts, "<u2").astype(np.int64) + first)
-    if shingles:
-        yield from done()
+            texts, shingles, places, words, roots = (np.frombuffer(x, kind) for x, kind in zip(packed, ("<u2", "<u4", "<u2", "<u2", "<i8")))
+            nodes = texts.astype(np.int64) + first
+            found.append((shingles, nodes, words.astype(np.int64), np.r_[nodes[: len(nodes) - len(roots)], roots], places.astype(np.int64)))
+    if found:
+        yield done()
+
+
+def _as_sets(begins: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Name and text of each row of the sets that begin there, and the weight of its set: how many of the sets are equal. A set is
+    known by a hash of its texts."""
+    sizes = np.diff(np.r_[begins, len(node)])
+    names = np.add.reduceat(mix(node.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), begins) if len(begins) else np.zeros(0, np.uint64)
+    names = mix(names + sizes.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    names, first, weights = np.unique(names, return_index=True, return_counts=True)
+    begins, sizes = begins[first], sizes[first]
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - begins, sizes)
+    return np.repeat(names, sizes).view(np.int64), node[at], np.repeat(weights, sizes)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of texts of several classes that list the same shingles, part by part."""
+    for begins, node, *_ in _parts(batches):
+        names, node, weights = _as_sets(begins, node)
+        yield pa.RecordBatch.from_pydict({"set": pa.array(names), "node": pa.array(node), "weight": pa.array(weights)})
+
+
+MET = "set long, a long, b long, need int"
+
+
+def _meetings(similarity: float, crowd: int):
+    """A row (a, b) for each shingle by which two texts meet, with how many such rows they need; for crowds rows (set, a)."""
+
+    def table(name: np.ndarray | None, a: np.ndarray, b: np.ndarray | None, need: np.ndarray | None) -> pa.RecordBatch:
+        columns = [pa.nulls(len(a), kind) if x is None else pa.array(x, kind) for x, kind in ((name, pa.int64()), (a, pa.int64()), (b, pa.int64()), (need, pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=["set", "a", "b", "need"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for begins, node, n, root, place in _parts(batches):
+            sizes = np.diff(np.r_[begins, len(node)])
+            of = np.repeat(np.arange(len(begins)), sizes)
+            order = np.lexsort((n, of))
+            node, n, root, place = (x[order] for x in (node, n, root, place))
+            # a row meets rows behind it: those of its shingle that are not too long
+            reach = np.minimum(np.floor(n / similarity + 1e-9), WILD).astype(np.int64)
+            ends = np.searchsorted(of * (WILD + 1) + n, of * (WILD + 1) + reach, side="right")
+            upto = np.r_[0, np.cumsum(ends - np.arange(len(of)) - 1)]
+            known, which = np.unique(n, return_inverse=True)
+            need = np.array([commons(x, similarity) for x in known.tolist()], np.int64)[which]
+            met, waiting, lo = np.zeros(len(begins), np.int64), np.zeros((2, 0), np.int64), 0
+            while lo < len(of):
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + MEETINGS, side="right")) - 1)
+                more = np.diff(upto[lo : hi + 1])
+                a = np.repeat(np.arange(lo, hi), more)
+                b = np.arange(len(a)) - np.repeat(upto[lo:hi] - upto[lo], more) + a + 1
+                good = root[a] != root[b]
+                a, b = a[good], b[good]
+                apart = np.abs(place[a] - place[b]) + np.abs(n[a] - place[a] - n[b] + place[b])
+                good = (apart <= np.floor((1 - similarity) * n[b] + 1e-9)) | (place[a] == WILD) | (place[b] == WILD) | (n[b] == WILD)
+                a, b = a[good], b[good]
+                met += np.bincount(of[a], minlength=len(begins))
+                crowded = met > crowd / 2 * sizes
+                lo = hi
+                if lo < len(of) and crowded[of[lo]]:
+                    lo = begins[of[lo]] + sizes[of[lo]]
+                waiting = np.hstack([waiting, [a, b]])
+                waiting = waiting[:, ~crowded[of[waiting[0]]]]
+                # the meetings of a shingle are rows when all are known
+                whole = of[waiting[0]] < (of[lo] if lo < len(of) else len(begins))
+                (a, b), waiting = waiting[:, whole], waiting[:, ~whole]
+                if len(a):
+                    yield table(None, np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), need[a])
+            crowded = met > crowd / 2 * sizes
+            if crowded.any():
+                few = sizes[crowded]
+                names, texts, _ = _as_sets(np.cumsum(few) - few, node[crowded[of]])
+                yield table(names, texts, None, None)
+
+    return run
 
 
 def _possible(similarity: float):
@@ -485,6 +580,7 @@ def _node(prefix: str = "_") -> Column:
     return F.concat_ws(":", F.col(f"{prefix}hash"), F.col(f"{prefix}len"))
 
 
+WORD = r"[^ \t\n\x0B\f\r]"
 TEXT_KEY = ["_hash", "_len"]
 PAIR = ["a_hash", "a_len", "b_hash", "b_len"]
 
@@ -493,18 +589,25 @@ def _close(similarity: float) -> Column:
     return F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9
 
 
+def _wanted(table: DataFrame, pairs: DataFrame) -> list[DataFrame]:
+    """The table for the first and for the second texts of written pairs. To few pairs not all of a large table is sent."""
+    if pairs.count() > FEW:
+        return [table, table]
+    return [table.join(F.broadcast(pairs.select(f"{x}_hash", f"{x}_len").distinct().toDF(*TEXT_KEY)), TEXT_KEY, "left_semi") for x in ("a", "b")]
+
+
 def _possible_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Those of different pairs (with a_n and b_n) that may be near by their word counts."""
-    for side in ("a", "b"):
-        there = nodes.select(*TEXT_KEY, "counts").toDF(f"{side}_hash", f"{side}_len", f"{side}_counts")
+    for side, there in zip(("a", "b"), _wanted(nodes.select(*TEXT_KEY, "counts"), pairs)):
+        there = there.toDF(f"{side}_hash", f"{side}_len", f"{side}_counts")
         pairs = pairs.join(there, [f"{side}_hash", f"{side}_len"])
     return pairs.mapInArrow(_possible(similarity), "a_hash long, a_len int, b_hash long, b_len int")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs, and whether they are near."""
-    for side in ("a", "b"):
-        there = texts.select(*TEXT_KEY, "_text").toDF(f"{side}_hash", f"{side}_len", f"{side}_text")
+    for side, there in zip(("a", "b"), _wanted(texts.select(*TEXT_KEY, "_text"), pairs)):
+        there = there.toDF(f"{side}_hash", f"{side}_len", f"{side}_text")
         pairs = pairs.join(there, [f"{side}_hash", f"{side}_len"])
     return pairs.mapInArrow(_verify(similarity), "a_hash long, a_len int, b_hash long, b_len int, near boolean")
 
@@ -514,8 +617,7 @@ def _links(known: DataFrame, rows: DataFrame, similarity: float, sketches: int)
     counts, and the text itself with a number."""
     text_key = TEXT_KEY
     nodes = rows.filter("n > 0").groupBy(*text_key).agg(
-        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.first("counts").alias("counts"),
-        F.min("_id").alias("_rep")
+        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.first("counts").alias("counts")
     )
     nodes = written(nodes, "near-nodes")
     discarded(rows)
@@ -527,10 +629,9 @@ def _links(known: DataFrame, rows: DataFrame, similarity: float, sketches: int)
     # ``root``: what is known of the class inside a bucket; members of one root need not be compared
     entries = spread.join(shared, "bucket").join(nodes.select(*text_key, "n"), text_key).withColumn("root", node)
     entries = written(entries.select(*text_key, "n", "root", "band", "bucket"), "near-entries-0")
-    same = [known[c] == nodes[c] for c in text_key] + [known["_id"].eqNullSafe(nodes["_rep"])]
-    texts = known.join(nodes.select(*text_key, "_rep"), same).select(known["_hash"], known["_len"], "_rep", "_text")
-    texts = texts.dropDuplicates([*text_key, "_rep"]).drop("_rep").withColumn("node", F.monotonically_increasing_id())
-    texts = written(texts, "near-texts")
+    # copies go before the texts travel, and they travel once
+    texts = known.filter(F.col("_text").rlike(WORD)).groupBy(*text_key).agg(F.first("_text").alias("_text"))
+    texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "near-texts")
     passed, turn, used = [], 0, 0
     while True:
         shortest = F.when(F.col("band") >= every, F.col("n")).otherwise(0).alias("s")
@@ -542,7 +643,9 @@ def _links(known: DataFrame, rows: DataFrame, similarity: float, sketches: int)
         members = members.withColumnsRenamed({"_hash": "b_hash", "_len": "b_len", "n": "b_n", "root": "b_root"})
         members = written(members, f"near-members-{turn}")
         pairs = members.filter(_close(similarity) & (F.col("a_root") != F.col("b_root"))).select(*PAIR, "a_n", "b_n").distinct()
-        pairs = written(_possible_pairs(pairs, nodes, similarity), f"near-pairs-{turn}")
+        asked = written(pairs, f"near-asked-{turn}")
+        pairs = written(_possible_pairs(asked, nodes, similarity), f"near-pairs-{turn}")
+        discarded(asked)
         checked = written(_verified(pairs, texts, similarity), f"near-checked-{turn}")
         passed.append(written(checked.filter("near").select(*PAIR), f"near-passed-{turn}"))
         near = F.coalesce("near", F.col("a_root") == F.col("b_root"))
@@ -567,6 +670,9 @@ def _links(known: DataFrame, rows: DataFrame, similarity: float, sketches: int)
 
 def _crowded(rooted: DataFrame, classed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Verified links between texts of different classes that share one of these sets."""
+    sizes = rooted.groupBy("set").agg(F.count("*").alias("size"), F.sum("_len").alias("bytes"))
+    sizes = written(sizes, "near-sizes")
+    rooted = rooted.drop("_len").join(sizes, "set")
     # a set that holds another one is among the sets of each of its texts, and so not above the least of their largest
     size = F.struct("size", "set")
     largest = written(rooted.groupBy("node").agg(F.max(size).alias("top")), "near-largest")
@@ -575,15 +681,15 @@ def _crowded(rooted: DataFrame, classed: DataFrame, texts: DataFrame, similarity
     inside = rooted.select("set", "node", "size").join(around, "set").join(rooted.select(F.col("set").alias("around"), "node"), ["around", "node"])
     inside = inside.groupBy("set", "size").count().filter("count = size").select("set")
     members = rooted.join(inside, "set", "left_anti").join(classed.select(*TEXT_KEY, "node"), "node")
-    strips = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.sum("_len").over(Window.partitionBy("set")) / BLOCK_BYTES)).cast("int")
+    strips = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     members = members.withColumn("strips", strips).withColumn("strip", F.pmod(F.xxhash64("node"), "strips").cast("int"))
-    members = members.join(texts.drop("node"), TEXT_KEY)
+    members = members.join(texts.select(*TEXT_KEY, "_text"), TEXT_KEY)
     block = F.collect_list(F.struct("n", "node", "root", *TEXT_KEY, "_text"))
     blocks = written(members.groupBy("set", "strips", "strip").agg(block.alias("texts")), "near-blocks")
     a = blocks.select("set", "strip", F.explode(F.sequence("strip", F.col("strips") - 1)).alias("other"), F.col("texts").alias("a_texts"))
     met = a.join(blocks.select("set", F.col("strip").alias("other"), F.col("texts").alias("b_texts")), ["set", "other"])
     links = written(met.mapInArrow(_crowd_links(similarity), "a_hash long, a_len int, b_hash long, b_len int"), "near-crowded")
-    discarded(largest, blocks)
+    discarded(sizes, largest, blocks)
     return links
 
 
@@ -591,37 +697,33 @@ def _across(labels: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
     """All verified links between different classes of ``labels`` (of texts that it does not name: their own), as links (a, b)
     between the classes."""
     classed = nodes.select(*TEXT_KEY, "n", _node().alias("_name")).join(labels.toDF("_name", "label"), "_name", "left")
-    classed = classed.join(texts.select(*TEXT_KEY, "node"), TEXT_KEY)
-    classed = written(classed.select(*TEXT_KEY, "n", "node", F.coalesce("label", "_name").alias("class")), "near-classed")
+    root = F.when(F.col("label").isNull(), F.col("node")).otherwise(F.xxhash64("label")).alias("root")
+    placed = texts.join(classed, TEXT_KEY).select(*TEXT_KEY, "_text", "n", "node", F.coalesce("label", "_name").alias("class"), root)
+    placed = written(placed, "near-placed")
+    discarded(texts)
+    classed = placed.drop("_text")
     parts = max(PARTS, (classed.agg(F.sum("n")).first()[0] or 0) // PART_WORDS)
     bits = int(parts - 1).bit_length()
-    listed = texts.select("_text", "node").mapInArrow(_listed(similarity, frequencies(texts), bits), "part int, first long, texts binary, shingles binary")
-    sets = listed.repartition("part").sortWithinPartitions("part").mapInArrow(_sets, "set long, node long, weight long")
+    listed = placed.select("_text", "node", "root").mapInArrow(_listed(similarity, frequencies(placed), bits), LISTED)
+    sets = listed.repartition("part").sortWithinPartitions("part").mapInArrow(_meetings(similarity, CROWD), MET)
     sets = written(sets, "near-sets")
-    rooted = sets.join(classed.select("node", "n", F.xxhash64("class").alias("root")), "node")
-    rooted = rooted.groupBy("set", "node", "n", "root").agg(F.sum("weight").cast("int").alias("weight"))
-    group = Window.partitionBy("set")
-    rooted = rooted.withColumns({"_lo": F.min("root").over(group), "_hi": F.max("root").over(group), "size": F.count("*").over(group)})
-    rooted = written(rooted.filter("_lo < _hi").drop("_lo", "_hi"), "near-rooted")
-    discarded(sets)
-    few = rooted.filter(F.col("size") <= CROWD)
-    a, b = (few.select("set", "weight", *(F.col(c).alias(t) for c, t in (("node", x), ("n", f"{x}_n"), ("root", f"{x}_root")))) for x in ("a", "b"))
-    # each pair once: a is the shorter text, of equally long ones that of the lesser number
-    apart = F.struct("a_n", "a") < F.struct("b_n", "b")
-    met = a.join(b.drop("weight").hint("merge"), "set").filter(apart & (F.col("a_root") != F.col("b_root")) & _close(similarity))
-    met = met.groupBy("a", "b", "a_n", "b_n").agg(F.sum("weight").alias("shared")).filter(F.col("shared") >= _commons(F.col("a_n"), similarity))
-    met = written(met.select("a", "b", "a_n", "b_n"), "near-met")
+    met = sets.filter("set is null").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"))
+    met = written(met.filter("shared >= need").select("a", "b"), "near-met")
     for side in ("a", "b"):
-        met_side = classed.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}{c}") for c in TEXT_KEY))
+        met_side = classed.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}{c if c in TEXT_KEY else '_' + c}") for c in (*TEXT_KEY, "n")))
         pairs = (met if side == "a" else pairs).join(met_side, side)
-    pairs = written(_possible_pairs(pairs.select(*PAIR, "a_n", "b_n"), nodes, similarity), "near-pairs")
-    checked = written(_verified(pairs, texts, similarity).filter("near").select(*PAIR), "near-checked")
-    crowded = _crowded(rooted.filter(F.col("size") > CROWD), classed, texts, similarity)
-    links = checked.unionByName(crowded)
+    asked = written(pairs.select(*PAIR, "a_n", "b_n"), "near-asked")
+    pairs = written(_possible_pairs(asked, nodes, similarity), "near-pairs")
+    checked = written(_verified(pairs, placed, similarity).filter("near").select(*PAIR), "near-checked")
+    rooted = sets.filter("set is not null").select("set", F.col("a").alias("node")).distinct()
+    rooted = written(rooted.join(classed.select("node", "n", "root", "_len"), "node"), "near-rooted")
+    discarded(sets, met, asked, pairs)
+    crowded = [] if rooted.isEmpty() else [_crowded(rooted, classed, placed, similarity)]
+    links = _union([checked, *crowded])
     for side in ("a", "b"):
         links = links.join(classed.select(*TEXT_KEY, "class").toDF(f"{side}_hash", f"{side}_len", side), [f"{side}_hash", f"{side}_len"])
     links = written(links.select("a", "b").distinct(), "near-across")
-    discarded(classed, rooted, met, pairs, checked, crowded)
+    discarded(placed, rooted, checked, *crowded)
     return links
 
 

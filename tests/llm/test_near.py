@@ -330,3 +330,83 @@ def test_sets_weigh_what_two_texts_list_in_common():
         for j, b in enumerate(numbers):
             if a < b:
                 assert shared[a, b] == len(whole[i] & whole[j])
+
+
+def counted(monkeypatch):
+    """Rows of each table that the operator writes."""
+    counts, real = {}, near.written
+
+    def count(df, name):
+        table = real(df, name)
+        counts[name] = counts.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(near, "written", count)
+    return counts
+
+
+def test_texts_that_share_shingles_by_chance_make_few_rows(spark, monkeypatch):
+    """Two words follow each other in many unrelated texts; few of those could be near by the places of both."""
+    draw = random.Random(31)
+    texts = [" ".join(draw.choices([f"w{i}" for i in range(120)], k=draw.randint(60, 600))) for _ in range(150)]
+    texts += [" ".join(edited(draw, t.split(), len(t.split()) // 8)) for t in texts[:20]]
+    counts = counted(monkeypatch)
+    found = {r["doc_id"]: r["class_id"] for r in near.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(found[150 + i] == i for i in range(20)) and len(set(found.values())) == 150
+    assert counts["near-sets"] < 4000  # 18,572 of the shingles that they list are in several texts
+
+
+@pytest.mark.parametrize("crowd", [4, 64])
+def test_meetings_are_those_of_the_lists_and_places(crowd):
+    import pyarrow as pa
+
+    from scorewise.llm.words import slices
+
+    draw = random.Random(33)
+    texts = [" ".join(draw.choices([f"w{i}" for i in range(25)], k=draw.randint(20, 60))) for _ in range(60)]
+    texts += [" ".join(edited(draw, t.split(), draw.randint(1, len(t.split()) // 6))) for t in texts[:30]]
+    numbers, roots = list(range(5, 95)), [i if i % 3 else 5 for i in range(5, 95)]
+    steps = np.random.default_rng(9).integers(0, 50, near.SLOTS).astype(np.uint8)
+    (_, data, offsets), = slices(pa.array(texts))
+    listed, owners, places, words = near._prefixes(data, offsets, steps, near.SIMILARITY)
+    batch = pa.RecordBatch.from_pydict({"_text": pa.array(texts), "node": pa.array(numbers, pa.int64()), "root": pa.array(roots, pa.int64())})
+    blocks = pa.Table.from_batches(near._listed(near.SIMILARITY, steps, 3)([batch])).sort_by("part").to_batches()
+    rows = [r for some in near._meetings(near.SIMILARITY, crowd)(blocks) for r in some.to_pylist()]
+    sets, shared = {}, {}
+    for r in rows:
+        if r["set"] is None:
+            shared[r["a"], r["b"]] = shared.get((r["a"], r["b"]), 0) + 1
+        else:
+            sets.setdefault(r["set"], set()).add(r["a"])
+    of = {}
+    for s, t, p in zip(listed.tolist(), owners.tolist(), places.tolist()):
+        of.setdefault(s, []).append((words[t], p, t))
+    want, crowds = {}, set()
+    for members in of.values():
+        met = []
+        for i, (n, p, a) in enumerate(members):
+            for m, q, b in members[i + 1 :]:
+                close = min(n, m) >= near.SIMILARITY * max(n, m) - 1e-9 and roots[a] != roots[b]
+                most = int((1 - near.SIMILARITY) * max(n, m) + 1e-9)
+                if close and (near.WILD in (p, q) or abs(p - q) + abs(n - p - m + q) <= most):
+                    met.append((numbers[a], numbers[b]))
+        if len(met) > crowd / 2 * len(members):
+            crowds.add(frozenset(numbers[t] for _, _, t in members))
+        else:
+            for pair in met:
+                want[pair] = want.get(pair, 0) + 1
+    assert shared == want and {frozenset(s) for s in sets.values()} == crowds and (crowds or crowd > 4)
+    for i in range(30):  # edits leave enough of the listed shingles where they may be
+        a, b = texts[i].split(), texts[60 + i].split()
+        if roots[i] != roots[60 + i] and 1 - brute.distance(a, b) / max(len(a), len(b)) >= near.SIMILARITY - 1e-12:
+            inside = any({5 + i, 65 + i} <= s for s in crowds)
+            assert inside or shared.get((5 + i, 65 + i), 0) >= near.commons(min(len(a), len(b)), near.SIMILARITY)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 14])
+def test_classes_do_not_depend_on_how_texts_are_sent(spark, monkeypatch, few):
+    monkeypatch.setattr(near, "FEW", few)
+    texts = [t for n, edits in ((12, 2), (30, 6), (100, 19)) for _ in range(20) for t in spaced(random.Random(n * edits + _), n, edits)]
+    texts += [None, "", " \n ", texts[0], texts[0]]
+    found = {r["doc_id"]: r["class_id"] for r in near.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(found[i + 1] == i for i in range(0, 120, 2)) and [found[i] for i in range(120, 125)] == [120, 120, 122, 0, 0]

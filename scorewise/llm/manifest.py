@@ -9,6 +9,10 @@ proof. What remains of the blocks are the leaves of the next round, ``FAN ** DEP
 node; the groups' nodes then make a tree of their own. So no task sees more than a block of a group, however many rows that
 group has, and a group with a third of all rows is many blocks.
 
+Proofs are several times as large as the levels they come from. So blocks are written and joined with their levels and the
+way up from their root only, and proofs are made where a block becomes rows. The tables of blocks have small row groups, as
+Spark reads thousands of rows at once, but never more than a row group.
+
 The order comes from Spark's range partitioning and the sizes of the ranges (``number_by_range``). Rows of one group with the
 same key are ordered by their leaf; rows that agree in that as well are interchangeable, and each has a proof of its own.
 
@@ -31,6 +35,8 @@ FAN = 3
 DEPTH = 5
 WIDTH = 64  # hexadecimal digits of a digest
 
+GROUP_BYTES = 8 << 20  # of a table of blocks, in one row group
+
 _SEGMENTS = "array<struct<before:string,behind:string>>"
 
 
@@ -72,7 +78,7 @@ def _depth(n: Column, fan: int, depth: int) -> Column:
 
 def _tree(nodes: DataFrame, fan: int, depth: int, name: str) -> DataFrame:
     """Nodes (group, at, n, node, held), numbered from 0 to n - 1 in their group, to blocks: group, root, ``held`` of their
-    nodes by place, and for each place the segments of the proof, from the node up to the root of its group."""
+    nodes by place, the ``levels`` of the block and the ``way`` from there up to the root of its group."""
     size = fan**depth
     listed = F.array_sort(F.collect_list(F.struct("at", "node", "held")))
     blocks = nodes.groupBy("group", F.expr(f"at div {size}").alias("block")).agg(F.first("n").alias("n"), listed.alias("nodes"))
@@ -80,27 +86,29 @@ def _tree(nodes: DataFrame, fan: int, depth: int, name: str) -> DataFrame:
     grow = lambda levels, _: F.concat(levels, F.array(_parents(F.element_at(levels, -1), fan)))
     rounds = F.slice(F.array(*[F.lit(i) for i in range(depth)]), 1, _depth(F.col("n"), fan, depth))
     blocks = blocks.select("group", "block", "n", F.col("nodes")["held"].alias("held"), F.aggregate(rounds, first, grow).alias("levels"))
-    blocks = written(blocks, f"manifest-{name}")
+    blocks = written(blocks, f"manifest-{name}", GROUP_BYTES)
     top = F.element_at("levels", -1)
     upper = blocks.select("group", F.col("block").alias("at"), top.alias("node"), F.col("n"))
     divided = F.col("n") > size
     on = upper.filter(divided).withColumn("n", F.expr(f"(n - 1) div {size} + 1")).withColumn("held", F.col("at"))
-    place = F.sequence(F.lit(0), F.size("held") - 1)
-    at = lambda i, k: F.floor(i / fan**k).cast("int")
-    segments = lambda i: F.array(*[
-        F.when(F.size("levels") > k + 1, _siblings(F.get("levels", F.lit(k)), at(i, k), fan)) for k in range(depth)
-    ])
-    own = F.transform(place, lambda i: F.filter(segments(i), lambda s: s.isNotNull()))
-    blocks = blocks.withColumn("segments", own).select("group", "block", "n", "held", "segments", top.alias("root"))
+    none = F.array().cast(_SEGMENTS)
     if on.isEmpty():
-        return blocks.select("group", "held", "segments", "root")
-    above = _tree(on, fan, depth, f"{name}-up")
+        return blocks.select("group", "held", "levels", none.alias("way"), top.alias("root"))
     # a block of the level above holds many of these: their numbers, and the way up from each
-    above = above.select("group", "root", F.inline(F.arrays_zip(F.col("held").alias("block"), F.col("segments").alias("way"))))
-    above = above.withColumnsRenamed({"group": "g", "block": "b", "root": "r"})
+    above = _opened(_tree(on, fan, depth, f"{name}-up"), fan, depth)
+    above = above.select(F.col("group").alias("g"), F.col("held").alias("b"), F.col("segments").alias("way"), F.col("root").alias("r"))
     joined = blocks.join(above, blocks["group"].eqNullSafe(above["g"]) & (blocks["block"] == above["b"]), "left")
-    whole = F.transform("segments", lambda s: F.concat(s, F.coalesce("way", F.array().cast(_SEGMENTS))))
-    return joined.select("group", "held", whole.alias("segments"), F.coalesce("r", "root").alias("root"))
+    return joined.select("group", "held", "levels", F.coalesce("way", none).alias("way"), F.coalesce("r", top).alias("root"))
+
+
+def _opened(blocks: DataFrame, fan: int, depth: int) -> DataFrame:
+    """One row per node of the blocks: group, root, ``held``, and the ``segments`` of its proof, from the node up to the root."""
+    at = lambda i, k: F.floor(i / fan**k).cast("int")
+    own = lambda i: F.filter(F.array(*[
+        F.when(F.size("levels") > k + 1, _siblings(F.get("levels", F.lit(k)), at(i, k), fan)) for k in range(depth)
+    ]), lambda s: s.isNotNull())
+    segments = F.transform(F.sequence(F.lit(0), F.size("held") - 1), lambda i: F.concat(own(i), "way"))
+    return blocks.select("group", "root", F.inline(F.arrays_zip("held", segments.alias("segments"))).alias("held", "segments"))
 
 
 def fold(start: Column, segments: Column) -> Column:
@@ -126,22 +134,19 @@ def manifest(
     placed = numbered.join(totals, F.col("group").eqNullSafe(F.col("g")))
     held = F.struct("key", "leaf", "candidate")
     below = _tree(placed.select("group", "at", "n", F.col("leaf").alias("node"), held.alias("held")), fan, depth, "rows")
-    below = written(below, "manifest-blocks")
+    below = written(below, "manifest-blocks", GROUP_BYTES)
     groups = below.groupBy("group").agg(F.first("root").alias("node"))
     ordered = number_by_range(groups.withColumn("all", F.lit(0)), ["all"], ["group"], "at")
     n = ordered.agg(F.count("*").alias("n")).scalar()
     top = ordered.select(F.col("all").alias("group"), "at", n.alias("n"), "node", F.col("group").alias("held"))
     top = _tree(top, fan, depth, "groups")
-    # one element per group here
-    top = top.select(F.col("root").alias("r"), F.inline(F.arrays_zip(F.col("held").alias("g"), F.col("segments").alias("way"))))
+    top = _opened(top, fan, depth).select(F.col("root").alias("r"), F.col("held").alias("g"), F.col("segments").alias("up"))
     joined = below.join(top, below["group"].eqNullSafe(top["g"]))
-    each = joined.select(
-        F.col("root").alias("subroot"), F.col("r").alias("root"), "way",
-        F.inline(F.arrays_zip(F.col("held").alias("held"), F.col("segments").alias("segments"))),
-    )
+    joined = joined.select("group", "held", "levels", F.concat("way", "up").alias("way"), F.struct(F.col("root").alias("sub"), "r").alias("root"))
+    each = _opened(joined, fan, depth)
     return each.select(
-        F.col("held.key").alias(key), F.col("held.leaf").alias("leaf"), "subroot", "root",
-        F.concat("segments", "way").alias("segments"), F.col("held.candidate").alias("candidate"),
+        F.col("held.key").alias(key), F.col("held.leaf").alias("leaf"), F.col("root.sub").alias("subroot"), F.col("root.r").alias("root"),
+        "segments", F.col("held.candidate").alias("candidate"),
     )
 
 

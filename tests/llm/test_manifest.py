@@ -99,3 +99,19 @@ def test_proofs_are_siblings(spark, docs):
         for s in r.segments:
             node = h(s.before, node, s.behind)
         assert node == r.root
+
+
+def test_tables_of_blocks_hold_no_proofs_and_small_row_groups(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    tables, real = {}, manifest.written
+    monkeypatch.setattr(manifest, "written", lambda df, name, *more: tables.setdefault(name, real(df, name, *more)))
+    monkeypatch.setattr(manifest, "GROUP_BYTES", 1 << 20)
+    rows = spark.range(120_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("source"), F.lit("en").alias("lang"), F.lit(1).alias("n_chars"), F.lit("t").alias("text"))
+    assert manifest.verified(manifest.manifest(rows)).filter("not verified").isEmpty()
+    for name in ("manifest-rows", "manifest-blocks"):
+        assert "segments" not in tables[name].columns
+        groups = [g for f in glob.glob(f"{tables[name].written_to.removeprefix('file:')}/*.parquet") for m in [pq.ParquetFile(f).metadata] for g in (m.row_group(i) for i in range(m.num_row_groups))]
+        assert groups and max(g.num_rows for g in groups) <= 200

@@ -356,7 +356,7 @@ def test_texts_that_share_shingles_by_chance_make_few_rows(spark, monkeypatch):
     assert counts["near-sets"] < 4000  # 18,572 of the shingles that they list are in several texts
 
 
-@pytest.mark.parametrize("crowd", [4, 64])
+@pytest.mark.parametrize("crowd", [1, 64])
 def test_meetings_are_those_of_the_lists_and_places(crowd):
     import pyarrow as pa
 
@@ -395,7 +395,7 @@ def test_meetings_are_those_of_the_lists_and_places(crowd):
         else:
             for pair in met:
                 want[pair] = want.get(pair, 0) + 1
-    assert shared == want and {frozenset(s) for s in sets.values()} == crowds and (crowds or crowd > 4)
+    assert shared == want and {frozenset(s) for s in sets.values()} == crowds and (crowds or crowd > 1)
     for i in range(30):  # edits leave enough of the listed shingles where they may be
         a, b = texts[i].split(), texts[60 + i].split()
         if roots[i] != roots[60 + i] and 1 - brute.distance(a, b) / max(len(a), len(b)) >= near.SIMILARITY - 1e-12:
